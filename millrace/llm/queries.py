@@ -5,20 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file, found where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.quality import held_out, score_quality
+
+    scored = score_quality(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.packing import pack
+
+    return pack(spark, _table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=0)
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.ngram_join import jaccard_classes
 
     return jaccard_classes(spark, _table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.decontaminate import find_contamination
+
+    found = find_contamination(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=10)
+    n_hit = F.aggregate(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), F.lit(0).cast("long"), lambda total, i: total + F.get("spans", i + 1) - F.get("spans", i))
+    n_hit = F.when(F.size("spans") > 0, n_hit).otherwise(F.lit(0).cast("long"))
+    items = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.substring_dedup import remove_repeats
+
+    cut = remove_repeats(spark, _table(spark, sf_dir, "documents"), k=20)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_ngram_join": op4_ngram_join}
+    return {f.__name__: f for f in (op1_quality, op3_packing, op4_ngram_join, op6_decontamination, op9_substring_dedup)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -46,5 +84,40 @@ FROM s JOIN (SELECT doc_id, min(m) AS m FROM r GROUP BY 1) t USING (doc_id)
 """
 
 
+OP6_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL
+), p AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS m, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS x
+  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i FROM b WHERE len(ws) > 0)
+), m AS (SELECT DISTINCT m FROM p),
+d AS (
+  SELECT doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') AS x
+  FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, m WHERE len(ws) >= m)
+), h AS (SELECT d.doc_id, d.i, d.m, p.item_id FROM d JOIN p ON d.m = p.m AND d.x = p.x),
+k AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS j FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+OP9_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, i, array_to_string(ws[i:i+19], ' ') AS x
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)
+), r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k FROM s) WHERE k > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM r),
+a AS (SELECT doc_id, j, ws[j] AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS j FROM w)),
+k AS (SELECT a.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY j) AS t FROM a ANTI JOIN c ON a.doc_id = c.doc_id AND a.j = c.j GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_join": OP4_SQL}
+    return {"op4_ngram_join": OP4_SQL, "op6_decontamination": OP6_SQL, "op9_substring_dedup": OP9_SQL}

@@ -82,8 +82,10 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFram
     return links.select(a.alias("node"), b.alias("component")).union(roots)
 
 
-def column(values, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, kind)
+def as_text(values: list[bytes]) -> pa.Array:
+    """A text column of these bytes, as they are."""
+    x = pa.array(values, pa.binary())
+    return pa.StringArray.from_buffers(len(x), x.buffers()[1], x.buffers()[2], x.buffers()[0], x.null_count)
 
 
 def add_chunks(df: DataFrame, scratch: Scratch | None = None, fan: int = 64) -> DataFrame:
