@@ -48,6 +48,19 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.ann import nearest
+
+    return nearest(spark, _table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.reshard import LAW, place
+
+    placed = place(spark, _table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.substring_dedup import remove_repeats
 
@@ -56,7 +69,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_packing, op4_ngram_join, op6_decontamination, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_quality, op3_packing, op4_ngram_join, op6_decontamination, op7_nearest, op8_sharding, op9_substring_dedup)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
