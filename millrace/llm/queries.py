@@ -26,6 +26,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.html_extract import extract
+
+    return extract(spark, _table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.packing import pack
 
@@ -38,6 +44,13 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark, _table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.language import identify
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(spark, docs, documents=docs, pages=_table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.decontaminate import find_contamination
 
@@ -68,8 +81,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.hmm import score_texts
+
+    return score_texts(spark, _table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_packing, op4_ngram_join, op6_decontamination, op7_nearest, op8_sharding, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_html_extract, op3_packing, op4_ngram_join, op5_language, op6_decontamination, op7_nearest, op8_sharding, op9_substring_dedup, op10_hmm)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
