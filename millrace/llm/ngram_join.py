@@ -8,12 +8,13 @@
    fingerprint, class, set size, position.  Prefixes are dealt by fingerprint in packed
    blocks; n-grams that the sketch knows to be hot are salted, so a list never meets in one task
    whole.
-3. Lists with two classes or more stay.  First every list links its members to its smallest
-   (a star); those pairs pass the length, positional and suffix filters and are verified on
-   whole texts; the links are closed to components.  Then, only where a list still spans
-   several components, all remaining pairs of different components are tried, large lists in
-   pairs of blocks.  So a group of m near copies costs about m verifications, not m * m, and no
-   link between different components is missed.
+3. Lists with two classes or more stay.  First each list's neighbours by set size are paired;
+   those pairs pass the length, positional and suffix filters and are verified on whole texts;
+   the links are closed to components.  Lists within one component end there.  The others pair
+   their neighbours of different components again, in several other orders, and so once more.  Then all remaining
+   pairs of different components in a list are tried, large lists in pairs of blocks.  So a
+   group of m near copies costs about m verifications, not m * m, and no link between different
+   components is missed.
 4. Each pair is verified once, on the exact sets of the whole texts.
 
 Defined cases: null, empty and blank texts have no n-grams, n_shingles 0, and stand alone; a
@@ -28,7 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
@@ -175,7 +176,7 @@ def _passes(na, nb, pa_, pb, percent):
 
 
 def _lists(percent: int):
-    """From the packed blocks of a bucket: entries of lists with two classes, and star pairs."""
+    """From the packed blocks of a bucket: entries of lists with two classes, and each list's pairs of neighbours by size."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket, salt = table.column("bucket")[0].as_py(), table.column("salt")[0].as_py()
@@ -186,11 +187,11 @@ def _lists(percent: int):
         h, node, n, pos = h[fresh], node[fresh], n[fresh], pos[fresh]
         new = np.r_[True, h[1:] != h[:-1]]
         at = np.flatnonzero(new)
-        lead = np.repeat(at, np.diff(np.r_[at, len(h)]))
         many = np.diff(np.r_[at, len(h)])[np.cumsum(new) - 1] > 1
         keep = many | (salt > 0)
-        star = (lead != np.arange(len(h))) & _passes(n[lead], n, pos[lead], pos, percent)
-        a, b = node[lead][star], node[star]
+        before = np.maximum(np.arange(len(h)) - 1, 0)
+        chain = ~new & _passes(n[before], n, pos[before], pos, percent)
+        a, b = node[before][chain], node[chain]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         k, m = int(keep.sum()), len(pairs)
         key = h[keep] + (bucket << 32)
@@ -263,12 +264,13 @@ def pack_texts(batches):
         yield pa.record_batch([batch.column("doc_id"), pa.array(z, pa.binary())], names=["doc_id", "z"])
 
 
-def jaccard_classes(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 75, sketch: int = 1 << 19, hot: int = 4096) -> DataFrame:
+def jaccard_classes(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 75, sketch: int = 1 << 19, hot: int = 4096, rounds: int = 2, orders: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document; see the module's head.
 
     percent: two sets link when 100 * intersection >= percent * union.  sketch: counters of the
     frequency sketch (a power of two, eight bytes each, broadcast).  hot: entries of one n-gram
-    that share a task.
+    that share a task.  rounds, orders: how
+    often, and in how many orders at once, neighbours are paired before all pairs are.
     """
     scratch = Scratch(spark, "ngram-join")
     texts = scan(docs, doc_id="doc_id", text="text").where("doc_id is not null")
@@ -309,18 +311,34 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
         both = tried.join(z.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b").join(z.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a")
         return tried, scratch.table(both.select("a", "b", "za", "zb").mapInArrow(_verify(n, percent), "a long, b long"))
 
-    _, links = linked(star)
-    comps = scratch.table(components(links, scratch))
-    of_node = classes.join(comps, classes["rep"] == comps["node"], "left").select(F.col("c1").alias("node"), F.coalesce("component", "rep").alias("comp"))
-    members = scratch.table(entries_of.join(of_node, "node"))
-    span = members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo < hi").select("h", "many")
-    rest = members.join(span, "h").withColumn("k", F.ceil(F.col("many") / _BLOCK).cast("int"))
+    done = scratch.table(star.distinct())
+    _, links = linked(done)
+    entries = entries_of
+    for r in range(rounds + 1):
+        comps = scratch.table(components(links, scratch))
+        of_node = classes.join(comps, classes["rep"] == comps["node"], "left").select(F.col("c1").alias("node"), F.coalesce("component", "rep").alias("comp"))
+        members = scratch.table(entries.select("h", "salt", "node", "n", "pos").join(of_node, "node"))
+        entries = members = members.join(members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h"), "h", "left_semi")
+        if r == rounds:
+            break
+        # neighbours in another order, the same for all lists
+        near = None
+        for k in range(orders):
+            order = Window.partitionBy("h", "salt").orderBy(F.xxhash64("node", F.lit(r * orders + k)), "node")
+            x = members.withColumn("x", F.lag(F.struct("node", "n", "pos", "comp")).over(order))
+            x = x.where(f"x.comp != comp and 100 * least(n, x.n) >= {percent} * greatest(n, x.n) and least(n - pos, x.n - x.pos) * {100 + percent} >= {percent} * (n + x.n)")
+            x = x.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
+            near = x if near is None else near.union(x)
+        near = scratch.table(near.distinct().join(done, ["a", "b"], "left_anti"))
+        _, new = linked(near)
+        done, links = done.union(near), links.union(new)
+    rest = members.join(members.groupBy("h").agg(F.count("*").alias("many")), "h").withColumn("k", F.ceil(F.col("many") / _BLOCK).cast("int"))
     i = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     rest = rest.withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2)
     group = F.when(F.col("k") == 1, F.shiftright("h", 32)).otherwise(F.col("h"))
     rest = rest.select("h", "node", "n", "pos", "comp", side.alias("side"), group.alias("g"), F.when(F.col("k") == 1, -1).otherwise(F.least("i", "j")).alias("i"), F.greatest("i", "j").alias("j"))
-    more = rest.groupBy("g", "i", "j").applyInArrow(_cross(percent), "a long, b long").join(star.distinct(), ["a", "b"], "left_anti")
+    more = rest.groupBy("g", "i", "j").applyInArrow(_cross(percent), "a long, b long").join(done, ["a", "b"], "left_anti")
     _, late = linked(more)
     comps = scratch.table(components(links.union(late), scratch))
     rep = F.coalesce("component", "rep", "doc_id").alias("component_id")
