@@ -191,9 +191,9 @@ def canonical_json(values: pd.Series) -> pd.Series:
 
 def json_in_text(text: Column) -> Column:
     """The JSON of a fenced block, else from the first brace to the last."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     bare = F.regexp_extract(text, r"(?s)([\{\[].*[\}\]])", 1)
-    return F.nullif(F.when(F.trim(fenced) != "", F.trim(fenced)).otherwise(bare), F.lit(""))
+    return F.nullif(F.when(fenced != "", fenced).otherwise(bare), F.lit(""))
 
 
 def semver(version: Column) -> Column:

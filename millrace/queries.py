@@ -189,12 +189,12 @@ def claim_gate(spark, sf):
     return _chain(spark, sf).gated.groupBy("status", F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
 
 
-_CLAIMS_SQL = "SELECT l_orderkey * 10 + l_linenumber AS claim_id, l_orderkey AS subject_id, l_returnflag AS predicate, l_partkey AS object_id, l_suppkey AS doc_id, l_linestatus AS polarity, l_linenumber AS seg_order, l_shipdate, l_discount FROM lineitem"
+_CLAIMS_SQL = "SELECT ((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber AS claim_id, l_orderkey AS subject_id, l_returnflag AS predicate, l_partkey AS object_id, l_suppkey AS doc_id, l_linestatus AS polarity, l_linenumber AS seg_order, l_shipdate, l_discount FROM lineitem"
 
 
 def _claims(spark, sf):
     line = _t(spark, sf, "lineitem")
-    return line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_orderkey").alias("subject_id"), F.col("l_returnflag").alias("predicate"), F.col("l_partkey").alias("object_id"), F.col("l_suppkey").alias("doc_id"), F.col("l_linestatus").alias("polarity"), F.col("l_linenumber").alias("seg_order"), "l_shipdate", "l_discount")
+    return line.select((((F.col("l_orderkey") * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_orderkey").alias("subject_id"), F.col("l_returnflag").alias("predicate"), F.col("l_partkey").alias("object_id"), F.col("l_suppkey").alias("doc_id"), F.col("l_linestatus").alias("polarity"), F.col("l_linenumber").alias("seg_order"), "l_shipdate", "l_discount")
 
 
 @query(f"""WITH c AS ({_CLAIMS_SQL}), g AS (SELECT claim_id, list_filter([CASE WHEN l_discount > 0.09 THEN 'confidence_out_of_range' END, CASE WHEN predicate NOT IN ('A', 'N') THEN 'unknown_predicate:' || predicate END, CASE WHEN l_discount < 0.02 THEN 'low_confidence' END], lambda x: x IS NOT NULL) AS r FROM c)
@@ -295,7 +295,7 @@ def assertions_as_of(spark, sf):
     return bitemporal.as_of(_versions(spark, sf), tx_at=at).select("event_id", "user_id", "event_type")
 
 
-@query(f"WITH v AS ({_VERSIONS_SQL}) SELECT epoch_us(at) AS at_us, id, kind FROM (SELECT tx_from AS at, event_id AS id, 'asserted' AS kind FROM v UNION ALL SELECT tx_to, event_id, 'closed' FROM v WHERE tx_to IS NOT NULL UNION ALL SELECT tx_from, event_id, 'superseded' FROM v WHERE supersedes IS NOT NULL)")
+@query(f"WITH v AS ({_VERSIONS_SQL}) SELECT epoch_us(x) AS at_us, id, kind FROM (SELECT tx_from AS x, event_id AS id, 'asserted' AS kind FROM v UNION ALL SELECT tx_to, event_id, 'closed' FROM v WHERE tx_to IS NOT NULL UNION ALL SELECT tx_from, event_id, 'superseded' FROM v WHERE supersedes IS NOT NULL)")
 def chronicle_events(spark, sf):
     return bitemporal.chronicle(_versions(spark, sf), "event_id").select(F.unix_micros(F.col("at").cast("timestamp")).alias("at_us"), "id", "kind")
 
@@ -387,7 +387,7 @@ def investigation_subgraph(spark, sf):
     return graph.subgraph(edges, scope).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("WITH RECURSIVE p AS (SELECT n_nationkey AS node, n_nationkey - 5 AS target FROM nation WHERE n_nationkey >= 5), r(node, at) AS (SELECT node, target FROM p UNION ALL SELECT r.node, p.target FROM r JOIN p ON r.at = p.node) SELECT node, min(at) AS root FROM r GROUP BY 1")
+@query("WITH RECURSIVE p AS (SELECT n_nationkey AS node, n_nationkey - 5 AS target FROM nation WHERE n_nationkey >= 5), r(node, x) AS (SELECT node, target FROM p UNION ALL SELECT r.node, p.target FROM r JOIN p ON r.x = p.node) SELECT node, min(x) AS root FROM r GROUP BY 1")
 def equivalence_class(spark, sf):
     n = _t(spark, sf, "nation").where("n_nationkey >= 5")
     log = n.select(F.lit("merge").alias("op"), F.col("n_nationkey").alias("member"), (F.col("n_nationkey") - 5).alias("canonical"), F.col("n_nationkey").alias("seq"))
