@@ -103,7 +103,8 @@ class Words:
     word, with the total at the end; hashes: a fingerprint of each word.
     """
 
-    def __init__(self, column: pa.Array, letters: np.ndarray = SPACES, lower: bool = False):
+    def __init__(self, column: pa.Array, letters: np.ndarray = SPACES, lower: bool = False, kinds: np.ndarray | None = None):
+        """kinds: a class for each byte; words are also cut where a 1 meets a 2."""
         raw, self.offsets = flat(column)
         self.raw = raw
         self.bytes = buf = _LOWER[raw] if lower else raw
@@ -115,6 +116,11 @@ class Words:
             begins[edge] = inside[edge]
             stops[:-1] &= ~inside[1:]
             stops[edge - 1] = inside[edge - 1]
+        if kinds is not None and len(buf):
+            k = kinds[buf]
+            cut = k[1:] * k[:-1] == 2
+            begins[1:] |= cut
+            stops[:-1] |= cut
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
         self.first = np.searchsorted(self.starts, self.offsets)
         self._hashes: np.ndarray | None = None
