@@ -328,7 +328,7 @@ def _cut(k: int):
         ident, mark, start, size = (x[order] for x in got)
         keys = np.stack([ident, mark], 1)
         at = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, int)
-        where = {(int(ident[i]), int(mark[i])): (i, j) for i, j in zip(at, np.r_[at[1:], len(keys)], strict=True)}
+        where = {(int(ident[i]), int(mark[i])): (i, j) for i, j in zip(at, np.r_[at[1:], len(keys)][: len(at)], strict=True)}
         kept, total, gone = [], [], []
         for text, i, m in zip(raw, ids.tolist(), marks.tolist(), strict=True):
             words = text.as_py().split()
