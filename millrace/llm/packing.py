@@ -37,6 +37,8 @@ _KINDS = np.zeros(256, np.uint8)
 _KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
 _KINDS[[x for x in range(0x21, 0x7F) if not chr(x).isalnum() and x != 0x27]] = 2
 _GROUP = 500
+#: Over 1: a long piece is worth more than short ones of the same sum, as it is harder to place.
+_SLOPE = 1.05
 
 
 class Encoder:
@@ -194,7 +196,7 @@ def solve(histogram: dict[int, int], capacity: int, steps: int = 400, rate: floa
     for step in range(steps):
         share = covered / n
         weight = np.exp(-rate * math.sqrt(1 + step) * (share - share.min()))
-        best, last = _knapsack(weight * lengths / capacity + 1e-9 * lengths, lengths, capacity)
+        best, last = _knapsack(weight * (lengths / capacity) ** _SLOPE, lengths, capacity)
         config = _configuration(best, last, capacity)
         fits = min(n[index[k]] / a for k, a in config.items())
         size = max(min(bins / steps * 2, fits), 1e-9)
