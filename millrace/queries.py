@@ -189,12 +189,12 @@ def claim_gate(spark, sf):
     return _chain(spark, sf).gated.groupBy("status", F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
 
 
-_CLAIMS_SQL = "SELECT ((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber AS claim_id, l_orderkey AS subject_id, l_returnflag AS predicate, l_partkey AS object_id, l_suppkey AS doc_id, l_linestatus AS polarity, l_linenumber AS seg_order, l_shipdate, l_discount FROM lineitem"
+_CLAIMS_SQL = "SELECT ((l_orderkey * 10000 + l_partkey % 10000) * 10 + l_linenumber) * 100000 + CAST(round(l_extendedprice * 100) AS BIGINT) % 100000 AS claim_id, l_orderkey AS subject_id, l_returnflag AS predicate, l_partkey AS object_id, l_suppkey AS doc_id, l_linestatus AS polarity, l_linenumber AS seg_order, l_shipdate, l_discount FROM lineitem"
 
 
 def _claims(spark, sf):
     line = _t(spark, sf, "lineitem")
-    return line.select((((F.col("l_orderkey") * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_orderkey").alias("subject_id"), F.col("l_returnflag").alias("predicate"), F.col("l_partkey").alias("object_id"), F.col("l_suppkey").alias("doc_id"), F.col("l_linestatus").alias("polarity"), F.col("l_linenumber").alias("seg_order"), "l_shipdate", "l_discount")
+    return line.select((((F.col("l_orderkey") * 10000 + F.col("l_partkey") % 10000) * 10 + F.col("l_linenumber")) * 100000 + F.round(F.col("l_extendedprice") * 100).cast("long") % 100000).alias("claim_id"), F.col("l_orderkey").alias("subject_id"), F.col("l_returnflag").alias("predicate"), F.col("l_partkey").alias("object_id"), F.col("l_suppkey").alias("doc_id"), F.col("l_linestatus").alias("polarity"), F.col("l_linenumber").alias("seg_order"), "l_shipdate", "l_discount")
 
 
 @query(f"""WITH c AS ({_CLAIMS_SQL}), g AS (SELECT claim_id, list_filter([CASE WHEN l_discount > 0.09 THEN 'confidence_out_of_range' END, CASE WHEN predicate NOT IN ('A', 'N') THEN 'unknown_predicate:' || predicate END, CASE WHEN l_discount < 0.02 THEN 'low_confidence' END], lambda x: x IS NOT NULL) AS r FROM c)
