@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.order import numbered
+
 
 def support(n: Column) -> Column:
     """1 - 1 / (n + 1)."""
@@ -38,16 +40,8 @@ def signal(value: Column, contradiction: Column, independent: Column, low: int =
 
 
 def ranked(conclusion: DataFrame, key: str = "subject_id") -> DataFrame:
-    """Dense places by value, then independence, then key.
-
-    Ranks come from range partitions and their sizes, so no task sees all rows.
-    """
-    order = [F.desc("value"), F.desc("independent"), F.asc(key)]
-    parts = conclusion.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    # a table of one row for each partition
-    base = parts.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_base")
-    inner = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return parts.withColumn("_r", inner).join(base, "_p").withColumn("position", (F.col("_r") + F.col("_base")).cast("long")).drop("_p", "_r", "_base")
+    """Places by value, then independence, then key."""
+    return numbered(conclusion, [F.desc("value"), F.desc("independent"), F.asc(key)])
 
 
 def coverage(planned: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
@@ -80,3 +74,25 @@ def counter_evidence(conflict_pairs: DataFrame, claims: DataFrame, subject: Colu
     c = claims.select("claim_id", "subject_id")
     rows = conflict_pairs.join(c.toDF("a", "a_subject"), "a").join(c.toDF("b", "b_subject"), "b")
     return rows.where((F.col("a_subject") == subject) | (F.col("b_subject") == subject))
+
+
+def hypotheses(subjects: DataFrame) -> DataFrame:
+    """Counter-hypotheses and the searches for them, for each (subject_id, predicate, object)."""
+    about = F.concat_ws(" ", "subject_id", "predicate", F.coalesce("object", F.lit("")))
+    kinds = F.array(F.struct(F.lit("negation").alias("kind"), F.concat(F.lit("not "), about).alias("query")), F.struct(F.lit("alternative").alias("kind"), F.concat_ws(" ", "subject_id", "predicate", F.lit("other than"), F.coalesce("object", F.lit("any"))).alias("query")))
+    return subjects.select("subject_id", "predicate", F.explode(kinds).alias("h")).select("subject_id", "predicate", "h.*")
+
+
+def routed_tier(gain: Column, cost: Column) -> Column:
+    """Which reader a step goes to, by its gain for its cost."""
+    ratio = F.try_divide(gain, cost)
+    return F.when(ratio.isNull(), "skip").when(ratio >= 1, "large").when(ratio >= 0.2, "small").otherwise("skip")
+
+
+def linkage(traced: DataFrame) -> DataFrame:
+    """Share of statements whose trail is whole; null where there are none."""
+    return traced.agg(F.count("*").alias("statements"), F.avg(F.col("linked").cast("int")).alias("linked_share"))
+
+
+def dashboard(coverage_rows: DataFrame, independent: Column) -> DataFrame:
+    return coverage_rows.agg(F.count("*").alias("planned"), F.count_if("covered").alias("covered"), F.round(F.avg(F.col("covered").cast("int")), 4).alias("coverage"), F.sum(independent).alias("independent"))

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import ids, text
-from millrace.operators import bitemporal, claims, dedup, evidence, extract, filters, graph, metrics, retrieval
+from millrace.operators import bitemporal, claims, dedup, evaluate, evidence, extract, filters, graph, metrics, order, retrieval
 from millrace.plans import chain
 from millrace.sources import store
+from millrace.streaming import promotion
 
 FLAGSHIP = "exact_dup_groups"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -598,6 +599,124 @@ def snapshot_expiry(spark, sf):
     return store.plan_expiry(s, F.lit("1998-01-01").cast("timestamp"), 30, 5).select(F.col("snapshot_id").alias("o_orderkey"))
 
 
+# evaluation and gates
+@query("""WITH g AS (SELECT o_custkey AS custkey, min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders GROUP BY 1), j AS (SELECT x.o_orderpriority = y.o_orderpriority AS truth, x.o_orderstatus = y.o_orderstatus AS said FROM g JOIN orders x ON a = x.o_orderkey JOIN orders y ON b = y.o_orderkey WHERE a < b),
+c AS (SELECT count(*) FILTER (WHERE truth AND said) AS tp, count(*) FILTER (WHERE NOT truth AND said) AS fp, count(*) FILTER (WHERE truth AND NOT said) AS fn FROM j) SELECT tp, fp, fn, tp + fp + fn > 0 AS measured, tp / (tp + fp) >= 0.1 AND tp / (tp + fn) >= 0.4 AS passed FROM c""")
+def golden_groups(spark, sf):
+    o = _t(spark, sf, "orders")
+    pairs = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b")).where("a < b")
+    side = lambda c, n: o.select(F.col("o_orderkey").alias(c), F.col("o_orderpriority").alias(n))
+    pairs = pairs.join(side("a", "pa"), "a").join(side("b", "pb"), "b")
+    rows = evaluate.same_group(pairs, o.select(F.col("o_orderkey").alias("element"), F.col("o_orderstatus").alias("group")))
+    r = evaluate.report(rows, F.col("pa") == F.col("pb"), F.col("said"), 0.1, 0.4)
+    return r.select("tp", "fp", "fn", "measured", "passed")
+
+
+@query("SELECT o_orderpriority AS metric, CASE WHEN avg(o_totalprice) FILTER (WHERE o_orderstatus = 'P') IS NULL THEN 'init' WHEN avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') >= avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O') THEN 'promote' ELSE 'keep' END AS action FROM orders GROUP BY 1")
+def promotion_gate(spark, sf):
+    o = _t(spark, sf, "orders")
+    part = lambda st: o.where(F.col("o_orderstatus") == st).groupBy(F.col("o_orderpriority").alias("metric")).agg(F.avg("o_totalprice").alias("value"))
+    return evaluate.promotion(part("F"), part("O")).select("metric", "action")
+
+
+@query("SELECT c_mktsegment AS metric, max(c_custkey) AS version FROM customer WHERE c_acctbal > 0 GROUP BY 1")
+def active_baseline(spark, sf):
+    c = _t(spark, sf, "customer").select(F.col("c_mktsegment").alias("metric"), F.col("c_acctbal").alias("value"), F.col("c_custkey").alias("version"), (F.col("c_acctbal") > 0).alias("active"))
+    return evaluate.active_baseline(c).select("metric", "version")
+
+
+@query("""WITH o AS (SELECT event_type AS slo, avg(value) AS value FROM events GROUP BY 1), t AS (SELECT * FROM (VALUES ('view', 50.0, true), ('click', 50.0, false), ('purchase', 0.0, true), ('absent', 1.0, true)) AS t(slo, bound, at_least))
+SELECT slo, CASE WHEN value IS NULL THEN 'not_measured' WHEN CASE WHEN at_least THEN value >= bound ELSE value <= bound END THEN 'pass' ELSE 'fail' END AS outcome FROM t LEFT JOIN o USING (slo)""")
+def service_levels(spark, sf):
+    observed = _t(spark, sf, "events").groupBy(F.col("event_type").alias("slo")).agg(F.avg("value").alias("value"))
+    targets = spark.createDataFrame([("view", 50.0, True), ("click", 50.0, False), ("purchase", 0.0, True), ("absent", 1.0, True)], "slo string, bound double, at_least boolean")
+    return evaluate.service_levels(observed, targets).select("slo", "outcome")
+
+
+@query("SELECT count(*) FILTER (WHERE value IS NOT NULL) AS measured, count(*) FILTER (WHERE value < 5) AS failed, round(count(*) FILTER (WHERE value < 5) / count(*) FILTER (WHERE value IS NOT NULL), 6) AS failed_share FROM events")
+def error_budget(spark, sf):
+    e = _t(spark, sf, "events").select(metrics.slo(F.col("value"), 5.0).alias("outcome"))
+    return evaluate.error_budget(e, 0.1).select("measured", "failed", F.round("failed_share", 6).alias("failed_share"))
+
+
+@query("SELECT l_returnflag AS predicate, CASE WHEN l_returnflag NOT IN ('A', 'N') THEN 'quarantine' ELSE 'regate' END AS action, count(*) AS n FROM lineitem GROUP BY ALL")
+def migration_actions(spark, sf):
+    rows = evaluate.migration(_t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("predicate")), text.migration_level(F.lit("1.2.0"), F.lit("1.3.0")), ["A", "N"])
+    return rows.groupBy("predicate", "action").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars, CAST(len(list(doc_id)) AS BIGINT) AS ids FROM documents GROUP BY 1")
+def merged_results(spark, sf):
+    parts = _t(spark, sf, "documents").select("source", F.lit(1).cast("long").alias("n"), "n_chars", F.array("doc_id").alias("doc_ids"))
+    m = evaluate.merge_results(parts, "source", ["n", "n_chars"], ["doc_ids"])
+    return m.select("source", "n", "n_chars", F.size("doc_ids").cast("long").alias("ids"))
+
+
+@query("SELECT user_id AS run_id, epoch_us(min(ts)) AS began_us, round(max(value) FILTER (WHERE event_type = 'view'), 6) AS view, round(max(value) FILTER (WHERE event_type = 'click'), 6) AS click FROM events GROUP BY 1")
+def recent_runs(spark, sf):
+    e = _t(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("recorded_at"), F.col("event_type").alias("metric"), "value")
+    r = evaluate.runs(e, ["view", "click"])
+    return r.select("run_id", F.unix_micros("began").alias("began_us"), F.round("view", 6).alias("view"), F.round("click", 6).alias("click"))
+
+
+@query("WITH s AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) % 8 AS shard, n_chars FROM documents) SELECT CAST(shard AS BIGINT) AS shard, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS work FROM s GROUP BY 1")
+def parallel_shards(spark, sf):
+    rows = order.round_robin(_t(spark, sf, "documents").select("doc_id", "n_chars"), [F.asc("doc_id")], 8)
+    return rows.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("work"))
+
+
+@query("SELECT event_type AS topic, CAST(sum(greatest(0, event_id - greatest(0, user_id * 40 - 500))) AS BIGINT) AS lag FROM events GROUP BY 1")
+def topic_lag(spark, sf):
+    return _t(spark, sf, "events").groupBy(F.col("event_type").alias("topic")).agg(metrics.lag(F.col("event_id"), F.col("user_id") * 40 - 500).alias("lag"))
+
+
+@query("SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE (o_orderdate, o_orderkey) < (TIMESTAMP '1996-01-01', 0) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25")
+def keyset_join_page(spark, sf):
+    o = _t(spark, sf, "orders").join(_t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").withColumn("at", F.col("o_orderdate").cast("timestamp"))
+    rows = o.where(F.struct("at", "o_orderkey") < F.struct(F.lit("1996-01-01").cast("timestamp").alias("at"), F.lit(0).cast("long").alias("o_orderkey")))
+    return rows.orderBy(F.desc("at"), F.desc("o_orderkey")).limit(25).select("o_orderkey", "o_custkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS status FROM events GROUP BY 1")
+def review_states(spark, sf):
+    e = _t(spark, sf, "events").withColumn("status", F.col("event_type")).withColumn("at", F.struct("ts", "event_id"))
+    return claims.latest_status(e, "user_id", "at").select("user_id", "status")
+
+
+@query("SELECT user_id, CAST(greatest(0, epoch(TIMESTAMP '2024-02-01') - floor(epoch(max(ts)))) AS BIGINT) AS lag_s, epoch(TIMESTAMP '2024-02-01') - floor(epoch(max(ts))) > 172800 AS overdue FROM events GROUP BY 1")
+def freshness_lag(spark, sf):
+    last = _t(spark, sf, "events").groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("last"))
+    return last.select("user_id", promotion.freshness(F.lit("2024-02-01").cast("timestamp"), F.col("last"), 172_800).alias("f")).select("user_id", "f.*")
+
+
+@query("SELECT lang, n_chars >= 200 AS eligible, count(*) AS n FROM documents WHERE lang IN ('en', 'de') GROUP BY ALL")
+def block_filter(spark, sf):
+    docs = _t(spark, sf, "documents")
+    rows = filters.in_blocks(docs, spark.createDataFrame([("en",), ("de",)], "lang string"), ["lang"])
+    return rows.groupBy("lang", (F.col("n_chars") >= dedup.MIN_CHARS).alias("eligible")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, text_sha256, content_hash FROM (SELECT doc_id, sha256(text) AS text_sha256, 'sha256:' || sha256(text) AS content_hash FROM documents)")
+def hash_backfill(spark, sf):
+    docs = _t(spark, sf, "documents")
+    records = docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.lit(None).cast("string").alias("content_hash"))
+    return store.backfill_hashes(records, docs.select("doc_id", F.col("text").cast("binary").alias("content")))
+
+
+@query("SELECT lo AS doc_id, h AS text_hash FROM (SELECT sha256(text) AS h, min(doc_id) AS lo FROM documents GROUP BY 1 HAVING count(*) > 1)")
+def same_content_refs(spark, sf):
+    docs = _t(spark, sf, "documents").select(F.sha2("text", 256).alias("doc_id"), F.lit("s").alias("source_id"), F.col("doc_id").alias("url"))
+    many = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return store.same_content(docs).join(many, "doc_id").select(F.col("url").alias("doc_id"), F.col("doc_id").alias("text_hash"))
+
+
+@query("SELECT round(avg(CAST(linked AS INTEGER)), 6) AS linked_share, count(*) AS statements FROM (SELECT r IS NOT NULL AS linked FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS r FROM lineitem) ON o_orderkey = r)")
+def audit_linkage(spark, sf):
+    known = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("claim_id"), F.col("o_custkey").alias("doc_id"))
+    records = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("claim_id"), F.col("l_linenumber").alias("record_id"))
+    return evidence.linkage(evidence.trace(known.select("claim_id"), known, records)).select(F.round("linked_share", 6).alias("linked_share"), "statements")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
