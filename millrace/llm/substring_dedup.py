@@ -134,7 +134,7 @@ def _split(anchor: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (anchor >> np.uint64(64 - bits)).astype(np.int64), (anchor << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
 
 
-def _name(k: int, bits: int, flush: int = 1_000_000):
+def _name(k: int, bits: int, flush: int = 400_000):
     """(bucket, block, names, twice) of the anchors of a task's documents."""
 
     def rows(held):
@@ -153,7 +153,7 @@ def _name(k: int, bits: int, flush: int = 1_000_000):
 
     def run(batches):
         held, many = [], 0
-        for batch in W.pieces(batches, "text"):
+        for batch in W.pieces(batches, "text", 1 << 20):
             w = W.Words(batch.column("text"))
             start, _, anchor, seen = anchors(w, k)
             if not len(start):
@@ -205,7 +205,7 @@ def _unpack(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pa.array(raw, pa.large_binary()), ids, marks
 
 
-def _slices(raw: pa.Array, most: int = 3 << 20):
+def _slices(raw: pa.Array, most: int = 1 << 20):
     _, at = W.flat(raw)
     lo = 0
     while lo < len(raw):
@@ -264,24 +264,31 @@ def _compare(k: int, bits: int):
         block = key[0].as_py()
         shared = np.unique(np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + (b << 32) for b, x in zip(names.column("bucket").to_pylist(), names.column("low").to_pylist(), strict=True)]))
         raw, ids, marks = _unpack(docs)
+        by = np.lexsort((marks, ids))
+        raw, ids, marks = raw.take(pa.array(by)), ids[by], marks[by]
         held = []
         for lo, hi in _slices(raw):
             w = W.Words(raw.slice(lo, hi - lo))
             start, window, anchor, _ = anchors(w, k)
             bucket, low = _split(anchor, bits)
             full = low.astype(np.int64) + (bucket << 32)
-            at = np.minimum(np.searchsorted(shared, full), len(shared) - 1)
-            ok = shared[at] == full
-            start, window, bucket, low = start[ok], window[ok], bucket[ok], low[ok]
+            ok = shared[np.minimum(np.searchsorted(shared, full), len(shared) - 1)] == full
+            start = start[ok]
             doc = w.doc[start]
-            held.append((bucket, low.astype(np.int64), window, ids[lo:hi][doc], marks[lo:hi][doc], start - w.first[doc]))
-        bucket, low, window, ident, mark, start = (np.concatenate([x[j] for x in held]) for j in range(6))
-        order, later = _firsts(low, window, ident, mark, start)
-        back = np.sort(order[later])
-        ahead = order[~later]
-        ahead = ahead[np.lexsort((start[ahead], mark[ahead], ident[ahead], low[ahead], bucket[ahead]))]
-        blocks = np.full(len(bucket), block)
-        back = back[np.lexsort((start[back], mark[back], ident[back]))]
+            held.append((bucket[ok].astype(np.int32), low[ok], window[ok], (lo + doc).astype(np.int32), (start - w.first[doc]).astype(np.int32)))
+        bucket, low, window, doc, start = (np.concatenate([x[j] for x in held]) for j in range(5))
+        held.clear()
+        # rows stand in the order of id, mark and start, and a stable sort keeps it among equal windows
+        order = np.lexsort((low, window))
+        w_, l_ = window[order], low[order]
+        at = np.flatnonzero(np.r_[True, (w_[1:] != w_[:-1]) | (l_[1:] != l_[:-1])]) if len(order) else np.zeros(0, int)
+        lead = order[np.repeat(at, np.diff(np.r_[at, len(order)]))]
+        later = (ids[doc[order]] != ids[doc[lead]]) | (start[order] != start[lead])
+        del w_, l_, lead
+        back, ahead = np.sort(order[later]), order[~later]
+        ahead = ahead[np.lexsort((ahead, low[ahead], bucket[ahead]))]
+        blocks = np.full(len(bucket), block, np.int32)
+        ident, mark = ids[doc], marks[doc]
         zero = np.zeros(len(back), np.int64)
         return pa.concat_tables([
             _emit(0, bucket[ahead], blocks[ahead], low[ahead], ident[ahead], mark[ahead], start[ahead], window[ahead]),
