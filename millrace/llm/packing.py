@@ -44,7 +44,7 @@ _SLOPE = 1.05
 class Encoder:
     """Token ids of whole texts, by way of their distinct words (and the signs around them).
 
-    Holds the ids of up to `most` words between batches, and between the tasks of one worker.
+    Holds the ids of up to `most` words between the batches of a task.
     """
 
     def __init__(self, path: str, most: int = 1 << 20):
@@ -106,17 +106,6 @@ class Encoder:
         self.known, self.at = known, np.r_[0, np.cumsum(sizes)]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    """One for each worker process, so that its words are encoded once."""
-    if path not in _encoders:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread for each task
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def _within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
@@ -126,7 +115,8 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _pieces(path: str, end: int, capacity: int, with_ids: bool):
     def run(batches):
-        encoder = _encoder(path)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread for each task
+        encoder = Encoder(path)
         for batch in W.pieces(batches, "text"):
             ids, at = encoder.encode(batch.column("text"), end)
             size = np.diff(at)
