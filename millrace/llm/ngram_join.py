@@ -122,7 +122,7 @@ def overlap_bound(a: bytes, b: bytes) -> int:
     return int(np.minimum(x.reshape(k, -1).sum(1), y.reshape(k, -1).sum(1)).sum())
 
 
-def _prefixes(n: int, percent: int, counts, buckets: int, hot: int, sketch: int, flush: int = 1_000_000):
+def _prefixes(n: int, percent: int, counts, buckets: int, hot: int, sketch: int, flush: int = 400_000):
     shift = np.uint64(64 - int(buckets).bit_length() + 1)
 
     def rows(held: list[tuple]):
