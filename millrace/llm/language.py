@@ -104,14 +104,41 @@ def train(spark: SparkSession, labelled: DataFrame, most_rows: int = 20_000, mos
 
 _SCRIPTS = re.compile(r"<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.I | re.S)
 _TAGS = re.compile(r"<[^>]*+>")
-_LANG = re.compile(r"""<html\b[^>]*?\s(?:xml:)?lang\s*=\s*["']?([a-zA-Z-]+)""", re.I)
-_META = re.compile(r"""<meta\b[^>]*?(?:content-language|og:locale)[^>]*?content\s*=\s*["']?([a-zA-Z_-]+)""", re.I)
+_MARKS = re.compile(r"<!--|<(script|style|html|meta)(?=[\s/>])", re.I)
+_ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+_CODE = re.compile(r"\s*([a-zA-Z]+)")
+
+
+def _attributes(source: str, at: int) -> tuple[dict[str, str], int]:
+    """A tag's attributes (the first of each name) from the end of its name on, and where they end."""
+    found: dict[str, str] = {}
+    while m := _ATTRIBUTE.match(source, at):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        at = m.end()
+    return found, at
 
 
 def declared(source: str | None) -> str | None:
-    """The language that a page's markup declares: html lang, else its meta element."""
-    m = source and (_LANG.search(source[:4096]) or _META.search(source[:16384]))
-    return re.split("[-_]", m[1])[0].lower() if m else None
+    """The language that a page's markup declares: html lang, else its meta element.
+
+    The whole page is searched, once; comments, scripts and styles declare nothing.
+    """
+    at, meta = 0, None
+    while source and (m := _MARKS.search(source, at)):
+        name = (m[1] or "").lower()
+        if name in ("", "script", "style"):
+            end = re.compile(rf"</{name}|\Z" if name else r"--!?>|\Z", re.I).search(source, m.end() if name else m.start() + 2)
+            at = end.end()
+            continue
+        found, at = _attributes(source, m.end())
+        if name == "html":
+            code = _CODE.match(found.get("lang", "")) or _CODE.match(found.get("xml:lang", ""))
+            if code:
+                return code[1].lower()
+        elif meta is None and any("content-language" in v.lower() or "og:locale" in v.lower() for k, v in found.items() if k != "content"):
+            code = _CODE.match(found.get("content", ""))
+            meta = code and code[1].lower()
+    return meta
 
 
 def visible(source: str | None) -> str:

@@ -320,6 +320,18 @@ def test_language_fusion(spark):
     assert declared("<HTML xml:lang='fr-CA'>") == "fr" and declared(None) is None
 
 
+def test_declared_language_has_no_reach():
+    from millrace.llm.language import declared
+
+    long = "x = 1; " * 20_000
+    assert declared(f'<!-- {long} --><html lang="de-AT"><p>a') == "de"
+    for meta in ('<meta property="og:locale" content="fr_FR">', '<meta content="fr" http-equiv="Content-Language">'):
+        assert declared(f"<html><head><script>{long}</script><style>{long}</style>{meta}</head><body>") == "fr"
+    # what only looks like markup declares nothing
+    assert declared("""<!-- <html lang="en"> --><script>s = '<html lang="en">'</script><html data-lang='en' lang=de>""") == "de"
+    assert declared("<html <meta <html " * 1000) is declared("<!--") is declared("<script>") is declared("<html lang=''>") is None
+
+
 def test_hmm_recursions_match_enumeration():
     from millrace.llm.hmm import _STRETCH, Model, expected_counts, log_likelihood
 
