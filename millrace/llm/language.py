@@ -12,8 +12,8 @@ The posterior of a row's language is proportional to
   those towards all rows'; each level is one grouped aggregation with partial sums.  A row's own
   share is taken out of its host's counts.
 
-Evidence that a row lacks drops out of the product.  The tables are of fixed size (languages of the labels,
-at most `most_languages`, by 65,536 trigrams); host counts stay distributed.
+Evidence that a row lacks drops out of the product.  Every language of the labels has a table of 65,536
+trigrams, 256 KB each; host counts stay distributed.
 
 Defined cases: null and empty texts rest on the other evidence, and without any on the prior of all
 rows; a null host or address falls back one level; unknown declared languages count as their own value; ties go to
@@ -54,52 +54,77 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_likelihoods(texts: pa.Array, tables: np.ndarray, strength: float = 0.02, most: float = 40.0) -> np.ndarray:
-    """For each text and language the tempered log likelihood, against the mean over languages."""
+    """For each text and language the tempered log likelihood, against the likeliest language's: at least -2 * most."""
     h, first = trigrams(texts)
     out = np.empty((len(first) - 1, len(tables)))
     for k, table in enumerate(tables):
         sums = np.r_[0.0, np.cumsum(table[h], dtype=np.float64)]
         out[:, k] = sums[first[1:]] - sums[first[:-1]]
-    out -= out.mean(1, keepdims=True) if len(tables) else 0
+    out -= out.max(1, keepdims=True) if len(tables) else 0
     size = np.diff(first)[:, None]
-    return np.clip(out * np.minimum(1.0, strength + 20.0 / np.maximum(size, 20)), -most, most)
+    return np.clip(out * np.minimum(1.0, strength + 20.0 / np.maximum(size, 20)), -2 * most, 0.0)
 
 
-def _counts(languages: list[str]):
+def _counts(held: int = 64):
+    """Trigram counts of each language k, in tables that are handed on when a task holds `held` of them."""
+
     def run(batches):
         from pyspark import TaskContext
 
-        total = np.zeros((len(languages), TABLE), np.int64)
+        slot, total = TaskContext.get().partitionId(), {}
+
+        def rows():
+            for k, t in total.items():  # a row at a time: a batch of Arrow holds one table
+                yield pa.record_batch([pa.array([slot], pa.int32()), pa.array([k], pa.int32()), pa.array([False]), pa.array([t.tobytes()], pa.binary())], names=["slot", "chunk", "real", "data"])
+            total.clear()
+
         for batch in W.pieces(batches, "text"):
             h, first = trigrams(batch.column("text"))
-            own = np.array([languages.index(x) for x in batch.column("lang").to_pylist()])
-            for k in np.unique(own):
-                for d in np.flatnonzero(own == k):
-                    total[k] += np.bincount(h[first[d] : first[d + 1]], minlength=TABLE)
-        if total.any():
-            k = len(languages)
-            yield pa.record_batch([pa.array([TaskContext.get().partitionId()] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array([False] * k), pa.array([t.tobytes() for t in total], pa.binary())], names=["slot", "chunk", "real", "data"])
+            for d, k in enumerate(batch.column("k").to_pylist()):
+                if k not in total:
+                    if len(total) >= held:
+                        yield from rows()
+                    total[k] = np.zeros(TABLE, np.int64)
+                total[k] += np.bincount(h[first[d] : first[d + 1]], minlength=TABLE)
+        yield from rows()
 
     return run
 
 
-def train(spark: SparkSession, labelled: DataFrame, most_rows: int = 20_000, most_languages: int = 64) -> tuple[list[str], np.ndarray]:
+def _quota(counts: list[int], most: int) -> int:
+    """The greatest number of rows a language may have so that all together have at most `most`, 1 at least."""
+    left, n = most, len(counts)
+    for j, c in enumerate(sorted(counts)):
+        if c * (n - j) > left:
+            return max(1, left // (n - j))
+        left -= c
+    return max(counts, default=1)
+
+
+def train(spark: SparkSession, labelled: DataFrame, most_rows: int = 20_000, least_rows: int = 200) -> tuple[list[str], np.ndarray]:
     """Languages and log-probability tables from labelled (doc_id, text, lang) rows.
 
-    most_rows: about how many rows are read (those of least hash of their id), a documented bound.
+    Every label language has a table.  most_rows: about how many rows are read, a documented bound, shared
+    out so that rare languages keep all their rows and the frequent ones get equal parts (those
+    of least hash of their id); with very many languages each still gets about least_rows, and one row always.
     """
+    fine = 1 << 40
     rows = labelled.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and length(text) > 0")
-    rows = rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
-    seen = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    languages = sorted(r["lang"] for r in seen)
+    rows = rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(fine)))
+    seen = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("first")).orderBy("lang").collect()  # a row for each language
+    seen.sort(key=lambda r: r["lang"])
+    languages = [r["lang"] for r in seen]
     if not languages:
         return [], np.zeros((0, TABLE), np.float32)
-    share = min(1.0, most_rows / sum(r["n"] for r in seen))
-    some = rows.where(F.col("lang").isin(languages) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(share * 1e6)))
-    counts = np.zeros((len(languages), TABLE))
-    for r in add_chunks(some.select("text", "lang").mapInArrow(_counts(languages), CHUNKS_DDL)).collect():  # a row for each language
-        counts[r["chunk"]] = np.frombuffer(r["data"], np.int64)
-    return languages, np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * TABLE)).astype(np.float32)
+    quota = max(least_rows, _quota([r["n"] for r in seen], most_rows))
+    bounds = [(r["lang"], k, max(r["first"] + 1, math.ceil(fine * min(1.0, quota / r["n"])))) for k, r in enumerate(seen)]
+    some = rows.join(F.broadcast(spark.createDataFrame(bounds, "lang string, k int, bound long")), "lang").where("h < bound")
+    floor = np.float32(math.log(1 / TABLE))
+    tables = np.full((len(languages), TABLE), floor, np.float32)
+    for r in add_chunks(some.select("text", "k").mapInArrow(_counts(), CHUNKS_DDL)).toLocalIterator():  # a row for each language
+        counts = np.frombuffer(r["data"], np.int64)
+        tables[r["chunk"]] = np.log((counts + 0.5) / (counts.sum() + 0.5 * TABLE))
+    return languages, tables
 
 
 _SCRIPTS = re.compile(r"<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.I | re.S)
@@ -154,31 +179,66 @@ def _evidence(tables, markup: bool):
                 said = [declared(p) for p in pages]
                 texts = pa.array([visible(p) for p in pages], pa.string())
             x = log_likelihoods(texts, tables.value)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("page_id"), batch.column("host"), batch.column("domain"), batch.column("suffix"), pa.array(said, pa.string()), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "page_id", "host", "domain", "suffix", "declared", "text"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("page_id"), batch.column("host"), batch.column("domain"), batch.column("suffix"), pa.array(said, pa.string()), _lists(x), _lists(_softmax(x))], names=["doc_id", "page_id", "host", "domain", "suffix", "declared", "text", "soft"])
 
     return run
 
 
-_EVIDENCE = "doc_id long, page_id long, host string, domain string, suffix string, declared string, text array<double>"
+_EVIDENCE = "doc_id long, page_id long, host string, domain string, suffix string, declared string, text array<double>, soft array<double>"
+
 
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
 
-def _softmax(logits: list) -> list:
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
     """Probabilities from log weights, one column for each language."""
-    top = F.greatest(*logits, *logits)
-    raised = [F.exp(v - top) for v in logits]
-    total = sum(raised[1:], raised[0])
-    return [v / total for v in raised]
+    raised = np.exp(logits - logits.max(1, keepdims=True, initial=-np.inf))
+    return raised / raised.sum(1, keepdims=True)
 
 
 def _totals(rows: DataFrame, key: str, n: int) -> DataFrame:
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.sum(f"s{k}").alias(f"{key}{k}") for k in range(n)])
+    sums = rows.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.sum(F.get("soft", F.lit(k))).alias(f"s{k}") for k in range(n)])
+    return sums.select(key, F.array(*[f"s{k}" for k in range(n)]).alias(f"{key}_n"))
 
 
-def _shrunk(own: list, above: list, weight: float) -> list:
+def _shrunk(own: np.ndarray, above: np.ndarray, weight: float) -> np.ndarray:
     """Counts plus weight times the level above, as proportions."""
-    counts = [F.greatest(c, F.lit(0.0)) + F.lit(weight) * p for c, p in zip(own, above, strict=True)]
-    total = sum(counts[1:], counts[0])
-    return [c / total for c in counts]
+    counts = np.maximum(own, 0.0) + weight * above
+    return counts / counts.sum(1, keepdims=True)
+
+
+def _posterior(languages: list[str], base: np.ndarray, weight: float, most: int = 1 << 19):
+    n = len(languages)
+
+    def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each list, zeros for null; and which are not null."""
+        given = column.is_valid().to_numpy(zero_copy_only=False)
+        out = np.zeros((len(column), n))
+        out[given] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+        return out, given[:, None]
+
+    def run(batches):
+        step = max(1, most // n)
+        for whole in batches:
+            for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                logits, soft = matrix(batch.column("text"))[0], matrix(batch.column("soft"))[0]
+                less = {}  # counts without the row's own share; 0 where the row lacks the key
+                for key in ("suffix", "domain", "host", "declared"):
+                    counts, given = matrix(batch.column(f"{key}_n"))
+                    less[key] = np.where(given, counts - soft, 0.0), given
+                level = base[None, :]
+                for key in ("suffix", "domain", "host"):
+                    level = _shrunk(less[key][0], level, weight)
+                logits += np.log(level)
+                # P(value | language) up to a factor: the value's counts against the language's share
+                for key in ("declared", "suffix"):
+                    logits += np.where(less[key][1], np.log(_shrunk(less[key][0], base[None, :], 5.0) / base), 0.0)
+                post = _softmax(logits)
+                best = post.argmax(1)
+                yield pa.record_batch([batch.column("doc_id"), batch.column("page_id"), batch.column("host"), pa.array([languages[k] for k in best], pa.string()), pa.array(post[np.arange(len(best)), best])], names=["doc_id", "page_id", "host", "lang", "probability"])
+
+    return run
 
 
 def identify(spark: SparkSession, labelled: DataFrame, documents: DataFrame | None = None, pages: DataFrame | None = None, weight: float = 20.0) -> DataFrame:
@@ -202,28 +262,11 @@ def identify(spark: SparkSession, labelled: DataFrame, documents: DataFrame | No
     rows = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
     if not n:
         return rows.select("doc_id", "page_id", "host", none.alias("lang"), F.lit(None).cast("double").alias("probability"))
-    every = range(n)
-    rows = scratch.table(rows.select("*", *[v.alias(f"s{k}") for k, v in enumerate(_softmax([F.get("text", F.lit(k)) for k in every]))]))
-    whole = rows.agg(*[F.coalesce(F.sum(f"s{k}"), F.lit(0.0)) for k in every]).first()
-    base = [F.lit((whole[k] + 1) / (sum(whole) + n)) for k in every]
-
+    rows = scratch.table(rows)
+    whole = rows.agg(*[F.coalesce(F.sum(F.get("soft", F.lit(k))), F.lit(0.0)) for k in range(n)]).first()
+    base = (np.array(whole) + 1) / (sum(whole) + n)
     out = rows
     for key in ("suffix", "domain", "host", "declared"):
         out = out.join(_totals(rows, key, n), key, "left")
-    # counts without the row's own share; 0 where the row lacks the key
-    less = lambda key: [F.when(F.col(key).isNotNull(), F.col(f"{key}{k}") - F.col(f"s{k}")).otherwise(F.lit(0.0)) for k in every]
-    level = base
-    for key in ("suffix", "domain", "host"):
-        made = _shrunk(less(key), level, weight)
-        out = out.select("*", *[v.alias(f"{key}_p{k}") for k, v in enumerate(made)])
-        level = [F.col(f"{key}_p{k}") for k in every]
-    # P(value | language) up to a factor: the value's counts against the language's share
-    logits = [F.get("text", F.lit(k)) + F.log(level[k]) for k in every]
-    for key in ("declared", "suffix"):
-        near = _shrunk(less(key), base, 5.0)
-        logits = [v + F.when(F.col(key).isNotNull(), F.log(near[k] / base[k])).otherwise(F.lit(0.0)) for k, v in enumerate(logits)]
-    out = out.select("doc_id", "page_id", "host", *[v.alias(f"z{k}") for k, v in enumerate(logits)])
-    out = out.select("doc_id", "page_id", "host", F.array(*_softmax([F.col(f"z{k}") for k in every])).alias("post")).withColumn("probability", F.array_max("post"))
-    names = F.array(*[F.lit(x) for x in languages])
-    best = F.get(names, (F.array_position("post", F.col("probability")) - 1).cast("int"))
-    return out.select("doc_id", "page_id", "host", best.alias("lang"), "probability")
+    out = out.select("doc_id", "page_id", "host", "text", "soft", "suffix_n", "domain_n", "host_n", "declared_n")
+    return out.mapInArrow(_posterior(languages, base, weight), "doc_id long, page_id long, host string, lang string, probability double")

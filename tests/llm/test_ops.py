@@ -332,6 +332,19 @@ def test_declared_language_has_no_reach():
     assert declared("<html <meta <html " * 1000) is declared("<!--") is declared("<script>") is declared("<html lang=''>") is None
 
 
+def test_every_label_language_is_learned(spark):
+    from millrace.llm.language import _quota, identify, train
+
+    word = lambda k: "".join(chr(97 + (k // d) % 26) for d in (1, 26, 26 * 26)) * 2
+    rows = [(k, " ".join(f"{word(31 * (k % 70))} q{word(31 * (k % 70))}" for _ in range(30)), f"l{k % 70:02}", None) for k in range(700)]
+    labelled = spark.createDataFrame([*rows, *[(1000 + k, "ab cd ef", "big", None) for k in range(3000)]], "doc_id long, text string, lang string, source string")
+    languages, tables = train(spark, labelled, most_rows=500, least_rows=2)
+    assert languages == ["big", *[f"l{k:02}" for k in range(70)]] and (tables.max(1) > tables.min(1)).all()
+    got = identify(spark, labelled, documents=labelled).collect()
+    assert all(r["lang"] == ("big" if r["doc_id"] >= 1000 else f"l{r['doc_id'] % 70:02}") for r in got) and len(got) == 3700
+    assert _quota([5, 1000, 1000], 105) == 50 and _quota([5, 6], 100) == 6 and _quota([3] * 10, 5) == 1
+
+
 def test_hmm_recursions_match_enumeration():
     from millrace.llm.hmm import _STRETCH, Model, expected_counts, log_likelihood
 
