@@ -4,7 +4,7 @@ A page is read once into text nodes, each with its tag path from the root.  Over
 path, text length and punctuation marks are added up and divided by the number of nodes; the two
 ratios are smoothed along the page by a Gaussian kernel and fused by their product.  Nodes
 whose fused ratio reaches its standard deviation over the page are content.  The deepest
-container that holds nearly all content text is the article; its blocks are the result, without
+container that holds nearly all content text is the article; its blocks and those beside content elsewhere are the result, without
 those that stand in elements for navigation, notices, adverts, forms or comments.
 
 Pages are independent, so the operator is one scan with no shuffle.
@@ -198,6 +198,7 @@ def content_blocks(source: str | None, share: float = 0.8) -> list[str]:
     if not any(weight):
         for text, node, out in zip(page.texts, page.node, page.out, strict=True):
             weight[node] += 0 if out else len(text)
+    own = weight.copy()
     for k in range(len(weight) - 1, 0, -1):
         weight[page.parent[k]] += weight[k]
     if not weight[0]:
@@ -213,7 +214,8 @@ def content_blocks(source: str | None, share: float = 0.8) -> list[str]:
     held = [k == root for k in range(len(weight))]
     for k in range(root + 1, len(weight)):
         held[k] = held[page.parent[k]]
-    return [t for t, node, out in zip(page.texts, page.node, page.out, strict=True) if held[node] and not out]
+    # the container's blocks, and those directly in any other container with selected text
+    return [t for t, node, out in zip(page.texts, page.node, page.out, strict=True) if (held[node] or own[node]) and not out]
 
 
 def _extract(batches):

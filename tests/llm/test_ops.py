@@ -222,6 +222,18 @@ def test_html_content():
     assert len(content_blocks("<div>" * 5000 + "<p>deep, text.</p>")) == 1
 
 
+LINES = [f"Line {k}, of an article; it says something, and then it goes on for a while." for k in range(20)]
+
+
+def test_html_keeps_chosen_text_outside_the_container():
+    from millrace.llm.html_extract import content_blocks
+
+    p = [f"<p>{x}</p>" for x in LINES]
+    nav = "<nav><a href=/>a</a></nav><div><a>more</a></div>"
+    assert content_blocks(f"<body>{nav}<article><section>{''.join(p[:3])}</section><section>{''.join(p[3:])}</section></article>") == LINES
+    assert content_blocks(f"<body>{nav}<div>{p[0]}<blockquote>{''.join(p[1:19])}</blockquote>{p[19]}</div>") == LINES
+
+
 def test_html_extract(spark):
     from millrace.llm.html_extract import extract
 
