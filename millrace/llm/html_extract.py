@@ -3,14 +3,16 @@
 A page is read once into text nodes, each with its tag path from the root.  Over all nodes of one
 path, text length and punctuation marks are added up and divided by the number of nodes; the two
 ratios are smoothed along the page by a Gaussian kernel and fused by their product.  Nodes
-whose fused ratio reaches its standard deviation over the page are content.  The deepest
-container that holds nearly all content text is the article; its blocks and those beside content elsewhere are the result, without
-those that stand in elements for navigation, notices, adverts, forms or comments.
+whose fused ratio reaches its standard deviation over the page are content, and all of them are in the
+result.  Other blocks (headings, short lines) join it if they are in the deepest container of nearly all
+content text, or directly in a container with content.  Elements for navigation, forms and the like and hidden
+ones are left out; those whose class, id or role only names adverts, notices or comments are left out
+if they hold less than half of the content text and something else is left.
 
 Pages are independent, so the operator is one scan with no shuffle.
 
 Defined cases: null and empty pages give an empty text; a page with no text nodes, or with boilerplate
-alone, too; unclosed and stray tags are closed or skipped as browsers do; repeated rows give
+elements alone, too; unclosed and stray tags are closed or skipped as browsers do; repeated rows give
 equal rows; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -42,26 +44,32 @@ _WITHIN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 _PUNCTUATION = re.compile(r"[^\w\s]")
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>?""", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
+_NAMED, _HARD = 1, 2
+
+
+def _boilerplate(tag: str, attributes: str, inside: bool) -> int:
+    """_HARD: the element's kind or hiding says so; _NAMED: only a word of its class, id or role does; else 0."""
     if tag in _OUT or (tag == "header" and not inside):
-        return True
+        return _HARD
     if not attributes or tag in ("html", "body"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for m in _NAMES.finditer(attributes):
-        if any(w.lower() in _WORDS for w in _SPLIT.split(m[1] or m[2] or m[3] or "")):
-            return True
-    return False
+        return 0
+    kind = 0
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _NONE.search(value)):
+            return _HARD
+        if name in ("class", "id", "role") and any(w.lower() in _WORDS for w in _SPLIT.split(value)):
+            kind = _NAMED
+    return kind
 
 
 class Page:
-    """Text blocks of a page, each with path, container and whether boilerplate holds it."""
+    """Text blocks of a page, each with path, container and the innermost named element around it (-1 in hard boilerplate)."""
 
     def __init__(self, source: str):
         self.paths: dict[tuple[int, str], int] = {}
@@ -69,12 +77,13 @@ class Page:
         self.texts: list[str] = []
         self.path: list[int] = []
         self.node: list[int] = []
-        self.out: list[bool] = []
+        self.named = [-1]  # the named element around each named element; 0: none
+        self.mark: list[int] = []
         self._read(source)
 
     def _read(self, source: str) -> None:
-        # open elements: tag, path, container, boilerplate, inside an article
-        stack = [("", -1, 0, False, False)]
+        # open elements: tag, path, container, named element (-1: hard boilerplate), inside an article
+        stack = [("", -1, 0, 0, False)]
         opened: dict[str, int] = {}
         parts: list[str] = []
         where = stack[0]
@@ -87,7 +96,7 @@ class Page:
                     self.texts.append(text)
                     self.path.append(where[1])
                     self.node.append(where[2])
-                    self.out.append(where[3])
+                    self.mark.append(where[3])
 
         def pop():
             opened[stack.pop()[0]] -= 1
@@ -139,14 +148,18 @@ class Page:
                 continue
             if tag in _VOID or attributes.endswith("/"):
                 continue
-            _, path, node, out, inside = stack[-1]
+            _, path, node, mark, inside = stack[-1]
             inside = inside or tag in ("article", "main")
             if tag in _BLOCK or tag == "a":
                 path = self.paths.setdefault((path, tag), len(self.paths))
             if tag in _HOLDS:
                 self.parent.append(node)
                 node = len(self.parent) - 1
-            stack.append((tag, path, node, out or _boilerplate(tag, attributes, inside), inside))
+            kind = _boilerplate(tag, attributes, inside) if mark >= 0 else 0
+            if kind == _NAMED:
+                self.named.append(mark)
+                mark = len(self.named) - 1
+            stack.append((tag, path, node, -1 if kind == _HARD else mark, inside))
             opened[tag] = opened.get(tag, 0) + 1
         flush()
 
@@ -173,7 +186,11 @@ def _smooth(values: list[float], radius: int = 1) -> list[float]:
 
 
 def content_blocks(source: str | None, share: float = 0.8) -> list[str]:
-    """The article's blocks, in page order."""
+    """The article's blocks, in page order: all chosen ones, and others that stand with them.
+
+    share: how much of the chosen text the container must hold whose other blocks are kept as well; chosen
+    blocks are kept wherever they are.
+    """
     if not source:
         return []
     page = Page(source)
@@ -191,14 +208,27 @@ def content_blocks(source: str | None, share: float = 0.8) -> list[str]:
         fused = tpr
     mean = sum(fused) / len(fused)
     bound = min(math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused)), max(fused))
-    weight = [0] * len(page.parent)
-    for text, node, x, out in zip(page.texts, page.node, fused, page.out, strict=True):
-        if x >= bound and not out:
-            weight[node] += len(text)
-    if not any(weight):
-        for text, node, out in zip(page.texts, page.node, page.out, strict=True):
-            weight[node] += 0 if out else len(text)
-    own = weight.copy()
+    chosen = [x >= bound and mark >= 0 for x, mark in zip(fused, page.mark, strict=True)]
+    if not any(chosen):
+        chosen = [mark >= 0 for mark in page.mark]
+    # a name is evidence against an element only if the element holds less than half of the chosen text
+    held = [0] * len(page.named)
+    for text, mark, yes in zip(page.texts, page.mark, chosen, strict=True):
+        if yes:
+            held[mark] += len(text)
+    for k in range(len(held) - 1, 0, -1):
+        held[page.named[k]] += held[k]
+    drop = [False] * len(held)
+    for k in range(1, len(held)):
+        drop[k] = drop[page.named[k]] or 2 * held[k] < held[0]
+    out = [mark < 0 or drop[mark] for mark in page.mark]
+    if not any(c and not o for c, o in zip(chosen, out, strict=True)):  # the names would leave nothing
+        out = [mark < 0 for mark in page.mark]
+    chosen = [c and not o for c, o in zip(chosen, out, strict=True)]
+    own = [0] * len(page.parent)
+    for text, node, yes in zip(page.texts, page.node, chosen, strict=True):
+        own[node] += len(text) if yes else 0
+    weight = own.copy()
     for k in range(len(weight) - 1, 0, -1):
         weight[page.parent[k]] += weight[k]
     if not weight[0]:
@@ -211,11 +241,10 @@ def content_blocks(source: str | None, share: float = 0.8) -> list[str]:
     root = 0
     while root in inner and weight[inner[root]] >= share * weight[0]:
         root = inner[root]
-    held = [k == root for k in range(len(weight))]
+    near = [k == root for k in range(len(weight))]
     for k in range(root + 1, len(weight)):
-        held[k] = held[page.parent[k]]
-    # the container's blocks, and those directly in any other container with selected text
-    return [t for t, node, out in zip(page.texts, page.node, page.out, strict=True) if (held[node] or own[node]) and not out]
+        near[k] = near[page.parent[k]]
+    return [t for t, node, yes, o in zip(page.texts, page.node, chosen, out, strict=True) if yes or (not o and (near[node] or own[node]))]
 
 
 def _extract(batches):

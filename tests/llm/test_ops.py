@@ -234,6 +234,19 @@ def test_html_keeps_chosen_text_outside_the_container():
     assert content_blocks(f"<body>{nav}<div>{p[0]}<blockquote>{''.join(p[1:19])}</blockquote>{p[19]}</div>") == LINES
 
 
+def test_html_names_do_not_discard_the_article():
+    from millrace.llm.html_extract import content_blocks
+
+    p = "".join(f"<p>{x}</p>" for x in LINES)
+    ad = '<div class="ad"><p>Buy this, now; it is cheap, and good.</p></div>'
+    for wrap in ('class="content-sidebar-wrap"', 'class="layout has-sidebar"', 'class="article no-comments"', 'title="the hidden truth"', 'data-x=" hidden "'):
+        assert content_blocks(f"<body>{ad}<div {wrap}>{p}{ad}</div>") == LINES
+    posts = "".join(f'<div class="social-post"><p>{x}</p></div>' for x in LINES)
+    assert content_blocks(f"<body>{posts}") == LINES
+    for hide in ("hidden", "HIDDEN=''", "style='display: none'", "aria-hidden=true"):
+        assert content_blocks(f"<body><div {hide}>{p}</div><p>a, b.</p>") == ["a, b."]
+
+
 def test_html_extract(spark):
     from millrace.llm.html_extract import extract
 
