@@ -4,9 +4,9 @@
    buckets.  A histogram of counts gives the thresholds of the `vocabulary` words that the model
    emits one by one and of the `frequent` words whose counts are broadcast (both bounds hold
    whatever the corpus).
-2. Training: latent states emit a vocabulary word, or one symbol for all others.  A start from a
-   bounded sample is followed by Baum-Welch over all training texts: tasks add up expected
-   starts, transitions and emissions in tables of fixed size, which are summed by streams.
+2. Training: latent states emit a vocabulary word, or one symbol for all others.  From the corpus
+   counts, Baum-Welch steps over all training texts follow until they gain nothing: tasks add up expected
+   starts, transitions and emissions in tables of the vocabulary's size, which are summed by streams.
 3. Scoring: the scaled forward recursion gives the exact likelihood of the sequence of symbols.
    An other word adds its share of the others' mass, add-one smoothed.  Counts of words
    beyond the frequent ones come by a join of packed buckets, so all counts are exact.
@@ -69,22 +69,22 @@ class Model:
 
 
 class Stretches:
-    """Token sequences cut into stretches of at most _STRETCH, longest first, so all advance in step."""
+    """Token sequences cut into stretches of at most `most`, longest first, so all advance in step."""
 
-    def __init__(self, first: np.ndarray):
+    def __init__(self, first: np.ndarray, most: int = _STRETCH):
         size = np.diff(first)
-        many = -(-size // _STRETCH)
+        many = -(-size // most)
         self.of_doc = np.r_[0, np.cumsum(many)]
         doc = np.repeat(np.arange(len(size)), many)
         nth = np.arange(len(doc)) - np.repeat(self.of_doc[:-1], many)
-        start = first[doc] + nth * _STRETCH
-        length = np.minimum(_STRETCH, first[doc + 1] - start)
+        start = first[doc] + nth * most
+        length = np.minimum(most, first[doc + 1] - start)
         self.order = np.argsort(-length, kind="stable")
         self.place = np.empty_like(self.order)
         self.place[self.order] = np.arange(len(self.order))
         self.start, self.length, self.head = start[self.order], length[self.order], nth[self.order] == 0
         # how many stretches are at least t + 1 long
-        self.live = np.searchsorted(-self.length, -np.arange(1, _STRETCH + 1), "right") if len(length) else np.zeros(_STRETCH, int)
+        self.live = np.searchsorted(-self.length, -np.arange(1, most + 1), "right") if len(length) else np.zeros(most, int)
         self.steps = int(length.max()) if len(length) else 0
         self.by_doc = np.argsort(-many, kind="stable")
         self.many = many
@@ -134,19 +134,32 @@ def log_likelihood(model: Model, first: np.ndarray, symbols: np.ndarray) -> np.n
 
 def expected_counts(model: Model, first: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """Expected starts, transitions and emissions of whole sequences, as one flat array."""
+    return _expected(model, first, symbols)[0]
+
+
+def _expected(model: Model, first: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, float]:
+    """The expected counts, and the log10 probability of all sequences."""
     k, n_symbols = len(model.start), model.emit.shape[1]
-    s = Stretches(first)
-    x, scale = _products(model, s, symbols)
-    before, _ = _chain(model, s, x, scale)
-    after = np.ones((len(s.start), k))
-    docs, most = len(s.many), int(s.many.max(initial=0))
-    w = np.ones((docs, k))
-    for j in range(most - 1, -1, -1):
-        d = s.by_doc[: np.searchsorted(-s.many[s.by_doc], -(j + 1), "right")]
-        at = s.place[s.of_doc[d] + j]
-        after[at] = w[d]
-        y = np.einsum("dkl,dl->dk", x[at], w[d])
-        w[d] = y / y.sum(1, keepdims=True)
+    s = Stretches(first, 8 * _STRETCH)
+    before, after = np.broadcast_to(model.start, (len(s.start), k)).copy(), np.ones((len(s.start), k))
+    cut = np.flatnonzero(s.many > 1)  # only texts of several stretches need products
+    if len(cut):
+        size = np.diff(first)[cut]
+        inside = Stretches(np.r_[0, np.cumsum(size)], 8 * _STRETCH)
+        at = np.repeat(first[cut] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        x, scale = _products(model, inside, symbols[at])
+        ahead, _ = _chain(model, inside, x, scale)
+        back = np.ones((len(inside.start), k))
+        w = np.ones((len(cut), k))
+        for j in range(int(inside.many.max()) - 1, -1, -1):
+            d = inside.by_doc[: np.searchsorted(-inside.many[inside.by_doc], -(j + 1), "right")]
+            at = inside.place[inside.of_doc[d] + j]
+            back[at] = w[d]
+            y = np.einsum("dkl,dl->dk", x[at], w[d])
+            w[d] = y / y.sum(1, keepdims=True)
+        mine = s.place[np.repeat(s.of_doc[cut] - inside.of_doc[:-1], inside.many) + np.arange(len(inside.start))]
+        before[mine], after[mine] = ahead[inside.place], back[inside.place]
+    found = 0.0
     emit = np.ascontiguousarray(model.emit.T)
     forward = np.empty((len(symbols), k))
     a = before.copy()
@@ -156,7 +169,9 @@ def expected_counts(model: Model, first: np.ndarray, symbols: np.ndarray) -> np.
         if t == 0:
             y = np.where(s.head[:n, None], a[:n], y)
         y *= emit[symbols[s.start[:n] + t]]
-        y /= y.sum(1, keepdims=True)
+        norm = y.sum(1, keepdims=True)
+        found += float(np.log10(norm).sum())
+        y /= norm
         forward[s.start[:n] + t] = y
         a[:n] = y
     gamma = np.empty_like(forward)
@@ -177,7 +192,7 @@ def expected_counts(model: Model, first: np.ndarray, symbols: np.ndarray) -> np.
         b[:n] /= b[:n].sum(1, keepdims=True)
     starts = gamma[first[:-1]].sum(0) if len(first) > 1 else np.zeros(k)
     emissions = np.stack([np.bincount(symbols, gamma[:, i], n_symbols) for i in range(k)])
-    return np.concatenate([starts, (moves * model.move).ravel(), emissions.ravel()])
+    return np.concatenate([starts, (moves * model.move).ravel(), emissions.ravel()]), found
 
 
 def _bucket(names: np.ndarray, bits: int) -> np.ndarray:
@@ -276,7 +291,8 @@ def _expect(lexicon, model):
         total = None
         for batch in W.pieces(batches, "text"):
             t = Tokens(batch.column("text"))
-            x = expected_counts(model.value, t.first, lexicon.value.symbol[lexicon.value.find(t.names)])
+            counts, found = _expected(model.value, t.first, lexicon.value.symbol[lexicon.value.find(t.names)])
+            x = np.r_[counts, found]
             total = x if total is None else total + x
         if total is not None:
             yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([0], pa.int32()), pa.array([True]), pa.array([total.tobytes()], pa.binary())], names=["slot", "chunk", "real", "data"])
@@ -362,21 +378,16 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(rid), pa.array(np.bincount(inverse, g, len(rid))), pa.array(np.bincount(inverse, n, len(rid)).astype(np.int64))], names=["rid", "gain", "known"])
 
 
-def _names_only(batches):
-    for batch in W.pieces(batches, "text"):
-        t = Tokens(batch.column("text"))
-        yield pa.record_batch([pa.array([t.names[a:b].tobytes() for a, b in zip(t.first[:-1], t.first[1:], strict=True)], pa.binary())], names=["names"])
-
-
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, states: int = 8, vocabulary: int = 4096, frequent: int = 1 << 18, warm_rows: int = 1500, warm_steps: int = 12, passes: int = 1) -> DataFrame:
+def score_texts(spark: SparkSession, docs: DataFrame, states: int = 8, vocabulary: int = 4096, frequent: int = 1 << 18, gain: float = 0.001) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    warm_rows, warm_steps: the bounded sample of training texts for the start, and its steps;
-    passes: Baum-Welch steps over all training texts.
+    vocabulary: the least number of words that the model emits one by one; it grows with the square root of
+    the training tokens, up to `frequent`.  gain: Baum-Welch steps over all training texts end when one adds
+    less than so many decimal digits a token.
     """
     scratch = Scratch(spark, "hmm")
     texts = scan(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -396,29 +407,27 @@ def score_texts(spark: SparkSession, docs: DataFrame, states: int = 8, vocabular
     trained = train.count()
     if trained and END not in names:
         names, counts = np.r_[names, END], np.r_[counts, trained]
-    lexicon = Lexicon(names.astype(np.uint64), counts.astype(np.int64), least(vocabulary), total, distinct)
+    lexicon = Lexicon(names.astype(np.uint64), counts.astype(np.int64), least(max(vocabulary, min(frequent, math.isqrt(total)))), total, distinct)
     lex = spark.sparkContext.broadcast(lexicon)
 
     model = Model.first(lexicon.share, states)
-    # a bounded start: about warm_rows training texts of up to 100,000 bytes; the passes below read all
-    some = train.where((F.octet_length("text") <= 100_000) & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, warm_rows / max(1, trained))))).limit(2 * warm_rows)
-    got = [np.frombuffer(r["names"], np.uint64) for r in some.select("text").mapInArrow(_names_only, "names binary").limit(2 * warm_rows).toLocalIterator()]
-    if got:
-        first, symbols = np.r_[0, np.cumsum([len(g) for g in got])], lexicon.symbol[lexicon.find(np.concatenate(got))]
-        for _ in range(warm_steps):
-            model = Model.from_counts(expected_counts(model, first, symbols), lexicon.share, states)
-    for _ in range(passes if trained else 0):
+    before = -math.inf
+    while trained:
         now = spark.sparkContext.broadcast(model)
-        sums = add_chunks(train.select("text").mapInArrow(_expect(lex, now), CHUNKS_DDL)).collect()  # one row of fixed size
-        model = Model.from_counts(np.frombuffer(sums[0]["data"], np.float64), lexicon.share, states)
+        sums = np.frombuffer(add_chunks(train.select("text").mapInArrow(_expect(lex, now), CHUNKS_DDL)).first()["data"], np.float64)
+        now.unpersist()
+        model = Model.from_counts(sums[:-1], lexicon.share, states)
+        if sums[-1] - before < gain * total:
+            break
+        before = sums[-1]
 
     fixed = spark.sparkContext.broadcast(model)
     scored = scratch.table(texts.mapInArrow(_score(lex, fixed, bits), _SCORED_DDL))
     rare = counted.select("bucket", "names", "counts").groupBy("bucket").cogroup(scored.where("kind = 1").select("bucket", "names", "rids", "times").groupBy("bucket"))
     more = rare.applyInArrow(_rare, "task long, rids binary, gain binary, known binary").groupBy("task").applyInArrow(_add, "rid long, gain double, known long")
     rows = scored.where("kind = 0").select("rid", "doc_id", "n_tokens", "n_known", "base", "score").join(more, "rid", "left")
-    gain, known = F.coalesce("gain", F.lit(0.0)), F.coalesce("known", F.lit(0))
+    more_gain, known = F.coalesce("gain", F.lit(0.0)), F.coalesce("known", F.lit(0))
     return rows.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_known") + known).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + gain).alias("base_score"), (F.col("score") + gain).alias("score"),
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more_gain).alias("base_score"), (F.col("score") + more_gain).alias("score"),
     )

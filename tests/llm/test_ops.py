@@ -419,6 +419,24 @@ def test_hmm_base_scores(spark, docs_of):
     assert len(odd) == 3 and all(math.isfinite(r["score"]) for r in odd)
 
 
+def test_hmm_trains_on_all_texts_to_convergence(spark, docs_of, monkeypatch):
+    from millrace.llm import hmm
+
+    r = np.random.default_rng(3)
+    m = hmm.Model(np.full(2, 0.5), np.array([[0.9, 0.1], [0.2, 0.8]]), r.dirichlet(np.ones(5), 2))
+    seqs = [r.integers(0, 5, n) for n in (3, 5000, 1, 1024, 1025)]
+    first, symbols = np.r_[0, np.cumsum([len(x) for x in seqs])], np.concatenate(seqs)
+    counts, found = hmm._expected(m, first, symbols)
+    alone = [hmm._expected(m, np.array([0, len(x)]), x) for x in seqs]
+    assert np.allclose(counts, sum(a for a, _ in alone)) and np.isclose(found, hmm.log_likelihood(m, first, symbols).sum())
+    steps, made = [], hmm.Model.from_counts.__func__
+    monkeypatch.setattr(hmm.Model, "from_counts", classmethod(lambda cls, c, share, states: steps.append(c) or made(cls, c, share, states)))
+    long = "q r " * 60_000  # over 100,000 bytes: read in every step
+    hmm.score_texts(spark, docs_of(["a b a b", long, "a b c"] * 3)).count()
+    trained = sum(len((t or "").split()) + 1 for k, t in enumerate(["a b a b", long, "a b c"] * 3) if zlib.crc32(str(k).encode()) % 7 != 2)
+    assert len(steps) > 1 and all(np.isclose(c[8 + 64 : -1 if len(c) % 8 else None].sum(), trained) for c in steps)
+
+
 def test_oracle_queries_match_sql(spark, data):
     from millrace.llm import queries as Q
     from oracle import connect, rows
