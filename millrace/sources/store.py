@@ -14,6 +14,7 @@ from pyspark.sql.utils import AnalysisException
 
 from millrace.functions import ids
 from millrace.operators.filters import valid_source_id
+from millrace.operators.order import numbered
 
 
 def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
@@ -113,8 +114,7 @@ def compact(spark: SparkSession, path: str, files: int = 1, most_rows: int | Non
 
 def plan_expiry(snapshots: DataFrame, now: Column, days: int, keep: int) -> DataFrame:
     """Snapshots older than days, not among the newest `keep` and not the current one."""
-    w = Window.orderBy(F.desc("at"), F.desc("snapshot_id"))  # a few rows of table history
-    rows = snapshots.withColumn("_rn", F.row_number().over(w))
+    rows = numbered(snapshots, [F.desc("at"), F.desc("snapshot_id")], "_rn")
     return rows.where((F.col("_rn") > F.lit(max(1, keep))) & (F.col("at") < now - F.make_dt_interval(days=F.lit(days)))).drop("_rn")
 
 

@@ -191,3 +191,19 @@ def test_stream_dwell(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("dwell").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["key"], (r["left_at"] - r["entered"]).seconds) for r in spark.table("dwell").collect()] == [("a", 4)]
+
+
+def test_expiry_numbers_rows_without_one_window(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.sources.store import plan_expiry
+
+    df = spark.range(2000).select(F.col("id").alias("snapshot_id"), F.timestamp_seconds(F.col("id") * 86400).alias("at"))
+    got = plan_expiry(df, F.timestamp_seconds(F.lit(2000 * 86400)), 30, 50)
+    assert sorted(r["snapshot_id"] for r in got.collect()) == list(range(1950))
+    import contextlib
+    import io
+
+    with contextlib.redirect_stdout(out := io.StringIO()):
+        got.explain()
+    assert "row_number() windowspecdefinition(at" not in out.getvalue() and "row_number() windowspecdefinition(_p" in out.getvalue()
