@@ -38,6 +38,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 5
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     found = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = found.union(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
     if nodes is None:
@@ -58,12 +60,14 @@ def resolve_pointers(pointers: DataFrame, rounds: int = 32) -> DataFrame:
     return here
 
 
-def reach(spark: SparkSession, edges: DataFrame, seeds: DataFrame, hops: int | None = None, rounds: int = 64) -> DataFrame:
-    """(node, depth) within `hops` of the seeds over undirected edges (a, b): one join and one anti join a hop."""
+def reach(spark: SparkSession, edges: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
+    """(node, depth) within `hops` of the seeds over undirected edges (a, b): one join and one anti join a hop; without hops, all that is reachable."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(1, (hops if hops is not None else rounds) + 1):
+    depth = 0
+    while hops is None or depth < hops:
+        depth += 1
         new = frontier.join(both, frontier["node"] == both["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = cut(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():

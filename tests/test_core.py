@@ -207,3 +207,14 @@ def test_expiry_numbers_rows_without_one_window(spark):
     with contextlib.redirect_stdout(out := io.StringIO()):
         got.explain()
     assert "row_number() windowspecdefinition(at" not in out.getvalue() and "row_number() windowspecdefinition(_p" in out.getvalue()
+
+
+def test_reach_without_hops_and_unsettled_components(spark):
+    import pytest
+
+    from millrace.operators.components import components, reach
+
+    chain = spark.createDataFrame([(k, k + 1) for k in range(67)], "a long, b long")
+    assert reach(spark, chain, spark.createDataFrame([(0,)], "node long")).count() == 68
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=1)
