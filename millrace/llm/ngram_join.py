@@ -1,26 +1,30 @@
 """Operator 4: Jaccard self-join of documents on word n-grams, by rare-first prefix filtering.
 
 1. One scan makes each document's set of distinct n-gram fingerprints and folds it to a class
-   id; documents of one class have the same set and stand for each other from there on.  The
-   scan also adds up an n-gram frequency sketch: `sketch` counters in all, whatever the corpus.
-   Any total order of n-grams gives a right prefix filter, so colliding counters cost time only.
+   (two fingerprints): documents of one class have the same set and stand for each other from
+   there on.  A class is known by its first fingerprint, or both joined where the first is not
+   its own.  The scan also adds up an n-gram frequency sketch: `sketch` counters in all, whatever
+   the corpus.  Any total order of n-grams gives a right prefix filter, so colliding counters
+   cost time only.
 2. A second scan orders each set rare first and emits its prefix (n - ceil(t*n) + 1 n-grams):
    fingerprint, class, set size, position.  Prefixes are dealt by fingerprint in packed
    blocks; n-grams that the sketch knows to be hot are salted, so a list never meets in one task
    whole.
-3. Lists with two classes or more stay.  First each list's neighbours by set size are paired;
-   those pairs pass the length, positional and suffix filters and are verified on whole texts;
-   the links are closed to components.  Lists within one component end there.  The others pair
-   their neighbours of different components again, in several other orders, and so once more.  Then all remaining
+3. Lists with two classes or more stay.  First each list's neighbours are paired, by set size and
+   in some other orders that are the same for all lists; those pairs pass the length,
+   positional and suffix filters and are verified on whole texts; the links are closed to
+   components.  Lists within one component end there.  The others pair their neighbours of
+   different components once more, in new orders and dealt by new salts.  Then all remaining
    pairs of different components in a list are tried, large lists in pairs of blocks.  So a
    group of m near copies costs about m verifications, not m * m, and no link between different
    components is missed.
-4. Each pair is verified once, on the exact sets of the whole texts.
+4. Each pair is verified once, on the exact sets of the whole texts, in cells of pairs that
+   share their texts: a cell unpacks a text once, however many of its pairs hold it.
 
 Defined cases: null, empty and blank texts have no n-grams, n_shingles 0, and stand alone; a
 text with fewer than n words has one n-gram, its whole word sequence; equal texts, ties and
 repeated rows share a class; an empty table gives an empty result; other columns are ignored.
-Documents are told apart by doc_id; a null doc_id is left out.
+Each row of a repeated doc_id keeps its own text, set and class; a null doc_id is left out.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
@@ -66,11 +70,17 @@ def _class_id(u: np.ndarray) -> tuple[int, int]:
     return int(np.uint64(one).astype(np.int64)), int(np.uint64(two).astype(np.int64))
 
 
+def node_of(key: tuple[int, int], clash: frozenset[int], turn: int) -> int:
+    """A class's id: its first fingerprint, with the second mixed in if the first is in `clash`."""
+    one, two = key
+    return int(np.int64(one) ^ (np.int64(two) << np.int64(turn))) if one in clash else one
+
+
 def _classes(n: int, sketch: int):
     def run(batches):
         from pyspark import TaskContext
 
-        counts, seen = np.zeros(sketch, np.int64), set()
+        counts, seen, shift = np.zeros(sketch, np.int64), set(), np.uint64(64 - (sketch.bit_length() - 1))
         for batch in W.pieces(batches, "text"):
             size, c1, c2, parts, fresh = [], [], [], [], []
             for u in shingle_sets(batch.column("text"), n):
@@ -83,15 +93,33 @@ def _classes(n: int, sketch: int):
                     seen.add(k)
                     fresh.append(u)
             if fresh:
-                counts += np.bincount((np.concatenate(fresh) & np.uint64(sketch - 1)).astype(np.int64), minlength=sketch)
-            none = pa.nulls(batch.num_rows, pa.int32())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(parts, pa.binary()), none, none, pa.nulls(batch.num_rows, pa.bool_()), pa.nulls(batch.num_rows, pa.binary())], names=_CLASS_NAMES)
+                counts += np.bincount((np.concatenate(fresh) >> shift).astype(np.int64), minlength=sketch)
+            m = batch.num_rows
+            yield pa.record_batch(
+                [
+                    batch.column("doc_id"),
+                    *(pa.array(x, pa.int64()) for x in (size, c1, c2)),
+                    pa.array(parts, pa.binary()),
+                    *(pa.nulls(m, t) for t in (pa.int32(), pa.int32(), pa.bool_(), pa.binary())),
+                ],
+                names=_CLASS_NAMES,
+            )
         if counts.any():
             slot = TaskContext.get().partitionId()
             chunks = [(c, counts[c * _CHUNK : (c + 1) * _CHUNK]) for c in range(math.ceil(sketch / _CHUNK))]
             chunks = [(c, x) for c, x in chunks if x.any()]
             k = len(chunks)
-            yield pa.record_batch([*(pa.nulls(k, pa.int64()) for _ in range(4)), pa.nulls(k, pa.binary()), pa.array([slot] * k, pa.int32()), pa.array([c for c, _ in chunks], pa.int32()), pa.array([False] * k), pa.array([x.tobytes() for _, x in chunks], pa.binary())], names=_CLASS_NAMES)
+            yield pa.record_batch(
+                [
+                    *(pa.nulls(k, pa.int64()) for _ in range(4)),
+                    pa.nulls(k, pa.binary()),
+                    pa.array([slot] * k, pa.int32()),
+                    pa.array([c for c, _ in chunks], pa.int32()),
+                    pa.array([False] * k),
+                    pa.array([x.tobytes() for _, x in chunks], pa.binary()),
+                ],
+                names=_CLASS_NAMES,
+            )
 
     return run
 
@@ -122,38 +150,37 @@ def overlap_bound(a: bytes, b: bytes) -> int:
     return int(np.minimum(x.reshape(k, -1).sum(1), y.reshape(k, -1).sum(1)).sum())
 
 
-def _prefixes(n: int, percent: int, counts, buckets: int, hot: int, sketch: int, flush: int = 400_000):
-    shift = np.uint64(64 - int(buckets).bit_length() + 1)
+def _prefixes(n: int, percent: int, counts, bits: int, hot: int, clash: frozenset[int], turn: int, flush: int = 400_000):
+    """Packed blocks of prefix entries by (bucket, salt): the first `bits` bits of an n-gram, the 32 after them."""
 
     def rows(held: list[tuple]):
         h, node, size, pos = (np.concatenate([x[k] for x in held]) for k in range(4))
-        bucket = (h >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(h), np.int64)
-        salts = np.maximum(1, counts.value[(h & np.uint64(sketch - 1)).astype(np.int64)] // hot)
-        salt = np.where(salts > 1, 1 + (node.astype(np.uint64) % salts.astype(np.uint64)).astype(np.int64), 0)
-        order = np.lexsort((h, salt, bucket))
-        bucket, salt, h, node, size, pos = (x[order] for x in (bucket, salt, h, node, size, pos))
+        low = (h << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+        bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+        k = _salts(low.astype(np.int64) + (bucket << 32), bits, counts.value, hot)
+        salt = np.where(k > 1, 1 + (node.astype(np.uint64) % k.astype(np.uint64)).astype(np.int64), 0)
+        order = np.lexsort((low, salt, bucket))
+        bucket, salt, low, node, size, pos = (x[order] for x in (bucket, salt, low, node, size, pos))
         cut = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1])]) if len(h) else np.zeros(0, int)
         ends = np.r_[cut[1:], len(h)]
-        low = (h & np.uint64(0xFFFFFFFF) if buckets == 1 else (h << np.uint64(64 - int(shift)) >> np.uint64(32))).astype(np.uint32)
-        yield pa.record_batch(
-            [pa.array(bucket[cut], pa.int32()), pa.array(salt[cut], pa.int32()), *(pa.array([x[lo:hi].tobytes() for lo, hi in zip(cut, ends, strict=True)], pa.binary()) for x in (low, node, size.astype(np.uint32), pos.astype(np.uint32)))],
-            schema=_ENTRIES,
-        )
+        packed = (pa.array([x[lo:hi].tobytes() for lo, hi in zip(cut, ends, strict=True)], pa.binary()) for x in (low, node, size.astype(np.uint32), pos.astype(np.uint32)))
+        yield pa.record_batch([pa.array(bucket[cut], pa.int32()), pa.array(salt[cut], pa.int32()), *packed], schema=_ENTRIES)
 
     def run(batches):
         seen: set[int] = set()
         held, many = [], 0
+        shift = np.uint64(64 - (len(counts.value).bit_length() - 1))
         for batch in W.pieces(batches, "text"):
             for u in shingle_sets(batch.column("text"), n):
                 if not len(u):
                     continue
-                node = _class_id(u)[0]
+                node = node_of(_class_id(u), clash, turn)
                 if node in seen:
                     continue
                 seen.add(node)
                 size = len(u)
                 k = size - -(-percent * size // 100) + 1
-                rare = np.argsort(counts.value[(u & np.uint64(sketch - 1)).astype(np.int64)], kind="stable")[:k]
+                rare = np.argsort(counts.value[(u >> shift).astype(np.int64)], kind="stable")[:k]
                 held.append((u[rare], np.full(k, node, np.int64), np.full(k, size, np.int64), np.arange(k)))
                 many += k
             if many >= flush:
@@ -165,8 +192,14 @@ def _prefixes(n: int, percent: int, counts, buckets: int, hot: int, sketch: int,
     return run
 
 
-_LIST_DDL = "h long, salt int, node long, n int, pos int, a long, b long"
-_LISTS = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+def _salts(key: np.ndarray, bits: int, counts: np.ndarray, hot: int) -> np.ndarray:
+    """In how many parts the list of each n-gram (its first bits + 32 bits) is dealt, by the sketch."""
+    slot = key >> (bits + 32 - (len(counts).bit_length() - 1))
+    return np.maximum(1, counts[slot] // hot)
+
+
+_LIST_DDL = "h long, k int, node long, n int, pos int, a long, b long"
+_LISTS = pa.schema([("h", pa.int64()), ("k", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _passes(na, nb, pa_, pb, percent):
@@ -175,29 +208,52 @@ def _passes(na, nb, pa_, pb, percent):
     return (100 * lo >= percent * hi) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= need(na, nb, percent))
 
 
-def _lists(percent: int):
-    """From the packed blocks of a bucket: entries of lists with two classes, and each list's pairs of neighbours by size."""
+def _neighbours(h, k, node, n, pos, comp, percent: int, orders: list[int | None]) -> pa.Table:
+    """Of these lists' entries those in lists of two components or more, and pairs of neighbours.
+
+    orders: None by set size, a number by a hash of the class under this number, so that two
+    classes that meet in many lists are mostly paired in all of them or in none.  A list that is
+    dealt in k > 1 parts stays, since its other parts may hold other components.
+    """
+    pairs = []
+    for seed in orders:
+        rank = n if seed is None else W.mix(node.astype(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+        order = np.lexsort((node, rank, h))
+        x, y = order[:-1], order[1:]
+        ok = (h[x] == h[y]) & (comp[x] != comp[y]) & _passes(n[x], n[y], pos[x], pos[y], percent)
+        x, y = node[x[ok]], node[y[ok]]
+        pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    order = np.lexsort((node, h))
+    h, k, node, n, pos, comp = (x[order] for x in (h, k, node, n, pos, comp))
+    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
+    mixed = np.minimum.reduceat(comp, at) < np.maximum.reduceat(comp, at) if len(h) else np.zeros(0, bool)
+    keep = np.repeat(mixed, np.diff(np.r_[at, len(h)])) | (k > 1)
+    e, m = int(keep.sum()), len(pairs)
+    entry = [pa.concat_arrays([pa.array(v[keep], f.type), pa.nulls(m, f.type)]) for v, f in zip((h, k, node, n, pos), _LISTS, strict=False)]
+    return pa.table([*entry, *(pa.concat_arrays([pa.nulls(e, pa.int64()), pa.array(pairs[:, c], pa.int64())]) for c in (0, 1))], schema=_LISTS)
+
+
+def _lists(percent: int, counts, bits: int, hot: int, orders: int):
+    """The first lists, from the packed blocks of a bucket (or a part of its hot n-grams)."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket, salt = table.column("bucket")[0].as_py(), table.column("salt")[0].as_py()
-        h, node, n, pos = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]).astype(np.int64) for c, t in (("h", np.uint32), ("node", np.int64), ("n", np.uint32), ("pos", np.uint32)))
-        order = np.lexsort((node, n, h))
+        bucket = table.column("bucket")[0].as_py()
+        kinds = (("h", np.uint32), ("node", np.int64), ("n", np.uint32), ("pos", np.uint32))
+        h, node, n, pos = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]).astype(np.int64) for c, t in kinds)
+        order = np.lexsort((pos, node, h))
         h, node, n, pos = h[order], node[order], n[order], pos[order]
         fresh = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]
-        h, node, n, pos = h[fresh], node[fresh], n[fresh], pos[fresh]
-        new = np.r_[True, h[1:] != h[:-1]]
-        at = np.flatnonzero(new)
-        many = np.diff(np.r_[at, len(h)])[np.cumsum(new) - 1] > 1
-        keep = many | (salt > 0)
-        before = np.maximum(np.arange(len(h)) - 1, 0)
-        chain = ~new & _passes(n[before], n, pos[before], pos, percent)
-        a, b = node[before][chain], node[chain]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        k, m = int(keep.sum()), len(pairs)
-        key = h[keep] + (bucket << 32)
-        cat = lambda x, t: pa.array(np.r_[x, np.zeros(m, np.int64)], t, mask=np.r_[np.zeros(k, bool), np.ones(m, bool)])
-        pair = lambda x: pa.array(np.r_[np.zeros(k, np.int64), x], pa.int64(), mask=np.r_[np.ones(k, bool), np.zeros(m, bool)])
-        return pa.table([cat(key, pa.int64()), cat(np.full(k, salt), pa.int32()), cat(node[keep], pa.int64()), cat(n[keep], pa.int32()), cat(pos[keep], pa.int32()), pair(pairs[:, 0]), pair(pairs[:, 1])], schema=_LISTS)
+        h, node, n, pos = h[fresh] + (bucket << 32), node[fresh], n[fresh], pos[fresh]
+        return _neighbours(h, _salts(h, bits, counts.value, hot), node, n, pos, node, percent, [None, *range(orders)])
+
+    return run
+
+
+def _again(percent: int, orders: list[int]):
+    def run(table: pa.Table) -> pa.Table:
+        h, k, node, n, pos, comp = (table.column(c).to_numpy() for c in ("h", "k", "node", "n", "pos", "comp"))
+        return _neighbours(h, k, node, n, pos, comp, percent, orders)
 
     return run
 
@@ -226,56 +282,95 @@ def _cross(percent: int):
 
 
 def _suffix(percent: int):
+    """Pairs that pass the suffix filter."""
+
     def run(batches):
         for batch in batches:
             na, nb = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
             ok = [overlap_bound(x, y) >= need(p, q, percent) for x, y, p, q in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), na, nb, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
-def _verify(n: int, percent: int):
-    def run(batches):
-        import zstandard
-
-        d = zstandard.ZstdDecompressor()
-        held, lead = None, None
-        unpack = lambda z: next(shingle_sets(pa.array([d.decompress(z)], pa.binary()), n))
-        for batch in batches:
-            ok = []
-            for a, za, zb in zip(batch.column("a").to_pylist(), batch.column("za"), batch.column("zb"), strict=True):
-                if a != held:
-                    held, lead = a, unpack(za.as_py())
-                other = unpack(zb.as_py())
-                both = len(np.intersect1d(lead, other, assume_unique=True))
-                ok.append(100 * both >= percent * (len(lead) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["a", "b", "ra", "rb", "na", "nb"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
 def pack_texts(batches):
+    """Compressed texts, each class once from a task for a cell."""
     import zstandard
 
-    c = zstandard.ZstdCompressor(level=3)
+    c, seen = zstandard.ZstdCompressor(level=3), set()
     for batch in W.pieces(batches, "text"):
-        z = [c.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-        yield pa.record_batch([batch.column("doc_id"), pa.array(z, pa.binary())], names=["doc_id", "z"])
+        keys = list(zip(*(batch.column(x).to_pylist() for x in ("i", "j", "node")), strict=True))
+        text = batch.column("text")
+        z = []
+        for at, key in enumerate(keys):
+            raw = (text[at].as_py() or "").encode("utf-8", "surrogatepass")
+            mark = (key, len(raw), hash(raw))
+            z.append(None if mark in seen else c.compress(raw))
+            seen.add(mark)
+        out = pa.record_batch([*(batch.column(x) for x in ("i", "j", "node")), pa.array(z, pa.binary())], names=["i", "j", "node", "z"])
+        yield out.filter(out.column("z").is_valid())
+
+
+def _verify(n: int, percent: int, clash: frozenset[int], turn: int):
+    """For a cell: its pairs that link, by the exact sets of its texts."""
+
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        import zstandard
+
+        d, sets = zstandard.ZstdDecompressor(), {}
+        nodes, packed = texts.column("node").to_pylist(), texts.column("z").to_pylist()
+        lo = 0
+        while lo < len(nodes):
+            held, size, hi = [], 0, lo
+            while hi < len(nodes) and (size < 1 << 20 or not held):
+                held.append(d.decompress(packed[hi]))
+                size, hi = size + len(held[-1]), hi + 1
+            for node, u in zip(nodes[lo:hi], shingle_sets(pa.array(held, pa.large_binary()), n), strict=True):
+                if node not in sets and node_of(_class_id(u), clash, turn) == node:  # else another text of the same doc_id
+                    sets[node] = u
+            lo = hi
+        a, b = (pairs.column(c).to_numpy() for c in ("a", "b"))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        edge = np.r_[np.flatnonzero(np.r_[True, a[1:] != a[:-1]]), len(a)] if len(a) else np.zeros(1, int)
+        ok = np.zeros(len(a), bool)
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            lead = sets[int(a[lo])]
+            while lo < hi:  # about a million fingerprints at a time
+                size = np.cumsum([len(sets[x]) for x in b[lo:hi].tolist()])
+                to = lo + max(1, int(np.searchsorted(size, 1 << 20, "right")))
+                others = [sets[x] for x in b[lo:to].tolist()]
+                flat = np.concatenate(others)
+                hit = lead[np.minimum(np.searchsorted(lead, flat), len(lead) - 1)] == flat
+                many = np.array([len(x) for x in others])
+                both = np.add.reduceat(hit, np.cumsum(many) - many, dtype=np.int64)
+                ok[lo:to] = 100 * both >= percent * (len(lead) + many - both)
+                lo = to
+        return pa.table([pa.array(a[ok], pa.int64()), pa.array(b[ok], pa.int64())], names=["a", "b"])
+
+    return run
 
 
-def jaccard_classes(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 75, sketch: int = 1 << 19, hot: int = 4096, rounds: int = 2, orders: int = 4) -> DataFrame:
+def jaccard_classes(
+    spark: SparkSession,
+    docs: DataFrame,
+    n: int = 5,
+    percent: int = 75,
+    sketch: int = 1 << 19,
+    hot: int = 4096,
+    orders: int = 3,
+    cell: int = 1 << 22,
+) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document; see the module's head.
 
     percent: two sets link when 100 * intersection >= percent * union.  sketch: counters of the
     frequency sketch (a power of two, eight bytes each, broadcast).  hot: entries of one n-gram
-    that share a task.  rounds, orders: how
-    often, and in how many orders at once, neighbours are paired before all pairs are.
+    that share a task.  orders: in how many orders neighbours are paired each time.  cell: n-grams of
+    the texts that a verifying task holds, about.
     """
     scratch = Scratch(spark, "ngram-join")
     texts = scan(docs, doc_id="doc_id", text="text").where("doc_id is not null")
     first = scratch.table(texts.mapInArrow(_classes(n, sketch), _CLASS_DDL))
-    rows = first.where("doc_id is not null").select("doc_id", "n", "c1", "c2")
     # as many rows as sketch / _CHUNK: a fixed number of counters
     counts = np.zeros(sketch, np.int64)
     for row in add_chunks(first.where("chunk is not null").select("slot", "chunk", "real", "data")).toLocalIterator():
@@ -284,66 +379,77 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     shared = spark.sparkContext.broadcast(counts)
     hot_at = max(hot, 4 * total // sketch)
     entries = max(1, total * (100 - percent) // 100)
-    buckets = 1 << max(0, min(20, math.ceil(math.log2(max(1, entries / 400_000)))))
-
-    classes = scratch.table(rows.where("n > 0").groupBy("c1").agg(F.min("doc_id").alias("rep")))
-    packed = texts.mapInArrow(_prefixes(n, percent, shared, buckets, hot_at, sketch), _ENTRY_DDL)
-    found = scratch.table(packed.groupBy("bucket", "salt").applyInArrow(_lists(percent), _LIST_DDL))
-    entries_of = found.where("a is null").select("h", "salt", "node", "n", "pos")
+    bits = max(0, min(20, math.ceil(math.log2(max(1, entries / 400_000)))))
+
+    rows = first.where("doc_id is not null").select("doc_id", "n", "c1", "c2", "parts")
+    clash, turn = frozenset(), 0
+    while True:
+        node = F.when(F.col("c1").isin(list(clash)), F.col("c1").bitwiseXOR(F.shiftleft("c2", turn))).otherwise(F.col("c1")) if clash else F.col("c1")
+        same = (F.min("c2") == F.max("c2")) & (F.min("c1") == F.max("c1"))
+        nodes = rows.where("n > 0").groupBy(node.alias("node")).agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts"), same.alias("same"), F.min("c1").alias("c1"), F.max("c1").alias("d1"))
+        nodes = scratch.table(nodes)
+        # of 10^11 documents a few hundred are to be expected, so they may be listed
+        new = {x for row in nodes.where("not same").select("c1", "d1").toLocalIterator() for x in row}
+        if not new:
+            break
+        clash, turn = clash | new, turn + bool(clash)
+    rows = rows.select("doc_id", "n", node.alias("node"))
+    nodes = nodes.select("node", "rep", "n", "parts")
 
-    # the parts of a salted list: their smallest members meet the smallest of all
+    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of pairs of classes (a, b): those tried and those that link."""
+        side = lambda s: nodes.select(F.col("node").alias(s), F.col("rep").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("parts").alias(f"x{s}"))
+        tried = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb", "xa", "xb")
+        tried = scratch.table(tried.mapInArrow(_suffix(percent), "a long, b long, ra long, rb long, na long, nb long"))
+        size = tried.agg(F.sum(F.col("na") + F.col("nb")).alias("size")).first()["size"] or 0
+        grid = math.ceil(math.sqrt(max(1, size / cell)))
+        place = lambda c: F.pmod(F.xxhash64(c), F.lit(grid))
+        tried = tried.withColumn("i", place("a")).withColumn("j", place("b"))
+        ends = tried.select("i", "j", F.col("a").alias("node"), F.col("ra").alias("doc_id"))
+        ends = ends.union(tried.select("i", "j", F.col("b").alias("node"), F.col("rb").alias("doc_id"))).distinct()
+        held = texts.join(ends, "doc_id").select("i", "j", "node", "text").mapInArrow(pack_texts, "i long, j long, node long, z binary")
+        found = tried.groupBy("i", "j").cogroup(held.groupBy("i", "j")).applyInArrow(_verify(n, percent, clash, turn), "a long, b long")
+        return tried.select("a", "b"), scratch.table(found)
+
+    def split(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return found.where("a is null").select("h", "k", "node", "n", "pos"), found.where("a is not null").select("a", "b")
+
+    def mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
+        return members.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+
+    packed = texts.mapInArrow(_prefixes(n, percent, shared, bits, hot_at, clash, turn), _ENTRY_DDL)
+    members, near = split(scratch.table(packed.groupBy("bucket", "salt").applyInArrow(_lists(percent, shared, bits, hot_at, orders), _LIST_DDL)))
+    # the parts of a hot list: their smallest members meet the smallest of all
     who = F.struct("n", "node", "pos")
-    parts = entries_of.where("salt > 0").groupBy("h", "salt").agg(F.min(who).alias("x"))
+    part = F.pmod("node", "k")
+    parts = members.where("k > 1").groupBy("h", part.alias("part")).agg(F.min(who).alias("x"))
     tops = parts.groupBy("h").agg(F.min("x").alias("y"))
     spread = parts.join(tops, "h").where(f"x.node != y.node and 100 * y.n >= {percent} * x.n").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    star = found.where("a is not null").select("a", "b").union(spread.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-
-    sizes = scratch.table(first.where("doc_id is not null and n > 0").select("doc_id", "c1", "n", "parts").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["c1"]))
-
-    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of pairs of class ids (a, b): the pairs tried and those that link, both as smallest documents."""
-        side = lambda s: sizes.select(F.col("c1").alias(s), F.col("doc_id").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("parts").alias(f"x{s}"))
-        tried = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-        tried = tried.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "na", "nb", "xa", "xb")
-        tried = scratch.table(tried.mapInArrow(_suffix(percent), "a long, b long"))
-        ends = tried.select(F.col("a").alias("doc_id")).union(tried.select(F.col("b").alias("doc_id"))).distinct()
-        z = scratch.table(texts.mapInArrow(pack_texts, "doc_id long, z binary").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-        both = tried.join(z.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b").join(z.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a")
-        return tried, scratch.table(both.select("a", "b", "za", "zb").mapInArrow(_verify(n, percent), "a long, b long"))
-
-    done = scratch.table(star.distinct())
-    _, links = linked(done)
-    entries = entries_of
-    for r in range(rounds + 1):
-        comps = scratch.table(components(links, scratch))
-        of_node = classes.join(comps, classes["rep"] == comps["node"], "left").select(F.col("c1").alias("node"), F.coalesce("component", "rep").alias("comp"))
-        members = scratch.table(entries.select("h", "salt", "node", "n", "pos").join(of_node, "node"))
-        entries = members = members.join(members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h"), "h", "left_semi")
-        if r == rounds:
-            break
-        # neighbours in another order, the same for all lists
-        near = None
-        for k in range(orders):
-            order = Window.partitionBy("h", "salt").orderBy(F.xxhash64("node", F.lit(r * orders + k)), "node")
-            x = members.withColumn("x", F.lag(F.struct("node", "n", "pos", "comp")).over(order))
-            x = x.where(f"x.comp != comp and 100 * least(n, x.n) >= {percent} * greatest(n, x.n) and least(n - pos, x.n - x.pos) * {100 + percent} >= {percent} * (n + x.n)")
-            x = x.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
-            near = x if near is None else near.union(x)
-        near = scratch.table(near.distinct().join(done, ["a", "b"], "left_anti"))
-        _, new = linked(near)
-        done, links = done.union(near), links.union(new)
-    rest = members.join(members.groupBy("h").agg(F.count("*").alias("many")), "h").withColumn("k", F.ceil(F.col("many") / _BLOCK).cast("int"))
-    i = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    rest = rest.withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    done, links = linked(near.union(spread.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+
+    comps = components(links, scratch)
+    group = F.when(F.col("k") == 1, F.shiftright("h", 32)).otherwise(F.xxhash64("h", F.pmod(F.xxhash64("node", F.lit(1)), "k")))
+    again = mixed(members, comps).withColumn("g", group).select("g", "h", "k", "node", "n", "pos", "comp")
+    members, near = split(scratch.table(again.groupBy("g").applyInArrow(_again(percent, [orders + x for x in range(orders)]), _LIST_DDL)))
+    near = near.join(done, ["a", "b"], "left_anti")
+    tried, new = linked(near)
+    done, links = done.union(tried), links.union(new)
+
+    comps = components(links, scratch)
+    members = mixed(members, comps)
+    many = members.groupBy("h").agg(F.count("*").alias("many"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    rest = members.join(many, "h").withColumn("k", F.ceil(F.col("many") / _BLOCK).cast("int"))
+    rest = rest.withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2)
-    group = F.when(F.col("k") == 1, F.shiftright("h", 32)).otherwise(F.col("h"))
-    rest = rest.select("h", "node", "n", "pos", "comp", side.alias("side"), group.alias("g"), F.when(F.col("k") == 1, -1).otherwise(F.least("i", "j")).alias("i"), F.greatest("i", "j").alias("j"))
+    group = F.when(F.col("k") == 1, F.shiftright("h", 27)).otherwise(F.col("h"))
+    block = F.when(F.col("k") == 1, -1).otherwise(F.least("i", "j"))
+    rest = rest.select("h", "node", "n", "pos", "comp", side.alias("side"), group.alias("g"), block.alias("i"), F.greatest("i", "j").alias("j"))
     more = rest.groupBy("g", "i", "j").applyInArrow(_cross(percent), "a long, b long").join(done, ["a", "b"], "left_anti")
     _, late = linked(more)
-    comps = scratch.table(components(links.union(late), scratch))
-    rep = F.coalesce("component", "rep", "doc_id").alias("component_id")
-    return (
-        rows.join(classes.withColumnRenamed("c1", "c"), (F.col("c1") == F.col("c")) & (F.col("n") > 0), "left")
-        .join(comps, F.col("rep") == F.col("node"), "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), rep)
-    )
+
+    comps = components(links.union(late), scratch).join(nodes.select("node", "rep"), "node")
+    best = comps.groupBy("component").agg(F.min("rep").alias("best"))
+    comps = comps.join(best, "component").select("node", "best")
+    found = rows.join(nodes.select("node", "rep"), "node", "left").join(comps, "node", "left")
+    alone = F.when(F.col("n") > 0, F.coalesce("best", "rep")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,34 +54,61 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of every end of the links (a, b) that is not a root; root: the smallest node reachable."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = np.arange(len(nodes))
+    x, y = at[: len(a)], at[len(a) :]
+    while True:
+        x, y = up[x], up[y]
+        apart = x != y
+        if not apart.any():
+            break
+        x, y = x[apart], y[apart]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (up[up] != up).any():
+            up = up[up]
+    below = up != np.arange(len(nodes))
+    return nodes[below], nodes[up[below]]
+
+
+def _contract(batches):
+    got = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+    if got:
+        node, root = forest(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        yield pa.record_batch([pa.array(node, pa.int64()), pa.array(root, pa.int64())], names=["a", "b"])
+
+
+def components(edges: DataFrame, scratch: Scratch, most: int = 1 << 20) -> DataFrame:
     """(node, component) for each end of the links (a, b); component: the smallest node reachable.
 
-    Alternating large and small stars: every round links each node's neighbours to the
-    smallest of them, so long chains halve.  A round is two grouped aggregations with partial
-    sums and joins that adaptive execution may split; no group is gathered anywhere.
+    Each task contracts about `most` links to a forest of stars.  As long as one task is not
+    enough, a round of alternating large and small stars follows: it links each node's
+    neighbours to the smallest of them, by grouped aggregations with partial sums and joins that
+    adaptive execution may split, so long chains halve and the next contraction finds more.  The
+    loop ends when one task held all links or a round changes nothing, which every graph reaches:
+    links only ever move to smaller nodes.
     """
     a, b = F.col("a"), F.col("b")
-    links = scratch.table(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct())
-    if links.isEmpty():
-        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    before = None
-    for _ in range(rounds):
-        both = links.select("a", "b").union(links.select(b.alias("a"), a.alias("b")))
+    down = lambda x: x.where("a != b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+    links, before = scratch.table(down(edges)), None
+    while True:
+        state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        parts = math.ceil(state["n"] / most)
+        if state == before or parts < 2:
+            links = links.coalesce(1).mapInArrow(_contract, "a long, b long") if parts == 1 else links
+            break
+        before = state
+        both = links.repartition(parts, F.xxhash64("a", "b")).mapInArrow(_contract, "a long, b long")
+        both = scratch.table(both.union(both.select(b.alias("a"), a.alias("b"))))
         least = both.groupBy("a").agg(F.least(F.min("b"), a).alias("m"))
         large = both.where(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b")).union(least.where("m < a").select("a", F.col("m").alias("b")))
         large = scratch.table(large.where("a != b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(b.alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b")))
-        links = scratch.table(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-        state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = links.select(b.alias("node"), b.alias("component")).distinct()
-    return links.select(a.alias("node"), b.alias("component")).union(roots)
+        small = large.join(low, "a").select(b.alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        links = scratch.table(down(small))
+    links = scratch.table(links)
+    return links.select(a.alias("node"), b.alias("component")).union(links.select(b.alias("node"), b.alias("component")).distinct())
 
 
 def as_text(values: list[bytes]) -> pa.Array:
@@ -96,8 +125,6 @@ def add_chunks(df: DataFrame, scratch: Scratch | None = None, fan: int = 64) ->
 
     def fold(key: list[str]):
         def run(batches):
-            import numpy as np
-
             sums: dict[tuple, object] = {}
             for batch in batches:
                 for row in batch.to_pylist():
