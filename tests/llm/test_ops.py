@@ -288,13 +288,45 @@ def test_index_finds_every_code_in_the_radius():
     from millrace.llm.ann import Index
 
     r = np.random.default_rng(9)
-    codes = r.integers(0, 1 << 63, 400, dtype=np.uint64)
-    codes[:200] = codes[0] ^ (np.uint64(1) << r.integers(0, 63, 200).astype(np.uint64))
+    codes = r.integers(0, 1 << 63, (400, 8), dtype=np.uint64)
+    codes[:200] = codes[0]
+    for k in range(200):
+        codes[k, r.integers(0, 8, k % 9)] ^= np.uint64(1) << r.integers(0, 63, k % 9).astype(np.uint64)
     index = Index(codes)
-    for radius in (0, 3, 7, 15, 64):
-        seen = index.ring(index.parts(codes[0]), 0, radius // 4)
-        near = np.flatnonzero(np.bitwise_count(codes ^ codes[0]) <= radius)
-        assert set(near.tolist()) <= set(seen.tolist())
+    for radius in (0, 1, 3, 8, 230, 512):
+        near = np.flatnonzero(np.bitwise_count(codes ^ codes[0]).sum(1) <= radius)
+        found = index.within(index.parts(codes[0]), radius)
+        assert set(near.tolist()) <= set(found.tolist())
+    assert len(index.within(index.parts(codes[0]), 8)) == 200
+
+
+def test_nearest_on_the_whole_table_by_a_small_share_of_codes(data):
+    """Recall against brute force on the real table, and how much of it probing retrieves."""
+    import pyarrow.parquet as pq
+
+    from millrace.llm import ann
+
+    table = pq.read_table(f"{data.rsplit('/', 1)[0]}/sf0.1/embeddings.parquet")
+    ids, x = table.column("vec_id").to_numpy(), np.array(table.column("embedding").to_pylist(), np.float64)
+    model = ann.Codes(x, float(np.sqrt((x**2).sum(1)).max()))
+    asked = np.flatnonzero(ids % 20 == 0)
+    bound, index, codes = ann.bounds((ids, x), ids[asked], x[asked], 20, len(x)), ann.Index(model.encode(x)), model.encode(x[asked], True)
+    found, share = 0, 0
+    for k, at in enumerate(asked):
+        rows, _, got = ann.search(index, ids, x, model, int(ids[at]), x[at], codes[k], 20, bound[k])
+        score = x @ x[at]
+        score[at] = -np.inf
+        found += len(set(rows.tolist()) & set(np.lexsort((ids, -score))[:20].tolist()))
+        share += got / len(x)
+    assert found >= 0.9 * 20 * len(asked) and share < 0.3 * len(asked)
+
+
+def test_nearest_ties_and_repeated_ids(spark):
+    from millrace.llm.ann import nearest
+
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), *((k, [0.5, 0.5]) for k in range(1, 31) if k != 20), *((k, [-1.0, -1.0]) for k in range(31, 39))]
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in nearest(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect())
+    assert [r for r, *_ in got] == [1, 2, 3, 4, 5] and all(s == 0.5 for *_, s in got) and {v for _, v, _ in got} <= {1, 2, 3, 4, 5}
 
 
 def test_min_cost_flow():
