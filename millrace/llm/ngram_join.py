@@ -10,11 +10,11 @@
    fingerprint, class, set size, position.  Prefixes are dealt by fingerprint in packed
    blocks; n-grams that the sketch knows to be hot are salted, so a list never meets in one task
    whole.
-3. Lists with two classes or more stay.  First each list's neighbours are paired, by set size and
-   in some other orders that are the same for all lists; those pairs pass the length,
-   positional and suffix filters and are verified on whole texts; the links are closed to
-   components.  Lists within one component end there.  The others pair their neighbours of
-   different components once more, in new orders and dealt by new salts.  Then all remaining
+3. Lists with two classes or more stay.  First each list's neighbours by set size are paired; those
+   pairs pass the length, positional, bitmap and suffix filters and are verified on whole texts;
+   the links are closed to components.  Lists within one component end there.  The others pair
+   their neighbours of different components once more, in some other orders that are the same
+   for all lists, and dealt by new salts.  Then all remaining
    pairs of different components in a list are tried, large lists in pairs of blocks.  So a
    group of m near copies costs about m verifications, not m * m, and no link between different
    components is missed.
@@ -76,18 +76,29 @@ def node_of(key: tuple[int, int], clash: frozenset[int], turn: int) -> int:
     return int(np.int64(one) ^ (np.int64(two) << np.int64(turn))) if one in clash else one
 
 
+def parities(u: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's fingerprints falls in each of 256 slots, as four words.
+
+    The bitmap filter: where parities differ, so do the sets, by a fingerprint at least.
+    """
+    odd = np.bincount(((u >> np.uint64(8)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _classes(n: int, sketch: int):
     def run(batches):
         from pyspark import TaskContext
 
         counts, seen, shift = np.zeros(sketch, np.int64), set(), np.uint64(64 - (sketch.bit_length() - 1))
         for batch in W.pieces(batches, "text"):
-            size, c1, c2, parts, fresh = [], [], [], [], []
+            size, c1, c2, low, odd, parts, fresh = [], [], [], [], [], [], []
             for u in shingle_sets(batch.column("text"), n):
                 k = _class_id(u)
                 size.append(len(u))
                 c1.append(k[0])
                 c2.append(k[1])
+                low.append(int(u[0] >> np.uint64(1)) if len(u) else 0)
+                odd.append(parities(u))
                 parts.append(partition_counts(u).tobytes())
                 if len(u) and k not in seen:
                     seen.add(k)
@@ -98,7 +109,7 @@ def _classes(n: int, sketch: int):
             yield pa.record_batch(
                 [
                     batch.column("doc_id"),
-                    *(pa.array(x, pa.int64()) for x in (size, c1, c2)),
+                    *(pa.array(x, pa.int64()) for x in (size, c1, c2, low, *np.array(odd).reshape(-1, 4).T)),
                     pa.array(parts, pa.binary()),
                     *(pa.nulls(m, t) for t in (pa.int32(), pa.int32(), pa.bool_(), pa.binary())),
                 ],
@@ -111,7 +122,7 @@ def _classes(n: int, sketch: int):
             k = len(chunks)
             yield pa.record_batch(
                 [
-                    *(pa.nulls(k, pa.int64()) for _ in range(4)),
+                    *(pa.nulls(k, pa.int64()) for _ in range(9)),
                     pa.nulls(k, pa.binary()),
                     pa.array([slot] * k, pa.int32()),
                     pa.array([c for c, _ in chunks], pa.int32()),
@@ -124,8 +135,9 @@ def _classes(n: int, sketch: int):
     return run
 
 
-_CLASS_NAMES = ["doc_id", "n", "c1", "c2", "parts", "slot", "chunk", "real", "data"]
-_CLASS_DDL = "doc_id long, n long, c1 long, c2 long, parts binary, slot int, chunk int, real boolean, data binary"
+_ODD = ("s0", "s1", "s2", "s3")
+_CLASS_NAMES = ["doc_id", "n", "c1", "c2", "low", *_ODD, "parts", "slot", "chunk", "real", "data"]
+_CLASS_DDL = "doc_id long, n long, c1 long, c2 long, low long, s0 long, s1 long, s2 long, s3 long, parts binary, slot int, chunk int, real boolean, data binary"
 _ENTRY_DDL = "bucket int, salt int, h binary, node binary, n binary, pos binary"
 _ENTRIES = pa.schema([("bucket", pa.int32()), ("salt", pa.int32()), ("h", pa.binary()), ("node", pa.binary()), ("n", pa.binary()), ("pos", pa.binary())])
 
@@ -208,7 +220,12 @@ def _passes(na, nb, pa_, pb, percent):
     return (100 * lo >= percent * hi) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= need(na, nb, percent))
 
 
-def _neighbours(h, k, node, n, pos, comp, percent: int, orders: list[int | None]) -> pa.Table:
+def _alike(a: np.ndarray, b: np.ndarray, na, nb, percent: int) -> np.ndarray:
+    """The bitmap filter: sets whose parities differ in few enough slots.  (numpy counts the bits of a signed number's magnitude.)"""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(-1, dtype=np.int64) <= na + nb - 2 * need(na, nb, percent)
+
+
+def _neighbours(h, k, node, n, pos, comp, percent: int, orders: list[int | None], odd: np.ndarray | None = None) -> pa.Table:
     """Of these lists' entries those in lists of two components or more, and pairs of neighbours.
 
     orders: None by set size, a number by a hash of the class under this number, so that two
@@ -221,7 +238,11 @@ def _neighbours(h, k, node, n, pos, comp, percent: int, orders: list[int | None]
         order = np.lexsort((node, rank, h))
         x, y = order[:-1], order[1:]
         ok = (h[x] == h[y]) & (comp[x] != comp[y]) & _passes(n[x], n[y], pos[x], pos[y], percent)
-        x, y = node[x[ok]], node[y[ok]]
+        x, y = x[ok], y[ok]
+        if odd is not None:
+            ok = _alike(odd[x], odd[y], n[x], n[y], percent)
+            x, y = x[ok], y[ok]
+        x, y = node[x], node[y]
         pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
     pairs = np.unique(np.concatenate(pairs), axis=0)
     order = np.lexsort((node, h))
@@ -234,7 +255,7 @@ def _neighbours(h, k, node, n, pos, comp, percent: int, orders: list[int | None]
     return pa.table([*entry, *(pa.concat_arrays([pa.nulls(e, pa.int64()), pa.array(pairs[:, c], pa.int64())]) for c in (0, 1))], schema=_LISTS)
 
 
-def _lists(percent: int, counts, bits: int, hot: int, orders: int):
+def _lists(percent: int, counts, bits: int, hot: int):
     """The first lists, from the packed blocks of a bucket (or a part of its hot n-grams)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -245,37 +266,50 @@ def _lists(percent: int, counts, bits: int, hot: int, orders: int):
         h, node, n, pos = h[order], node[order], n[order], pos[order]
         fresh = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]
         h, node, n, pos = h[fresh] + (bucket << 32), node[fresh], n[fresh], pos[fresh]
-        return _neighbours(h, _salts(h, bits, counts.value, hot), node, n, pos, node, percent, [None, *range(orders)])
+        return _neighbours(h, _salts(h, bits, counts.value, hot), node, n, pos, node, percent, [None])
 
     return run
 
 
+def _odd(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy() for c in _ODD], 1)
+
+
 def _again(percent: int, orders: list[int]):
     def run(table: pa.Table) -> pa.Table:
         h, k, node, n, pos, comp = (table.column(c).to_numpy() for c in ("h", "k", "node", "n", "pos", "comp"))
-        return _neighbours(h, k, node, n, pos, comp, percent, orders)
+        return _neighbours(h, k, node, n, pos, comp, percent, orders, _odd(table))
 
     return run
 
 
-def _cross(percent: int):
-    """All pairs of different components in each list of a group; block pairs meet across blocks only."""
+def _cross(percent: int, most: int = 1 << 18):
+    """All pairs of different components in each list of a group; block pairs meet across blocks only.
+
+    Pairs are looked at `most` at a time.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         h, node, n, pos, comp, side = (table.column(c).to_numpy() for c in ("h", "node", "n", "pos", "comp", "side"))
         order = np.lexsort((node, n, h))
-        h, node, n, pos, comp, side = (x[order] for x in (h, node, n, pos, comp, side))
-        at = np.r_[np.flatnonzero(np.r_[True, h[1:] != h[:-1]]), len(h)]
-        found = []
-        for lo, hi in zip(at[:-1], at[1:], strict=True):
-            for i in range(lo, hi - 1):
-                end = lo + int(np.searchsorted(n[lo:hi], 100 * n[i] // percent, "right"))
-                j = slice(i + 1, end)
-                ok = (comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] == 0)) & _passes(n[i], n[j], pos[i], pos[j], percent)
-                if ok.any():
-                    other = node[j][ok]
-                    found.append(np.stack([np.minimum(node[i], other), np.maximum(node[i], other)], 1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        h, node, n, pos, comp, side, odd = (x[order] for x in (h, node, n, pos, comp, side, _odd(table)))
+        # from each entry to the last of its list that is not too large
+        at = np.cumsum(np.r_[False, h[1:] != h[:-1]]) << 40
+        many = np.searchsorted(at + n, at + 100 * n // percent, "right") - np.arange(len(h)) - 1
+        total, found, lo = np.cumsum(many), [], 0
+        while lo < len(h):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] - many[lo] + most, "right")))
+            x = np.repeat(np.arange(lo, hi), many[lo:hi])
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(many[lo:hi]) - many[lo:hi], many[lo:hi])
+            ok = (comp[x] != comp[y]) & ((side[x] != side[y]) | (side[x] == 0))
+            x, y = x[ok], y[ok]
+            ok = _passes(n[x], n[y], pos[x], pos[y], percent)
+            x, y = x[ok], y[ok]
+            ok = _alike(odd[x], odd[y], n[x], n[y], percent)
+            x, y = node[x[ok]], node[y[ok]]
+            found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
+            lo = hi
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
     return run
@@ -288,27 +322,18 @@ def _suffix(percent: int):
         for batch in batches:
             na, nb = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
             ok = [overlap_bound(x, y) >= need(p, q, percent) for x, y, p, q in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), na, nb, strict=True)]
-            yield batch.select(["a", "b", "ra", "rb", "na", "nb"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["a", "b", "la", "lb", "na", "nb"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
 def pack_texts(batches):
-    """Compressed texts, each class once from a task for a cell."""
     import zstandard
 
-    c, seen = zstandard.ZstdCompressor(level=3), set()
+    c = zstandard.ZstdCompressor(level=3)
     for batch in W.pieces(batches, "text"):
-        keys = list(zip(*(batch.column(x).to_pylist() for x in ("i", "j", "node")), strict=True))
-        text = batch.column("text")
-        z = []
-        for at, key in enumerate(keys):
-            raw = (text[at].as_py() or "").encode("utf-8", "surrogatepass")
-            mark = (key, len(raw), hash(raw))
-            z.append(None if mark in seen else c.compress(raw))
-            seen.add(mark)
-        out = pa.record_batch([*(batch.column(x) for x in ("i", "j", "node")), pa.array(z, pa.binary())], names=["i", "j", "node", "z"])
-        yield out.filter(out.column("z").is_valid())
+        z = [c.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+        yield pa.record_batch([batch.column("doc_id"), pa.array(z, pa.binary())], names=["doc_id", "z"])
 
 
 def _verify(n: int, percent: int, clash: frozenset[int], turn: int):
@@ -365,7 +390,7 @@ def jaccard_classes(
 
     percent: two sets link when 100 * intersection >= percent * union.  sketch: counters of the
     frequency sketch (a power of two, eight bytes each, broadcast).  hot: entries of one n-gram
-    that share a task.  orders: in how many orders neighbours are paired each time.  cell: n-grams of
+    that share a task.  orders: in how many orders neighbours are paired the second time.  cell: n-grams of
     the texts that a verifying task holds, about.
     """
     scratch = Scratch(spark, "ngram-join")
@@ -381,12 +406,12 @@ def jaccard_classes(
     entries = max(1, total * (100 - percent) // 100)
     bits = max(0, min(20, math.ceil(math.log2(max(1, entries / 400_000)))))
 
-    rows = first.where("doc_id is not null").select("doc_id", "n", "c1", "c2", "parts")
+    rows = first.where("doc_id is not null").select("doc_id", "n", "c1", "c2", "low", *_ODD, "parts")
     clash, turn = frozenset(), 0
     while True:
         node = F.when(F.col("c1").isin(list(clash)), F.col("c1").bitwiseXOR(F.shiftleft("c2", turn))).otherwise(F.col("c1")) if clash else F.col("c1")
         same = (F.min("c2") == F.max("c2")) & (F.min("c1") == F.max("c1"))
-        nodes = rows.where("n > 0").groupBy(node.alias("node")).agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts"), same.alias("same"), F.min("c1").alias("c1"), F.max("c1").alias("d1"))
+        nodes = rows.where("n > 0").groupBy(node.alias("node")).agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("low", *_ODD)), F.first("parts").alias("parts"), same.alias("same"), F.min("c1").alias("c1"), F.max("c1").alias("d1"))
         nodes = scratch.table(nodes)
         # of 10^11 documents a few hundred are to be expected, so they may be listed
         new = {x for row in nodes.where("not same").select("c1", "d1").toLocalIterator() for x in row}
@@ -394,45 +419,63 @@ def jaccard_classes(
             break
         clash, turn = clash | new, turn + bool(clash)
     rows = rows.select("doc_id", "n", node.alias("node"))
-    nodes = nodes.select("node", "rep", "n", "parts")
-
-    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of pairs of classes (a, b): those tried and those that link."""
-        side = lambda s: nodes.select(F.col("node").alias(s), F.col("rep").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("parts").alias(f"x{s}"))
-        tried = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb", "xa", "xb")
-        tried = scratch.table(tried.mapInArrow(_suffix(percent), "a long, b long, ra long, rb long, na long, nb long"))
-        size = tried.agg(F.sum(F.col("na") + F.col("nb")).alias("size")).first()["size"] or 0
-        grid = math.ceil(math.sqrt(max(1, size / cell)))
+    nodes = nodes.select("node", "rep", "n", "low", *_ODD, "parts")
+
+    def linked(pairs: DataFrame, packed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of pairs of classes (a, b): those tried and those that link.
+
+        A cell is a pair of buckets of least fingerprints, which alike sets mostly share, so a text goes to few
+        cells.  A cell whose texts weigh more than `cell` is cut to a grid.
+        """
+        side = lambda s, **cols: nodes.select(F.col("node").alias(s), *(F.col(c).alias(f"{x}{s}") for x, c in cols.items()))
+        first = dict(l="low", n="n", **{c: c for c in _ODD})
+        tried = pairs.distinct().join(side("a", **first), "a").join(side("b", **first), "b")
+        least = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+        differ = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in _ODD), F.lit(0))
+        tried = tried.where(differ <= F.col("na") + F.col("nb") - 2 * least).select("a", "b", "la", "lb", "na", "nb")
+        tried = tried.join(side("a", x="parts"), "a").join(side("b", x="parts"), "b").select("a", "b", "la", "lb", "na", "nb", "xa", "xb")
+        tried = scratch.table(tried.mapInArrow(_suffix(percent), "a long, b long, la long, lb long, na long, nb long"))
+        grid = max(64, math.ceil((tried.agg(F.sum(F.col("na") + F.col("nb")).alias("size")).first()["size"] or 0) / cell / 64))
         place = lambda c: F.pmod(F.xxhash64(c), F.lit(grid))
-        tried = tried.withColumn("i", place("a")).withColumn("j", place("b"))
-        ends = tried.select("i", "j", F.col("a").alias("node"), F.col("ra").alias("doc_id"))
-        ends = ends.union(tried.select("i", "j", F.col("b").alias("node"), F.col("rb").alias("doc_id"))).distinct()
-        held = texts.join(ends, "doc_id").select("i", "j", "node", "text").mapInArrow(pack_texts, "i long, j long, node long, z binary")
-        found = tried.groupBy("i", "j").cogroup(held.groupBy("i", "j")).applyInArrow(_verify(n, percent, clash, turn), "a long, b long")
+        tried = tried.withColumn("i", place("la")).withColumn("j", place("lb"))
+
+        def ends(rows: DataFrame, *keys: str) -> DataFrame:
+            return rows.select(*keys, F.col("a").alias("node"), F.col("na").alias("n")).union(rows.select(*keys, F.col("b").alias("node"), F.col("nb").alias("n"))).distinct()
+
+        heavy = ends(tried, "i", "j").groupBy("i", "j").agg(F.ceil(2 * F.sum("n") / cell).alias("k")).where("k > 2")
+        cut = tried.join(scratch.table(heavy), ["i", "j"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
+        cut = cut.withColumn("p", F.pmod(F.xxhash64("a"), "k")).withColumn("q", F.pmod(F.xxhash64("b"), "k"))
+        keys = ["i", "j", "p", "q"]
+        held = ends(cut, *keys).join(packed, "node").select(*keys, "node", "z").toDF("hi", "hj", "hp", "hq", "node", "z")
+        found = cut.groupBy(*keys).cogroup(held.groupBy("hi", "hj", "hp", "hq")).applyInArrow(_verify(n, percent, clash, turn), "a long, b long")
         return tried.select("a", "b"), scratch.table(found)
 
     def split(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         return found.where("a is null").select("h", "k", "node", "n", "pos"), found.where("a is not null").select("a", "b")
 
     def mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
-        return members.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+        return members.join(comps, "node", "left").join(nodes.select("node", *_ODD), "node").withColumn("comp", F.coalesce("component", "node"))
 
     packed = texts.mapInArrow(_prefixes(n, percent, shared, bits, hot_at, clash, turn), _ENTRY_DDL)
-    members, near = split(scratch.table(packed.groupBy("bucket", "salt").applyInArrow(_lists(percent, shared, bits, hot_at, orders), _LIST_DDL)))
+    members, near = split(scratch.table(packed.groupBy("bucket", "salt").applyInArrow(_lists(percent, shared, bits, hot_at), _LIST_DDL)))
     # the parts of a hot list: their smallest members meet the smallest of all
     who = F.struct("n", "node", "pos")
     part = F.pmod("node", "k")
     parts = members.where("k > 1").groupBy("h", part.alias("part")).agg(F.min(who).alias("x"))
     tops = parts.groupBy("h").agg(F.min("x").alias("y"))
     spread = parts.join(tops, "h").where(f"x.node != y.node and 100 * y.n >= {percent} * x.n").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    done, links = linked(near.union(spread.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+    # the texts of all classes that may be tried from here on, by class
+    reps = members.select("node").distinct().join(nodes, "node").select("node", F.col("rep").alias("doc_id"))
+    z = texts.mapInArrow(pack_texts, "doc_id long, z binary").join(reps.hint("merge"), "doc_id")
+    z = scratch.table(z.groupBy("node", F.xxhash64("z").alias("x")).agg(F.first("z").alias("z")).select("node", "z"))
+    done, links = linked(near.union(spread.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), z)
 
     comps = components(links, scratch)
     group = F.when(F.col("k") == 1, F.shiftright("h", 32)).otherwise(F.xxhash64("h", F.pmod(F.xxhash64("node", F.lit(1)), "k")))
-    again = mixed(members, comps).withColumn("g", group).select("g", "h", "k", "node", "n", "pos", "comp")
-    members, near = split(scratch.table(again.groupBy("g").applyInArrow(_again(percent, [orders + x for x in range(orders)]), _LIST_DDL)))
+    again = mixed(members, comps).withColumn("g", group).select("g", "h", "k", "node", "n", "pos", "comp", *_ODD)
+    members, near = split(scratch.table(again.groupBy("g").applyInArrow(_again(percent, list(range(orders))), _LIST_DDL)))
     near = near.join(done, ["a", "b"], "left_anti")
-    tried, new = linked(near)
+    tried, new = linked(near, z)
     done, links = done.union(tried), links.union(new)
 
     comps = components(links, scratch)
@@ -441,11 +484,11 @@ def jaccard_classes(
     rest = members.join(many, "h").withColumn("k", F.ceil(F.col("many") / _BLOCK).cast("int"))
     rest = rest.withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2)
-    group = F.when(F.col("k") == 1, F.shiftright("h", 27)).otherwise(F.col("h"))
+    group = F.when(F.col("many") < 200, F.shiftright("h", 27)).otherwise(F.col("h"))
     block = F.when(F.col("k") == 1, -1).otherwise(F.least("i", "j"))
-    rest = rest.select("h", "node", "n", "pos", "comp", side.alias("side"), group.alias("g"), block.alias("i"), F.greatest("i", "j").alias("j"))
+    rest = rest.select("h", "node", "n", "pos", "comp", *_ODD, side.alias("side"), group.alias("g"), block.alias("i"), F.greatest("i", "j").alias("j"))
     more = rest.groupBy("g", "i", "j").applyInArrow(_cross(percent), "a long, b long").join(done, ["a", "b"], "left_anti")
-    _, late = linked(more)
+    _, late = linked(more, z)
 
     comps = components(links.union(late), scratch).join(nodes.select("node", "rep"), "node")
     best = comps.groupBy("component").agg(F.min("rep").alias("best"))

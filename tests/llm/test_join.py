@@ -87,3 +87,21 @@ def test_one_doc_id_with_two_texts_and_a_very_long_one(spark, docs_of):
     rows = J.jaccard_classes(spark, docs_of(["a b c d e f g", "p q r s t u v", "a b c d e f g h", "p q r s t u v", long, long + " end"], [1, 1, 2, 3, 8, 9])).collect()
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows)
     assert got == [(1, 3, 1), (1, 3, 1), (2, 4, 1), (3, 3, 1), (8, got[4][1], 8), (9, got[4][1] + 1, 8)]
+
+
+def test_no_filter_drops_a_link():
+    import pyarrow as pa
+
+    r, links = random.Random(7), 0
+    for _ in range(200):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.choice([6, 30, 120, 700, 3000]))]
+        words = list(base)
+        for _ in range(r.randint(0, max(1, len(base) // 25))):
+            words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+        a, b = J.shingle_sets(pa.array([" ".join(base), " ".join(words[: int(len(words) * r.choice([1, 0.9]))])]), 5)
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 75 * (len(a) + len(b) - both):
+            links += 1
+            assert J._alike(J.parities(a), J.parities(b), len(a), len(b), 75)
+            assert J.overlap_bound(J.partition_counts(a).tobytes(), J.partition_counts(b).tobytes()) >= J.need(len(a), len(b), 75)
+    assert links > 50
