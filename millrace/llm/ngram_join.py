@@ -393,9 +393,9 @@ def jaccard_classes(
     that share a task.  orders: in how many orders neighbours are paired the second time.  cell: n-grams of
     the texts that a verifying task holds, about.
     """
-    scratch = Scratch(spark, "ngram-join")
+    kept, scratch = Scratch(spark, "ngram-join"), Scratch(spark, "ngram-join-work")
     texts = scan(docs, doc_id="doc_id", text="text").where("doc_id is not null")
-    first = scratch.table(texts.mapInArrow(_classes(n, sketch), _CLASS_DDL))
+    first = kept.table(texts.mapInArrow(_classes(n, sketch), _CLASS_DDL))
     # as many rows as sketch / _CHUNK: a fixed number of counters
     counts = np.zeros(sketch, np.int64)
     for row in add_chunks(first.where("chunk is not null").select("slot", "chunk", "real", "data")).toLocalIterator():
@@ -412,7 +412,7 @@ def jaccard_classes(
         node = F.when(F.col("c1").isin(list(clash)), F.col("c1").bitwiseXOR(F.shiftleft("c2", turn))).otherwise(F.col("c1")) if clash else F.col("c1")
         same = (F.min("c2") == F.max("c2")) & (F.min("c1") == F.max("c1"))
         nodes = rows.where("n > 0").groupBy(node.alias("node")).agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("low", *_ODD)), F.first("parts").alias("parts"), same.alias("same"), F.min("c1").alias("c1"), F.max("c1").alias("d1"))
-        nodes = scratch.table(nodes)
+        nodes = kept.table(nodes)
         # of 10^11 documents a few hundred are to be expected, so they may be listed
         new = {x for row in nodes.where("not same").select("c1", "d1").toLocalIterator() for x in row}
         if not new:
@@ -492,7 +492,8 @@ def jaccard_classes(
 
     comps = components(links.union(late), scratch).join(nodes.select("node", "rep"), "node")
     best = comps.groupBy("component").agg(F.min("rep").alias("best"))
-    comps = comps.join(best, "component").select("node", "best")
+    comps = kept.table(comps.join(best, "component").select("node", "best"))
+    scratch.drop()  # the result reads what is kept only
     found = rows.join(nodes.select("node", "rep"), "node", "left").join(comps, "node", "left")
     alone = F.when(F.col("n") > 0, F.coalesce("best", "rep")).otherwise(F.col("doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))

@@ -16,17 +16,24 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Rows in an Arrow batch: texts are long, and a task holds a batch twice in the JVM and once in Python.
+BATCH_ROWS = 1000
+
+
 class Scratch:
     """Tables of one operator call, under the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
         self._k = 0
+        small_batches(spark)
 
     def table(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Write and reread: the plan that follows starts from files that every executor can read again."""
@@ -45,6 +52,14 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of at most BATCH_ROWS rows, unless the session already asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def scan(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under fixed names: columns that a table has besides never clash."""
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()])

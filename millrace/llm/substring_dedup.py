@@ -298,29 +298,53 @@ def _compare(k: int, bits: int):
     return run
 
 
-def _settle(last: bool):
-    """For a bucket (or a part of one): equal windows of different blocks; all but the first are repeats."""
+def _runs_of(table: pa.Table):
+    """Packed runs, one entry each: columns of _COLUMNS, block, and where its windows begin among all hashes."""
+    joined = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)])
+    low, ident, mark, start, size = (joined(c, t) for c, t in _COLUMNS)
+    block = np.repeat(table.column("block").to_numpy(), [len(x.as_buffer()) // 4 for x in table.column("low")])
+    size = size.astype(np.int64)
+    return low, ident, mark, start, size, block, np.cumsum(size) - size, joined("hashes", np.uint64)
+
+
+def _settle(last: bool, most: int = 250_000):
+    """For a bucket (or a part of one): equal windows of different blocks; all but the first are repeats.
+
+    Windows of one anchor are looked at together, and of as many anchors at a time as make `most` windows, so a bucket
+    is never held unpacked.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        low, ident, mark, start, size = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]).astype(np.int64) for c, t in _COLUMNS)
-        runs = [len(x) // 4 for x in table.column("low").to_pylist()]
-        block = np.repeat(np.repeat(table.column("block").to_numpy(), runs), size)
-        window = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
-        step = np.arange(len(window)) - np.repeat(np.cumsum(size) - size, size)
-        low, ident, mark, start = np.repeat(low, size), np.repeat(ident, size), np.repeat(mark, size), np.repeat(start, size) + step
+        low, ident, mark, start, size, block, begin, hashes = _runs_of(table)
+        by = np.argsort(low, kind="stable")
+        weight = np.cumsum(size[by])
+        new = np.r_[np.flatnonzero(np.r_[True, low[by][1:] != low[by][:-1]]), len(by)]
+        out, at = [_WINDOWS.empty_table()], 0
+        while at < len(new) - 1:
+            before = weight[new[at] - 1] if new[at] else 0
+            to = max(at + 1, int(np.searchsorted(weight[new[1:] - 1], before + most, "right")))
+            out.extend(settle(by[new[at] : new[to]], bucket, low, ident, mark, start, size, block, begin, hashes))
+            at = to
+        return pa.concat_tables(out)
+
+    def settle(runs, bucket, low, ident, mark, start, size, block, begin, hashes):
+        many = size[runs]
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        window = hashes[np.repeat(begin[runs], many) + step]
+        start = np.repeat(start[runs].astype(np.int64), many) + step
+        low, ident, mark, block = (np.repeat(x[runs].astype(np.int64), many) for x in (low, ident, mark, block))
         order, later = _firsts(low, window, ident, mark, start)
         back = order[later]
         back = back[np.lexsort((start[back], mark[back], ident[back], block[back]))]
         zero = np.zeros(len(back), np.int64)
-        out = [_emit(1, zero, block[back], zero, ident[back], mark[back], start[back], None)]
+        yield _emit(1, zero, block[back], zero, ident[back], mark[back], start[back], None)
         if not last:
             ahead = order[~later]
             ahead = ahead[np.lexsort((start[ahead], mark[ahead], ident[ahead], low[ahead], block[ahead]))]
             for b in np.unique(block[ahead]):
                 x = ahead[block[ahead] == b]
-                out.append(_emit(0, np.full(len(x), bucket), block[x], low[x], ident[x], mark[x], start[x], window[x]))
-        return pa.concat_tables(out)
+                yield _emit(0, np.full(len(x), bucket), block[x], low[x], ident[x], mark[x], start[x], window[x])
 
     return run
 
@@ -372,7 +396,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, k: int = 20, carry: lis
     kept: the words left, joined by one space.  carry: other columns to bring along, as a struct
     `carry`.
     """
-    scratch = Scratch(spark, "substring-dedup")
+    kept, scratch = Scratch(spark, "substring-dedup"), Scratch(spark, "substring-dedup-work")
     rest = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()["bytes"] or 0
@@ -397,7 +421,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, k: int = 20, carry: lis
     gone = repeats[0]
     for x in repeats[1:]:
         gone = gone.union(x)
-    gone = gone.select("block", "id", "mark", "start", "size")
+    gone = kept.table(gone.select("block", "id", "mark", "start", "size"))
+    scratch.drop()  # the result reads what is kept only
     names, out = ["id long", "block long", "mark int", "z binary"], "doc_id long, n_words long, n_removed long, kept string"
     if carry:
         names.append(f"carry {kind['carry']}")
