@@ -25,19 +25,25 @@ def strip_tags(html: Column) -> Column:
     return F.regexp_replace(html, r"<[^>]+>", "")
 
 
-def unescape_basic(text: Column) -> Column:
-    """The five entities of XML, & last."""
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return text
+@F.pandas_udf(StringType())
+def unescape(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """All named and numeric character references of HTML, which Spark has no function for."""
+    for s in texts:
+        yield s.map(_html.unescape, na_action="ignore")
 
 
 def clean_fragment(fragment: Column) -> Column:
-    return collapse(unescape_basic(strip_tags(fragment)))
+    """A fragment without its tags, with character references decoded and white space collapsed."""
+    return collapse(unescape(strip_tags(fragment)))
+
+
+def without_scripts(html: Column) -> Column:
+    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
 
 
 def title(html: Column) -> Column:
     """The title element without a trailing site name, else the first heading; empty if none."""
+    html = without_scripts(html)
     raw = clean_fragment(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
     own = F.trim(F.regexp_replace(raw, r"\s*[|–-]\s*[^|–-]*$", ""))
     heading = clean_fragment(F.regexp_extract(html, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1))
@@ -56,19 +62,21 @@ def atom_entry(xml: Column) -> Column:
     return F.struct(part("title").alias("title"), part("summary").alias("text"), F.try_to_timestamp(F.nullif(part("published"), F.lit(""))).alias("published"))
 
 
-_CONTAINER = re.compile(r"<(article|main|div|section)\b[^>]*?(?:class|id)=[\"'][^\"']*(?:article|content|post|story|body)[^\"']*[\"'][^>]*>|<(article|main)\b[^>]*>", re.I)
+# Names by which an article's container is known.
+CONTAINERS = ("article-body", "article_body", "entry-content", "post-content", "post_content", "pna_l_article_wrapper", "main-content", "story-content")
+_CONTAINER = re.compile(rf"<(\w+)[^>]*(?:class|id)\s*=\s*[\"'][^\"']*(?:{'|'.join(CONTAINERS)})[^\"']*[\"']", re.I)
 
 
 def _container(page: str) -> str:
-    """Inside of the first article-like element, up to its balanced end."""
+    """Markup from the first container's name to its balanced end, or the page's; empty if there is no container."""
     m = _CONTAINER.search(page)
     if not m:
         return ""
-    tag, depth = (m[1] or m[2]), 1
-    for t in re.compile(rf"<(/?){tag}\b[^>]*>", re.I).finditer(page, m.end()):
+    depth = 1
+    for t in re.finditer(rf"<(?:(/){m[1]}\s*>|{m[1]}\b)", page[m.end() :], re.I):
         depth += -1 if t[1] else 1
         if not depth:
-            return page[m.end() : t.start()]
+            return page[m.end() : m.end() + t.start()]
     return page[m.end() :]
 
 
@@ -77,7 +85,7 @@ def _body(page: str | None) -> str | None:
         return None
     page = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", page)
     clean = lambda x: " ".join(_html.unescape(re.sub(r"<[^>]+>", "", x)).split())
-    found = [clean(p) for p in re.findall(r"(?is)<p\b[^>]*>(.*?)</p>", _container(page) or page)]
+    found = [clean(p) for p in re.findall(r"(?is)<p[^>]*>(.*?)</p>", _container(page) or page)]
     found = [p for p in found if p] or [h for h in (clean(x) for x in re.findall(r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", page)) if h]
     return " ".join(found) or None
 
@@ -196,6 +204,11 @@ def json_in_text(text: Column) -> Column:
     return F.nullif(F.when(fenced != "", fenced).otherwise(bare), F.lit(""))
 
 
+def content_hash(values: Column) -> Column:
+    """SHA-256 of the canonical JSON of a JSON text; null where it is not JSON."""
+    return F.sha2(canonical_json(values), 256)
+
+
 def semver(version: Column) -> Column:
     """major, minor, patch as integers; missing or bad parts are 0."""
     part = F.split(version, r"\.")
@@ -208,6 +221,23 @@ def migration_level(before: Column, after: Column) -> Column:
     return F.when(a["major"] != b["major"], "major").when(a["minor"] != b["minor"], "minor").when(a["patch"] != b["patch"], "patch").otherwise("none")
 
 
+def major_bump(before: Column, after: Column) -> Column:
+    """Whether everything has to be evaluated again."""
+    return semver(after)["major"] > semver(before)["major"]
+
+
+def compatible(stored: Column, current: Column) -> Column:
+    """Whether rows of a stored version can be read as of the current one: its major version is not greater."""
+    return ~major_bump(stored, current)
+
+
+def version_valid(axes: Column, sealed: dict[str, str]) -> Column:
+    """Whether a map of version axes holds exactly the sealed axes with their sealed values."""
+    want = F.create_map(*[F.lit(x) for k, v in sorted(sealed.items()) for x in (k, v)])
+    same = F.forall(F.map_entries(want), lambda e: F.coalesce(F.try_element_at(axes, e["key"]) == e["value"], F.lit(False)))
+    return F.coalesce((F.size(axes) == len(sealed)) & same, F.lit(False))
+
+
 def p95(values: Column) -> Column:
     """The value at place int(0.95 * (n - 1)) of the sorted array, to 3 digits; null for none."""
     at = F.floor(F.lit(0.95) * (F.size(values) - 1)).cast("int") + 1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import ids
 from millrace.operators.components import components
+from millrace.operators.order import numbered
 
 # Vocabularies of the gates.
 PREDICATES = ("depends_on", "supplies", "invests_in", "acquires", "partners_with", "manufactures", "regulates", "announces", "located_in", "has_capacity", "has_market_share")
@@ -30,6 +31,7 @@ def claim_gate(claims: DataFrame, least: float = LEAST_CONFIDENCE, predicates: t
     return gated(claims, reasons(
         (c("confidence").isNull() | (c("confidence") < 0) | (c("confidence") > 1), "confidence_out_of_range"), (empty("doc_id"), "missing_doc_id"),
         (c("char_start").isNull() | c("char_end").isNull() | (c("char_start") < 0) | (c("char_end") < c("char_start")), "invalid_span"),
+        *([(F.coalesce(F.size("provenance_ref"), F.lit(0)) < 1, "missing_provenance_ref")] if "provenance_ref" in claims.columns else []),
         (~c("predicate").isin(*predicates), F.concat(F.lit("unknown_predicate:"), c("predicate"))),
         (c("confidence") < least, "low_confidence"), (empty("subject_id"), "missing_subject"),
     ))
@@ -51,7 +53,15 @@ def edge_gate(edges: DataFrame) -> DataFrame:
 def mutations(promoted: DataFrame, ref: str) -> DataFrame:
     """One numbered mutation for each promoted element, whatever its repeats; numbers follow the reference."""
     rows = promoted.select(F.concat(F.lit("promote:"), F.col(ref).cast("string")).alias("idempotency_key")).distinct()
-    return rows.withColumn("mutation_id", F.format_string("mut-%04d", F.row_number().over(Window.orderBy("idempotency_key"))))
+    return numbered(rows, [F.asc("idempotency_key")], "_k").withColumn("mutation_id", F.format_string("mut-%04d", "_k")).drop("_k")
+
+
+# Fixed value: when claims without a publication time count as observed.
+OBSERVED = "2026-08-03 12:00:00"
+
+
+def observed_at(published: Column) -> Column:
+    return F.coalesce(published, F.lit(OBSERVED).cast("timestamp"))
 
 
 def assertions(claims: DataFrame, observed: Column) -> DataFrame:
@@ -59,9 +69,21 @@ def assertions(claims: DataFrame, observed: Column) -> DataFrame:
     return claims.withColumn("assertion_id", ids.typed_id("asr", F.col("claim_id"))).withColumn("tx_from", observed).withColumn("tx_to", F.lit(None).cast("timestamp")).withColumn("valid_from", F.lit(None).cast("timestamp")).withColumn("valid_to", F.lit(None).cast("timestamp")).withColumn("time_precision", F.lit("unknown"))
 
 
-def canonical(claims: DataFrame) -> DataFrame:
+# How two claims may relate, and what a conflict may be judged to be.
+RELATIONS = ("equivalent", "more_specific", "more_general", "supports", "contradicts", "unrelated", "temporally_superseded")
+
+
+def valid_verdicts(verdicts: DataFrame) -> DataFrame:
+    """Verdicts (a, b, relation, confidence, ...) that keep the contract; the others leave the pair undecided."""
+    return verdicts.where(F.col("relation").isin(*RELATIONS) & F.col("confidence").between(0, 1))
+
+
+def canonical(claims: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """(claim_id, canonical_min): claims of a block (subject, predicate) that say the same.
 
+    verdicts: (a, b, relation, confidence) on pairs that the rules leave open; a valid `equivalent` joins two claims
+    of one block.
+
     The same fragment without case and outer spaces, or overlapping neighbours among spans of one
     segment number.  A hot fragment links its claims to their least one, never to each other.
     """
@@ -71,13 +93,18 @@ def canonical(claims: DataFrame) -> DataFrame:
     same = rows.join(least, [*block, "frag"]).select(F.col("claim_id").alias("a"), "b")
     w = Window.partitionBy(*block, "seg_order").orderBy("char_start", "char_end", "claim_id")
     last = rows.withColumn("p", F.lag(F.struct("claim_id", "char_end")).over(w)).where("p is not null and p.char_end > char_start").select(F.col("claim_id").alias("a"), F.col("p.claim_id").alias("b"))
-    found = components(same.union(last), claims.select(F.col("claim_id").alias("node")))
+    links = same.union(last)
+    if verdicts is not None:
+        side = lambda x: claims.select(F.col("claim_id").alias(x), F.col("subject_id").alias(f"s{x}"), F.col("predicate").alias(f"p{x}"))
+        said = valid_verdicts(verdicts).where("relation = 'equivalent'").join(side("a"), "a").join(side("b"), "b")
+        links = links.union(said.where("sa <=> sb and pa <=> pb").select("a", "b"))
+    found = components(links, claims.select(F.col("claim_id").alias("node")))
     return found.select(F.col("node").alias("claim_id"), F.col("component").alias("canonical_min"))
 
 
-def canonical_claims(claims: DataFrame) -> DataFrame:
+def canonical_claims(claims: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """One row for each canonical claim: least fragment, number of members and its id."""
-    rows = claims.join(canonical(claims), "claim_id").groupBy("subject_id", "predicate", "canonical_min")
+    rows = claims.join(canonical(claims, verdicts), "claim_id").groupBy("subject_id", "predicate", "canonical_min")
     out = rows.agg(F.min("surface_fragment").alias("canonical_text"), F.count("*").alias("n_members"), F.array_sort(F.collect_list(F.col("claim_id").cast("string"))).alias("members"))
     quoted = F.array_join(F.transform("members", ids.json_text), ", ")
     text = F.concat(F.lit('{"m": ['), quoted, F.lit('], "p": '), ids.json_text(F.col("predicate").cast("string")), F.lit(', "s": '), ids.json_text(F.col("subject_id").cast("string")), F.lit("}"))
@@ -92,6 +119,22 @@ def conflicts(claims: DataFrame) -> DataFrame:
     return pairs.select(F.col("l.claim_id").alias("a"), F.col("r.claim_id").alias("b"), kind.alias("kind")).where("kind is not null")
 
 
+def conflicts_of(claims: DataFrame, subject: Column) -> DataFrame:
+    """Conflicts of one subject: only its claims are paired."""
+    return conflicts(claims.where(F.col("subject_id") == subject))
+
+
+def reconcile(corpus: DataFrame, new: DataFrame, verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Canonical claims and conflicts of the blocks (subject, predicate) that new claims touch, over the whole corpus.
+
+    corpus: all claims with their status, the new ones among them.  Promoted ones are made canonical; conflicts are
+    sought among all.
+    """
+    touched = new.where(F.col("subject_id").cast("string") != "").select("subject_id", "predicate").distinct()
+    rows = corpus.join(touched, ["subject_id", "predicate"], "left_semi")
+    return canonical_claims(rows.where("status = 'promoted'"), verdicts), conflicts(rows)
+
+
 def judged(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Pairs that a verdict calls a real conflict, or that none was passed on."""
     rows = pairs.join(verdicts.select("a", "b", "verdict"), ["a", "b"], "left")
@@ -101,3 +144,13 @@ def judged(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
 def latest_status(events: DataFrame, key: str, order: str) -> DataFrame:
     """Review state of an element: its last event."""
     return events.groupBy(key).agg(F.max_by("status", order).alias("status"), F.max(order).alias("at"))
+
+
+def golden_from_review(events: DataFrame, pairs: DataFrame, version: str, split: str = "dev") -> DataFrame:
+    """Golden pairs from reviews: the last verdict on each pair, with an id from what it says.
+
+    events: (pair_id, status, label, at); only approved pairs become golden.  pairs: (pair_id, a, b).
+    """
+    last = events.groupBy("pair_id").agg(F.max_by(F.struct("status", "label"), "at").alias("x")).where("x.status = 'approved'")
+    rows = pairs.join(last.select("pair_id", F.col("x.label").alias("label")), "pair_id")
+    return rows.select(ids.typed_id("gold", F.col("a"), F.col("b"), F.col("label"), F.lit(split), F.lit(version)).alias("golden_id"), "a", "b", "label", F.lit(split).alias("split"), F.lit(version).alias("gold_version"))

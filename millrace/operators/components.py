@@ -9,24 +9,32 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the shared folder of spark.checkpoint.dir (a temporary one where that is unset)."""
+    """End the lineage in the shared folder of spark.checkpoint.dir; a temporary one only in local mode where that is unset."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="millrace-"))
     return df.checkpoint()
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component) of an undirected graph (a, b); component: the least node reachable.
 
     Large star, then small star: each node's greater neighbours, then its lesser ones, are linked
-    to the least of them, until the links settle.  Aggregations combine before the shuffle.
+    to the least of them, until the links settle, as they must: they only move to lesser nodes.
+    Aggregations combine before the shuffle.
     """
     link = lambda x, y: [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
     links = cut(edges.select(*link(F.col("a"), F.col("b"))).where("a != b").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before or not now[0]:
+            break
+        before = now
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -34,12 +42,6 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 5
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select("b", "m").union(low.select(F.col("a").alias("b"), "m"))
         links = cut(small.select(*link(F.col("b"), F.col("m"))).where("a != b").distinct())
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     found = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = found.union(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
     if nodes is None:
@@ -47,22 +49,35 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 5
     return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def resolve_pointers(pointers: DataFrame, rounds: int = 32) -> DataFrame:
-    """(node, root) of (node, target) chains; each round doubles the reach, a cycle ends at its least node."""
-    here = cut(pointers.select("node", F.col("target").alias("root")))
-    for _ in range(rounds):
-        nxt = here.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        step = cut(here.join(nxt, "root", "left").select("node", F.coalesce("next", "root").alias("next"), "root"))
-        changed = step.where("next != root and next != node").limit(1).count()
-        here = step.select("node", F.when(F.col("next") == F.col("node"), F.least("node", "root")).otherwise(F.col("next")).alias("root"))
-        if not changed:
+def resolve_pointers(pointers: DataFrame) -> DataFrame:
+    """(node, root) of (node, target) chains, one target for each node; nodes of a cycle, and those that lead into it, get its least node.
+
+    Each round doubles how far a pointer reaches and remembers the least node passed.  After as many rounds as
+    the node count has binary digits a pointer has either ended or gone round its cycle.
+    """
+    n = max(1, pointers.count())
+    here = cut(pointers.select("node", F.col("target").alias("root"), F.col("target").alias("least")))
+    for _ in range(n.bit_length() + 1):
+        nxt = here.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("least").alias("further"))
+        step = cut(here.join(nxt, "root", "left"))
+        moved = step.where("next is not null and next != root").limit(1).count()
+        here = step.select("node", F.coalesce("next", "root").alias("root"), F.least("least", F.coalesce("further", "least")).alias("least"))
+        if not moved:
             break
-    return here
+    # a root that still points elsewhere stands in a cycle, whose least node its own walk has passed
+    inside = pointers.where("node != target").select(F.col("node").alias("root"))
+    inside = here.join(inside, "root", "left_semi").select(F.col("root").alias("node")).distinct()
+    lows = here.join(inside, "node").select(F.col("node").alias("root"), F.col("least").alias("low"))
+    here = here.join(lows, "root", "left").select("node", F.coalesce("low", "root").alias("root"))
+    return here.select("node", "root")
 
 
 def reach(spark: SparkSession, edges: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
-    """(node, depth) within `hops` of the seeds over undirected edges (a, b): one join and one anti join a hop; without hops, all that is reachable."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    """(node, depth) within `hops` of the seeds over undirected edges (a, b): one join and one anti join a hop; without hops, all that is reachable.
+
+    Both directions are written once; each hop reads them again.
+    """
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     depth = 0

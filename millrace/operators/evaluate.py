@@ -74,3 +74,50 @@ def merge_results(parts: DataFrame, key: str, numbers: list[str], lists: list[st
 def runs(metric_rows: DataFrame, names: list[str]) -> DataFrame:
     """One row for each run: when it began, and its metrics side by side."""
     return metric_rows.groupBy("run_id").agg(F.min("recorded_at").alias("began"), *[F.max(F.when(F.col("metric") == n, F.col("value"))).alias(n) for n in names])
+
+
+def metrics_report(pairs: DataFrame, gates: dict[str, tuple[float, float]]) -> DataFrame:
+    """(slice, measured, tp, fp, fn, precision, recall, f1, wrong_merge_rate, passed) of golden pairs (slice, truth, said).
+
+    gates: least precision and recall by slice.  A slice without golden pairs is not measured and passes nothing.
+    """
+    spark = pairs.sparkSession
+    want = spark.createDataFrame([(k, float(p), float(r)) for k, (p, r) in sorted(gates.items())], "slice string, p double, r double")
+    tp, fp, fn = F.count_if(F.col("truth") & F.col("said")), F.count_if(~F.col("truth") & F.col("said")), F.count_if(F.col("truth") & ~F.col("said"))
+    rows = want.join(pairs.groupBy("slice").agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn")), "slice", "left")
+    zero = lambda a, b: F.when(F.col("tp").isNotNull(), F.coalesce(F.try_divide(a, b), F.lit(0.0)))
+    rows = rows.withColumn("precision", zero(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", zero(F.col("tp"), F.col("tp") + F.col("fn")))
+    rows = rows.withColumn("f1", zero(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).withColumn("wrong_merge_rate", zero(F.col("fp"), F.col("tp") + F.col("fp")))
+    passed = F.when(F.col("tp").isNotNull(), (F.col("precision") >= F.col("p")) & (F.col("recall") >= F.col("r")))
+    return rows.select("slice", F.col("tp").isNotNull().alias("measured"), "tp", "fp", "fn", "precision", "recall", "f1", "wrong_merge_rate", passed.alias("passed"))
+
+
+# The quality axes of an investigation with their gates; the first four must pass.
+AXES = {"coverage": 0.9, "citation_linkage": 1.0, "citation_support": 0.95, "modality": 0.95, "independent_evidence": 0.9, "counter_evidence_recall": 0.8, "confidence_sign": 0.9}
+HARD_AXES = ("coverage", "citation_linkage", "citation_support", "modality")
+
+
+def quality_axes(counts: DataFrame, gates: dict[str, float] | None = None) -> DataFrame:
+    """(question_id, axis, measured, value, passed) from (question_id, axis, good, total); nothing counted is not measured."""
+    want = gates or AXES
+    gate = F.create_map(*[F.lit(x) for k, v in sorted(want.items()) for x in (k, float(v))])
+    value = F.try_divide("good", "total")
+    rows = counts.where(F.col("axis").isin(*want)).groupBy("question_id", "axis").agg(F.sum("good").alias("good"), F.sum("total").alias("total"))
+    return rows.select("question_id", "axis", value.isNotNull().alias("measured"), value.alias("value"), (value >= gate[F.col("axis")]).alias("passed"))
+
+
+def quality_report(axes: DataFrame, hard: tuple[str, ...] = HARD_AXES) -> DataFrame:
+    """Per question: how many axes were measured, and whether every hard one that was has passed."""
+    held = ~F.col("axis").isin(*hard) | ~F.col("measured") | F.coalesce("passed", F.lit(False))
+    return axes.groupBy("question_id").agg(F.count_if("measured").alias("measured_axes"), F.every(held).alias("gates_all_pass"))
+
+
+def rebuild_gate(full_s: Column, incremental_s: Column, least: float = 10.0) -> Column:
+    """Whether an incremental update beats a rebuild by the least ratio; null where it was not measured."""
+    return F.when(incremental_s > 0, full_s / incremental_s >= least)
+
+
+def backfill_events(migrated: DataFrame, version: str) -> DataFrame:
+    """An event for each element that a migration wants evaluated again."""
+    key = F.concat_ws(":", F.lit("backfill"), F.lit(version), F.col("element_id").cast("string"))
+    return migrated.where("action = 'backfill'").select(key.alias("idempotency_key"), F.lit("S5").alias("stage"), F.lit("backfill").alias("event_type"), "element_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.claims import conflicts_of
 from millrace.operators.order import numbered
 
 
@@ -45,10 +46,12 @@ def ranked(conclusion: DataFrame, key: str = "subject_id") -> DataFrame:
 
 
 def coverage(planned: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
-    """Planned keys with their evidence, whether they are covered, and the gain of closing the gap."""
+    """Planned keys with their evidence, whether they are covered, and the gain of closing the gap: 1 / planned, 0 where covered."""
     n = evidence.groupBy(key).agg(F.count("*").alias("evidence"))
     rows = planned.join(n, key, "left").withColumn("evidence", F.coalesce("evidence", F.lit(0)))
-    return rows.withColumn("covered", F.col("evidence") > 0)
+    planned_n = planned.agg(F.count("*").alias("_planned"))
+    rows = rows.withColumn("covered", F.col("evidence") > 0).crossJoin(F.broadcast(planned_n))  # one row
+    return rows.withColumn("gain", F.when(F.col("covered"), F.lit(0.0)).otherwise(1 / F.col("_planned"))).drop("_planned")
 
 
 def stop_rule(covered: Column, new_rate: Column, unresolved: Column, steps: Column, budget: Column) -> Column:
@@ -69,11 +72,31 @@ def trace(statements: DataFrame, claims: DataFrame, records: DataFrame) -> DataF
     return rows.withColumn("linked", F.col("doc_id").isNotNull() & F.col("record_id").isNotNull())
 
 
-def counter_evidence(conflict_pairs: DataFrame, claims: DataFrame, subject: Column) -> DataFrame:
-    """Conflicts one of whose sides speaks of the subject."""
-    c = claims.select("claim_id", "subject_id")
-    rows = conflict_pairs.join(c.toDF("a", "a_subject"), "a").join(c.toDF("b", "b_subject"), "b")
-    return rows.where((F.col("a_subject") == subject) | (F.col("b_subject") == subject))
+def counter_evidence(claims: DataFrame, subject: Column) -> DataFrame:
+    """Conflicts among the claims of a subject; claims of others are left out before any pair is made."""
+    return conflicts_of(claims, subject)
+
+
+def by_predicate(assertions: DataFrame) -> DataFrame:
+    """Mean confidence and number of assertions of each subject's predicates."""
+    return assertions.groupBy("subject_id", "predicate").agg(F.avg("confidence").alias("value"), F.count("*").alias("assertions"))
+
+
+def open_questions(assertions: DataFrame, low: float = 0.4) -> DataFrame:
+    """Assertions of low confidence or without evidence, the least certain first."""
+    return assertions.where((F.col("confidence") < low) | (F.col("evidence") == 0)).orderBy("confidence", "subject_id", "predicate", "object_id")
+
+
+def confidence_summary(assertions: DataFrame) -> DataFrame:
+    """(n, least, most, median) of the confidence; the median is exact."""
+    return assertions.agg(F.count("confidence").alias("n"), F.min("confidence").alias("least"), F.max("confidence").alias("most"), F.percentile("confidence", 0.5).alias("median"))
+
+
+def run_outcome(covered: DataFrame, budget: int, threshold: float = 0.9, steps: int = 1) -> DataFrame:
+    """(coverage, gaps, terminated_by) of a read-only run: budget if its steps are spent, coverage if enough is covered, else no_new_evidence."""
+    rows = covered.agg(F.coalesce(F.avg(F.col("covered").cast("int")), F.lit(0.0)).alias("coverage"), F.count_if(~F.col("covered")).alias("gaps"))
+    ended = F.when(F.lit(steps >= budget), "budget").when(F.col("coverage") >= threshold, "coverage").otherwise("no_new_evidence")
+    return rows.withColumn("terminated_by", ended)
 
 
 def hypotheses(subjects: DataFrame) -> DataFrame:

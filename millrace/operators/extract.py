@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions import ids, text
 
@@ -30,25 +36,120 @@ def segments(docs: DataFrame, key: str = "doc_id", column: str = "text") -> Data
 
 
 def offsets(sents: Column) -> Column:
-    """Normalised (start, end) of each sentence: running sums of lengths, without the spaces between."""
-    ends = lambda i: F.aggregate(F.slice(sents, 1, i), F.lit(0), lambda s, x: s + F.length(x))
-    return F.transform(sents, lambda x, i: F.struct(ends(i).alias("start"), (ends(i) + F.length(x)).alias("end")))
+    """Normalised (start, end) of each sentence: running sums of lengths, without the spaces between; one pass."""
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end")))).alias("out"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    return F.aggregate(sents, none, step, lambda acc: acc["out"])
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def raw_offsets(texts: pd.Series, sents: pd.Series) -> pd.Series:
+    """(start, end) of each sentence in the text as it stands, found after the one before; start -1 where white space was collapsed."""
+    out = []
+    for value, parts in zip(texts, sents, strict=True):
+        at, row = 0, []
+        for part in parts if parts is not None else []:
+            start = (value or "").find(part, at)
+            at = start + len(part)
+            row.append({"start": start, "end": at})
+            at = max(at, 0)
+        out.append(row)
+    return pd.Series(out)
+
+
+#: Names that a task's automaton may hold.
+MOST_NAMES = 200_000
+
+
+def _name_rows(names: DataFrame) -> list[tuple[str, str, dict]]:
+    """The gazetteer as rows; one that is too large for a task is refused."""
+    keyed = "identifiers" in names.columns
+    rows = names.select("surface", "mention_type", *(["identifiers"] if keyed else [])).limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"a gazetteer holds at most {MOST_NAMES} names")
+    return [(r["surface"], r["mention_type"], dict(r["identifiers"] or {}) if keyed else {}) for r in rows if r["surface"]]
+
+
+def _occurrences(names: list[tuple[str, str, dict]], whole_words: bool, strong: bool):
+    """A function from a text to its candidates (start, end, surface, mention_type, identifiers), by one pass for all names."""
+    import ahocorasick
+
+    finder = ahocorasick.Automaton()
+    held: dict[str, list] = {}
+    for surface, kind, known in names:
+        held.setdefault(surface, []).append((kind, known))
+    for surface, kinds in held.items():
+        finder.add_word(surface, (len(surface), surface, kinds))
+    if held:
+        finder.make_automaton()
+    ticker, host = re.compile(TICKER), re.compile(URL_HOST)
+    inside = lambda c: c.isalnum()
+
+    def run(value: str) -> list[tuple]:
+        out = []
+        if held:
+            for last, (size, surface, kinds) in finder.iter(value):
+                lo, hi = last - size + 1, last + 1
+                if whole_words and (lo and inside(value[lo - 1]) or hi < len(value) and inside(value[hi])):
+                    continue
+                out.extend((lo, hi, surface, kind, known) for kind, known in kinds)
+        if strong:
+            for pattern, key, group in ((ticker, "ticker", 1), (host, "url", 0)):
+                for m in pattern.finditer(value):
+                    surface = _EDGE.sub("", m[1]).strip()
+                    if surface:
+                        out.append((m.start(1), m.end(1), surface, "Organization", {key: m[group]}))
+        return out
+
+    return run
+
+
+_EDGE = re.compile(r"[,.;:!?()\]]")
+
+
+def _found(batches, find, apart: bool, radius: int, schema: pa.Schema):
+    for batch in batches:
+        out: list[list] = [[] for _ in schema]
+        for doc_id, value in zip(batch.column("doc_id"), batch.column("text").to_pylist(), strict=True):
+            end = 0
+            spans = sorted(find(value or ""), key=lambda x: (x[0], x[0] - x[1]))
+            for lo, hi, surface, kind, known in spans:
+                if apart and lo < end:
+                    continue
+                end = max(end, hi)
+                row = (doc_id.as_py(), surface, kind, lo, hi, list(known.items()), value[max(0, lo - radius) : hi + radius] if radius else None)
+                for column, x in zip(out, row, strict=True):
+                    column.append(x)
+        yield pa.record_batch([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+
+
+def _spans(docs: DataFrame, names: DataFrame, whole_words: bool, strong: bool, apart: bool, radius: int) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType
+    ddl = f"doc_id {kind.simpleString()}, surface string, mention_type string, start int, end int, identifiers map<string,string>, context string"
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+    rows = _name_rows(names)
+
+    def run(batches):
+        yield from _found(batches, _occurrences(rows, whole_words, strong), apart, radius, schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, ddl)
 
 
 def gazetteer_mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, surface, mention_type, start, end) of every whole-word occurrence of a name.
+    """(doc_id, surface, mention_type, start, end) of every whole-word occurrence of a name of one word or more."""
+    return _spans(docs, names, True, False, False, 0).select("doc_id", "surface", "mention_type", "start", "end")
+
+
+def mentions(docs: DataFrame, names: DataFrame, radius: int = 96) -> DataFrame:
+    """All mentions of documents: tickers, hosts and exact names, without overlaps, each with its id.
 
-    names: (surface, mention_type), one word each, few enough to broadcast by Spark's own size check.
+    names: (surface, mention_type) and, if known, identifiers map<string,string>.  Of overlapping candidates
+    the first to start stays, the longer one of those that start together.  Tickers and hosts are
+    their own identifiers.
     """
-    word = r"[\p{L}\p{N}]+"
-    found = F.regexp_extract_all("text", F.lit(word), 0)
-    gaps = F.split("text", word)
-    rows = docs.select("doc_id", found.alias("w"), gaps.alias("g"))
-    # a running place: lengths of the gaps and words before
-    step = F.aggregate(F.sequence(F.lit(1), F.size("w")), F.array().cast("array<int>"), lambda acc, i: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(F.element_at("g", i)) + F.when(i > 1, F.length(F.element_at("w", i - 1))).otherwise(F.lit(0)))))
-    rows = rows.where(F.size("w") > 0).select("doc_id", F.explode(F.arrays_zip(F.col("w").alias("w"), step.alias("at"))).alias("x"))
-    hit = rows.select("doc_id", F.col("x.w").alias("surface"), F.col("x.at").alias("start")).join(names, "surface")
-    return hit.select("doc_id", "surface", "mention_type", "start", (F.col("start") + F.length("surface")).alias("end"))
+    rows = _spans(docs, names, False, True, True, radius)
+    mention_id = ids.typed_id("men", F.col("doc_id"), F.col("start"), F.col("end"), F.col("surface"), sep=":")
+    return rows.select("doc_id", mention_id.alias("mention_id"), "surface", "mention_type", "start", "end", "context", "identifiers")
 
 
 def pattern_mentions(docs: DataFrame, pattern: str, mention_type: str) -> DataFrame:
@@ -63,14 +164,34 @@ def without_overlaps(spans: Column) -> Column:
     return F.aggregate(ordered, F.slice(ordered, 1, 0), keep)
 
 
-def resolve(mentions: DataFrame) -> DataFrame:
-    """(doc_id, mention_type, block, name, n, entity_id): mentions of a document by case-folded surface.
+def resolve(mentions: DataFrame, fold: bool = False) -> DataFrame:
+    """(doc_id, mention_type, block, name, n, entity_id, identifiers): the entities that a document mentions.
+
+    Mentions with identifiers are one entity if these are equal; others if type and surface are (fold: without
+    case).  The name is the most frequent surface, the least of equals.
+    """
+    rows = mentions if "identifiers" in mentions.columns else mentions.withColumn("identifiers", F.create_map().cast("map<string,string>"))
+    rows = rows.withColumn("keys", F.array_sort(F.map_entries(F.coalesce("identifiers", F.create_map().cast("map<string,string>")))))
+    rows = rows.withColumn("block", block_of(F.col("keys"), F.col("surface"), fold)).groupBy("doc_id", "mention_type", "block", "keys", "surface").agg(F.count("*").alias("k"))
+    best = rows.groupBy("doc_id", "mention_type", "block", "keys").agg(F.min_by("surface", F.struct(-F.col("k"), F.col("surface"))).alias("name"), F.sum("k").alias("n"))
+    return best.select("doc_id", "mention_type", "block", "name", "n", ids.entity_id(F.col("mention_type"), F.col("name"), F.col("keys")).alias("entity_id"), F.map_from_entries("keys").alias("identifiers"))
+
+
+def block_of(keys: Column, surface: Column, fold: bool = False) -> Column:
+    """What mentions of one entity share within a document and type."""
+    return F.when(F.size(keys) > 0, F.to_json(keys)).otherwise(F.lower(surface) if fold else surface)
+
+
+def extraction_records(elements: DataFrame, element: str, **columns: Column) -> DataFrame:
+    """The trail of each extracted element to its document: an id from the element's, its span and what made it.
 
-    The name is the most frequent surface, the least of equals.
+    columns: further columns such as content_hash, fetched_at, published_at, model_id or schema_version; those that
+    the elements have under these names are taken over.
     """
-    rows = mentions.groupBy("doc_id", "mention_type", F.lower("surface").alias("block"), "surface").agg(F.count("*").alias("k"))
-    best = rows.groupBy("doc_id", "mention_type", "block").agg(F.min_by("surface", F.struct(-F.col("k"), F.col("surface"))).alias("name"), F.sum("k").alias("n"))
-    return best.withColumn("entity_id", ids.entity_id(F.col("mention_type"), F.col("name")))
+    known = ("segment_id", "content_hash", "fetched_at", "published_at", "model_id", "prompt_template_hash", "schema_version", "preprocess_code_version")
+    more = [columns[k].alias(k) if k in columns else F.col(k) if k in elements.columns else F.lit(None).cast("string").alias(k) for k in known]
+    span = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) if c in elements.columns else F.lit(0).cast("long").alias(c) for c in ("char_start", "char_end")]
+    return elements.select(ids.typed_id("ext", F.col(element)).alias("extraction_id"), F.col(element).cast("string").alias("element_id"), "doc_id", *span, *more)
 
 
 def alias_candidates(entities: DataFrame) -> DataFrame:
@@ -106,7 +227,7 @@ def claims(segs: DataFrame, rules: list[tuple[str, str, str]], subjects: DataFra
     if "start" in subjects.columns:
         later = F.array_sort(F.filter("all", lambda m: (m["entity_id"] != F.col("subject_id")) & (m["start"] >= F.col("char_end"))))
         found = found.withColumn("object_id", F.get(later, F.lit(0))["entity_id"]).drop("all")
-    return found.withColumn("claim_id", ids.typed_id("clm", F.col("doc_id"), F.col("seg_order"), F.col("char_start"), F.col("char_end"), F.col("predicate"), sep=":")).withColumn("confidence", F.lit(0.8)).withColumn("polarity", F.lit("positive"))
+    return found.withColumn("claim_id", ids.typed_id("clm", F.col("doc_id"), F.col("seg_order"), F.col("char_start"), F.col("char_end"), F.col("predicate"), sep=":")).withColumn("confidence", F.lit(0.8)).withColumn("polarity", F.lit("positive")).withColumn("modality", F.lit("asserted"))
 
 
 def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

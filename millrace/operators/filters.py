@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.functions.text import source_type as kind_of_source
 
-# Vocabularies of the event envelope.
-STAGES = ("discovery", "raw_stored", "parsed", "deduped", "extracted", "resolved", "promoted")
+# The stages of the pipeline with their names in topics, the routes of a stage, and the envelope's limits.
+STAGES = {"S1": "fetch", "S2": "store-raw", "S3": "parse-normalize", "S4": "dedup", "S5": "extract", "S6": "resolve", "S7": "graph-mutation"}
 ROUTES = ("primary", "retry", "dlq", "quarantine")
-STATUSES = ("ok", "failed", "skipped")
+VERSION, MAX_BYTES, MAX_DEPTH, MAX_SCALAR = 1, 1_048_576, 32, 8_192
 
 
 def valid_source_id(source_id: Column) -> Column:
     return source_id.rlike("^[a-z0-9][a-z0-9._-]{0,127}$")
 
 
-def archive(docs: DataFrame, source: str | None = None, lang: str | None = None, q: str | None = None, columns: tuple[str, ...] = ("text",)) -> DataFrame:
-    """Documents of a source and language (null: unknown) that hold a case-blind substring."""
+def archive(
+    docs: DataFrame,
+    source: str | None = None,
+    lang: str | None = None,
+    q: str | None = None,
+    columns: tuple[str, ...] = ("text",),
+    source_type: str | None = None,
+    doc_ids: DataFrame | None = None,
+) -> DataFrame:
+    """Documents of a source, source type and language (null: unknown), of a set of ids, that hold a case-blind substring."""
     out = docs
     if source is not None:
         out = out.where(F.col("source") == source)
+    if source_type is not None:
+        out = out.where(kind_of_source(F.col("source")) == source_type)
     if lang is not None:
         out = out.where(F.coalesce("lang", F.lit("unknown")) == lang)
     if q is not None:
@@ -27,6 +43,8 @@ def archive(docs: DataFrame, source: str | None = None, lang: str | None = None,
         for c in columns:
             hit = hit | F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(q.lower())), F.lit(False))
         out = out.where(hit)
+    if doc_ids is not None:
+        out = out.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     return out
 
 
@@ -39,15 +57,62 @@ def valid_span(start: Column, end: Column) -> Column:
     return F.coalesce((start >= 0) & (start <= end), F.lit(False))
 
 
-def envelope_reasons(e: DataFrame, max_bytes: int = 65_536) -> Column:
-    """What is wrong with an envelope (stage, event_type, status, payload JSON, occurred_at), in order."""
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON value")
+
+
+def _nesting(payload: str) -> tuple[int, int]:
+    """How deep a JSON text nests, the payload itself at depth 2, and its longest text or key; (-1, -1) if it is no JSON object."""
+    try:
+        root = json.loads(payload, parse_constant=_no_number)
+    except (ValueError, RecursionError):
+        return -1, -1
+    if not isinstance(root, dict):
+        return -1, -1
+    deepest, longest, level, depth = 0, 0, [root], 2
+    while level:
+        deepest, below = depth, []
+        for x in level:
+            if isinstance(x, str):
+                longest = max(longest, len(x))
+            elif isinstance(x, dict):
+                longest = max([longest, *map(len, x)])
+                below.extend(x.values())
+            elif isinstance(x, list):
+                below.extend(x)
+        level, depth = below, depth + 1
+    return deepest, longest
+
+
+@F.pandas_udf(T.StructType([T.StructField("depth", T.IntegerType()), T.StructField("longest", T.IntegerType())]))
+def nesting(payloads: pd.Series) -> pd.DataFrame:
+    """Depth and longest text of JSON payloads."""
+    return pd.DataFrame([_nesting(p) if p is not None else (-1, -1) for p in payloads], columns=["depth", "longest"], dtype="int32")
+
+
+def envelope_reasons(e: DataFrame, max_bytes: int = MAX_BYTES) -> Column:
+    """What is wrong with an envelope, in order; columns that it lacks are not judged.
+
+    Names and keys must not be empty, the stage must be one of the seven, the attempt count not negative, the
+    payload a JSON object within the limits of size, nesting and text length.
+    """
     c = F.col
+    has = lambda name: name in e.columns
+    shape = nesting(c("payload"))
+    text = [k for k in ("event_id", "event_type", "status", "idempotency_key", "correlation_id") if has(k)]
+    long_text = F.lit(False)
+    for k in text:
+        long_text = long_text | F.coalesce(F.length(k) > MAX_SCALAR, F.lit(False))
     return F.array_compact(F.array(
+        *([F.when(~c("event_version").eqNullSafe(F.lit(VERSION)), "unsupported_version")] if has("event_version") else []),
         F.when(~c("stage").isin(*STAGES) | c("stage").isNull(), "unknown_stage"),
-        F.when(c("event_type").isNull() | (c("event_type") == ""), "missing_type"),
+        *[F.when(c(k).isNull() | (c(k) == ""), f"missing_{k}") for k in text],
+        *([F.when(c("attempt_count").isNull() | (c("attempt_count") < 0), "bad_attempt_count")] if has("attempt_count") else []),
         F.when(c("occurred_at").isNull(), "missing_time"),
         F.when(F.octet_length("payload") > max_bytes, "oversized"),
-        F.when(F.try_parse_json(c("payload")).isNull(), "bad_json"),
+        F.when(shape["depth"] < 0, "bad_json"),
+        F.when(shape["depth"] > MAX_DEPTH, "too_deep"),
+        F.when((shape["longest"] > MAX_SCALAR) | long_text, "scalar_too_long"),
     ))
 
 
@@ -60,3 +125,35 @@ def verdict(record: Column) -> Column:
     """A verdict struct from JSON, null where its label or score is not in range."""
     v = F.from_json(record, "label string, score double")
     return F.when(v["label"].isin("equivalent", "different", "real_conflict", "no_conflict") & v["score"].between(0, 1), v)
+
+
+# The fields that a record of each kind must have, and its vocabularies.
+REQUIRED = {
+    "claim": ("claim_candidate_id", "doc_id", "predicate", "subject_id", "modality", "polarity", "confidence", "seg_order", "char_start", "char_end", "surface_fragment"),
+    "canonical_verdict": ("relation", "canonical_text", "confidence"),
+    "contradiction_verdict": ("verdict", "rationale", "confidence"),
+    "report": ("subject_id", "conclusion", "statements", "open_questions"),
+}
+RELATIONS = ("contradicts", "equivalent", "more_general", "more_specific", "supports", "temporally_superseded", "unrelated")
+VERDICTS = ("apparent_only", "context_dependent", "real_conflict")
+
+
+def record_reason(record: Column, kind: str) -> Column:
+    """Why a JSON record of this kind is not valid; null if it is.  The first fault counts, in the order below."""
+    lacks = F.array_sort(F.array_except(F.array(*[F.lit(k) for k in REQUIRED[kind]]), F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))))
+    field = lambda k: F.get_json_object(record, f"$.{k}")
+    tests = [
+        (F.try_parse_json(record).isNull() | ~F.ltrim(record).startswith("{"), F.lit("not an object")),
+        (F.size(lacks) > 0, F.concat(F.lit("missing: "), F.array_join(lacks, ", "))),
+    ]
+    if "confidence" in REQUIRED[kind]:
+        tests.append((~F.coalesce(field("confidence").try_cast("double").between(0, 1), F.lit(False)), F.lit("confidence not in [0,1]")))
+    if kind == "canonical_verdict":
+        tests.append((~F.coalesce(field("relation").isin(*RELATIONS), F.lit(False)), F.lit("unknown relation")))
+    if kind == "contradiction_verdict":
+        tests.append((~F.coalesce(field("verdict").isin(*VERDICTS), F.lit(False)), F.lit("unknown verdict")))
+        tests.append((F.coalesce(F.trim(field("rationale")), F.lit("")) == "", F.lit("rationale is empty")))
+    if kind == "report":
+        shape = {"conclusion": "{", "statements": "[", "open_questions": "["}
+        tests.extend((~F.coalesce(F.ltrim(field(k)).startswith(sign), F.lit(False)), F.lit(f"{k} has the wrong type")) for k, sign in shape.items())
+    return F.coalesce(*[F.when(t, r) for t, r in tests])

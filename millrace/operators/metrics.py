@@ -97,3 +97,14 @@ def slo(value: Column, bound: float, at_least: bool = True) -> Column:
     """pass, fail, or not_measured for null."""
     ok = value >= bound if at_least else value <= bound
     return F.when(value.isNull(), "not_measured").when(ok, "pass").otherwise("fail")
+
+
+def governance(fetches: DataFrame, source: str, at: str, *first: str) -> DataFrame:
+    """(source, latest, n, ...): each source's last fetch, and the columns `first` as its earliest fetch had them."""
+    return fetches.groupBy(source).agg(F.max(at).alias("latest"), F.count("*").alias("n"), *[F.min_by(c, at).alias(f"first_{c}") for c in first])
+
+
+def overview(claims: DataFrame) -> DataFrame:
+    """(kind, name, n): claims by predicate, and how many are in quarantine."""
+    by = claims.groupBy(F.lit("predicate").alias("kind"), F.col("predicate").alias("name")).agg(F.count("*").alias("n"))
+    return by.union(claims.agg(F.lit("status"), F.lit("quarantined"), F.count_if(F.col("status") == "quarantined")))

@@ -5,20 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.components import cut
+
 
 def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """Rows with their place, from 1, in a total order.
 
-    Each range partition numbers its own rows; partitions start after the sizes of those before, a table of one row
-    for each partition.
+    The rows are written once in range partitions, each with its partition's number: sizes and places are read
+    from those files, so both come from the same partitions however their plans differ.  Each partition numbers
+    its own rows; partitions start after the sizes of those before, a table of one row for each partition.
     """
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    parts = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_p", "_base")
-    rows = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order))).join(base, "_p")
+    rows = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order))).join(F.broadcast(base), "_p")
     return rows.withColumn(name, (F.col("_r") + F.col("_base")).cast("long")).drop("_p", "_r", "_base")
 
 
 def round_robin(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """Rows dealt to k shards in turn."""
     return numbered(df, order, "_at").withColumn("shard", F.pmod(F.col("_at") - 1, F.lit(k)).cast("int")).drop("_at")
+
+
+def at_place(df: DataFrame, keys: list[str], value: str, place: Column, name: str) -> DataFrame:
+    """For each group the value at a place (from 0) of its sorted values, nulls left out; place may use the group's size `n`.
+
+    All rows are numbered in one global order of group and value, so a hot group is spread like any other.
+    """
+    rows = numbered(df.where(F.col(value).isNotNull()).select(*keys, value), [F.asc(k) for k in [*keys, value]], "_at")
+    first = rows.groupBy(*keys).agg(F.min("_at").alias("_first"), F.count("*").alias("n"))
+    first = first.select(*[F.col(k).alias(f"_{k}") for k in keys], "n", (F.col("_first") + place.cast("long")).alias("_want"))
+    same = F.col("_at") == F.col("_want")
+    return rows.join(first, same).select(*keys, F.col(value).alias(name), "n")

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from millrace.functions import text
 
 
-def bm25(spark: SparkSession, docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 1.0, top: int = 5) -> DataFrame:
+#: Query vectors that a scan may hold.
+MOST_QUERIES = 10_000
+
+
+def bm25(spark: SparkSession, docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 1.0, top: int = 5, bonus: float = 0.5) -> DataFrame:
     """(query_id, doc_id, score, rank): the best documents of each query.
 
-    Only tokens that a query asks for leave the scan; a term that stands twice in a query adds twice.
+    Only tokens that a query asks for leave the scan; a term that stands twice in a query adds twice.  If queries and
+    documents have a subject_id, equal ones add `bonus`.
     """
     terms = queries.select("query_id", F.explode(text.query_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     tokens = docs.select("doc_id", text.search_tokens(F.col("text")).alias("t")).select("doc_id", "t", F.size("t").alias("len"))
@@ -23,6 +28,10 @@ def bm25(spark: SparkSession, docs: DataFrame, queries: DataFrame, k1: float = 1
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = rows.groupBy("query_id", "doc_id").agg(F.sum(part * F.col("times")).alias("score"))
+    if "subject_id" in docs.columns and "subject_id" in queries.columns:
+        same = docs.select("doc_id", F.col("subject_id").alias("_d")).distinct()
+        asked = queries.select("query_id", F.col("subject_id").alias("_q"))
+        scored = scored.join(asked, "query_id").join(same, (scored["doc_id"] == same["doc_id"]) & (F.col("_d") == F.col("_q")), "left").select("query_id", scored["doc_id"], (F.col("score") + F.when(F.col("_d").isNotNull(), F.lit(bonus)).otherwise(F.lit(0.0))).alias("score"))
     return top_k(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], top)
 
 
@@ -36,7 +45,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Exact nearest vectors of a few query vectors (query_id, q): one scan, a bounded heap for each query in each task."""
+    """Exact nearest vectors of at most MOST_QUERIES query vectors (query_id, q): one scan, a bounded heap for each query in each task."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"at most {MOST_QUERIES} query vectors at a time")
     rows = vectors.crossJoin(F.broadcast(queries)).where("vec_id != query_id")
     scored = rows.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
     return top_k(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("vec_id")], k)
@@ -59,3 +70,21 @@ def search(docs: DataFrame, query: str, columns: list[str], limit: int = 10) ->
         hit = hit | F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(q)), F.lit(False))
     found = docs.where(hit)
     return found.agg(F.count("*").alias("total")), found.orderBy("doc_id").limit(limit)
+
+
+def search_all(zones: dict[str, tuple[DataFrame, str, list[str]]], query: str, limit: int = 10) -> tuple[DataFrame, DataFrame]:
+    """A case-blind substring in several tables: (zone, total), and (zone, key) of the first hits of each.
+
+    zones: by name a table, its key column and the columns to search.
+    """
+    q, totals, firsts = query.lower(), None, None
+    for name, (df, key, columns) in sorted(zones.items()):
+        hit = F.lit(False)
+        for c in columns:
+            hit = hit | F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(q)), F.lit(False))
+        found = df.where(hit).select(F.lit(name).alias("zone"), F.col(key).cast("string").alias("key"), F.col(key).alias("_order"))
+        total = found.agg(F.count("*").alias("total")).select(F.lit(name).alias("zone"), "total")
+        first = found.orderBy("_order").limit(limit).select("zone", "key")
+        totals = total if totals is None else totals.union(total)
+        firsts = first if firsts is None else firsts.union(first)
+    return totals, firsts

@@ -29,7 +29,7 @@ def run(docs: DataFrame, names: DataFrame, rules: list[tuple[str, str, str]] | N
     segs = extract.segments(docs)
     mentions = extract.gazetteer_mentions(docs, names)
     entities = extract.resolve(mentions)
-    found = mentions.withColumn("block", F.lower("surface")).join(entities.select("doc_id", "mention_type", "block", "entity_id"), ["doc_id", "mention_type", "block"])
+    found = mentions.withColumn("block", F.col("surface")).join(entities.select("doc_id", "mention_type", "block", "entity_id"), ["doc_id", "mention_type", "block"])
     subjects = found.select("doc_id", "surface", "entity_id", F.struct("start", "entity_id").alias("pos"), "start")
     made = extract.claims(segs, rules or extract.CLAIM_RULES, subjects)
     gated = C.claim_gate(made)

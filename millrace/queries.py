@@ -7,6 +7,8 @@ customer, order, part and supplier keys are a property graph.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -140,7 +142,11 @@ def source_types(spark, sf):
 
 
 # pages
-@query()
+_PLAIN_SQL = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&#39;', ''''), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g') AS h FROM pages), p AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(h, '(?is)<p[^>]*>(.*?)</p>', 1), lambda x: {_PLAIN_SQL.format('x')}), lambda x: x <> '') AS p, list_filter(list_transform(regexp_extract_all(h, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1), lambda x: {_PLAIN_SQL.format('x')}), lambda x: x <> '') AS g FROM h)
+SELECT page_id, nullif(array_to_string(CASE WHEN len(p) > 0 THEN p ELSE g END, ' '), '') AS body FROM p""")
 def html_extract(spark, sf):
     return _t(spark, sf, "pages").select("page_id", text.body_text("html").alias("body"))
 
@@ -173,7 +179,7 @@ def mention_extract(spark, sf):
 b AS (SELECT doc_id, mention_type, lower(surface) AS block, arg_min(surface, {{'k': -k, 's': surface}}) AS name, CAST(sum(k) AS BIGINT) AS n FROM m GROUP BY ALL)
 SELECT doc_id, mention_type, block, name, n, 'org-' || {_SHORT.format("'{" + '"c": "' + "' || name || '" + '", "i": [], "t": "' + "' || mention_type || '" + '"}' + "'")} AS entity_id FROM b""")
 def entity_resolution(spark, sf):
-    return extract.resolve(extract.gazetteer_mentions(_t(spark, sf, "documents"), _names(spark)))
+    return extract.resolve(extract.gazetteer_mentions(_t(spark, sf, "documents"), _names(spark)), fold=True).drop("identifiers")
 
 
 def _chain(spark, sf):
@@ -182,7 +188,7 @@ def _chain(spark, sf):
 
 @query()
 def claim_extract(spark, sf):
-    return _chain(spark, sf).claims.drop("object_id")
+    return _chain(spark, sf).claims
 
 
 @query()
@@ -265,7 +271,13 @@ def signal_distribution(spark, sf):
 @query("SELECT p_partkey, coalesce(n, 0) AS evidence, coalesce(n, 0) > 0 AS covered FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON p_partkey = l_partkey")
 def coverage_gaps(spark, sf):
     line = _t(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
-    return evidence.coverage(_t(spark, sf, "part").select("p_partkey"), line, "p_partkey")
+    return evidence.coverage(_t(spark, sf, "part").select("p_partkey"), line, "p_partkey").drop("gain")
+
+
+@query("SELECT p_partkey, round(CASE WHEN l_partkey IS NULL THEN 1.0 / (SELECT count(*) FROM part) ELSE 0.0 END, 9) AS gain FROM part LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_discount > 0.09 AND l_quantity > 30) ON p_partkey = l_partkey")
+def gap_gains(spark, sf):
+    line = _t(spark, sf, "lineitem").where("l_discount > 0.09 and l_quantity > 30").select(F.col("l_partkey").alias("p_partkey"))
+    return evidence.coverage(_t(spark, sf, "part").select("p_partkey"), line, "p_partkey").select("p_partkey", F.round("gain", 9).alias("gain"))
 
 
 @query("SELECT o_orderkey AS statement, c_custkey IS NOT NULL AND r IS NOT NULL AS linked, r AS record_id FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, min(l_linenumber) AS r FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
@@ -276,10 +288,14 @@ def audit_trace(spark, sf):
     return evidence.trace(known.select(F.col("claim_id")), known, records).select(F.col("claim_id").alias("statement"), "linked", "record_id")
 
 
-@query(f"""WITH c AS ({_CLAIMS_SQL}) SELECT a.claim_id AS a, b.claim_id AS b FROM c a JOIN c b ON a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.claim_id < b.claim_id WHERE (a.polarity <> b.polarity OR a.object_id <> b.object_id) AND a.subject_id = 1""")
+_CONFLICTS_SQL = f"WITH c AS ({_CLAIMS_SQL}), k AS (SELECT a.claim_id AS a, b.claim_id AS b, a.subject_id, CASE WHEN a.polarity <> b.polarity THEN 'polarity' ELSE 'value_conflict' END AS kind FROM c a JOIN c b ON a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.claim_id < b.claim_id WHERE a.polarity <> b.polarity OR a.object_id <> b.object_id)"
+
+
+@query(f"{_CONFLICTS_SQL} SELECT a, b, kind FROM k WHERE subject_id = (SELECT min(subject_id) FROM k)")
 def counter_evidence(spark, sf):
     c = _claims(spark, sf)
-    return evidence.counter_evidence(claims.conflicts(c), c, F.lit(1)).select("a", "b")
+    disputed = c.groupBy("subject_id", "predicate").agg(F.countDistinct("object_id").alias("o"), F.countDistinct("polarity").alias("p")).where("o > 1 or p > 1")
+    return evidence.counter_evidence(c, F.lit(disputed.agg(F.min("subject_id")).first()[0]))
 
 
 # time
@@ -463,8 +479,8 @@ def rolling_7d_rate(spark, sf):
 
 @query("SELECT event_type, round(list_sort(list(value))[CAST(floor(0.95 * (count(*) - 1)) AS INTEGER) + 1], 3) AS p95, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
 def p95_latency(spark, sf):
-    rows = _t(spark, sf, "events").where("value is not null").groupBy("event_type").agg(F.collect_list("value").alias("v"), F.count("*").alias("n"))
-    return rows.select("event_type", text.p95(F.col("v")).alias("p95"), "n")
+    rows = order.at_place(_t(spark, sf, "events"), ["event_type"], "value", F.floor(F.lit(0.95) * (F.col("n") - 1)), "p95")
+    return rows.select("event_type", F.round("p95", 3).alias("p95"), "n")
 
 
 @query("""WITH c AS (SELECT user_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events WHERE event_type IN ('view', 'purchase')), k AS (SELECT * FROM c WHERE b IS NULL OR b <> event_type), l AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS left_at FROM k)
@@ -477,8 +493,9 @@ def dwell_times(spark, sf):
 
 @query("SELECT source, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most, list_sort(list(n_chars))[count(*) // 2 + 1] AS upper_median FROM documents GROUP BY 1")
 def freshness_summary(spark, sf):
-    rows = _t(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.collect_list("n_chars").alias("v"))
-    return rows.select("source", "n", "least", "most", metrics.upper_median(F.col("v")).alias("upper_median"))
+    docs = _t(spark, sf, "documents")
+    rows = docs.groupBy("source").agg(F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+    return rows.join(order.at_place(docs, ["source"], "n_chars", F.floor(F.col("n") / 2), "upper_median"), "source").select("source", "n", "least", "most", "upper_median")
 
 
 @query("SELECT user_id, round(CAST(count(*) FILTER (WHERE event_type IN ('click', 'purchase')) AS DOUBLE) / count(*), 6) AS density FROM events GROUP BY 1")
@@ -575,9 +592,9 @@ def filter_pivot(spark, sf):
 
 @query("SELECT event_id, json_valid(props) AND event_type <> '' AS valid, len(props) > 60 AS oversized FROM events")
 def envelope_validation(spark, sf):
-    e = _t(spark, sf, "events").withColumn("stage", F.lit("parsed")).withColumn("occurred_at", F.col("ts")).withColumn("payload", F.col("props"))
+    e = _t(spark, sf, "events").withColumn("event_id", F.col("event_id").cast("string")).withColumn("stage", F.lit("S3")).withColumn("occurred_at", F.col("ts")).withColumn("payload", F.col("props"))
     r = filters.envelope_reasons(e, 60)
-    return e.select("event_id", (~F.array_contains(r, "bad_json") & ~F.array_contains(r, "missing_type")).alias("valid"), F.array_contains(r, "oversized").alias("oversized"))
+    return e.select(F.col("event_id").cast("long").alias("event_id"), (~F.array_contains(r, "bad_json") & ~F.array_contains(r, "missing_event_type")).alias("valid"), F.array_contains(r, "oversized").alias("oversized"))
 
 
 @query("SELECT conv_id, count(*) AS turns, arg_min(role, turn) AS opens, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1")
@@ -586,6 +603,160 @@ def conversation_sessions(spark, sf):
     return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min_by("role", "turn").alias("opens"), F.sum(F.length("text")).alias("chars"))
 
 
+_NEW_SQL = "SELECT DISTINCT subject_id, predicate FROM c WHERE l_shipdate >= TIMESTAMP '1998-11-01 00:00:00'"
+
+
+@query(f"WITH c AS ({_CLAIMS_SQL}), n AS ({_NEW_SQL}), x AS (SELECT c.* FROM c JOIN n USING (subject_id, predicate)) SELECT CASE WHEN a.polarity <> b.polarity THEN 'polarity' ELSE 'value_conflict' END AS kind, count(*) AS n FROM x a JOIN x b ON a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.claim_id < b.claim_id WHERE a.polarity <> b.polarity OR a.object_id <> b.object_id GROUP BY 1")
+def reconciled_conflicts(spark, sf):
+    c = _claims(spark, sf).withColumn("status", F.lit("promoted")).withColumn("surface_fragment", F.col("polarity")).withColumn("char_start", F.lit(0)).withColumn("char_end", F.lit(0))
+    return claims.reconcile(c, c.where("l_shipdate >= timestamp_ntz'1998-11-01 00:00:00'"))[1].groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH c AS ({_CLAIMS_SQL}), p AS (SELECT *, lag(claim_id) OVER w AS b FROM c WINDOW w AS (PARTITION BY subject_id, predicate ORDER BY claim_id)), g AS (SELECT *, sum(CASE WHEN b IS NOT NULL AND claim_id % 2 = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY subject_id, predicate ORDER BY claim_id) AS island FROM p) SELECT claim_id, min(claim_id) OVER (PARTITION BY subject_id, predicate, island) AS canonical_min FROM g")
+def judged_canonical(spark, sf):
+    c = _claims(spark, sf).withColumn("surface_fragment", F.col("claim_id").cast("string")).withColumn("char_start", F.lit(0)).withColumn("char_end", F.lit(0))
+    before = F.lag("claim_id").over(Window.partitionBy("subject_id", "predicate").orderBy("claim_id"))
+    pairs = c.select(before.alias("a"), F.col("claim_id").alias("b")).where("a is not null")
+    verdicts = pairs.withColumn("relation", F.when(F.col("b") % 2 == 0, "equivalent").otherwise("unrelated")).withColumn("confidence", F.lit(0.9))
+    return claims.canonical(c, verdicts)
+
+
+@query(f"SELECT 'ext-' || {_SHORT.format('CAST(claim_id AS VARCHAR)')} AS extraction_id, CAST(claim_id AS VARCHAR) AS element_id, doc_id FROM ({_CLAIMS_SQL})")
+def extraction_records(spark, sf):
+    return extract.extraction_records(_claims(spark, sf), "claim_id").select("extraction_id", "element_id", "doc_id")
+
+
+_MERGES_SQL = "WITH l AS (SELECT event_id AS seq, user_id AS member, user_id % 10 AS canonical, CASE event_type WHEN 'click' THEN 'merge' WHEN 'error' THEN 'unmerge' END AS op, event_type || event_id % 3 AS ref FROM events), u AS (SELECT member, canonical, max(seq) AS undone FROM l WHERE op = 'unmerge' GROUP BY ALL), m AS (SELECT l.member, l.canonical, ref AS resolution_ref, 'pipeline' AS decided_by, seq, undone IS NULL OR undone < seq AS live FROM l LEFT JOIN u USING (member, canonical) WHERE op = 'merge')"
+
+
+def _merges(spark, sf):
+    op = F.when(F.col("event_type") == "click", "merge").when(F.col("event_type") == "error", "unmerge")
+    ref = F.concat("event_type", (F.col("event_id") % 3).cast("string"))
+    return _t(spark, sf, "events").select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").alias("member"), (F.col("user_id") % 10).alias("canonical"), ref.alias("ref"), F.create_map().cast("map<string,string>").alias("props"))
+
+
+@query(f"{_MERGES_SQL} SELECT * FROM m")
+def merge_audit(spark, sf):
+    return graph.merge_audit(_merges(spark, sf))
+
+
+@query(f"{_MERGES_SQL} SELECT (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY seq, member) AS seq, member, canonical, resolution_ref AS ref FROM m WHERE live AND resolution_ref = 'click1' AND member % 2 = 0")
+def merge_rollbacks(spark, sf):
+    log = _merges(spark, sf)
+    wrong = log.where("member % 2 = 0").select("member", F.lit("click1").alias("resolution_ref"))
+    return graph.rollbacks(log, wrong).drop("op")
+
+
+@query(f"SELECT subject_id, CAST(sum(evidence) AS BIGINT) AS evidence_count, CAST(sum(independent) AS BIGINT) AS independent_source_count, round(1 - sum(independent) / sum(evidence), 4) AS dedup_ratio FROM ({_CONFIDENCE_SQL}) GROUP BY 1")
+def independence_summary(spark, sf):
+    return graph.independence(_confidence(spark, sf))
+
+
+@query(f"SELECT count(*) AS n, round(min(confidence), 6) AS least, round(max(confidence), 6) AS most, round(median(confidence), 6) AS median FROM ({_CONFIDENCE_SQL})")
+def confidence_summary(spark, sf):
+    r = evidence.confidence_summary(_confidence(spark, sf))
+    return r.select("n", *[F.round(c, 6).alias(c) for c in ("least", "most", "median")])
+
+
+@query(f"WITH a AS (SELECT DISTINCT seq, claim FROM (SELECT o_orderkey AS seq, 'c' || o_custkey AS node, 'o' || o_orderkey AS claim FROM orders) WHERE node IN ('c1', 'c2', 'c4')), k AS (SELECT * FROM a ORDER BY seq, claim LIMIT 12), e AS (SELECT 'p' || l_partkey AS evidence, 'o' || l_orderkey AS claim, CASE WHEN l_returnflag = 'R' THEN 'CONTRADICTS' ELSE 'SUPPORTS' END AS type, l_orderkey * 10 + l_linenumber AS seq FROM lineitem), f AS (SELECT evidence, arg_min({{'c': claim, 't': type}}, {{'s': seq, 'c': claim}}) AS x FROM e WHERE claim IN (SELECT claim FROM k) GROUP BY 1) SELECT 'claim' AS part, 'c1' AS src, claim AS dst, 'ABOUT' AS type, (SELECT count(*) FROM a) > 12 AS truncated FROM k UNION ALL SELECT 'evidence', evidence, x.c, x.t, (SELECT count(*) FROM a) > 12 FROM f")
+def investigation_view(spark, sf):
+    orders, line = _t(spark, sf, "orders"), _t(spark, sf, "lineitem")
+    name = lambda sign, c: F.concat(F.lit(sign), F.col(c).cast("string"))
+    about = orders.select(F.col("o_orderkey").alias("seq"), name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst"), F.lit("ABOUT").alias("type"))
+    bears = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), name("p", "l_partkey").alias("src"), name("o", "l_orderkey").alias("dst"), F.when(F.col("l_returnflag") == "R", "CONTRADICTS").otherwise("SUPPORTS").alias("type"))
+    nodes = orders.select(name("o", "o_orderkey").alias("id")).union(line.select(name("p", "l_partkey"))).distinct().withColumn("deleted", F.lit(False))
+    classes = spark.createDataFrame([("c2", "c1"), ("c4", "c1"), ("c1", "c1")], "node string, root string")
+    return graph.investigation(about.union(bears), classes, nodes, F.lit("c2"), 12)
+
+
+@query("WITH x AS (SELECT (user_id + event_id) % 150 AS target, CASE event_type WHEN 'error' THEN 'contradicting_evidence' WHEN 'click' THEN 'claim_changed' END AS trigger FROM events UNION SELECT user_id, 'claim_changed' FROM events WHERE event_type = 'click' UNION SELECT user_id, 'plan_to_execution' FROM events WHERE event_type = 'purchase' AND value > 90) SELECT DISTINCT 'i' || target % 7 AS investigation_id, trigger, target, 'i' || target % 7 || ':' || trigger || ':' || target AS dedup_key FROM x JOIN (SELECT DISTINCT user_id AS target FROM events) USING (target) WHERE trigger IS NOT NULL")
+def alert_triggers(spark, sf):
+    e = _t(spark, sf, "events")
+    kind = F.when(F.col("event_type") == "error", "CONTRADICTS").when(F.col("event_type") == "click", "SUPERSEDES").otherwise("RELATED")
+    made = F.when(F.col("event_type") == "purchase", "create_node").otherwise("create_edge")
+    status = F.create_map(F.lit("status"), F.when(F.col("value") > 90, "confirmed").otherwise("planned"))
+    log = e.select(made.alias("op"), kind.alias("type"), F.col("user_id").alias("from"), F.pmod(F.col("user_id") + F.col("event_id"), F.lit(150)).alias("to"), F.col("user_id").alias("id"), status.alias("props"))
+    watched = e.select(F.col("user_id").alias("target")).distinct().withColumn("investigation_id", F.concat(F.lit("i"), (F.col("target") % 7).cast("string")))
+    return promotion.alerts(log, watched)
+
+
+@query("WITH s AS (SELECT user_id AS source, CAST(count(*) FILTER (WHERE event_type = 'purchase') AS DOUBLE) / count(*) AS density, max(ts) AS last FROM events GROUP BY 1), p AS (SELECT *, CASE WHEN density >= 0.25 THEN 'high' WHEN density < 0.15 THEN 'low' ELSE 'normal' END AS priority FROM s), l AS (SELECT *, CASE priority WHEN 'high' THEN 1800 WHEN 'low' THEN 14400 ELSE 3600 END AS interval_s, CAST(epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(last)) AS BIGINT) AS lag_s FROM p) SELECT source, priority, interval_s, lag_s, lag_s > interval_s AS overdue FROM l")
+def adaptive_schedule(spark, sf):
+    s = _t(spark, sf, "events").groupBy(F.col("user_id").alias("source")).agg((F.count_if(F.col("event_type") == "purchase") / F.count("*")).alias("density"), F.max("ts").cast("timestamp").alias("last"))
+    s = s.withColumn("density", (F.col("density") - 0.15) / 0.10 * 0.4 + 0.1)
+    return promotion.adaptive_schedule(s, F.lit("2024-01-31 00:00:00").cast("timestamp"))
+
+
+@query("WITH b AS (SELECT source, doc_id, doc_id % 3 = 0 AS a, doc_id % 2 = 0 AND doc_id % 3 = 0 AS b FROM documents) SELECT 'S1' AS stage, count(*) AS n FROM b WHERE NOT a UNION ALL SELECT 'S2', count(*) FROM b WHERE NOT b")
+def outbox_pending(spark, sf):
+    refs = _t(spark, sf, "documents").select(F.col("source").alias("source_id"), "doc_id", F.lit("u").alias("url"))
+    box = promotion.outbox_add(refs.limit(0).withColumn("s1_acked", F.lit(False)).withColumn("s2_acked", F.lit(False)), refs)
+    sent = refs.where("doc_id % 3 = 0").select("source_id", "doc_id", F.lit("S1").alias("stage")).union(refs.where("doc_id % 6 = 0").select("source_id", "doc_id", F.lit("S2")))
+    box = promotion.outbox_ack(promotion.outbox_add(box, refs), sent).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return promotion.outbox_pending(box, 1 << 30).groupBy("stage").agg(F.count("*").alias("n"))
+
+
+_AXES_SQL = "SELECT doc_id % 10 AS question_id, 'coverage' AS axis, quality AS good FROM labels UNION ALL SELECT doc_id % 10, 'modality', 1 - toxic FROM labels"
+
+
+@query(f"SELECT question_id, axis, true AS measured, round(value, 6) AS value, value >= CASE axis WHEN 'coverage' THEN 0.9 ELSE 0.95 END AS passed FROM (SELECT question_id, axis, avg(good) AS value FROM ({_AXES_SQL}) GROUP BY ALL)")
+def quality_axes(spark, sf):
+    l = _t(spark, sf, "labels").withColumn("question_id", F.col("doc_id") % 10)
+    counts = l.select("question_id", F.lit("coverage").alias("axis"), F.col("quality").alias("good"), F.lit(1).alias("total")).union(l.select("question_id", F.lit("modality"), 1 - F.col("toxic"), F.lit(1)))
+    return evaluate.quality_axes(counts).withColumn("value", F.round("value", 6))
+
+
+@query("WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS tp, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS fp, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS fn FROM labels) SELECT 'entity_resolution' AS slice, true AS measured, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(fp / (tp + fp), 6) AS wrong_merge_rate, tp / (tp + fp) >= 0.97 AND tp / (tp + fn) >= 0.0 AS passed FROM c UNION ALL SELECT 'lineage', false, NULL, NULL, NULL, NULL, NULL, NULL, NULL")
+def metrics_report(spark, sf):
+    pairs = _t(spark, sf, "labels").select(F.lit("entity_resolution").alias("slice"), (F.col("quality") == 1).alias("truth"), (F.col("toxic") == 0).alias("said"))
+    r = evaluate.metrics_report(pairs, {"entity_resolution": (0.97, 0.0), "lineage": (0.98, 0.9)}).drop("f1")
+    return r.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "wrong_merge_rate")})
+
+
+@query("SELECT 'customer' AS zone, count(*) AS total FROM customer WHERE contains(lower(c_name), '12') UNION ALL SELECT 'part', count(*) FROM part WHERE contains(lower(p_name), '12') OR contains(lower(p_brand), '12') UNION ALL SELECT 'supplier', count(*) FROM supplier WHERE contains(lower(s_name), '12')")
+def zone_search(spark, sf):
+    zones = {"customer": (_t(spark, sf, "customer"), "c_custkey", ["c_name"]), "part": (_t(spark, sf, "part"), "p_partkey", ["p_name", "p_brand"]), "supplier": (_t(spark, sf, "supplier"), "s_suppkey", ["s_name"])}
+    return retrieval.search_all(zones, "12")[0]
+
+
+@query("SELECT event_type, epoch_us(max(ts)) AS latest_us, count(*) AS n, arg_min(user_id, {'t': ts, 'e': event_id}) AS first_user_id FROM events GROUP BY 1")
+def source_governance(spark, sf):
+    e = _t(spark, sf, "events").withColumn("at", F.struct("ts", "event_id"))
+    g = metrics.governance(e, "event_type", "at", "user_id")
+    return g.select("event_type", F.unix_micros(F.col("latest.ts").cast("timestamp")).alias("latest_us"), "n", "first_user_id")
+
+
+@query(f"WITH c AS ({_CLAIMS_SQL}) SELECT 'predicate' AS kind, predicate AS name, count(*) AS n FROM c GROUP BY 2 UNION ALL SELECT 'status', 'quarantined', count(*) FILTER (WHERE l_discount > 0.09) FROM c")
+def claim_overview(spark, sf):
+    c = _claims(spark, sf).withColumn("status", F.when(F.col("l_discount") > 0.09, "quarantined").otherwise("promoted"))
+    return metrics.overview(c)
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' AND l_quantity < 10 THEN 'missing: canonical_text' WHEN l_discount > 0.08 THEN 'confidence not in [0,1]' WHEN l_returnflag = 'R' THEN 'unknown relation' END AS reason FROM lineitem")
+def record_validation(spark, sf):
+    relation = F.when(F.col("l_returnflag") == "R", "same").otherwise("equivalent")
+    said = F.when(~((F.col("l_linestatus") == "F") & (F.col("l_quantity") < 10)), "t")
+    record = F.to_json(F.struct(relation.alias("relation"), said.alias("canonical_text"), F.when(F.col("l_discount") > 0.08, 1.5).otherwise(F.col("l_discount")).alias("confidence")))
+    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", filters.record_reason(record, "canonical_verdict").alias("reason"))
+
+
+def _scratch(spark, name):
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_promote(spark, sf):
+    """Every event is promoted once, though the stream brings each twice."""
+    base = _scratch(spark, "stream-promote")
+    e = _t(spark, sf, "events")
+    e.write.parquet(f"{base}/in")
+    e.write.mode("append").parquet(f"{base}/in")
+    stream = promotion.file_stream(spark, f"{base}/in", e.schema.simpleString()[7:-1].replace(":", " "), 1000)
+    promotion.run_available(stream, promotion.promote("event_id", f"{base}/out"), f"{base}/check")
+    return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 @query("SELECT count(*) AS n FROM orders")
 def parquet_digest(spark, sf):
     o = _t(spark, sf, "orders")

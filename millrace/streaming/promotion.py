@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from millrace.operators.filters import ROUTES, STAGES, envelope_reasons
+from millrace.operators.filters import ROUTES, STAGES, VERSION, envelope_reasons
 
 ENVELOPE = "event_id string, stage string, event_type string, status string, idempotency_key string, attempt_count int, occurred_at timestamp, payload string"
 
 
-def topics() -> list[str]:
-    """A topic for each stage and route."""
-    return [f"{s}.{r}" for s in STAGES for r in ROUTES]
+def topics(prefix: str = "events") -> list[str]:
+    """A topic for each stage and route; the primary one bears the stage's name alone."""
+    names = [f"{prefix}.{s.lower()}.{slug}.v{VERSION}" for s, slug in STAGES.items()]
+    return [n if r == "primary" else f"{n}.{r}" for n in names for r in ROUTES]
 
 
 def encode(envelopes: DataFrame) -> DataFrame:
@@ -100,6 +101,66 @@ def jumps(changes: DataFrame, least: float = 0.1) -> DataFrame:
     return changes.where(F.abs(F.col("after") - F.col("before")) >= least)
 
 
+def alerts(events: DataFrame, watched: DataFrame, changes: DataFrame | None = None, least: float = 0.1) -> DataFrame:
+    """(investigation_id, trigger, target, dedup_key): the alerts of a batch of log events, each once.
+
+    events: (op, type, from, to, id, props).  watched: (investigation_id, target).  changes: (target, before, after,
+    independent_before, independent_after) of the targets.  Triggers: a new CONTRADICTS edge to the target; a
+    SUPERSEDES edge from or to it; a node of the target that is confirmed; more independent sources than before;
+    a confidence that moved by `least` or more.
+    """
+    edge, kind = F.col("op") == "create_edge", F.col("type")
+    ends = F.array(F.struct(F.col("to").alias("target"), F.when(kind == "CONTRADICTS", "contradicting_evidence").when(kind == "SUPERSEDES", "claim_changed").alias("trigger")),
+                   F.struct(F.col("from").alias("target"), F.when(kind == "SUPERSEDES", "claim_changed").alias("trigger")))
+    found = events.where(edge).select(F.explode(ends).alias("x")).select("x.target", "x.trigger")
+    done = (F.col("op") == "create_node") & (F.try_element_at("props", F.lit("status")) == "confirmed")
+    found = found.union(events.where(done).select(F.col("id").alias("target"), F.lit("plan_to_execution").alias("trigger")))
+    if changes is not None:
+        moved = F.array_compact(F.array(F.when(F.col("independent_after") > F.col("independent_before"), "new_independent_source"), F.when(F.abs(F.col("after") - F.col("before")) >= least, "confidence_threshold")))
+        found = found.union(changes.select("target", F.explode(moved).alias("trigger")))
+    rows = found.where("trigger is not null").distinct().join(watched, "target")
+    return rows.select("investigation_id", "trigger", "target", F.concat_ws(":", "investigation_id", "trigger", "target").alias("dedup_key")).distinct()
+
+
+def cadence(density: Column, high: float = 0.5, low: float = 0.1) -> Column:
+    """How often a source is worth a visit: high, normal or low; normal where nothing was measured."""
+    return F.when(density.isNull(), "normal").when(density >= high, "high").when(density < low, "low").otherwise("normal")
+
+
+def adaptive_schedule(sources: DataFrame, now: Column, base_s: int = 3600) -> DataFrame:
+    """(source, priority, interval_s, lag_s, overdue): half the base interval for high priority, four times for low.
+
+    sources: (source, density, last).  A source that was never visited has no lag and is not overdue.
+    """
+    rows = sources.withColumn("priority", cadence(F.col("density")))
+    interval = F.when(F.col("priority") == "high", base_s // 2).when(F.col("priority") == "low", base_s * 4).otherwise(base_s)
+    lag = F.greatest(F.lit(0), F.unix_timestamp(now) - F.unix_timestamp("last"))
+    return rows.withColumn("interval_s", interval).withColumn("lag_s", lag).select("source", "priority", "interval_s", "lag_s", F.coalesce(F.col("lag_s") > F.col("interval_s"), F.lit(False)).alias("overdue"))
+
+
+def outbox_add(box: DataFrame, refs: DataFrame) -> DataFrame:
+    """The outbox with references that it lacks, by (source_id, doc_id); both stages of new ones are open."""
+    new = refs.dropDuplicates(["source_id", "doc_id"]).join(box.select("source_id", "doc_id"), ["source_id", "doc_id"], "left_anti")
+    return box.unionByName(new.withColumn("s1_acked", F.lit(False)).withColumn("s2_acked", F.lit(False)).select(*box.columns))
+
+
+def outbox_pending(box: DataFrame, limit: int = 1000) -> DataFrame:
+    """The next events to publish, in the order of (source_id, doc_id, stage), of at most `limit` references."""
+    rows = box.where(~(F.col("s1_acked") & F.col("s2_acked"))).orderBy("source_id", "doc_id").limit(limit)
+    stages = F.array(F.struct(F.lit("S1").alias("stage"), F.lit("document_fetched").alias("event_type"), ~F.col("s1_acked")), F.struct(F.lit("S2").alias("stage"), F.lit("raw_stored").alias("event_type"), ~F.col("s2_acked")))
+    rows = rows.select("source_id", "doc_id", "url", F.explode(F.filter(stages, lambda s: s["col3"])).alias("s"))
+    ref = F.concat(F.lit("raw://"), "source_id", F.lit("/"), "doc_id")
+    return rows.select("source_id", "doc_id", "s.stage", "s.event_type", F.col("url").alias("input_ref"), ref.alias("output_ref")).orderBy("source_id", "doc_id", "stage")
+
+
+def outbox_ack(box: DataFrame, sent: DataFrame) -> DataFrame:
+    """The outbox after the broker took (source_id, doc_id, stage); what it did not take stays open."""
+    got = sent.groupBy("source_id", "doc_id").agg(F.max(F.col("stage") == "S1").alias("a"), F.max(F.col("stage") == "S2").alias("b"))
+    rows = box.join(got, ["source_id", "doc_id"], "left")
+    yes = lambda c, x: (F.col(c) | F.coalesce(x, F.lit(False))).alias(c)
+    return rows.select(*[yes("s1_acked", "a") if c == "s1_acked" else yes("s2_acked", "b") if c == "s2_acked" else F.col(c) for c in box.columns])
+
+
 def freshness(now: Column, last: Column, expected_s: int) -> Column:
     lag = F.greatest(F.lit(0), F.unix_timestamp(now) - F.unix_timestamp(last))
     return F.struct(lag.alias("lag_s"), (lag > expected_s).alias("overdue"))

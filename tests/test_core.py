@@ -176,7 +176,7 @@ def test_stream_promotion_is_idempotent(spark, tmp_path):
 
 
 def test_envelopes_are_routed(spark):
-    rows = [("1", "parsed", "x", "ok", "k", 0, "{}"), ("2", "parsed", "x", "failed", "k", 3, "{}"), ("3", "parsed", "x", "failed", "k", 1, "{}"), ("4", "nope", "x", "ok", "k", 0, "{"), ]
+    rows = [("1", "S3", "x", "ok", "k", 0, "{}"), ("2", "S3", "x", "failed", "k", 3, "{}"), ("3", "S3", "x", "failed", "k", 1, "{}"), ("4", "nope", "x", "ok", "k", 0, "{"), ]
     df = spark.createDataFrame(rows, "event_id string, stage string, event_type string, status string, idempotency_key string, attempt_count int, payload string").withColumn("occurred_at", F.current_timestamp())
     assert dict(values(promotion.routed(df), "event_id", "route")) == {"1": "primary", "2": "dlq", "3": "retry", "4": "quarantine"}
     assert promotion.decode(promotion.encode(df)).count() == 4
@@ -209,12 +209,28 @@ def test_expiry_numbers_rows_without_one_window(spark):
     assert "row_number() windowspecdefinition(at" not in out.getvalue() and "row_number() windowspecdefinition(_p" in out.getvalue()
 
 
-def test_reach_without_hops_and_unsettled_components(spark):
-    import pytest
+def test_long_chains_settle(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(67)], "a long, b long")
+    assert components.reach(spark, chain, spark.createDataFrame([(0,)], "node long")).count() == 68
+    assert {r["component"] for r in components.components(chain).collect()} == {0}
+    assert components.components(chain.limit(0)).count() == 0
 
-    from millrace.operators.components import components, reach
 
-    chain = spark.createDataFrame([(k, k + 1) for k in range(67)], "a long, b long")
-    assert reach(spark, chain, spark.createDataFrame([(0,)], "node long")).count() == 68
-    with pytest.raises(RuntimeError):
-        components(chain, rounds=1)
+def test_pointer_cycles_end_at_their_least_node(spark):
+    pointers = [(2, 1), (3, 2), (10, 11), (11, 10), (20, 21), (21, 22), (22, 20), (25, 21), (30, 30)]
+    got = values(components.resolve_pointers(spark.createDataFrame(pointers, "node long, target long")))
+    assert got == [(2, 1), (3, 1), (10, 10), (11, 10), (20, 20), (21, 20), (22, 20), (25, 20), (30, 30)]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_places_of_many_wide_rows(spark, adaptive):
+    from millrace.operators.order import numbered
+
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 1_000_000
+        rows = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(10**12)).alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("wide"), "id")
+        got = numbered(rows, [F.asc("key"), F.asc("id")])
+        assert tuple(got.agg(F.count("*"), F.countDistinct("position"), F.min("position"), F.max("position")).first()) == (n, n, 1, n)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
