@@ -4,10 +4,13 @@ A page is read once into text nodes, each with its tag path from the root.  Over
 path, text length and punctuation marks are added up and divided by the number of nodes; the two
 ratios are smoothed along the page by a Gaussian kernel and fused by their product.  Nodes
 whose fused ratio reaches its standard deviation over the page are content, and all of them are in the
-result.  Other blocks (headings, short lines) join it if they are in the deepest container of nearly all
-content text, or directly in a container with content.  Elements for navigation, forms and the like and hidden
-ones are left out; those whose class, id or role only names adverts, notices or comments are left out
-if they hold less than half of the content text and something else is left.
+result, but for those outside the deepest container of nearly all content text whose own container falls
+short of the same threshold.  Other blocks (headings, short lines) join it if they are in that
+container, directly in one with content, or headings before it in one around it.  Elements for
+navigation and the like, form controls and hidden ones are left out; forms, and elements whose class, id
+or role only names adverts, notices or comments, are left out if they hold less than half of the
+content text and something else is left.  Blocks of one path in one container stand or fall together: a
+lone short line set as the article's paragraphs are ("Share") stays.
 
 Pages are independent, so the operator is one scan with no shuffle.
 
@@ -35,7 +38,9 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _HOLDS = frozenset("html body main article section div td center figure blockquote".split())
-_OUT = frozenset("head nav footer aside form button select option menu dialog svg math object canvas audio video label fieldset legend".split())
+_OUT = frozenset("head nav footer aside button select option menu dialog svg math object canvas audio video label legend".split())
+_SOFT = frozenset("form fieldset".split())
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login sidebar sidebars side menu menus nav navbar navigation breadcrumb breadcrumbs toc footer header masthead topbar toolbar comment comments disqus replies share sharing social related recommended recommendations widget widgets pagination pager search tags hidden skip complementary contentinfo".split()
 )
@@ -53,12 +58,12 @@ _NAMED, _HARD = 1, 2
 
 
 def _boilerplate(tag: str, attributes: str, inside: bool) -> int:
-    """_HARD: the element's kind or hiding says so; _NAMED: only a word of its class, id or role does; else 0."""
+    """_HARD: the element's kind or hiding says so; _NAMED: it is a form, or a word of its class, id or role says so; else 0."""
     if tag in _OUT or (tag == "header" and not inside):
         return _HARD
+    kind = _NAMED if tag in _SOFT else 0
     if not attributes or tag in ("html", "body"):
-        return 0
-    kind = 0
+        return kind
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _NONE.search(value)):
@@ -79,8 +84,18 @@ class Page:
         self.node: list[int] = []
         self.named = [-1]  # the named element around each named element; 0: none
         self.mark: list[int] = []
+        # whether a block, or a named element, is in an article or main element
+        self.inside: list[bool] = []
+        self.named_inside = [False]
         self._read(source)
 
+    def heads(self) -> list[bool]:
+        """For each path whether it lies in a heading."""
+        found = [False] * len(self.paths)
+        for (parent, tag), k in self.paths.items():  # a path comes after the one it extends
+            found[k] = tag in _HEADS or (parent >= 0 and found[parent])
+        return found
+
     def _read(self, source: str) -> None:
         # open elements: tag, path, container, named element (-1: hard boilerplate), inside an article
         stack = [("", -1, 0, 0, False)]
@@ -97,6 +112,7 @@ class Page:
                     self.path.append(where[1])
                     self.node.append(where[2])
                     self.mark.append(where[3])
+                    self.inside.append(where[4])
 
         def pop():
             opened[stack.pop()[0]] -= 1
@@ -158,6 +174,7 @@ class Page:
             kind = _boilerplate(tag, attributes, inside) if mark >= 0 else 0
             if kind == _NAMED:
                 self.named.append(mark)
+                self.named_inside.append(stack[-1][4])
                 mark = len(self.named) - 1
             stack.append((tag, path, node, -1 if kind == _HARD else mark, inside))
             opened[tag] = opened.get(tag, 0) + 1
@@ -185,6 +202,35 @@ def _smooth(values: list[float], radius: int = 1) -> list[float]:
     return out
 
 
+def _around_article(page: Page, named: int) -> bool:
+    """Whether a named element holds the article or main element, or a part of it."""
+    for mark, inside in zip(page.mark, page.inside, strict=True):
+        while inside and mark > 0:
+            if mark == named:
+                return True
+            mark = page.named[mark]
+    return False
+
+
+def path_ratios(lengths: list[int], marks: list[int], path: list[int]) -> tuple[list[float], float]:
+    """For each block the fused ratio of its tag path, and the threshold for content.
+
+    lengths, marks: each block's characters and punctuation marks.  Both are added up over a path and divided by its
+    blocks, smoothed along the page and multiplied; where nothing is punctuated, length alone counts.  The
+    threshold is the standard deviation over the page, or the greatest value if that is less.
+    """
+    length, mark, count = {}, {}, {}
+    for n, m, p in zip(lengths, marks, path, strict=True):
+        length[p], mark[p], count[p] = length.get(p, 0) + n, mark.get(p, 0) + m, count.get(p, 0) + 1
+    tpr = _smooth([length[p] / count[p] for p in path])
+    ppr = _smooth([mark[p] / count[p] for p in path])
+    fused = [a * b for a, b in zip(tpr, ppr, strict=True)]
+    if not any(fused):
+        fused = tpr
+    mean = sum(fused) / len(fused)
+    return fused, min(math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused)), max(fused))
+
+
 def content_blocks(source: str | None, share: float = 0.8) -> list[str]:
     """The article's blocks, in page order: all chosen ones, and others that stand with them.
 
@@ -196,22 +242,14 @@ def content_blocks(source: str | None, share: float = 0.8) -> list[str]:
     page = Page(source)
     if not page.texts:
         return []
-    length, marks, count = {}, {}, {}
-    for text, p in zip(page.texts, page.path, strict=True):
-        length[p] = length.get(p, 0) + len(text)
-        marks[p] = marks.get(p, 0) + len(_PUNCTUATION.findall(text))
-        count[p] = count.get(p, 0) + 1
-    tpr = _smooth([length[p] / count[p] for p in page.path])
-    ppr = _smooth([marks[p] / count[p] for p in page.path])
-    fused = [a * b for a, b in zip(tpr, ppr, strict=True)]
-    if not any(fused):
-        fused = tpr
-    mean = sum(fused) / len(fused)
-    bound = min(math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused)), max(fused))
+    lengths, marks = [len(t) for t in page.texts], [len(_PUNCTUATION.findall(t)) for t in page.texts]
+    fused, bound = path_ratios(lengths, marks, page.path)
     chosen = [x >= bound and mark >= 0 for x, mark in zip(fused, page.mark, strict=True)]
     if not any(chosen):
         chosen = [mark >= 0 for mark in page.mark]
-    # a name is evidence against an element only if the element holds less than half of the chosen text
+    # a name is evidence against an element only if the element holds less than half of the chosen text, or
+    # stands outside where the page says that its article is
+    said = any(x and not mark for x, mark in zip(page.inside, page.mark, strict=True))
     held = [0] * len(page.named)
     for text, mark, yes in zip(page.texts, page.mark, chosen, strict=True):
         if yes:
@@ -220,10 +258,13 @@ def content_blocks(source: str | None, share: float = 0.8) -> list[str]:
         held[page.named[k]] += held[k]
     drop = [False] * len(held)
     for k in range(1, len(held)):
-        drop[k] = drop[page.named[k]] or 2 * held[k] < held[0]
+        drop[k] = drop[page.named[k]] or 2 * held[k] < held[0] or (said and not page.named_inside[k] and not _around_article(page, k))
     out = [mark < 0 or drop[mark] for mark in page.mark]
     if not any(c and not o for c, o in zip(chosen, out, strict=True)):  # the names would leave nothing
-        out = [mark < 0 for mark in page.mark]
+        if said:
+            chosen = [x and not o for x, o in zip(page.inside, out, strict=True)]
+        if not any(c and not o for c, o in zip(chosen, out, strict=True)):
+            out = [mark < 0 for mark in page.mark]
     chosen = [c and not o for c, o in zip(chosen, out, strict=True)]
     own = [0] * len(page.parent)
     for text, node, yes in zip(page.texts, page.node, chosen, strict=True):
@@ -244,7 +285,26 @@ def content_blocks(source: str | None, share: float = 0.8) -> list[str]:
     near = [k == root for k in range(len(weight))]
     for k in range(root + 1, len(weight)):
         near[k] = near[page.parent[k]]
-    return [t for t, node, yes, o in zip(page.texts, page.node, chosen, out, strict=True) if yes or (not o and (near[node] or own[node]))]
+    # outside the container, chosen blocks must also reach the threshold as their own container has them
+    local: dict[int, list[int]] = {}
+    for n, m, node in zip(lengths, marks, page.node, strict=True):
+        x = local.setdefault(node, [0, 0, 0])
+        x[0], x[1], x[2] = x[0] + n, x[1] + m, x[2] + 1
+    plain = not any(marks)
+    stands = {k: near[k] or (n / c) * (1 if plain else m / c) >= bound for k, (n, m, c) in local.items()}
+    around, k = set(), root
+    while k >= 0:
+        around.add(k)
+        k = page.parent[k]
+    heads, started, out_blocks = page.heads(), False, []
+    for at, (text, node) in enumerate(zip(page.texts, page.node, strict=True)):
+        if out[at]:
+            continue
+        title = heads[page.path[at]] and node in around and not started
+        if chosen[at] and stands[node] or near[node] or (own[node] and stands[node]) or title:
+            out_blocks.append(text)
+        started = started or (near[node] and chosen[at])
+    return out_blocks
 
 
 def _extract(batches):
