@@ -267,6 +267,9 @@ def identify(spark: SparkSession, labelled: DataFrame, documents: DataFrame | No
     base = (np.array(whole) + 1) / (sum(whole) + n)
     out = rows
     for key in ("suffix", "domain", "host", "declared"):
-        out = out.join(_totals(rows, key, n), key, "left")
+        # rows that lack the key are spread, so they do not meet in one task; no total has such a key
+        spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("doc_id", "page_id"), F.lit(4096)).cast("string"))
+        totals = _totals(rows, key, n).withColumnRenamed(key, "_key")
+        out = out.withColumn("_own", F.coalesce(key, spread)).join(totals, F.col("_own") == F.col("_key"), "left").drop("_own", "_key")
     out = out.select("doc_id", "page_id", "host", "text", "soft", "suffix_n", "domain_n", "host_n", "declared_n")
     return out.mapInArrow(_posterior(languages, base, weight), "doc_id long, page_id long, host string, lang string, probability double")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
+from millrace.llm.shared import small_batches
 
 _ASCII = np.arange(32, 127)
 
@@ -106,7 +107,8 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, ridge: float = 1e-3,
 
 
 def held_out(doc_id) -> F.Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    """Whether a row is held out; a row without doc_id is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def _featured(batches):
@@ -119,8 +121,14 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_rows: in
     """The model from labelled rows that are not held out; most_rows bounds what reaches the driver."""
     own = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality")).where("id is not null and quality in (0, 1)")
     own = own.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "quality").limit(most_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("id")).select("quality", "text")  # at most most_rows pairs of numbers
-    got = rows.mapInArrow(_featured, "quality int, x binary").limit(4 * most_rows).collect()
+    small_batches(spark)
+    rows = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("id"))  # at most most_rows pairs of numbers
+    # a doc_id with several texts counts with each of them, once; of very many those of least hash
+    rows = rows.withColumn("h", F.xxhash64("id", "text")).groupBy("id", "quality", "h").agg(F.first("text").alias("text"))
+    many = rows.count()
+    if many > 2 * most_rows:
+        rows = rows.where(F.pmod("h", F.lit(1 << 40)) < (1 << 40) * 2 * most_rows // many)
+    got = rows.select("quality", "text").mapInArrow(_featured, "quality int, x binary").collect()
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in got]).astype(np.float64) if got else np.zeros((0, features(pa.array([""])).shape[1]))
     return fit(x, np.array([r["quality"] for r in got]))
 

@@ -3,8 +3,9 @@
 Rows stand in old shards by a hash of their text.  Each old shard is cut into `cells` blocks by
 more bits of the hash, so equal texts share a block.  Groups of equal texts that outweigh an eighth of
 a shard (at most 8 * shards of them by bytes and as many by rows) become blocks of their own,
-cut by doc_id, so no group overfills a shard or a task.  Blocks' bytes and rows, a fixed number of
-figures, go to the driver.  There
+cut by doc_id, so no group overfills a task; the blocks of a group that fits a shard are moved as one,
+as long as shards come out near equal.  Blocks' bytes and rows, a fixed number of figures, go to the
+driver.  There
 
 1. a minimum-cost flow from old shards (their bytes) to new ones (their capacities), free for
    bytes that stay, finds the transfers that move the fewest bytes;
@@ -136,6 +137,29 @@ def even_out(new: np.ndarray, size: np.ndarray, target: np.ndarray, steps: int =
     return new
 
 
+def together(blocks: list, group_of: dict[int, tuple[int, int]], shards: int, total: int) -> np.ndarray:
+    """The new shard of each block (old_shard, cell, bytes), the blocks of a heavy group of equal texts moved as one.
+
+    group_of: for a cell of a heavy group its first cell and the group's bytes.  A group stays whole if it fits a
+    shard.  Only if shards then differ by more than half a percent are groups above a half, a quarter or an eighth of a shard
+    divided.
+    """
+    if not blocks:
+        return np.zeros(0, np.int64)
+    for part in (1, 2, 4, 8):
+        units: dict[tuple[int, int], int] = {}
+        unit_of = []
+        for r in blocks:
+            first, weight = group_of.get(r["cell"], (r["cell"], 0))
+            unit_of.append(units.setdefault((r["old_shard"], first if weight * shards * part <= total else r["cell"]), len(units)))
+        size = np.bincount(unit_of, [r["bytes"] for r in blocks], len(units)).astype(np.int64)
+        new = assign(np.array([old for old, _ in units], np.int64), size, shards)
+        load = np.bincount(new, size, shards)
+        if 200 * np.abs(load - total / shards).max() <= total / shards:
+            break
+    return new[unit_of]
+
+
 def _text_hash(text: Column, doc_id: Column) -> Column:
     return F.when(text.isNull(), F.xxhash64(F.lit("null"), doc_id)).otherwise(F.xxhash64(text))
 
@@ -164,8 +188,8 @@ def place(spark: SparkSession, docs: DataFrame, shards: int = 40, cells: int = 1
     rows = rows.join(F.broadcast(split), rows["h"] == split["g"], "left").select("doc_id", "size", "text_crc32", old, cell, *(["row"] if keep else []))
     blocks = rows.groupBy("old_shard", "cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # at most shards * (cells + 130) rows
     blocks.sort(key=lambda r: (r["old_shard"], r["cell"]))
-    was, size = np.array([r["old_shard"] for r in blocks], np.int64), np.array([r["bytes"] for r in blocks], np.int64)
-    new = assign(was, size, shards) if blocks else was
+    group_of = {b + i: (b, r["bytes"]) for r, b, p in zip(heavy, base, parts, strict=True) for i in range(p)}
+    new = together(blocks, group_of, shards, bytes_)
     slots, table = [0] * shards, []
     for r, s in zip(blocks, new.tolist(), strict=True):
         table.append((r["old_shard"], r["cell"], s, slots[s]))

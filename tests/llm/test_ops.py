@@ -362,6 +362,54 @@ def test_resharding(spark, docs_of, tmp_path):
     assert place(spark, docs_of([])).count() == 0
 
 
+def test_equal_texts_stay_together_up_to_a_shard(spark, docs_of):
+    from millrace.llm.reshard import place
+
+    texts = ["half a shard"] * 150 + ["a shard and more"] * 500 + [f"text {k} " * (1 + k % 5) for k in range(900)] + [None, None]
+    placed = place(spark, docs_of(texts, [*range(1549), None, 7, 7]), shards=4, cells=64).collect()
+    load = Counter()
+    for r in placed:
+        load[r["shard"]] += r["size"]
+    assert len(placed) == len(texts) and max(load.values()) - min(load.values()) <= 0.01 * sum(load.values())
+    assert len({r["shard"] for r in placed if r["text_crc32"] == zlib.crc32(b"half a shard")}) == 1
+    assert len({r["shard"] for r in placed if r["text_crc32"] == zlib.crc32(b"a shard and more")}) > 1
+    for s in range(4):
+        assert sorted(r["slot"] for r in placed if r["shard"] == s) == list(range(sum(r["shard"] == s for r in placed)))
+
+
+def test_flow_moves_the_fewest_bytes_of_all_plans():
+    from millrace.llm.reshard import min_cost_flow
+
+    r = random.Random(5)
+    for _ in range(30):
+        supply = [r.randint(0, 4) for _ in range(3)]
+        total = sum(supply)
+        capacity = [total // 3 + (j < total % 3) for j in range(3)]
+        plans = itertools.product(*[[p for p in itertools.product(range(s + 1), repeat=3) if sum(p) == s] for s in supply])
+        least = min(sum(f for i, p in enumerate(plan) for j, f in enumerate(p) if i != j) for plan in plans if all(sum(p[j] for p in plan) <= capacity[j] for j in range(3)))
+        flow = min_cost_flow(supply, capacity, [[int(i != j) for j in range(3)] for i in range(3)])
+        assert sum(flow[i][j] for i in range(3) for j in range(3) if i != j) == least
+
+
+def test_bradley_terry_fit_matches_plain_gradient_steps():
+    from millrace.llm.quality import fit
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(60, 3)) + np.repeat([[0.0], [0.8]], 30, 0)
+    y = np.repeat([0, 1], 30)
+    model = fit(x, y)
+    z = (x - model.mean) / model.scale
+    # pairs of every label-1 row over every label-0 row, by small steps on the logistic loss
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 3)
+    w = np.zeros(3)
+    for _ in range(4000):
+        w += 0.1 * (d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - 1e-3 * w)
+    assert np.linalg.norm(w - model.weights) < 0.05 * np.linalg.norm(w)
+    # the threshold is the quantile at which the share of label 0 lies below
+    worth = np.sort(model.worth(x))
+    assert worth[29] <= model.threshold <= worth[30]
+
+
 def test_language_fusion(spark):
     from millrace.llm.language import declared, identify
 
