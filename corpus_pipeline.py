@@ -26,21 +26,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _others(docs: DataFrame) -> list[str]:
+    """The columns that an operator does not bring along by itself."""
+    return [c for c in docs.columns if c not in ("doc_id", "text")]
+
+
 def _back(df: DataFrame, columns: list[str], **new: F.Column) -> DataFrame:
     """The columns that came in, from the struct `carry`, some with new values."""
     return df.select(*[(new[c] if c in new else F.col(f"carry.`{c}`")).alias(c) for c in columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model takes for label 0 go."""
-    scored = score_quality(spark, docs, _table(spark, sf_dir, "labels"), carry=docs.columns)
-    return _back(scored.where("score >= 0.5"), docs.columns)
+    """Documents that the quality model takes for label 0 go; null and empty texts are scored like others, repeated rows alike."""
+    scored = score_quality(spark, docs, _table(spark, sf_dir, "labels"), carry=_others(docs))
+    return _back(scored.where("score >= 0.5"), docs.columns, doc_id=F.col("doc_id"), text=F.col("text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of smallest doc_id stays; without doc_id a row stays as it is."""
+    """Of each group of linked documents the one of smallest doc_id stays; without doc_id a row stays as it is.
+
+    Null and empty texts link with nothing and stay.  Rows that repeat doc_id and text are one document; other texts
+    under the same doc_id stay with it.
+    """
     first = jaccard_classes(spark, docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
     return kept.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
@@ -55,9 +64,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark window occurs go."""
-    found = find_contamination(spark, docs, _table(spark, sf_dir, "benchmark"), carry=docs.columns)
-    return _back(found.where("size(spans) = 0"), docs.columns)
+    """Documents in which a benchmark window occurs go; null and empty texts hold none and stay, repeated rows fare alike."""
+    found = find_contamination(spark, docs, _table(spark, sf_dir, "benchmark"), carry=_others(docs))
+    return _back(found.where("size(spans) = 0"), docs.columns, doc_id=F.col("doc_id"), text=F.col("text"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
