@@ -52,3 +52,13 @@ def hex_cursor(key: Column) -> Column:
 
 def from_hex_cursor(cursor: Column) -> Column:
     return F.decode(F.unhex(cursor), "UTF-8")
+
+
+def json_cursor(value: Column) -> Column:
+    """URL-safe base64 of a struct's JSON."""
+    return F.translate(F.regexp_replace(F.base64(F.to_json(value).cast("binary")), "\\s", ""), "+/", "-_")
+
+
+def from_json_cursor(cursor: Column, schema: str) -> Column:
+    """The struct of a JSON cursor; null where it is none."""
+    return F.from_json(F.try_to_binary(F.translate(cursor, "-_", "+/"), F.lit("base64")).cast("string"), schema)

@@ -119,3 +119,14 @@ def linkage(traced: DataFrame) -> DataFrame:
 
 def dashboard(coverage_rows: DataFrame, independent: Column) -> DataFrame:
     return coverage_rows.agg(F.count("*").alias("planned"), F.count_if("covered").alias("covered"), F.round(F.avg(F.col("covered").cast("int")), 4).alias("coverage"), F.sum(independent).alias("independent"))
+
+
+def evidence_rows(claims: DataFrame, assertions: DataFrame, subject: Column, cap: int = 50) -> DataFrame:
+    """The first claims of a subject that an assertion stands on; `cap` is the report's length."""
+    rows = claims.where(F.col("subject_id") == subject).join(assertions.select("claim_id").distinct(), "claim_id", "left_semi")
+    return rows.orderBy("claim_id").limit(cap)
+
+
+def by_signal(ranked_rows: DataFrame) -> DataFrame:
+    """Ranked conclusions group by group of their signal, each in the order of the ranking."""
+    return ranked_rows.orderBy("signal", "position")

@@ -108,3 +108,15 @@ def overview(claims: DataFrame) -> DataFrame:
     """(kind, name, n): claims by predicate, and how many are in quarantine."""
     by = claims.groupBy(F.lit("predicate").alias("kind"), F.col("predicate").alias("name")).agg(F.count("*").alias("n"))
     return by.union(claims.agg(F.lit("status"), F.lit("quarantined"), F.count_if(F.col("status") == "quarantined")))
+
+
+def first_of_groups(df: DataFrame, group: str, key: str, firsts: int = 5, least: int = 2, groups: int = 20) -> DataFrame:
+    """(group, n, keys): groups of `least` rows or more, the first `groups` of them, each with its `firsts` least keys."""
+    n = df.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(group).limit(groups)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(key))
+    few = df.join(n.select(group), group, "left_semi").withColumn("_rn", rank).where(F.col("_rn") <= firsts)
+    return n.join(few.groupBy(group).agg(F.array_sort(F.collect_list(key)).alias("keys")), group)
+
+
+def age_minutes(now: Column, at: Column) -> Column:
+    return F.round((F.unix_micros(now) - F.unix_micros(at)) / 60e6, 1)

@@ -757,6 +757,19 @@ def stream_promote(spark, sf):
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query("WITH h AS (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM pages), g AS (SELECT host, count(*) AS n FROM h GROUP BY 1 HAVING count(*) >= 2 ORDER BY 1 LIMIT 20) SELECT host, n, array_to_string(list_sort(list(page_id))[1:5], ',') AS keys FROM h JOIN g USING (host) GROUP BY host, n")
+def url_group_ids(spark, sf):
+    rows = _t(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/:?#]+)", 1).alias("host"))
+    g = metrics.first_of_groups(rows, "host", "page_id")
+    return g.select("host", "n", F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"))
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS batch FROM documents WHERE doc_id % 4 <> 0")
+def promotion_batches(spark, sf):
+    docs = _t(spark, sf, "documents").select("doc_id")
+    return store.batches(store.new_rows(docs, docs.where("doc_id % 4 = 0")))
+
+
 @query("SELECT count(*) AS n FROM orders")
 def parquet_digest(spark, sf):
     o = _t(spark, sf, "orders")

@@ -77,7 +77,11 @@ def assign(df: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame
 
 
 def swap(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Replace a table: write beside it, move the old one away, move the new one in."""
+    """Replace a plain folder: write beside it, move the old one away, move the new one in.
+
+    Between the two moves the folder is not there; tables that are read meanwhile belong in a `zone.Zone`, whose commits
+    leave no such moment.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(new)
@@ -143,3 +147,15 @@ def views(spark: SparkSession, root: str, names: list[str]) -> None:
     """A SQL view for each table under a root."""
     for n in names:
         spark.read.parquet(f"{root}/{n}.parquet").createOrReplaceTempView(n)
+
+
+def resolve_spans(claims: DataFrame, raw: DataFrame) -> DataFrame:
+    """Claims (doc_id, char_start, char_end, ...) with the stretch of their document's text, counted in characters."""
+    text = F.decode("content", "UTF-8")
+    rows = claims.join(raw.select("doc_id", text.alias("_text")).dropDuplicates(["doc_id"]), "doc_id", "left")
+    return rows.withColumn("quote", F.substring(F.col("_text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))).drop("_text")
+
+
+def batches(new_ids: DataFrame, key: str = "doc_id", size: int = 1000) -> DataFrame:
+    """Ids to promote with the number of their batch, in the order of the ids."""
+    return numbered(new_ids.select(key), [F.asc(key)], "_k").withColumn("batch", F.floor((F.col("_k") - 1) / size)).drop("_k")

@@ -36,17 +36,21 @@ def routed(envelopes: DataFrame, retries: int = 3) -> DataFrame:
     return envelopes.withColumn("route", route)
 
 
-def promote(key: str, path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: rows whose key the table lacks are appended, so that a repeated batch changes nothing."""
+def promote(key: str, path: str, parts: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: rows whose key the table lacks are appended, so that a repeated batch changes nothing.
+
+    The table is kept in `parts` folders by a hash of the key; a batch reads the keys of its own folders only.
+    """
 
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates([key])
+        rows = batch.dropDuplicates([key]).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
-        rows.write.mode("append").parquet(path)
+            touched = [r["_part"] for r in rows.select("_part").distinct().collect()]  # at most `parts`
+            rows = rows.join(spark.read.schema(rows.schema).parquet(path).where(F.col("_part").isin(touched)).select(key), key, "left_anti")
+        rows.write.mode("append").partitionBy("_part").parquet(path)
 
     return run
 
@@ -61,6 +65,20 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     q.awaitTermination()
 
 
+def run_until_quiet(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, linger_s: float = 60.0, quiet_polls: int = 30) -> None:
+    """Collect for `linger_s` before each batch, and stop after so many polls in a row that brought nothing."""
+    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=f"{int(linger_s * 1000)} milliseconds").start()
+    quiet, last = 0, None
+    while quiet < quiet_polls and q.isActive:
+        q.awaitTermination(max(1, round(linger_s)))
+        now = q.lastProgress
+        moved = now is not None and now["batchId"] != last and now["numInputRows"] > 0
+        quiet, last = (0, now["batchId"]) if moved else (quiet + 1, last)
+    if q.exception():
+        raise q.exception()
+    q.stop()
+
+
 def distinct_events(stream: DataFrame, keys: list[str], at: str, late: str = "1 day") -> DataFrame:
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
@@ -86,7 +104,10 @@ def dwell(stream: DataFrame, key: str, at: str, kind: str, enter: str, leave: st
             elif what == leave and since is not None:
                 out.append((str(k[0]), since, t))
                 since = None
-        state.update((since,))
+        if since is not None:
+            state.update((since,))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["key", "entered", "left_at"])
 
     return stream.groupBy(key).applyInPandasWithState(run, "key string, entered timestamp, left_at timestamp", "since timestamp", "append", GroupStateTimeout.NoTimeout)

@@ -172,7 +172,7 @@ def test_stream_promotion_is_idempotent(spark, tmp_path):
     for k in range(2):
         stream = promotion.file_stream(spark, src, "doc_id string, v string")
         promotion.run_available(stream, promotion.promote("doc_id", out), str(tmp_path / f"ck{k}"))
-    assert values(spark.read.parquet(out)) == [("e1", "a"), ("e2", "b")]
+    assert values(spark.read.parquet(out), "doc_id", "v") == [("e1", "a"), ("e2", "b")]
 
 
 def test_envelopes_are_routed(spark):

@@ -155,3 +155,39 @@ def test_claims_need_their_provenance(spark):
     row = ("c", "d", 0, 1, "supplies", 0.9, "s")
     df = spark.createDataFrame([(*row, ["p"]), (*row, [])], "claim_id string, doc_id string, char_start int, char_end int, predicate string, confidence double, subject_id string, provenance_ref array<string>")
     assert [r["reasons"] for r in claims.claim_gate(df).collect()] == [[], ["missing_provenance_ref"]]
+
+
+def test_spans_count_characters_and_cursors_return(spark):
+    from millrace.functions import ids
+    from millrace.sources import store
+
+    raw = spark.createDataFrame([("d", bytearray("é中x yz".encode()))], "doc_id string, content binary")
+    claims_ = spark.createDataFrame([("d", 1, 4), ("e", 0, 1)], "doc_id string, char_start int, char_end int")
+    got = {r["doc_id"]: r["quote"] for r in store.resolve_spans(claims_, raw).collect()}
+    assert got == {"d": "中x ", "e": None}
+    df = spark.createDataFrame([("a?~", 7)], "a string, b int").select(ids.json_cursor(F.struct("a", "b")).alias("c"))
+    assert tuple(df.select(ids.from_json_cursor(F.col("c"), "a string, b int").alias("x")).first()["x"]) == ("a?~", 7)
+
+
+def test_a_stream_that_falls_quiet_ends(spark, tmp_path):
+    spark.createDataFrame([("k1", 1), ("k1", 1), ("k2", 2)], "key string, v int").write.parquet(str(tmp_path / "in"))
+    stream = promotion.file_stream(spark, str(tmp_path / "in"), "key string, v int")
+    for _ in range(2):
+        promotion.run_until_quiet(stream, promotion.promote("key", str(tmp_path / "out")), str(tmp_path / "check"), 0.2, 2)
+    assert values(spark.read.parquet(str(tmp_path / "out")), "key") == [("k1",), ("k2",)]
+
+
+def test_streamed_windows_and_alerts_match_batches(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:10:00"), ("a", "2024-01-01 02:00:00"), ("b", "2024-01-01 00:05:00"), ("a", "2024-01-01 00:00:00")]
+    spark.createDataFrame(rows, "key string, at string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = promotion.file_stream(spark, str(tmp_path / "in"), "key string, at timestamp")
+
+    def run(df, name, mode):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.table(name)
+
+    assert values(run(promotion.tumbling(stream, "at", "1 hour"), "tumbled", "complete"), "n") == [(1,), (4,)]
+    assert sorted(r["n"] for r in run(promotion.sessions(stream, "at", "30 minutes", "key"), "sessioned", "complete").collect()) == [1, 1, 3]
+    assert run(promotion.distinct_events(stream, ["key", "at"], "at"), "distinct_ones", "append").count() == 4
+    assert values(run(promotion.fire_once(stream, F.col("key"), "at"), "fired", "append"), "dedup_key") == [("a",), ("b",)]
