@@ -5,8 +5,9 @@
    emits one by one and of the `frequent` words whose counts are broadcast (both bounds hold
    whatever the corpus).
 2. Training: latent states emit a vocabulary word, or one symbol for all others.  From the corpus
-   counts, Baum-Welch steps over all training texts follow until they gain nothing: tasks add up expected
-   starts, transitions and emissions in tables of the vocabulary's size, which are summed by streams.
+   counts, Baum-Welch steps over a small sample find a starting point; from there, steps over all
+   training texts follow until they gain nothing: tasks add up expected starts, transitions and
+   emissions in tables of the vocabulary's size, which are summed by streams.
 3. Scoring: the scaled forward recursion gives the exact likelihood of the sequence of symbols.
    An other word adds its share of the others' mass, add-one smoothed.  Counts of words
    beyond the frequent ones come by a join of packed buckets, so all counts are exact.
@@ -137,11 +138,15 @@ def expected_counts(model: Model, first: np.ndarray, symbols: np.ndarray) -> np.
     return _expected(model, first, symbols)[0]
 
 
-def _expected(model: Model, first: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, float]:
-    """The expected counts, and the log10 probability of all sequences."""
+def _expected(model: Model, first: np.ndarray, symbols: np.ndarray, real: type = np.float64) -> tuple[np.ndarray, float]:
+    """The expected counts, and the log10 probability of all sequences.
+
+    real: the type of the state vectors, of which one a token is held; they are normed at each step, and counts are
+    added up in double precision.
+    """
     k, n_symbols = len(model.start), model.emit.shape[1]
     s = Stretches(first, 8 * _STRETCH)
-    before, after = np.broadcast_to(model.start, (len(s.start), k)).copy(), np.ones((len(s.start), k))
+    before, after = np.broadcast_to(model.start.astype(real), (len(s.start), k)).copy(), np.ones((len(s.start), k), real)
     cut = np.flatnonzero(s.many > 1)  # only texts of several stretches need products
     if len(cut):
         size = np.diff(first)[cut]
@@ -159,39 +164,37 @@ def _expected(model: Model, first: np.ndarray, symbols: np.ndarray) -> tuple[np.
             w[d] = y / y.sum(1, keepdims=True)
         mine = s.place[np.repeat(s.of_doc[cut] - inside.of_doc[:-1], inside.many) + np.arange(len(inside.start))]
         before[mine], after[mine] = ahead[inside.place], back[inside.place]
-    found = 0.0
-    emit = np.ascontiguousarray(model.emit.T)
-    forward = np.empty((len(symbols), k))
+    found, one = 0.0, np.ones((k, 1), real)
+    emit, move = np.ascontiguousarray(model.emit.T, real), model.move.astype(real)
+    held = np.empty((len(symbols), k), real)  # forward vectors, then posteriors in their place
     a = before.copy()
     for t in range(s.steps):
         n = s.live[t]
-        y = a[:n] @ model.move
+        y = a[:n] @ move
         if t == 0:
             y = np.where(s.head[:n, None], a[:n], y)
-        y *= emit[symbols[s.start[:n] + t]]
-        norm = y.sum(1, keepdims=True)
-        found += float(np.log10(norm).sum())
+        at = s.start[:n] + t
+        y *= emit[symbols[at]]
+        norm = y @ one
+        found += float(np.log10(norm).sum(dtype=np.float64))
         y /= norm
-        forward[s.start[:n] + t] = y
+        held[at] = y
         a[:n] = y
-    gamma = np.empty_like(forward)
-    moves = np.zeros((k, k))
+    moves, back = np.zeros((k, k)), np.ascontiguousarray(move.T)
     b = after
     for t in range(s.steps - 1, -1, -1):
         n = s.live[t]
         at = s.start[:n] + t
-        g = forward[at] * b[:n]
-        gamma[at] = g / g.sum(1, keepdims=True)
         seen = emit[symbols[at]] * b[:n]
-        prior = before[:n] if t == 0 else forward[at - 1]
-        rows = ~s.head[:n] if t == 0 else slice(None)
-        p, q = prior[rows], seen[rows]
-        norm = ((p @ model.move) * q).sum(1, keepdims=True)
-        moves += (p / norm).T @ q
-        b[:n] = seen @ model.move.T
-        b[:n] /= b[:n].sum(1, keepdims=True)
-    starts = gamma[first[:-1]].sum(0) if len(first) > 1 else np.zeros(k)
-    emissions = np.stack([np.bincount(symbols, gamma[:, i], n_symbols) for i in range(k)])
+        prior = before[:n] if t == 0 else held[at - 1]
+        p, q = (prior[~s.head[:n]], seen[~s.head[:n]]) if t == 0 else (prior, seen)
+        moves += (p / (((p @ move) * q) @ one)).T @ q
+        g = held[at] * b[:n]
+        held[at] = g / (g @ one)
+        y = seen @ back
+        b[:n] = y / (y @ one)
+    starts = held[first[:-1]].sum(0, dtype=np.float64) if len(first) > 1 else np.zeros(k)
+    emissions = np.stack([np.bincount(symbols, held[:, i], n_symbols) for i in range(k)])
     return np.concatenate([starts, (moves * model.move).ravel(), emissions.ravel()]), found
 
 
@@ -284,16 +287,40 @@ class Lexicon:
         return np.where(self.names[at] == names, at, len(self.names))
 
 
-def _expect(lexicon, model):
-    def run(batches):
-        from pyspark import TaskContext
+def _symbols(lexicon):
+    """Each text as the symbols that the model knows."""
 
-        total = None
+    def run(batches):
         for batch in W.pieces(batches, "text"):
             t = Tokens(batch.column("text"))
-            counts, found = _expected(model.value, t.first, lexicon.value.symbol[lexicon.value.find(t.names)])
-            x = np.r_[counts, found]
-            total = x if total is None else total + x
+            x = lexicon.value.symbol[lexicon.value.find(t.names)]
+            yield pa.record_batch([batch.column("h"), pa.array([x[i:j].tobytes() for i, j in zip(t.first[:-1], t.first[1:], strict=True)], pa.binary())], names=["h", "symbols"])
+
+    return run
+
+
+def _expect(model, at_once: int = 1_500_000):
+    """A task's expected counts; texts of some `at_once` tokens advance in step."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        total, held, many = None, [], 0
+
+        def add():
+            first = np.r_[0, np.cumsum([len(x) for x in held])]
+            counts, found = _expected(model.value, first, np.concatenate(held), np.float32)
+            return np.r_[counts, found] if total is None else total + np.r_[counts, found]
+
+        for batch in batches:
+            for x in batch.column("symbols"):
+                held.append(np.frombuffer(x.as_buffer(), np.int32))
+                many += len(held[-1])
+                if many >= at_once:
+                    total = add()
+                    held, many = [], 0
+        if held:
+            total = add()
         if total is not None:
             yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([0], pa.int32()), pa.array([True]), pa.array([total.tobytes()], pa.binary())], names=["slot", "chunk", "real", "data"])
 
@@ -382,12 +409,30 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, states: int = 8, vocabulary: int = 4096, frequent: int = 1 << 18, gain: float = 0.001) -> DataFrame:
+def _settled(spark: SparkSession, told: DataFrame, model: Model, lexicon: Lexicon, gain: float) -> Model:
+    """Baum-Welch steps over all of these texts until one adds less than `gain` decimal digits a token."""
+    before, states = -math.inf, len(model.start)
+    while True:
+        now = spark.sparkContext.broadcast(model)
+        row = add_chunks(told.select("symbols").mapInArrow(_expect(now), CHUNKS_DDL)).first()
+        now.unpersist()
+        if row is None:
+            return model
+        sums = np.frombuffer(row["data"], np.float64)
+        model = Model.from_counts(sums[:-1], lexicon.share, states)
+        tokens = sums[states + states * states : -1].sum()  # each token is one expected emission
+        if sums[-1] - before < gain * tokens:
+            return model
+        before = sums[-1]
+
+
+def score_texts(spark: SparkSession, docs: DataFrame, states: int = 8, vocabulary: int = 4096, frequent: int = 1 << 18, gain: float = 0.001, sample: int = 2000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     vocabulary: the least number of words that the model emits one by one; it grows with the square root of
     the training tokens, up to `frequent`.  gain: Baum-Welch steps over all training texts end when one adds
-    less than so many decimal digits a token.
+    less than so many decimal digits a token.  sample: about how many training texts, by hash, the steps that find
+    the starting point read; the steps that train read all.
     """
     scratch = Scratch(spark, "hmm")
     texts = scan(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -411,15 +456,13 @@ def score_texts(spark: SparkSession, docs: DataFrame, states: int = 8, vocabular
     lex = spark.sparkContext.broadcast(lexicon)
 
     model = Model.first(lexicon.share, states)
-    before = -math.inf
-    while trained:
-        now = spark.sparkContext.broadcast(model)
-        sums = np.frombuffer(add_chunks(train.select("text").mapInArrow(_expect(lex, now), CHUNKS_DDL)).first()["data"], np.float64)
-        now.unpersist()
-        model = Model.from_counts(sums[:-1], lexicon.share, states)
-        if sums[-1] - before < gain * total:
-            break
-        before = sums[-1]
+    if trained:
+        # written once: each step reads numbers, not texts
+        told = train.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"), "text").mapInArrow(_symbols(lex), "h long, symbols binary")
+        told = scratch.table(told)
+        if trained > sample:
+            model = _settled(spark, told.where(F.col("h") < (1 << 40) * sample // trained), model, lexicon, gain)
+        model = _settled(spark, told, model, lexicon, gain)
 
     fixed = spark.sparkContext.broadcast(model)
     scored = scratch.table(texts.mapInArrow(_score(lex, fixed, bits), _SCORED_DDL))
