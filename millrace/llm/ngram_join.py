@@ -385,13 +385,14 @@ def jaccard_classes(
     hot: int = 4096,
     orders: int = 3,
     cell: int = 1 << 22,
+    pairs_at_once: int = 10_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document; see the module's head.
 
     percent: two sets link when 100 * intersection >= percent * union.  sketch: counters of the
     frequency sketch (a power of two, eight bytes each, broadcast).  hot: entries of one n-gram
     that share a task.  orders: in how many orders neighbours are paired the second time.  cell: n-grams of
-    the texts that a verifying task holds, about.
+    the texts that a verifying task holds, about.  pairs_at_once: pairs that it compares, about.
     """
     kept, scratch = Scratch(spark, "ngram-join"), Scratch(spark, "ngram-join-work")
     texts = scan(docs, doc_id="doc_id", text="text").where("doc_id is not null")
@@ -425,7 +426,7 @@ def jaccard_classes(
         """Of pairs of classes (a, b): those tried and those that link.
 
         A cell is a pair of buckets of least fingerprints, which alike sets mostly share, so a text goes to few
-        cells.  A cell whose texts weigh more than `cell` is cut to a grid.
+        cells.  A cell whose texts weigh more than `cell`, or whose pairs are more than `pairs_at_once`, is cut to a grid.
         """
         side = lambda s, **cols: nodes.select(F.col("node").alias(s), *(F.col(c).alias(f"{x}{s}") for x, c in cols.items()))
         first = dict(l="low", n="n", **{c: c for c in _ODD})
@@ -442,7 +443,9 @@ def jaccard_classes(
         def ends(rows: DataFrame, *keys: str) -> DataFrame:
             return rows.select(*keys, F.col("a").alias("node"), F.col("na").alias("n")).union(rows.select(*keys, F.col("b").alias("node"), F.col("nb").alias("n"))).distinct()
 
-        heavy = ends(tried, "i", "j").groupBy("i", "j").agg(F.ceil(2 * F.sum("n") / cell).alias("k")).where("k > 2")
+        weight = ends(tried, "i", "j").select("i", "j", "n", F.lit(0).alias("m")).union(tried.select("i", "j", F.lit(0), F.lit(1)))
+        grain = F.greatest(2 * F.sum("n") / cell, F.sqrt(F.sum("m") / pairs_at_once))
+        heavy = weight.groupBy("i", "j").agg(F.ceil(grain).alias("k")).where("k > 1")
         cut = tried.join(scratch.table(heavy), ["i", "j"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
         cut = cut.withColumn("p", F.pmod(F.xxhash64("a"), "k")).withColumn("q", F.pmod(F.xxhash64("b"), "k"))
         keys = ["i", "j", "p", "q"]

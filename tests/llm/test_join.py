@@ -70,7 +70,7 @@ def test_group_of_near_copies_in_many_cells_and_salts(spark, docs_of):
     texts = near_copies(3, 120, 6)
     want = brute(texts)
     assert len(set(want.values())) > 1
-    got = {r["doc_id"]: r["component_id"] for r in J.jaccard_classes(spark, docs_of(texts), hot=8, sketch=1 << 13, cell=2000).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in J.jaccard_classes(spark, docs_of(texts), hot=8, sketch=1 << 13, cell=2000, pairs_at_once=50).collect()}
     assert got == want
 
 
