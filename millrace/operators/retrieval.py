@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text
 
 
-#: Query vectors that a scan may hold.
+#: Query vectors that a scan holds.
 MOST_QUERIES = 10_000
 
 
@@ -45,12 +45,16 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Exact nearest vectors of at most MOST_QUERIES query vectors (query_id, q): one scan, a bounded heap for each query in each task."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} query vectors at a time")
-    rows = vectors.crossJoin(F.broadcast(queries)).where("vec_id != query_id")
-    scored = rows.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
-    return top_k(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("vec_id")], k)
+    """Exact nearest vectors of query vectors (query_id, q), in blocks of about MOST_QUERIES: a scan for each block, a bounded heap for each query in each task."""
+    blocks = max(1, -(-queries.count() // MOST_QUERIES))
+    found = None
+    for b in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
+        rows = vectors.crossJoin(F.broadcast(some)).where("vec_id != query_id")
+        scored = rows.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
+        best = top_k(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("vec_id")], k)
+        found = best if found is None else found.union(best)
+    return found
 
 
 def fuse(lists: list[DataFrame], key: str, group: str = "query_id", c: int = 60) -> DataFrame:

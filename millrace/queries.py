@@ -431,10 +431,10 @@ def bm25_topk(spark, sf):
 
 
 def _few_vectors(spark, sf):
-    return _t(spark, sf, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return _t(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-@query("""SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5 AND e.vec_id <> q.vec_id)) WHERE rank <= 5""")
+@query("""SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)) WHERE rank <= 5""")
 def cosine_topk(spark, sf):
     return retrieval.cosine_topk(_t(spark, sf, "embeddings"), _few_vectors(spark, sf)).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
@@ -777,9 +777,9 @@ def parquet_digest(spark, sf):
     return a.join(b, ["n", "checksum"]).select("n")
 
 
-@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS k, o_orderdate FROM orders WHERE o_orderkey <= 200) WHERE k > 5 AND o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 30 DAY")
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS k, o_orderdate FROM orders) WHERE k > 5 AND o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 30 DAY")
 def snapshot_expiry(spark, sf):
-    s = _t(spark, sf, "orders").where("o_orderkey <= 200").select(F.col("o_orderkey").alias("snapshot_id"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    s = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("snapshot_id"), F.col("o_orderdate").cast("timestamp").alias("at"))
     return store.plan_expiry(s, F.lit("1998-01-01").cast("timestamp"), 30, 5).select(F.col("snapshot_id").alias("o_orderkey"))
 
 
