@@ -300,7 +300,7 @@ def content_blocks(source: str | None, share: float = 0.8) -> list[str]:
     for at, (text, node) in enumerate(zip(page.texts, page.node, strict=True)):
         if out[at]:
             continue
-        title = heads[page.path[at]] and node in around and not started
+        title = page.path[at] >= 0 and heads[page.path[at]] and node in around and not started
         if chosen[at] and stands[node] or near[node] or (own[node] and stands[node]) or title:
             out_blocks.append(text)
         started = started or (near[node] and chosen[at])

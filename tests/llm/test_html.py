@@ -51,3 +51,8 @@ def test_an_advert_longer_than_a_short_article_goes():
 def test_a_very_long_page():
     page = f"<body>{NAV}<article>" + f"<p>{FIRST}</p>" * 20_000 + "</article></body>"
     assert content_blocks(page) == [FIRST] * 20_000
+
+
+def test_text_outside_every_element():
+    assert content_blocks("Just text, without markup.") == ["Just text, without markup."]
+    assert content_blocks("Before <b>bold</b><h1>Head.</h1>")[-1] == "Head."
