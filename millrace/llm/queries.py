@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,8 +88,34 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(spark, _table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.heap_lloyd import compress
+
+    coded = compress(spark, _table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    sums = ",".join(str(x) for book in coded.books for entry in book for x in entry)
+    return coded.rows.select("vec_id", "code", "error", "label_error", F.sha2(F.lit(sums), 256).alias("codebooks_sha256"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.secret_scan import BASE, find_secrets
+
+    found = find_secrets(spark, _table(spark, sf_dir, "documents"))
+    places = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    of = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    counts, base = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE], of(*BASE)
+    return found.select("doc_id", *counts, F.sha2(places(base), 256).alias("base_sha256"), places(F.col("spans")).alias("spans"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.whiten import whiten
+
+    return whiten(spark, _table(spark, sf_dir, "embeddings"), k=4, scale=256)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_html_extract, op3_packing, op4_ngram_join, op5_language, op6_decontamination, op7_nearest, op8_sharding, op9_substring_dedup, op10_hmm)}
+    found = (op1_quality, op2_html_extract, op3_packing, op4_ngram_join, op5_language, op6_decontamination, op7_nearest)
+    found += (op8_sharding, op9_substring_dedup, op10_hmm, op11_vector_codes, op12_secret_scan, op13_whitening)
+    return {f.__name__: f for f in found}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -151,5 +178,43 @@ FROM w LEFT JOIN k USING (doc_id)
 """
 
 
+def _matches(kind: str, place: int, pattern: str, group: int) -> str:
+    """Matches of a pattern with their places: gaps and matches of a text alternate, so running sums of their lengths place them."""
+    return f"""
+  SELECT doc_id, row_id, '{kind}' AS kind, {place} AS place, m, g, sum(len(gap)) OVER w + sum(len(m)) OVER w - len(m) AS s
+  FROM (SELECT doc_id, row_id, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(gs) AS g, unnest(gaps[1:len(ms)]) AS gap FROM (
+    SELECT doc_id, row_id, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {group}) AS gs, regexp_split_to_array(t, '{pattern}') AS gaps FROM d))
+  WINDOW w AS (PARTITION BY row_id ORDER BY i ROWS UNBOUNDED PRECEDING)"""
+
+
+#: Letters of either case are spelled out, since folding would take other letters for s and k; a quote is written twice, as in SQL text.
+_NAMES = "|".join(re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", name) for name in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = rf"""({_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS t FROM documents),
+c AS (  -- the byte table of CRC-32
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, n)) AS tab
+), m AS ({_matches("assign", 1, _ASSIGN, 2)}
+  UNION ALL {_matches("access", 2, "AKIA[A-Z0-9]+", 0)}
+  UNION ALL {_matches("hex", 3, "[0-9a-f]+", 0)}
+  UNION ALL {_matches("github", 4, "gh[pousr]_([0-9A-Za-z]+)", 1)}
+  UNION ALL {_matches("npm", 5, "npm_([0-9A-Za-z]+)", 1)}
+), k AS (
+  SELECT row_id, kind, place, s, s + len(m) AS e FROM m, c
+  WHERE CASE kind WHEN 'assign' THEN len(g) >= 8 WHEN 'access' THEN len(m) >= 16 WHEN 'hex' THEN len(m) >= 32 ELSE len(g) = 36
+    AND xor(list_reduce(list_transform(string_split(g[1:30], ''), lambda x: CAST(ord(x) AS BIGINT)), lambda r, x: xor(tab[(xor(r, x) & 255) + 1], r >> 8), 4294967295), 4294967295)
+      = list_reduce(list_transform(string_split(g[31:36], ''), lambda x: CAST(instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', x) - 1 AS BIGINT)), lambda r, x: r * 62 + x, 0) END
+), a AS (
+  SELECT row_id, count(*) FILTER (place = 1) AS n_assign, count(*) FILTER (place = 2) AS n_access, count(*) FILTER (place = 3) AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (place <= 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans
+  FROM (SELECT row_id, kind, place, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM k) GROUP BY 1
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (row_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_join": OP4_SQL, "op6_decontamination": OP6_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op4_ngram_join": OP4_SQL, "op6_decontamination": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op12_secret_scan": OP12_SQL}
