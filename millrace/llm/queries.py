@@ -92,7 +92,7 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.heap_lloyd import compress
 
     coded = compress(spark, _table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
-    sums = ",".join(str(x) for book in coded.books for entry in book for x in entry)
+    sums = ",".join(str(x) for book in coded.books for x in book)
     return coded.rows.select("vec_id", "code", "error", "label_error", F.sha2(F.lit(sums), 256).alias("codebooks_sha256"))
 
 

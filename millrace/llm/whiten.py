@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import CHUNKS, CHUNKS_DDL, Scratch, add_chunks, finite, scan
+from millrace.llm.shared import CHUNKS, CHUNKS_DDL, Scratch, add_chunks, finite, one_width, scan
 
 #: Largest |x|, which four bytes hold.
 MOST = (1 << 31) - 1
@@ -51,14 +51,6 @@ def integers(column: pa.Array, scale: int, width: int) -> np.ndarray:
     return x.astype(np.int64).reshape(-1, width)
 
 
-def one_width(vectors: DataFrame) -> int | None:
-    """The length of all vectors; None if there are none."""
-    found = vectors.agg(F.min(F.size("v")).alias("a"), F.max(F.size("v")).alias("b")).first()
-    if found["a"] != found["b"]:
-        raise ValueError(f"vectors of {found['a']} and of {found['b']} components")
-    return found["a"]
-
-
 def _distinct_keys(scale: int, width: int):
     def run(batches):
         for batch in batches:
