@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import dictionary
 from millrace.operators.claims import conflicts_of
 from millrace.operators.order import numbered
 
@@ -60,9 +61,43 @@ def stop_rule(covered: Column, new_rate: Column, unresolved: Column, steps: Colu
 
 
 def plan_entities(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """(question_id, name) of names that stand in a question between non-alphanumerics; the longest first."""
-    q = questions.select("question_id", "question", F.explode(F.array_distinct(F.filter(F.split("question", r"[^A-Za-z0-9]+"), lambda t: t != ""))).alias("word"))
-    return q.join(names, F.lower("word") == F.lower("name")).select("question_id", "name").distinct()
+    """(question_id, entity_id, surface): entities named in a question, each by its longest surface that stands there.
+
+    questions: (question_id, question); names: (surface, entity_id), of several words too and any number
+    of them.  Without case, between characters that are no ASCII letters or digits; surfaces of one
+    character are no names.  Of equally long surfaces of an entity the least counts.
+    """
+    asked = questions.select(F.col("question_id").alias("doc_id"), F.col("question").alias("text"))
+    found = dictionary.occurrences(asked, names.select("surface", "entity_id").where(F.length("surface") >= 2).distinct(), words="ascii", fold=True)
+    best = F.min_by("surface", F.struct(-F.length("surface"), F.col("surface")))
+    return found.groupBy(F.col("doc_id").alias("question_id"), "entity_id").agg(best.alias("surface"))
+
+
+def plan_subclaims(questions: DataFrame, names: DataFrame, known: DataFrame) -> DataFrame:
+    """(question_id, no, subject, surface, known, gap_reason): what a question is about.
+
+    First the named entities, longest surface first; then runs of capitals that no matched surface
+    holds; a question that is itself a known subject stands for itself if it has no such run; a
+    question without any of these is about `?subject`.  known: (subject) that have evidence; others are gaps.
+    """
+    raw = F.trim(F.coalesce("question", F.lit("")))
+    said = plan_entities(questions, names)
+    held = said.groupBy("question_id").agg(F.collect_set(F.upper("surface")).alias("held"), F.collect_set("entity_id").alias("ids"))
+    subjects = known.select(F.col("subject").alias("raw")).distinct().withColumn("itself", F.lit(True))
+    asked = questions.select("question_id", raw.alias("raw")).join(subjects, "raw", "left").join(held, "question_id", "left")
+    runs = F.array_distinct(F.regexp_extract_all("raw", F.lit("[A-Z]{2,}"), 0))
+    runs = F.when((F.size(runs) == 0) & F.coalesce("itself", F.lit(False)), F.array("raw")).otherwise(runs)
+    none = F.array().cast("array<string>")
+    taken = lambda r: F.exists(F.coalesce("held", none), lambda h: F.contains(h, r)) | F.array_contains(F.coalesce("ids", none), r)
+    more = asked.select("question_id", F.filter(runs, lambda r: ~taken(r)).alias("runs"), (F.size(F.coalesce("ids", none)) > 0).alias("named"))
+    more = more.withColumn("runs", F.when((F.size("runs") == 0) & ~F.col("named"), F.array(F.lit("?subject"))).otherwise(F.col("runs")))
+    more = more.select("question_id", F.posexplode("runs").alias("at", "subject"))
+    first = said.select("question_id", F.lit(0).alias("part"), (-F.length("surface")).alias("at"), F.col("entity_id").alias("subject"), "surface")
+    rest = more.select("question_id", F.lit(1).alias("part"), "at", "subject", F.when(F.col("subject") != "?subject", F.col("subject")).alias("surface"))
+    no = F.row_number().over(Window.partitionBy("question_id").orderBy("part", "at", "surface", "subject"))
+    rows = first.union(rest).withColumn("no", no).join(known.select("subject").distinct().withColumn("known", F.lit(True)), "subject", "left")
+    is_known = F.coalesce("known", F.lit(False))
+    return rows.select("question_id", "no", "subject", "surface", is_known.alias("known"), F.when(~is_known, "insufficient_evidence").alias("gap_reason"))
 
 
 def trace(statements: DataFrame, claims: DataFrame, records: DataFrame) -> DataFrame:

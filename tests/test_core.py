@@ -93,9 +93,40 @@ def test_mentions_and_overlaps(spark):
 
 def test_claim_rules_take_the_first_match_of_a_predicate(spark):
     docs = spark.createDataFrame([(1, "Acme announced webcast news. Nothing here.")], "doc_id long, text string")
-    subjects = spark.createDataFrame([(1, "Acme", "org-1", 0)], "doc_id long, surface string, entity_id string, pos int")
-    got = extract.claims(extract.segments(docs), extract.CLAIM_RULES, subjects).collect()
-    assert [(r["predicate"], r["event_type"], r["surface_fragment"], r["char_start"]) for r in got] == [("announces", "earnings", "webcast", 15)]
+    resolved = spark.createDataFrame([(1, "Acme", 0, 4, "org-1"), (1, "here", 37, 41, "org-2")], "doc_id long, surface string, start int, end int, entity_id string")
+    got = extract.claims(extract.segments(docs), extract.CLAIM_RULES, resolved).collect()
+    assert [(r["predicate"], r["event_type"], r["surface_fragment"], r["char_start"], r["subject_id"], r["object_id"]) for r in got] == [("announces", "earnings", "webcast", 15, "org-1", "org-2")]
+
+
+def test_claims_match_a_plain_search_of_mentions(spark):
+    import random
+    import re
+
+    r = random.Random(4)
+    words = ["Acme", "Bolt", "Acme Corp", "supplies", "announced", "partnership", "chips", "and", "with", "conference call", "x"]
+    docs = [(k, " ".join(r.choice(words) + r.choice(["", "", "."]) for _ in range(r.randint(0, 30)))) for k in range(40)]
+    names = spark.createDataFrame([("Acme", "Organization"), ("Acme Corp", "Organization"), ("Bolt", "Product")], "surface string, mention_type string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    found = extract.mentions(d, names).withColumn("entity_id", F.concat(F.lit("e-"), F.when(F.col("surface").startswith("Acme"), "a").otherwise("b")))
+    got = values(extract.claims(extract.segments(d), extract.CLAIM_RULES, found), "doc_id", "seg_order", "predicate", "char_start", "subject_id", "object_id")
+    held = {}
+    for m in sorted(found.collect(), key=lambda m: m["start"]):
+        held.setdefault(m["doc_id"], []).append(m)
+    want = []
+    for doc, text in docs:
+        for no, seg in enumerate(s for s in re.split(r"(?<=[.!?])\s+", " ".join(text.split())) if s):
+            seen = set()
+            for pattern, predicate, _ in extract.CLAIM_RULES:
+                m = re.search(pattern, seg)
+                if not m or predicate in seen:
+                    continue
+                seen.add(predicate)
+                subject = next((x["entity_id"] for x in held.get(doc, []) if x["surface"] in seg), None)
+                if subject:
+                    other = next((x["entity_id"] for x in held[doc] if x["entity_id"] != subject and x["start"] >= m.end()), None)
+                    want.append((doc, no, predicate, m.start(), subject, other))
+    key = lambda t: tuple(str(x) for x in t)
+    assert sorted(got, key=key) == sorted(want, key=key) and any(t[-1] for t in want)
 
 
 def test_gates(spark):
