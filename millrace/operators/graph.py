@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,35 +49,6 @@ def equivalence_classes(log: DataFrame) -> DataFrame:
     return canonical_of(log).groupBy("root").agg(F.array_sort(F.collect_list("node")).alias("members"))
 
 
-def replay_ordered(log: DataFrame, part: str) -> DataFrame:
-    """Replay in strict order inside each independent part of the log, for logs whose operations do not commute.
-
-    A part (a connected component of the log's ids) is replayed by one task in the order of seq.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        nodes, edges, seen = {}, [], set()
-        for e in rows.sort_values("seq").itertuples(index=False):
-            if e.idempotency_key in seen:
-                continue
-            if e.op == "create_node":
-                nodes.setdefault(e.id, e.type)
-            elif e.op == "create_edge" and e.src in nodes and e.dst in nodes:
-                edges.append((e.src, e.dst, e.type))
-            elif e.op == "merge" and e.src in nodes and e.dst in nodes:
-                edges.append((e.src, e.dst, "SAME_AS"))
-            elif e.op == "unmerge":
-                edges = [x for x in edges if x[:2] != (e.src, e.dst)]
-            elif e.op == "delete_node":
-                nodes[e.id] = "Deleted"
-                edges = [x for x in edges if e.id not in x[:2]]
-            seen.add(e.idempotency_key)
-        out = [("node", k, None, v) for k, v in nodes.items()] + [("edge", *x) for x in edges]
-        return pd.DataFrame(out, columns=["kind", "src", "dst", "type"])
-
-    return log.groupBy(part).applyInPandas(run, "kind string, src string, dst string, type string")
-
-
 def supersede(assertions: DataFrame, log: DataFrame) -> DataFrame:
     """Close what later events supersede."""
     ends = log.where("op = 'supersede'").groupBy(F.col("id").alias("assertion_id")).agg(F.min("at").alias("closed_at"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import ids, text
-from millrace.operators import bitemporal, claims, components, evidence, extract, filters, graph, metrics, retrieval
+from millrace.operators import bitemporal, claims, components, evidence, extract, filters, graph, graph_view, metrics, retrieval
 from millrace.sources import feeds, store
 from millrace.streaming import promotion
 
@@ -157,10 +157,11 @@ def test_components_and_pointers(spark):
 
 
 def test_ordered_replay(spark):
-    rows = [(1, "k1", "create_node", "a", "", "", "N", 0), (2, "k2", "create_node", "b", "", "", "N", 0), (3, "k3", "merge", "", "a", "b", "", 0), (4, "k3", "create_node", "z", "", "", "N", 0), (5, "k5", "unmerge", "", "a", "b", "", 0), (6, "k6", "create_edge", "", "a", "q", "E", 0), (7, "k7", "delete_node", "b", "", "", "", 0)]
-    log = spark.createDataFrame(rows, "seq long, idempotency_key string, op string, id string, src string, dst string, type string, part int")
-    got = sorted(tuple(r) for r in graph.replay_ordered(log, "part").select("kind", "src", "type").collect())
-    assert got == [("node", "a", "N"), ("node", "b", "Deleted")]
+    rows = [(1, "k1", "create_node", "a", None, None, "N"), (2, "k2", "create_node", "b", None, None, "N"), (3, "k3", "merge", None, "a", "b", ""), (4, "k3", "create_node", "z", None, None, "N")]
+    rows += [(5, "k5", "unmerge", None, "a", "b", ""), (6, "k6", "create_edge", None, "a", "q", "E"), (7, "k7", "delete_node", "b", None, None, "")]
+    log = spark.createDataFrame([(*r, None, None, None) for r in rows], "seq long, idempotency_key string, op string, id string, src string, dst string, type string, ref string, props map<string,string>, at string")
+    view = graph_view.advance(graph_view.empty(spark), log)
+    assert values(view.nodes, "id", "label") == [("a", "N"), ("b", "Deleted")] and view.live_edges().count() == 0
 
 
 def test_as_of_is_half_open(spark):
