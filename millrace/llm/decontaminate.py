@@ -9,8 +9,8 @@ each pattern length there is one table:
 - a direct comparison of all words with the pattern's.
 
 All stretches of a batch of texts move in step, each by its own shift, so skipping costs no
-Python loop per word.  The tables of up to `most_bytes` of benchmark text are broadcast; a
-larger benchmark is searched in parts of that size, one scan each.
+Python loop per word.  The tables of up to `most_bytes` of benchmark text are broadcast (some seven
+bytes for each byte of text); a larger benchmark is searched in parts of that size, one scan each.
 
 Defined cases: null and empty texts have no words; items without words match nothing; repeated
 items and repeated item ids count once; null item ids are left out; an empty benchmark leaves
@@ -32,19 +32,31 @@ _LANE = 512
 
 
 class Table:
-    """Wu-Manber tables for the distinct patterns of one length."""
-
-    def __init__(self, patterns: np.ndarray, owners: list[list[int]]):
-        self.patterns, self.owners = patterns, owners
-        count, m = patterns.shape
-        self.m, self.block = m, min(2, m)
-        blocks = np.stack([self._blocks(patterns[:, j], patterns[:, j + 1] if self.block == 2 else None) for j in range(m - self.block + 1)], 1)
-        self.mask = np.uint64((1 << max(12, math.ceil(math.log2(8 * blocks.size)))) - 1)
-        self.shift = np.full(int(self.mask) + 1, m - self.block + 1, np.int32)
-        for j in range(blocks.shape[1]):
-            np.minimum.at(self.shift, (blocks[:, j] & self.mask).astype(np.int64), m - self.block - j)
-        order = np.argsort(blocks[:, -1], kind="stable")
-        self.suffix, self.order = blocks[order, -1], order
+    """Wu-Manber tables for the distinct patterns of one length: places in one array of all items' words.
+
+    words: fingerprints of the items' words; place: where each pattern begins; m: words of a pattern;
+    owner, owner_first: the items of each pattern, one after another.
+    """
+
+    def __init__(self, words: np.ndarray, place: np.ndarray, m: int, owner: np.ndarray, owner_first: np.ndarray):
+        self.words, self.place, self.m, self.block = words, place.astype(np.int32), m, min(2, m)
+        self.owner, self.owner_first = owner, owner_first.astype(np.int32)
+        blocks = self._blocks(words, None) if self.block == 1 else np.r_[self._blocks(words[:-1], words[1:]), np.zeros(1, np.uint64)]
+        # two slots for each distinct block; a shift takes one byte, or four for windows of more words
+        self.mask = np.uint64((1 << max(12, math.ceil(math.log2(2 * max(1, len(np.unique(blocks))))))) - 1)
+        self.shift = np.full(int(self.mask) + 1, m - self.block + 1, np.uint8 if m < 256 else np.int32)
+        for j in range(m - self.block + 1):
+            np.minimum.at(self.shift, (blocks[place + j] & self.mask).astype(np.int64), self.shift.dtype.type(m - self.block - j))
+        last = blocks[place + m - self.block]
+        order = np.argsort(last, kind="stable")
+        self.suffix, self.order = last[order], order.astype(np.int32)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.words, self.place, self.owner, self.owner_first, self.shift, self.suffix, self.order))
+
+    def owners(self, pattern: int) -> list[int]:
+        return self.owner[self.owner_first[pattern] : self.owner_first[pattern + 1]].tolist()
 
     @staticmethod
     def _blocks(a: np.ndarray, b: np.ndarray | None) -> np.ndarray:
@@ -66,7 +78,7 @@ class Table:
         jump = self.shift[(block & self.mask).astype(np.int64)]
         tail, hits = m - self.block, []
         while len(at):
-            move = jump[at + tail]
+            move = jump[at + tail].astype(np.int64)
             stop = move == 0
             if stop.any():
                 hits.append(at[stop])
@@ -88,23 +100,50 @@ class Table:
             same = np.ones(len(at), bool)
             for j in range(m):
                 live = np.flatnonzero(same)
-                same[live] = hashes[at[live] + j] == self.patterns[pattern[live], j]
+                same[live] = hashes[at[live] + j] == self.words[self.place[pattern[live]] + j]
             found_at.append(at[same])
             found.append(pattern[same])
             lo = lo + 1
         return (np.concatenate(found_at), np.concatenate(found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _distinct(words: np.ndarray, place: np.ndarray, m: int) -> np.ndarray:
+    """For each window the number of the first of those with the same words: grouped by a fingerprint, then compared word by word."""
+    mark = W.window_hashes(words, m)[place]
+    order = np.argsort(mark, kind="stable")
+    new = np.r_[True, mark[order[1:]] != mark[order[:-1]]] if len(order) else np.zeros(0, bool)
+    del mark
+    order, first = order.astype(np.int32), np.empty(len(place), np.int32)
+    first[order] = order[np.flatnonzero(new)][np.cumsum(new, dtype=np.int32) - 1]
+    del order, new
+    for j in range(m):
+        other = words[place + j] != words[place[first] + j]
+        first[other] = np.flatnonzero(other)  # a clash of fingerprints: a pattern of its own
+    return first
+
+
 def build(items: list[tuple[int, str]], n: int) -> list[Table]:
     """One table for each length of pattern that the items give."""
     w = W.Words(pa.array([t or "" for _, t in items], pa.string()), W.ALNUM, lower=True)
-    by: dict[int, dict[bytes, set[int]]] = {}
-    for k, (item, _) in enumerate(items):
-        h = w.hashes[w.first[k] : w.first[k + 1]]
-        m = min(n, len(h))
-        for s in range(len(h) - m + 1 if m else 0):
-            by.setdefault(m, {}).setdefault(h[s : s + m].tobytes(), set()).add(item)
-    return [Table(np.frombuffer(b"".join(p), np.uint64).reshape(len(p), m), [sorted(x) for x in p.values()]) for m, p in sorted(by.items())]
+    words, size, start, ids = w.hashes, np.diff(w.first), w.first, np.array([i for i, _ in items], np.int64)
+    del w
+    tables = []
+    for m in np.unique(np.minimum(size, n)[size > 0]).tolist():
+        own = np.flatnonzero(np.minimum(size, n) == m)
+        many = size[own] - m + 1
+        at = (np.repeat(start[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())).astype(np.int32)
+        first = _distinct(words, at, m)
+        pattern = np.flatnonzero(first == np.arange(len(first))).astype(np.int32)
+        number = np.searchsorted(pattern, first).astype(np.int32)
+        del first
+        item = np.repeat(own.astype(np.int32), many)  # by its place in ids
+        order = np.lexsort((ids[item], number))
+        number, item = number[order], item[order]
+        once = np.r_[True, (number[1:] != number[:-1]) | (ids[item[1:]] != ids[item[:-1]])]
+        number, owner = number[once], ids[item[once]]
+        del order, item, once
+        tables.append(Table(words, at[pattern], m, owner, np.r_[0, np.cumsum(np.bincount(number, minlength=len(pattern)))]))
+    return tables
 
 
 def hits(texts: pa.Array, tables: list[Table]):
@@ -118,7 +157,7 @@ def hits(texts: pa.Array, tables: list[Table]):
         np.add.at(edge, at + t.m, -1)
         if len(at):
             for d, p in np.unique(np.stack([doc[at], pattern], 1), axis=0).tolist():
-                item_of.setdefault(d, set()).update(t.owners[p])
+                item_of.setdefault(d, set()).update(t.owners(p))
     covered = np.cumsum(edge[:-1]) > 0
     for d in range(len(w.first) - 1):
         spans: list[int] = []
