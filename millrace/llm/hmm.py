@@ -6,8 +6,8 @@
    whatever the corpus).
 2. Training: latent states emit a vocabulary word, or one symbol for all others.  From the corpus
    counts, Baum-Welch steps over a small sample find a starting point; from there, steps over all
-   training texts follow until they gain nothing: tasks add up expected starts, transitions and
-   emissions in tables of the vocabulary's size, which are summed by streams.
+   training texts follow until one gains less than 0.001 digits a token: tasks add up expected starts, transitions and
+   emissions in tables of the vocabulary's size, which are summed in chunks by streams.
 3. Scoring: the scaled forward recursion gives the exact likelihood of the sequence of symbols.
    An other word adds its share of the others' mass, add-one smoothed.  Counts of words
    beyond the frequent ones come by a join of packed buckets, so all counts are exact.
@@ -299,6 +299,10 @@ def _symbols(lexicon):
     return run
 
 
+#: Sums of a step that travel together, 128 KB: the tasks that add them up share them out by chunk.
+_CHUNK_SUMS = 1 << 14
+
+
 def _expect(model, at_once: int = 1_500_000):
     """A task's expected counts; texts of some `at_once` tokens advance in step."""
 
@@ -322,7 +326,10 @@ def _expect(model, at_once: int = 1_500_000):
         if held:
             total = add()
         if total is not None:
-            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([0], pa.int32()), pa.array([True]), pa.array([total.tobytes()], pa.binary())], names=["slot", "chunk", "real", "data"])
+            parts = [total[k : k + _CHUNK_SUMS].tobytes() for k in range(0, len(total), _CHUNK_SUMS)]
+            slot, n = TaskContext.get().partitionId(), len(parts)
+            for k in range(n):
+                yield pa.record_batch([pa.array([slot], pa.int32()), pa.array([k], pa.int32()), pa.array([True]), pa.array([parts[k]], pa.binary())], names=["slot", "chunk", "real", "data"])
 
     return run
 
@@ -414,11 +421,11 @@ def _settled(spark: SparkSession, told: DataFrame, model: Model, lexicon: Lexico
     before, states = -math.inf, len(model.start)
     while True:
         now = spark.sparkContext.broadcast(model)
-        row = add_chunks(told.select("symbols").mapInArrow(_expect(now), CHUNKS_DDL)).first()
+        rows = sorted((r["chunk"], r["data"]) for r in add_chunks(told.select("symbols").mapInArrow(_expect(now), CHUNKS_DDL)).collect())  # one table of sums
         now.unpersist()
-        if row is None:
+        if not rows:
             return model
-        sums = np.frombuffer(row["data"], np.float64)
+        sums = np.concatenate([np.frombuffer(x, np.float64) for _, x in rows])
         model = Model.from_counts(sums[:-1], lexicon.share, states)
         tokens = sums[states + states * states : -1].sum()  # each token is one expected emission
         if sums[-1] - before < gain * tokens:
@@ -430,9 +437,10 @@ def score_texts(spark: SparkSession, docs: DataFrame, states: int = 8, vocabular
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     vocabulary: the least number of words that the model emits one by one; it grows with the square root of
-    the training tokens, up to `frequent`.  gain: Baum-Welch steps over all training texts end when one adds
-    less than so many decimal digits a token.  sample: about how many training texts, by hash, the steps that find
-    the starting point read; the steps that train read all.
+    the training tokens, up to `frequent`; all further words are one symbol, and their counts tell them apart.
+    gain: Baum-Welch steps over all training texts end with the first that adds less than so many decimal digits a
+    token, so it is no maximum to the last digit.  sample: about how many training texts, by hash, the steps that find
+    the starting point read, at every size (all texts of a smaller table); the steps that train read all.
     """
     scratch = Scratch(spark, "hmm")
     texts = scan(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -441,7 +449,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, states: int = 8, vocabular
     bits = max(1, min(20, math.ceil(math.log2(max(2, (size["b"] or 0) / 6 / 1_000_000)))))
     counted = scratch.table(train.select("text").mapInArrow(_count(bits), "bucket int, names binary, counts binary").groupBy("bucket").applyInArrow(_sum, "bucket int, names binary, counts binary, level binary, mass binary"))
     level, mass = np.zeros(_LEVELS, np.int64), np.zeros(_LEVELS, np.int64)
-    packed = counted.select(F.lit(0).alias("slot"), F.lit(0).alias("chunk"), F.lit(False).alias("real"), F.concat("level", "mass").alias("data"))
+    packed = counted.select(F.col("bucket").alias("slot"), F.lit(0).alias("chunk"), F.lit(False).alias("real"), F.concat("level", "mass").alias("data"))
     for r in add_chunks(packed).collect():  # one row
         level, mass = np.frombuffer(r["data"], np.int64).reshape(2, -1)
     total, distinct = int(mass.sum()), int(level.sum())
@@ -460,8 +468,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, states: int = 8, vocabular
         # written once: each step reads numbers, not texts
         told = train.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"), "text").mapInArrow(_symbols(lex), "h long, symbols binary")
         told = scratch.table(told)
-        if trained > sample:
-            model = _settled(spark, told.where(F.col("h") < (1 << 40) * sample // trained), model, lexicon, gain)
+        model = _settled(spark, told.where(F.col("h") < (1 << 40) * sample // trained), model, lexicon, gain)
         model = _settled(spark, told, model, lexicon, gain)
 
     fixed = spark.sparkContext.broadcast(model)
