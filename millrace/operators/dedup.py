@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from millrace.functions import ids, text
-from millrace.operators.components import components
+from millrace.operators.components import components, cut
 
 PERMS, BANDS, MIN_CHARS, THRESHOLD = 64, 8, 200, 0.90
 #: Trust of a source type when the root of a cluster is chosen.
@@ -38,15 +39,29 @@ def sha_signature(shingles: Column, perms: int = PERMS) -> Column:
     return F.when(F.size(shingles) > 0, hexed)
 
 
+def seeds(perms: int = PERMS) -> list[int]:
+    """Odd multipliers of version x2, one for each permutation."""
+    return (np.random.default_rng(11).integers(1, 1 << 63, perms, dtype=np.uint64) | np.uint64(1)).tolist()
+
+
+#: The second multiplier of version x2.
+MIX = 0xD6E8FEB86659FD93
+
+
+def shingle_hash(shingle: Column) -> Column:
+    """60 bits of a shingle's MD5."""
+    return F.conv(F.substring(F.md5(shingle), 1, 15), 16, 10).cast("long")
+
+
 def _minima(perms: int):
-    seeds = np.random.default_rng(11).integers(1, 1 << 63, perms, dtype=np.uint64) | np.uint64(1)
+    by = np.array(seeds(perms), np.uint64)
 
     @F.pandas_udf(ArrayType(LongType()))
     def run(hashes: pd.Series) -> pd.Series:
         def one(h):
-            x = np.asarray(h, np.int64).view(np.uint64)[None, :] * seeds[:, None]
+            x = np.asarray(h, np.int64).view(np.uint64)[None, :] * by[:, None]
             x ^= x >> np.uint64(32)
-            x *= np.uint64(0xD6E8FEB86659FD93)
+            x *= np.uint64(MIX)
             return (x ^ (x >> np.uint64(29))).min(1).view(np.int64)
 
         return hashes.map(one)
@@ -57,13 +72,13 @@ def _minima(perms: int):
 def signatures(docs: DataFrame, exact: bool = False, perms: int = PERMS) -> DataFrame:
     """(doc_id, text_sha256, sig) of the eligible documents.
 
-    exact: the SHA-256 version d1, all in the JVM; else version x1: the shingles' 64-bit hashes, mixed with a seed
+    exact: the SHA-256 version d1, all in the JVM; else version x2: 60 bits of the shingles' MD5, mixed with a seed
     for each permutation in Arrow batches (as nested higher-order functions this is some 30 times slower).
     """
     # tokens as a column of their own: within a lambda Spark would compute them again for each shingle
     sets = docs.select("doc_id", "text", text.word_tokens(F.col("text")).alias("t")).where((F.length("text") >= MIN_CHARS) & (F.size("t") >= 5))
     sets = sets.select("doc_id", F.sha2("text", 256).alias("text_sha256"), text.shingle_set(F.col("t")).alias("sh"))
-    value = sha_signature(F.col("sh"), perms) if exact else _minima(perms)(F.transform("sh", lambda s: F.xxhash64(s)))
+    value = sha_signature(F.col("sh"), perms) if exact else _minima(perms)(F.transform("sh", shingle_hash))
     return sets.select("doc_id", "text_sha256", value.alias("sig"))
 
 
@@ -78,23 +93,83 @@ def similarity(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v) / F.size(a)
 
 
+def representatives(sigs: DataFrame) -> DataFrame:
+    """(doc_id, sig): the least id of each text, so that exact copies meet once."""
+    return sigs.groupBy("text_sha256").agg(F.min_by(F.struct("doc_id", "sig"), "doc_id").alias("r")).select("r.*")
+
+
 def candidate_pairs(sigs: DataFrame, threshold: float = THRESHOLD, count: int = BANDS) -> DataFrame:
     """(a, b, estimate) of representatives that share a band and reach the threshold.
 
-    Exact copies meet once, through their least id, so a hot text costs one row.
+    All pairs, as a report of them needs; clusters come from `band_links`, which is linear for near copies.
     """
-    reps = sigs.groupBy("text_sha256").agg(F.min_by(F.struct("doc_id", "sig"), "doc_id").alias("r")).select("r.*")
-    x = bands(reps, count)
+    x = bands(representatives(sigs), count)
     left, right = x.alias("l"), x.alias("r")
     pairs = left.join(right, ["band", "band_key"]).where("l.doc_id < r.doc_id")
     pairs = pairs.select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"), similarity(F.col("l.sig"), F.col("r.sig")).alias("estimate"))
     return pairs.where(F.col("estimate") >= threshold).distinct()
 
 
+def _neighbours(threshold: float):
+    """Links of rows that follow each other in one bucket and are similar enough; rows come sorted."""
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = batch.column("sig").flatten().to_numpy().reshape(batch.num_rows, -1)
+            at = [batch.column(c).to_numpy() for c in ("band", "band_key")]
+            ids = batch.column("doc_id")
+            near = (at[0][1:] == at[0][:-1]) & (at[1][1:] == at[1][:-1]) & ((sig[1:] == sig[:-1]).sum(1) >= threshold * sig.shape[1])
+            k = np.flatnonzero(near)
+            a, b = ids.take(pa.array(k)).to_pylist(), ids.take(pa.array(k + 1)).to_pylist()
+            if last is not None and (last[0], last[1]) == (at[0][0], at[1][0]) and (last[2] == sig[0]).sum() >= threshold * sig.shape[1]:
+                a, b = [*a, last[3]], [*b, ids[0].as_py()]
+            last = at[0][-1], at[1][-1], sig[-1].copy(), ids[-1].as_py()
+            yield pa.record_batch([pa.array(a, ids.type), pa.array(b, ids.type)], names=["a", "b"])
+
+    return run
+
+
+def band_links(sigs: DataFrame, threshold: float = THRESHOLD, count: int = BANDS, most: int = 64, orders: int = 4) -> DataFrame:
+    """(a, b): links that join the same representatives as all pairs of `candidate_pairs` do.
+
+    Buckets of at most `most` rows are paired off.  In a larger one, rows are sorted by several stretches of their
+    signatures, neighbours are compared, and what they link is one class; then only rows outside a bucket's
+    largest class meet the rows of other classes.  So near copies cost a few comparisons each, and no pair of two
+    classes is left out.
+    """
+    x = cut(bands(cut(representatives(sigs)), count))
+    bucket = ["band", "band_key"]
+    x = x.join(x.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1"), bucket)
+    alike = similarity(F.col("l.sig"), F.col("r.sig")) >= threshold
+    ends = [F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")]
+    few = x.where(F.col("n") <= most)
+    links = few.alias("l").join(few.alias("r"), bucket).where("l.doc_id < r.doc_id").where(alike).select(*ends).distinct()
+    hot = cut(x.where(F.col("n") > most).drop("n"))
+    if hot.isEmpty():
+        return links
+    kind = hot.schema["doc_id"].dataType.simpleString()
+    found = None
+    for k in range(orders):
+        place = F.slice("sig", F.floor(F.size("sig") * k / orders).cast("int") + 1, F.size("sig"))
+        ranked = hot.repartitionByRange(*bucket, place).sortWithinPartitions(*bucket, place)
+        near = ranked.mapInArrow(_neighbours(threshold), f"a {kind}, b {kind}")
+        found = near if found is None else found.union(near)
+    found = cut(found.distinct())
+    label = F.coalesce("component", "doc_id").alias("label")
+    rows = cut(hot.join(components(found).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", *bucket, "sig", label))
+    largest = rows.groupBy(*bucket, "label").agg(F.count("*").alias("n")).groupBy(*bucket).agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    rest = rows.join(largest, bucket).where("label != largest").alias("l")
+    cross = rest.join(rows.alias("r"), bucket).where("l.label != r.label").where(alike).select(*ends)
+    return links.union(found).union(cross.distinct())
+
+
 def clusters(docs: DataFrame, exact: bool = False, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, cluster_min) of every document: near copies and exact copies share the least id."""
     sigs = signatures(docs, exact)
-    pairs = candidate_pairs(sigs, threshold).select("a", "b")
+    pairs = band_links(sigs, threshold)
     same = docs.select("doc_id", F.sha2("text", 256).alias("h"))
     same = same.join(same.groupBy("h").agg(F.min("doc_id").alias("b")), "h").where("doc_id != b").select(F.col("doc_id").alias("a"), "b")
     found = components(pairs.union(same), docs.select(F.col("doc_id").alias("node")))

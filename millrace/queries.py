@@ -70,22 +70,47 @@ def shingle_counts(spark, sf):
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(text.shingle_set(F.col("t"))).cast("long").alias("n_shingles"))
 
 
-@query()
+# MinHash of version x2: 60 bits of each shingle's MD5, two multiplications modulo 2^64 with shifts between, least of each permutation.
+_MINHASH_SQL = f"""t AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
+g AS (SELECT doc_id, sha256(text) AS h, unnest(list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' ')))) AS s FROM t WHERE len(text) >= 200 AND len(t) >= 5),
+k AS (SELECT doc_id, h, CAST('0x' || substr(md5(s), 1, 15) AS UHUGEINT) AS x FROM g),
+p(perm, seed) AS (VALUES {", ".join(f"({i}, {x})" for i, x in enumerate(dedup.seeds()))}),
+y AS (SELECT doc_id, h, perm, CAST((x * CAST(seed AS UHUGEINT)) & CAST(18446744073709551615 AS UHUGEINT) AS UBIGINT) AS x FROM k, p),
+z AS (SELECT doc_id, h, perm, CAST((CAST(xor(x, x >> 32) AS UHUGEINT) * {dedup.MIX}) & CAST(18446744073709551615 AS UHUGEINT) AS UBIGINT) AS x FROM y),
+m AS (SELECT doc_id, h, perm, min(xor(x, x >> 29)) AS x FROM z GROUP BY ALL),
+sig AS MATERIALIZED (SELECT doc_id, h, list(x ORDER BY perm) AS sig FROM m GROUP BY ALL),
+rep AS (SELECT h, min(doc_id) AS doc_id FROM sig GROUP BY 1),
+band AS (SELECT doc_id, sig, unnest(range(8)) AS b FROM sig JOIN rep USING (h, doc_id)),
+pair AS MATERIALIZED (SELECT DISTINCT l.doc_id AS a, r.doc_id AS b, list_sum(list_transform(list_zip(l.sig, r.sig), lambda v: CAST(v[1] = v[2] AS INTEGER))) / 64 AS estimate
+  FROM band l JOIN band r ON l.b = r.b AND l.doc_id < r.doc_id AND l.sig[l.b * 8 + 1 : l.b * 8 + 8] = r.sig[r.b * 8 + 1 : r.b * 8 + 8])
+"""
+_CLUSTERS_SQL = """same AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY sha256(text)) AS b FROM documents),
+link AS (SELECT a, b FROM pair WHERE estimate >= 0.9 UNION SELECT a, b FROM same WHERE a <> b),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reached(doc_id, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT w.b, r.low FROM reached r JOIN both_ways w ON w.a = r.doc_id WHERE r.low < w.b),
+clusters AS (SELECT doc_id, min(low) AS cluster_min FROM reached GROUP BY 1)
+"""
+
+
+@query(f"WITH {_MINHASH_SQL} SELECT doc_id, CAST(CASE WHEN sig[1] >= 9223372036854775808 THEN CAST(sig[1] AS HUGEINT) - 18446744073709551616 ELSE sig[1] END AS BIGINT) AS first, len(sig) AS perms FROM sig")
 def minhash_signatures(spark, sf):
-    return dedup.signatures(_t(spark, sf, "documents")).select("doc_id", F.col("sig")[0].alias("first"), F.size("sig").alias("perms"))
+    return dedup.signatures(_t(spark, sf, "documents")).select("doc_id", F.col("sig")[0].alias("first"), F.size("sig").cast("long").alias("perms"))
 
 
-@query()
+@query(f"WITH {_MINHASH_SQL} SELECT a, b, estimate FROM pair WHERE estimate >= 0.9")
 def lsh_band_pairs(spark, sf):
     return dedup.candidate_pairs(dedup.signatures(_t(spark, sf, "documents")))
 
 
-@query()
+@query(f"WITH RECURSIVE {_MINHASH_SQL}, {_CLUSTERS_SQL} SELECT doc_id, cluster_min FROM clusters")
 def near_dup_clusters(spark, sf):
     return dedup.clusters(_t(spark, sf, "documents"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_MINHASH_SQL}, {_CLUSTERS_SQL},
+s AS (SELECT doc_id, cluster_min AS cluster, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents JOIN clusters USING (doc_id)),
+r AS (SELECT cluster AS c, min(doc_id) AS root_doc_id, arg_min(s, doc_id) AS root_s FROM s GROUP BY 1)
+SELECT doc_id, cluster, root_doc_id, CASE WHEN doc_id = root_doc_id THEN 'root' WHEN len(list_filter(s, lambda x: NOT list_contains(root_s, x))) > 0 THEN 'independent' ELSE 'derived' END AS role FROM s JOIN r ON s.cluster = r.c""")
 def cluster_roles(spark, sf):
     docs = _t(spark, sf, "documents")
     members = dedup.clusters(docs).join(docs.select("doc_id", "text"), "doc_id").withColumnRenamed("cluster_min", "cluster")

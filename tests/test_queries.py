@@ -41,6 +41,30 @@ def test_exact_minhash_agrees_with_python(spark):
     assert signatures(df, exact=True, perms=8).first()["sig"] == want
 
 
+def test_one_bucket_of_near_copies_links_as_all_pairs_do(spark):
+    import random
+
+    from millrace.operators.components import components
+    from millrace.operators.dedup import band_links, candidate_pairs
+
+    r = random.Random(2)
+    base = [r.getrandbits(60) for _ in range(64)]
+    rows = []
+    for k in range(700):  # all share the first band; every fifth is unlike the others but for it, some of these in pairs
+        sig = list(base)
+        for at in r.sample(range(8, 64), 3):
+            sig[at] = r.getrandbits(60)
+        if k % 5 == 0:
+            sig = base[:8] + [(k // 10) * 1000 + i for i in range(56)]
+        rows.append((k, f"t{k}", sig))
+    sigs = spark.createDataFrame(rows, "doc_id long, text_sha256 string, sig array<long>")
+    of = lambda links: {(x["node"], x["component"]) for x in components(links).collect()}
+    links = band_links(sigs, most=20).cache()
+    pairs = candidate_pairs(sigs)
+    assert of(links.select("a", "b")) == of(pairs.select("a", "b"))
+    assert links.count() < 700 * 10 < pairs.count()
+
+
 def test_near_copies_cluster(spark):
     from millrace.operators.dedup import clusters, finalise, roles
 
