@@ -69,7 +69,7 @@ def assertions(claims: DataFrame, observed: Column) -> DataFrame:
     return claims.withColumn("assertion_id", ids.typed_id("asr", F.col("claim_id"))).withColumn("tx_from", observed).withColumn("tx_to", F.lit(None).cast("timestamp")).withColumn("valid_from", F.lit(None).cast("timestamp")).withColumn("valid_to", F.lit(None).cast("timestamp")).withColumn("time_precision", F.lit("unknown"))
 
 
-# How two claims may relate, and what a conflict may be judged to be.
+# How two claims may relate.
 RELATIONS = ("equivalent", "more_specific", "more_general", "supports", "contradicts", "unrelated", "temporally_superseded")
 
 
@@ -119,6 +119,42 @@ def conflicts(claims: DataFrame) -> DataFrame:
     return pairs.select(F.col("l.claim_id").alias("a"), F.col("r.claim_id").alias("b"), kind.alias("kind")).where("kind is not null")
 
 
+def conflict_summary(claims: DataFrame) -> DataFrame:
+    """(subject_id, predicate, n_claims, n_polarity, n_value, polarity_pair, value_pair): how many conflicts each block holds, without making its pairs.
+
+    The counts are those of `conflicts`, from the sizes of classes: pairs of unlike polarity are all pairs of a
+    block less those within a polarity; pairs of unlike objects less those that a polarity already tells apart are
+    left as value conflicts (a null polarity tells nothing apart, a null object is unlike none).  One pair stands for each
+    kind; `conflicts_of` gives all of a subject that is asked for.
+    """
+    block = ["subject_id", "predicate"]
+    whole = "decimal(38,0)"
+    n = F.col("n").cast(whole)
+    square = lambda x: F.sum(x.cast(whole) * x)
+    cells = claims.where("subject_id is not null and predicate is not null").groupBy(*block, "polarity", "object_id").agg(F.count("*").alias("n"), F.min("claim_id").alias("least"))
+    polar, known = F.col("polarity").isNotNull(), F.col("object_id").isNotNull()
+    # sums over cells, objects and polarities of a block
+    by_object = cells.where(known).groupBy(*block, "object_id").agg(F.sum("n").alias("n"), F.sum(F.when(polar, F.col("n")).otherwise(0)).alias("p"), square(F.when(polar, n).otherwise(0)).alias("pp"))
+    by_object = by_object.groupBy(*block).agg(F.sum("n").alias("m"), square(F.col("n")).alias("mm"), (square(F.col("p")) - F.sum("pp")).alias("cross_object"))
+    by_polarity = cells.groupBy(*block, "polarity").agg(F.sum("n").alias("n"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("k"), F.min("least").alias("least"), F.min(F.when(known, F.struct("object_id", "least"))).alias("low"), F.max(F.when(known, F.struct("object_id", "least"))).alias("high"))
+    told = lambda x: F.when(polar, x).otherwise(0)
+    split = F.when(F.col("low.object_id") != F.col("high.object_id"), F.struct(F.least("low.least", "high.least").alias("a"), F.greatest("low.least", "high.least").alias("b")))
+    loose = F.when(~polar, F.struct("low", "high"))
+    by_polarity = by_polarity.groupBy(*block).agg(
+        F.sum("n").alias("n_claims"), F.sum(told(F.col("n"))).alias("p"), square(told(F.col("n"))).alias("pp"), F.sum(told(F.col("k"))).alias("k"), square(told(F.col("k"))).alias("kk"),
+        F.min(F.when(polar, F.struct("polarity", "least"))).alias("one"), F.max(F.when(polar, F.struct("polarity", "least"))).alias("two"), F.min(split).alias("within"), F.min(loose).alias("loose"), F.min("low").alias("low"), F.max("high").alias("high"),
+    )
+    rows = by_polarity.join(by_object, block, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast(whole))
+    n_polarity = (F.col("p").cast(whole) * F.col("p") - F.col("pp")) / 2
+    n_value = ((zero(F.col("m").cast(whole) * F.col("m")) - zero(F.col("mm"))) - ((F.col("k").cast(whole) * F.col("k") - F.col("kk")) - zero(F.col("cross_object")))) / 2
+    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    polarity_pair = F.when(F.col("one.polarity") != F.col("two.polarity"), pair(F.col("one.least"), F.col("two.least")))
+    # a claim without polarity stands against any other object
+    mixed = F.coalesce(*[F.when(F.col(f"loose.{x}.object_id") != F.col(f"{y}.object_id"), pair(F.col(f"loose.{x}.least"), F.col(f"{y}.least"))) for x in ("low", "high") for y in ("low", "high")])
+    return rows.select(*block, "n_claims", n_polarity.cast("long").alias("n_polarity"), n_value.cast("long").alias("n_value"), polarity_pair.alias("polarity_pair"), F.coalesce("within", mixed).alias("value_pair"))
+
+
 def conflicts_of(claims: DataFrame, subject: Column) -> DataFrame:
     """Conflicts of one subject: only its claims are paired."""
     return conflicts(claims.where(F.col("subject_id") == subject))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.text import source_type as kind_of_source
+from millrace.operators.claims import RELATIONS
 
 # The stages of the pipeline with their names in topics, the routes of a stage, and the envelope's limits.
 STAGES = {"S1": "fetch", "S2": "store-raw", "S3": "parse-normalize", "S4": "dedup", "S5": "extract", "S6": "resolve", "S7": "graph-mutation"}
@@ -121,12 +122,6 @@ def valid_reference(doc_id: Column, ref: Column, key: Column) -> Column:
     return doc_id.rlike("^doc-[0-9a-f]{24}$") & (F.element_at(F.split(ref, "/"), -1) == doc_id) & ref.startswith("raw://") & (key == doc_id)
 
 
-def verdict(record: Column) -> Column:
-    """A verdict struct from JSON, null where its label or score is not in range."""
-    v = F.from_json(record, "label string, score double")
-    return F.when(v["label"].isin("equivalent", "different", "real_conflict", "no_conflict") & v["score"].between(0, 1), v)
-
-
 # The fields that a record of each kind must have, and its vocabularies.
 REQUIRED = {
     "claim": ("claim_candidate_id", "doc_id", "predicate", "subject_id", "modality", "polarity", "confidence", "seg_order", "char_start", "char_end", "surface_fragment"),
@@ -134,26 +129,46 @@ REQUIRED = {
     "contradiction_verdict": ("verdict", "rationale", "confidence"),
     "report": ("subject_id", "conclusion", "statements", "open_questions"),
 }
-RELATIONS = ("contradicts", "equivalent", "more_general", "more_specific", "supports", "temporally_superseded", "unrelated")
-VERDICTS = ("apparent_only", "context_dependent", "real_conflict")
+VERDICTS = ("real_conflict", "temporal", "scope", "not_conflict")
+CONFLICT_TYPES = ("value_conflict", "temporal", "scope")
+_NUMBER = "^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE|BOOLEAN)"
 
 
 def record_reason(record: Column, kind: str) -> Column:
-    """Why a JSON record of this kind is not valid; null if it is.  The first fault counts, in the order below."""
-    lacks = F.array_sort(F.array_except(F.array(*[F.lit(k) for k in REQUIRED[kind]]), F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))))
-    field = lambda k: F.get_json_object(record, f"$.{k}")
+    """Why a JSON record of this kind is not valid; null if it is.  The first fault counts, in the order of its kind.
+
+    A field that is null is missing.  Types are those of the JSON value: a number in quotes is text; true and false
+    count as 1 and 0.
+    """
+    value = F.try_parse_json(record)
+    part = lambda k: F.try_variant_get(value, f"$.{k}", "variant")
+    type_of = lambda k: F.coalesce(F.schema_of_variant(part(k)), F.lit("VOID"))
+    text = lambda k: F.try_variant_get(value, f"$.{k}", "string")
+    there = lambda k: type_of(k) != "VOID"
+    word_of = lambda k, words: (type_of(k) == "STRING") & F.coalesce(text(k).isin(*words), F.lit(False))
+    number = F.when(type_of("confidence") == "BOOLEAN", F.try_variant_get(value, "$.confidence", "boolean").cast("double")).otherwise(F.try_variant_get(value, "$.confidence", "double"))
+    in_range = type_of("confidence").rlike(_NUMBER) & F.coalesce(number.between(0, 1), F.lit(False))
+    lacks = F.array_sort(F.array_compact(F.array(*[F.when(~there(k), F.lit(k)) for k in REQUIRED[kind]])))
     tests = [
-        (F.try_parse_json(record).isNull() | ~F.ltrim(record).startswith("{"), F.lit("not an object")),
+        (value.isNull() | ~F.coalesce(F.schema_of_variant(value), F.lit("")).startswith("OBJECT"), F.lit("not an object")),
         (F.size(lacks) > 0, F.concat(F.lit("missing: "), F.array_join(lacks, ", "))),
     ]
-    if "confidence" in REQUIRED[kind]:
-        tests.append((~F.coalesce(field("confidence").try_cast("double").between(0, 1), F.lit(False)), F.lit("confidence not in [0,1]")))
+    confidence = (~in_range, F.lit("confidence not in [0,1]"))
+    if kind == "claim":
+        tests += [confidence, (there("provenance_ref") & ~type_of("provenance_ref").isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit("provenance_ref is no list of texts"))]
     if kind == "canonical_verdict":
-        tests.append((~F.coalesce(field("relation").isin(*RELATIONS), F.lit(False)), F.lit("unknown relation")))
+        tests += [(~word_of("relation", RELATIONS), F.lit("unknown relation")), (type_of("canonical_text") != "STRING", F.lit("canonical_text is no text")), confidence]
     if kind == "contradiction_verdict":
-        tests.append((~F.coalesce(field("verdict").isin(*VERDICTS), F.lit(False)), F.lit("unknown verdict")))
-        tests.append((F.coalesce(F.trim(field("rationale")), F.lit("")) == "", F.lit("rationale is empty")))
+        empty = (type_of("rationale") != "STRING") | (F.trim(F.coalesce(text("rationale"), F.lit(""))) == "")
+        tests += [(~word_of("verdict", VERDICTS), F.lit("unknown verdict")), (empty, F.lit("rationale is empty")), confidence]
+        tests += [(there("conflict_type") & ~word_of("conflict_type", CONFLICT_TYPES), F.lit("unknown conflict type"))]
     if kind == "report":
-        shape = {"conclusion": "{", "statements": "[", "open_questions": "["}
-        tests.extend((~F.coalesce(F.ltrim(field(k)).startswith(sign), F.lit(False)), F.lit(f"{k} has the wrong type")) for k, sign in shape.items())
+        shape = {"conclusion": "OBJECT", "statements": "ARRAY", "open_questions": "ARRAY", "audit": "OBJECT"}
+        tests += [(there(k) & ~type_of(k).startswith(sign), F.lit(f"{k} has the wrong type")) for k, sign in shape.items()]
     return F.coalesce(*[F.when(t, r) for t, r in tests])
+
+
+def verdict(record: Column, kind: str = "contradiction_verdict") -> Column:
+    """A verdict as a struct, null where its record is not valid."""
+    fields = {"canonical_verdict": "relation string, canonical_text string, confidence double", "contradiction_verdict": "verdict string, conflict_type string, rationale string, confidence double"}
+    return F.when(record_reason(record, kind).isNull(), F.from_json(record, fields[kind]))

@@ -782,7 +782,7 @@ def claim_overview(spark, sf):
     return metrics.overview(c)
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' AND l_quantity < 10 THEN 'missing: canonical_text' WHEN l_discount > 0.08 THEN 'confidence not in [0,1]' WHEN l_returnflag = 'R' THEN 'unknown relation' END AS reason FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' AND l_quantity < 10 THEN 'missing: canonical_text' WHEN l_returnflag = 'R' THEN 'unknown relation' WHEN l_discount > 0.08 THEN 'confidence not in [0,1]' END AS reason FROM lineitem")
 def record_validation(spark, sf):
     relation = F.when(F.col("l_returnflag") == "R", "same").otherwise("equivalent")
     said = F.when(~((F.col("l_linestatus") == "F") & (F.col("l_quantity") < 10)), "t")

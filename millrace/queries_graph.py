@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import graph_view, intervals
+from millrace.operators import claims, graph_view, intervals
 from millrace.operators.components import cut, shared_folder
-from millrace.queries import _t, query
+from millrace.queries import _CLAIMS_SQL, _claims, _t, query
 
 #: Events as a graph log: sign-ups make users; views and most purchases link them; clicks merge a user into one of ten; errors undo merges; some purchases delete.
 _LOG_SQL = """
@@ -84,3 +84,21 @@ def overlapping_deliveries(spark, sf):
     s = _t(spark, sf, "lineitem").select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_a"), start.alias("lo_a"), (start + F.col("l_quantity").cast("long") * 86_400_000_000).alias("hi_a"))
     other = s.toDF("l_partkey", "line_b", "lo_b", "hi_b")
     return intervals.overlaps(s, other, ["l_partkey"], ("lo_a", "hi_a"), ("lo_b", "hi_b")).where("line_a < line_b").select("line_a", "line_b")
+
+
+@query(f"""WITH c AS ({_CLAIMS_SQL}), p AS (SELECT a.subject_id, a.predicate, CASE WHEN a.polarity <> b.polarity THEN 'polarity' ELSE 'value' END AS kind FROM c a JOIN c b ON a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.claim_id < b.claim_id WHERE a.polarity <> b.polarity OR a.object_id <> b.object_id),
+n AS (SELECT subject_id, predicate, count(*) FILTER (WHERE kind = 'polarity') AS n_polarity, count(*) FILTER (WHERE kind = 'value') AS n_value FROM p GROUP BY ALL)
+SELECT subject_id, predicate, count(*) AS n_claims, coalesce(any_value(n_polarity), 0) AS n_polarity, coalesce(any_value(n_value), 0) AS n_value FROM c LEFT JOIN n USING (subject_id, predicate) GROUP BY ALL""")
+def conflict_summary(spark, sf):
+    """How many conflicts each block of claims holds, without its pairs."""
+    return claims.conflict_summary(_claims(spark, sf)).drop("polarity_pair", "value_pair")
+
+
+@query(f"""WITH c AS ({_CLAIMS_SQL}), w AS (SELECT *, l_shipdate AS d FROM c), p AS (SELECT a.doc_id AS s, CASE WHEN a.polarity <> b.polarity THEN 'polarity' ELSE 'value' END AS kind FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.predicate = b.predicate AND a.claim_id < b.claim_id WHERE a.polarity <> b.polarity OR a.object_id <> b.object_id)
+SELECT kind, count(*) AS n FROM p GROUP BY 1""")
+def hot_conflicts(spark, sf):
+    """Conflicts by kind where a block is all that a supplier's lines say: blocks of hundreds of claims."""
+    from pyspark.sql import functions as F
+
+    s = claims.conflict_summary(_claims(spark, sf).withColumn("subject_id", F.col("doc_id")))
+    return s.agg(F.sum("n_polarity").alias("polarity"), F.sum("n_value").alias("value")).select(F.expr("stack(2, 'polarity', polarity, 'value', value) AS (kind, n)")).where("n > 0")

@@ -2,6 +2,8 @@
 
 import hashlib
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +138,48 @@ def test_record_reasons(spark):
     assert why("canonical_verdict", '{"relation": "equivalent", "confidence": 2}') == "missing: canonical_text"
     assert why("report", '{"subject_id": "s", "conclusion": [], "statements": [], "open_questions": []}') == "conclusion has the wrong type"
     assert why("claim", "nope") == "not an object"
+    ok = {"verdict": "scope", "rationale": "r", "confidence": 0.5}
+    for verdict in ("real_conflict", "temporal", "scope", "not_conflict"):
+        assert why("contradiction_verdict", json.dumps(ok | {"verdict": verdict})) is None
+    assert why("contradiction_verdict", json.dumps(ok | {"verdict": "apparent_only"})) == "unknown verdict"
+    assert why("contradiction_verdict", json.dumps(ok | {"conflict_type": "nope"})) == "unknown conflict type"
+    assert why("contradiction_verdict", json.dumps(ok | {"conflict_type": None, "confidence": True})) is None
+    assert why("contradiction_verdict", json.dumps(ok | {"confidence": "0.5"})) == "confidence not in [0,1]"
+    assert why("contradiction_verdict", json.dumps(ok | {"rationale": None})) == "missing: rationale"
+    said = {"relation": "more_general", "canonical_text": "t", "confidence": 1}
+    assert why("canonical_verdict", json.dumps(said)) is None
+    assert why("canonical_verdict", json.dumps(said | {"canonical_text": 3})) == "canonical_text is no text"
+    assert why("canonical_verdict", json.dumps(said | {"relation": "same", "confidence": 2})) == "unknown relation"
+    claim = {k: 1 for k in filters.REQUIRED["claim"]}
+    assert why("claim", json.dumps(claim)) is None and why("claim", json.dumps(claim | {"provenance_ref": ["a", "b"]})) is None and why("claim", json.dumps(claim | {"provenance_ref": []})) is None
+    assert why("claim", json.dumps(claim | {"provenance_ref": ["a", 1]})) == why("claim", json.dumps(claim | {"provenance_ref": "a"})) == "provenance_ref is no list of texts"
+    report = {"subject_id": "s", "conclusion": {}, "statements": [], "open_questions": ["q"]}
+    assert why("report", json.dumps(report)) is None and why("report", json.dumps(report | {"audit": []})) == "audit has the wrong type"
+    rows = spark.createDataFrame([(json.dumps(ok),), (json.dumps(ok | {"verdict": "x"}),), (None,)], "r string")
+    assert [x["v"] and x["v"]["verdict"] for x in rows.select(filters.verdict(F.col("r")).alias("v")).collect()] == ["scope", None, None]
+
+
+def test_conflict_summary_counts_as_the_pairs_do(spark):
+    import random
+
+    from millrace.operators import claims
+
+    r = random.Random(6)
+    rows = [(k, r.choice(["s", "t", None]), r.choice("pq"), r.choice(["+", "-", "?", None]), r.choice([None, 1, 2, 3, 4])) for k in range(160)] + [(900, "u", "p", "+", 1), (901, "v", "p", None, 1), (902, "v", "p", "+", 2)]
+    df = spark.createDataFrame(rows, "claim_id long, subject_id string, predicate string, polarity string, object_id long")
+    pairs = {(x["a"], x["b"]): x["kind"] for x in claims.conflicts(df).collect()}
+    of = {k: (s, p) for k, s, p, _, _ in rows}
+    want = {}
+    for (a, _), kind in pairs.items():
+        want.setdefault(of[a], {}).setdefault(kind, 0)
+        want[of[a]][kind] += 1
+    for x in claims.conflict_summary(df).collect():
+        got = want.get((x["subject_id"], x["predicate"]), {})
+        assert (x["n_polarity"], x["n_value"]) == (got.get("polarity", 0), got.get("value_conflict", 0))
+        assert x["n_claims"] == sum((s, p) == (x["subject_id"], x["predicate"]) for _, s, p, _, _ in rows)
+        for n, pair, kind in ((x["n_polarity"], x["polarity_pair"], "polarity"), (x["n_value"], x["value_pair"], "value_conflict")):
+            assert (pair is None) == (n == 0)
+            assert pair is None or pairs[pair["a"], pair["b"]] == kind
 
 
 def test_subject_bonus_and_gates(spark):
