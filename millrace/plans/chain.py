@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import ids
 from millrace.operators import claims as C
-from millrace.operators import evidence, extract
+from millrace.operators import evidence, extract, observed
 from millrace.operators.components import cut
 
 
@@ -26,20 +26,21 @@ class Chain:
     conflicts: DataFrame
 
 
-def run(docs: DataFrame, names: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> Chain:
-    """docs: (doc_id, text); names: the gazetteer (surface, mention_type[, identifiers]).
+def run(docs: DataFrame, names: DataFrame, rules: list[tuple[str, str, str]] | None = None, metrics: observed.Run | None = None) -> Chain:
+    """docs: (doc_id, text); names: the gazetteer (surface, mention_type[, identifiers]); metrics: gets rows, rejects and seconds of the written stages.
 
     Every claim refers to its extraction record (extract.extraction_records has the same ids).
     """
     segs = extract.segments(docs)
-    mentions = cut(extract.mentions(docs, names))
+    write = metrics.stage if metrics is not None else lambda name, df, rejected=None: cut(df)
+    mentions = write("mentions", extract.mentions(docs, names))
     entities = extract.resolve(mentions)
     keyed = mentions.withColumn("block", extract.block_of(F.array_sort(F.map_entries("identifiers")), F.col("surface")))
     # written once: the steps below read it several times
-    resolved = cut(keyed.join(entities.select("doc_id", "mention_type", "block", "entity_id"), ["doc_id", "mention_type", "block"]))
+    resolved = write("resolved", keyed.join(entities.select("doc_id", "mention_type", "block", "entity_id"), ["doc_id", "mention_type", "block"]))
     made = extract.claims(segs, rules or extract.CLAIM_RULES, resolved.select("doc_id", "surface", "start", "end", "entity_id"))
     made = made.withColumn("provenance_ref", F.array(ids.typed_id("ext", F.col("claim_id"))))
-    gated = C.claim_gate(made)
+    gated = write("claims", C.claim_gate(made), F.col("status") != "promoted")
     good = gated.where("status = 'promoted'")
     return Chain(segs, resolved, entities, made, gated, C.canonical_claims(good), C.conflicts(made))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import dictionary, evidence
-from millrace.queries import _t, query
+from millrace.operators import dictionary, evidence, observed
+from millrace.operators.components import shared_folder
+from millrace.plans import chain
+from millrace.queries import _CHAIN_SQL, RULES, _names, _t, query
 
 #: Names of two words, as the benchmark's texts have them; a second word that begins the first would let a name overlap itself.
 _PAIRS_SQL = """
@@ -57,3 +61,15 @@ def question_subclaims(spark, sf):
     known = pairs.where("ascii(surface) % 2 = 0").select(entity.alias("subject"))
     asked = _t(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
     return evidence.plan_subclaims(asked, names, known).withColumn("no", F.col("no").cast("long"))
+
+
+@query(_CHAIN_SQL + """SELECT 'mentions' AS stage, count(*) AS n_rows, 0 AS n_rejected, true AS passed FROM r UNION ALL SELECT 'resolved', count(*), 0, true FROM r
+UNION ALL SELECT 'claims', count(*), 0, true FROM claims""")
+def chain_report(spark, sf):
+    """What a run of the chain says of itself: rows and rejects of each stage, from the metric table that it wrote."""
+    path = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
+    run = observed.Run(spark, path, "chain")
+    chain.run(_t(spark, sf, "documents"), _names(spark), RULES, run)
+    run.flush()
+    report = observed.phase_report(observed.read(spark, path), {"claims": ("reject_rate", 0.5)})
+    return report.select("stage", F.col("rows").cast("long").alias("n_rows"), F.col("rejected").cast("long").alias("n_rejected"), "passed")

@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 from pyspark.sql.utils import AnalysisException
 
 from millrace.functions import ids
@@ -58,8 +59,10 @@ def get_content(spark: SparkSession, path: str, doc_id: str):
 
 
 def merge(old: DataFrame, new: DataFrame, keys: list[str], replace: bool = True) -> DataFrame:
-    """Upsert by key (or insert only what is absent); within new rows the last by all columns stays."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in sorted(set(new.columns) - set(keys))])
+    """Upsert by key (or insert only what is absent); within new rows the last by all columns stays (maps by their JSON)."""
+    held = {f.name: f.dataType for f in new.schema.fields}
+    rank = lambda c: F.to_json(F.col(c)) if isinstance(held[c], MapType) else F.col(c)
+    w = Window.partitionBy(*keys).orderBy(*[rank(c).desc() for c in sorted(set(new.columns) - set(keys))] or [F.lit(1)])
     fresh = new.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     if replace:
         return old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
