@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import dictionary, evidence, observed
+from millrace.operators import dictionary, evidence, observed, postings
 from millrace.operators.components import shared_folder
 from millrace.plans import chain
-from millrace.queries import _CHAIN_SQL, RULES, _names, _t, query
+from millrace.queries import _CHAIN_SQL, _SQL, RULES, _names, _t, query
 
 #: Names of two words, as the benchmark's texts have them; a second word that begins the first would let a name overlap itself.
 _PAIRS_SQL = """
@@ -73,3 +73,11 @@ def chain_report(spark, sf):
     run.flush()
     report = observed.phase_report(observed.read(spark, path), {"claims": ("reject_rate", 0.5)})
     return report.select("stage", F.col("rows").cast("long").alias("n_rows"), F.col("rejected").cast("long").alias("n_rejected"), "passed")
+
+
+@query(_SQL["bm25_topk"])
+def bm25_postings(spark, sf):
+    """The rows of bm25_topk, from an index that is built once and read by terms and blocks."""
+    index = postings.build(_t(spark, sf, "documents"), f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}")
+    q = spark.createDataFrame([(1, "the tion and the"), (2, "der und sch")], "query_id int, query string")
+    return postings.search(index, q).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
