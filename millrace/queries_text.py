@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import dictionary, evidence, observed, postings
 from millrace.operators.components import shared_folder
-from millrace.plans import chain
+from millrace.plans import chain, investigation
 from millrace.queries import _CHAIN_SQL, _SQL, RULES, _names, _t, query
 
 #: Names of two words, as the benchmark's texts have them; a second word that begins the first would let a name overlap itself.
@@ -81,3 +81,21 @@ def bm25_postings(spark, sf):
     index = postings.build(_t(spark, sf, "documents"), f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}")
     q = spark.createDataFrame([(1, "the tion and the"), (2, "der und sch")], "query_id int, query string")
     return postings.search(index, q).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _investigated(spark: SparkSession, sf: str) -> investigation.Investigation:
+    pairs = _pairs(spark, sf)
+    entity = F.concat(F.lit("e-"), "surface")
+    alias = F.substring_index("surface", " ", 1)
+    names = pairs.select("surface", entity.alias("entity_id")).union(pairs.where(F.length(alias) >= 9).select(alias, entity))
+    held = pairs.where("ascii(surface) % 2 = 0").select(entity.alias("subject_id"), F.lit("located_in").alias("predicate"), F.lit(None).cast("string").alias("object_id"))
+    asked = _t(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
+    index = postings.build(_t(spark, sf, "documents"), f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}")
+    return investigation.run(asked, names, held, index)
+
+
+@query(f"""SELECT question_id, count(*) AS planned, count(*) FILTER (WHERE NOT known) AS gaps, round(avg(CAST(known AS INTEGER)), 6) AS coverage,
+CASE WHEN avg(CAST(known AS INTEGER)) >= 0.9 THEN 'coverage' ELSE 'no_new_evidence' END AS terminated_by FROM ({_SQL["question_subclaims"]}) GROUP BY 1""")
+def investigation_outcomes(spark, sf):
+    """How the investigation of each turn of a conversation ended."""
+    return _investigated(spark, sf).outcome.withColumn("coverage", F.round("coverage", 6))

@@ -24,3 +24,19 @@ def test_context_keeps_exact_matches_and_one_of_each_root(spark):
     rows = postings.context([ranked("abcd"), ranked("bac")], exact, roots, 3).collect()
     assert sorted((x["place"], x["doc_id"], x["exact"]) for x in rows) == [(1, "y", True), (2, "z", True), (3, "a", False)]
     assert {x["doc_id"] for x in postings.context([ranked("abcd")], exact, roots, 1).collect()} == {"y", "z"}
+
+
+def test_an_investigation_in_one_call(spark, tmp_path):
+    from millrace.plans import investigation
+
+    docs = spark.createDataFrame([(1, "Acme Corp makes chips"), (2, "Bolt sells bolts"), (3, "nothing")], "doc_id long, text string")
+    names = spark.createDataFrame([("Acme Corp", "e1"), ("Bolt", "e2")], "surface string, entity_id string")
+    claims = spark.createDataFrame([("e1", "supplies", None)], "subject_id string, predicate string, object_id string")
+    asked = spark.createDataFrame([(1, "Does acme corp supply Bolt?"), (2, "Acme Corp?"), (3, "why")], "question_id int, question string")
+    index = postings.build(docs, f"{tmp_path}/i")
+    found = investigation.run(asked, names, claims, index)
+    assert sorted((r["question_id"], r["planned"], r["gaps"], r["coverage"], r["terminated_by"]) for r in found.outcome.collect()) == [(1, 2, 1, 0.5, "no_new_evidence"), (2, 1, 0, 1.0, "coverage"), (3, 1, 1, 0.0, "no_new_evidence")]
+    assert [(r["question_id"], r["doc_id"], r["rank"]) for r in found.retrieved.collect()] == [(1, 2, 1)]
+    assert {r["subject_id"] for r in found.counter.collect()} == {"e2"}
+    assert sorted((r["question_id"], r["subject"], r["gain"]) for r in found.subclaims.collect()) == [(1, "e1", 0.0), (1, "e2", 0.5), (2, "e1", 0.0), (3, "?subject", 1.0)]
+    assert {r["terminated_by"] for r in investigation.run(asked, names, claims, index, budget=1).outcome.collect()} == {"budget"}
