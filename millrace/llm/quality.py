@@ -12,7 +12,7 @@ those of least hash), and collects their features only; scoring is one scan with
 
 Defined cases: null and empty texts have all features 0 and are scored like any other; without
 labels of both kinds every score is 0.5; rows with null label or doc_id train nothing; repeated
-label rows count as often as they stand; an empty table gives an empty result; other columns are
+label rows count once; an empty table gives an empty result; other columns are
 carried or ignored.
 """
 
