@@ -7,7 +7,6 @@ customer, order, part and supplier keys are a property graph.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import ids, text
 from millrace.operators import bitemporal, claims, dedup, evaluate, evidence, extract, filters, graph, metrics, order, retrieval
+from millrace.operators.components import shared_folder
 from millrace.plans import chain
 from millrace.sources import store
 from millrace.streaming import promotion
@@ -791,8 +791,7 @@ def record_validation(spark, sf):
 
 
 def _scratch(spark, name):
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
