@@ -25,6 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of fewer partitions than there are cores dealt out to all of them; a larger table as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component) of an undirected graph (a, b); component: the least node reachable.
 

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from millrace.operators.components import spread
+
 #: Bits of the filter: eight for each entry, within these bounds (4 KB to 16 MB).
 LEAST_BITS, MOST_BITS = 1 << 15, 1 << 27
 #: Characters of a text that are fingerprinted at once.
@@ -232,7 +234,7 @@ def occurrences(docs: DataFrame, names: DataFrame, words: str | None = "unicode"
                 keys = [f"\0{d}:{x}:{y}" for d, x, y in zip(doc, a, b, strict=True)]
                 yield batch_of(ids, texts, doc, a, b, list(values), keys, list(kinds), [list(k.items()) for k in known])
 
-    places = docs.select("doc_id", "text").mapInArrow(run, ddl)
+    places = spread(docs.select("doc_id", "text")).mapInArrow(run, ddl)
     folded = names.where("surface != ''").withColumn("key", F.pandas_udf(_folded, "string")("surface") if fold else F.col("surface"))
     how = "inner" if extra is None else "left"
     rows = places.join(folded, "key", how)

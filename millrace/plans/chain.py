@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import ids
 from millrace.operators import claims as C
 from millrace.operators import evidence, extract, observed
-from millrace.operators.components import cut
+from millrace.operators.components import cut, spread
 
 
 @dataclass
@@ -31,6 +31,7 @@ def run(docs: DataFrame, names: DataFrame, rules: list[tuple[str, str, str]] | N
 
     Every claim refers to its extraction record (extract.extraction_records has the same ids).
     """
+    docs = spread(docs.select("doc_id", "text"))
     segs = extract.segments(docs)
     write = metrics.stage if metrics is not None else lambda name, df, rejected=None: cut(df)
     mentions = write("mentions", extract.mentions(docs, names))
