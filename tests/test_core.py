@@ -266,3 +266,20 @@ def test_places_of_many_wide_rows(spark, adaptive):
         assert tuple(got.agg(F.count("*"), F.countDistinct("position"), F.min("position"), F.max("position")).first()) == (n, n, 1, n)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_nearest_vectors_are_those_of_all_pairs(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(i, [float(r.randrange(-3, 4)) for _ in range(6)]) for i in range(300)] + [(300 + i, [1.0, 2.0, 0.0, -1.0, 3.0, 0.5]) for i in range(40)]
+    rows += [(400, None), (401, [0.0] * 6), (402, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (403, [1.0, 2.0]), (404, [2.0, 1.0]), (405, [1.0, 1.0, 1.0, 1.0, 1.0, float("inf")]), (300, [3.0, 2.0, 1.0, 0.0, 0.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = v.where("vec_id % 10 = 0 or vec_id > 398").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    pairs = v.crossJoin(q).where("vec_id != query_id").select("query_id", "vec_id", retrieval.cosine(F.col("embedding"), F.col("q")).alias("score"))
+    want = retrieval.top_k(pairs, ["query_id"], [F.desc(F.round("score", 9)), F.asc("vec_id")], 5)
+    got = retrieval.cosine_topk(v.repartition(3), q)
+    show = lambda df: sorted((x["query_id"], x["rank"], x["vec_id"], str(x["score"])) for x in df.collect())
+    assert show(got) == show(want)
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan  # no pair is a row
