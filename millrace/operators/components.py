@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """End the lineage in the shared folder: rows are computed and written once, as a compressed table whose readers take the columns and the splits that they need."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -31,6 +33,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows that a task aggregates or sorts.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """Rows dealt out by keys to so many tasks that each holds some TASK_ROWS of them, however large the table; rows: their number, if it is known."""
+    rows = df.count() if rows is None else rows
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)), *keys)
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component) of an undirected graph (a, b); component: the least node reachable.
 

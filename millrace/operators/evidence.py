@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import dictionary
 from millrace.operators.claims import conflicts_of
+from millrace.operators.components import dealt
 from millrace.operators.order import numbered
 
 
@@ -22,8 +23,12 @@ def confidence(claims: DataFrame, contradictions: DataFrame | None = None) -> Da
     (subject_id, predicate, object_id, contradicting).
     """
     key = ["subject_id", "predicate", "object_id"]
-    root = F.coalesce("root_doc_id", "doc_id")
-    rows = claims.groupBy(*key).agg(F.countDistinct("doc_id").alias("evidence"), F.countDistinct(root).alias("independent"))
+    rows = claims.select(*key, F.col("doc_id").alias("_d"), F.coalesce("root_doc_id", "doc_id").alias("_r"))
+    none = {c: F.lit(None).cast(rows.schema[c].dataType) for c in ("_d", "_r")}
+    # documents and roots stand under each other, so that one exchange serves both counts
+    sides = F.explode(F.array(F.struct("_d", none["_r"].alias("_r")), F.struct(none["_d"].alias("_d"), "_r")))
+    rows = dealt(rows.select(*key, sides.alias("x")).select(*key, "x.*"), *key, rows=2 * claims.count())
+    rows = rows.groupBy(*key, "_d", "_r").agg(F.lit(1)).groupBy(*key).agg(F.count("_d").alias("evidence"), F.count("_r").alias("independent"))
     rows = rows.join(contradictions, key, "left") if contradictions is not None else rows.withColumn("contradicting", F.lit(0).cast("long"))
     s, c = support(F.col("independent")), support(F.coalesce("contradicting", F.lit(0)))
     return rows.withColumn("contradicting", F.coalesce("contradicting", F.lit(0).cast("long"))).withColumn("support", s).withColumn("contradiction", c).withColumn("coverage", (F.col("evidence") > 0).cast("double")).withColumn("confidence", s * (1 - c))
