@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import ids
-from millrace.operators.components import components
+from millrace.operators.components import components, dealt
 from millrace.operators.order import numbered
 
 # Vocabularies of the gates.
@@ -131,7 +131,10 @@ def conflict_summary(claims: DataFrame) -> DataFrame:
     whole = "decimal(38,0)"
     n = F.col("n").cast(whole)
     square = lambda x: F.sum(x.cast(whole) * x)
-    cells = claims.where("subject_id is not null and predicate is not null").groupBy(*block, "polarity", "object_id").agg(F.count("*").alias("n"), F.min("claim_id").alias("least"))
+    rows = claims.where("subject_id is not null and predicate is not null").select(*block, "polarity", "object_id", "claim_id")
+    many = rows.count()
+    cells = dealt(rows, *block, "object_id", rows=many).groupBy(*block, "object_id", "polarity").agg(F.count("*").alias("n"), F.min("claim_id").alias("least"))
+    cells = dealt(cells, *block, rows=many)
     polar, known = F.col("polarity").isNotNull(), F.col("object_id").isNotNull()
     # sums over cells, objects and polarities of a block
     by_object = cells.where(known).groupBy(*block, "object_id").agg(F.sum("n").alias("n"), F.sum(F.when(polar, F.col("n")).otherwise(0)).alias("p"), square(F.when(polar, n).otherwise(0)).alias("pp"))

@@ -289,3 +289,25 @@ def test_references_end_in_a_semicolon(spark):
     page = "<title>A&amp;B &copy &ampx; &amp</title><p>x &lt;y&gt; &#39;z&#39; &amp &#39</p>"
     assert one(spark, text.title(F.col("h")), h=page) == "A&B &copy &ampx; &amp"
     assert one(spark, text.body_text("h"), h=page) == "x <y> 'z' &amp &#39"
+
+
+def test_a_cut_is_computed_once_and_read_as_a_table(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = components.cut(spark.range(1000).mapInArrow(count, "id long"))
+    assert got.count() == 1000 and seen.value == 1000
+    assert got.inputFiles()
+
+
+def test_tasks_grow_in_number_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(components, "TASK_ROWS", 10)
+    rows = [(k, k % 90, "p", k % 7, k % 5, "N" if k % 2 else "R") for k in range(400)]
+    c = spark.createDataFrame(rows, "claim_id long, subject_id long, predicate string, object_id long, doc_id long, polarity string").withColumn("root_doc_id", F.col("doc_id") % 3)
+    got = evidence.confidence(c)
+    assert got.rdd.getNumPartitions() == 80 and got.agg(F.sum("evidence")).first()[0] == 400
+    assert claims.conflict_summary(c).rdd.getNumPartitions() == 40
