@@ -1,6 +1,6 @@
 """A stored inverted index: postings in blocks of documents, each with the most that it can add to a score.
 
-Documents are numbered and dealt into blocks of `BLOCK`; a row holds one term's postings in one block, so a term
+Documents are dealt by a hash of their id into blocks of about `BLOCK`; a row holds one term's postings in one block, so a term
 that stands in every document is as many small rows as there are blocks, never one group.  Rows are stored by a hash
 of the term.  A query reads its terms' partitions, at first only the bounds: the blocks with the highest sums are
 scored, their k-th score is a threshold, and of all other blocks only those whose sum reaches it are read.
@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators.components import cut
-from millrace.operators.order import numbered
+from millrace.operators.components import cut, dealt
 from millrace.operators.retrieval import top_k
 
 BLOCK = 128
@@ -43,12 +42,14 @@ def part(term: Column) -> Column:
 def build(docs: DataFrame, path: str, k1: float = 1.2, b: float = 1.0) -> Index:
     """Write the index of docs (doc_id, text) under a path; texts are tokenised here and never again."""
     spark = docs.sparkSession
-    tokens = numbered(docs.select("doc_id", text.search_tokens(F.col("text")).alias("t")).select("doc_id", "t", F.size("t").cast("long").alias("len")), [F.asc("doc_id")], "_no")
-    tokens = tokens.withColumn("block", F.floor((F.col("_no") - 1) / BLOCK))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("a")).first()
+    tokens = cut(docs.select("doc_id", text.search_tokens(F.col("text")).alias("t")).select("doc_id", "t", F.size("t").cast("long").alias("len")))
+    stats = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("a"), F.sum("len").alias("all")).first()
     n, avg = stats["n"], float(stats["a"] or 0) or 1.0
-    tf = tokens.select("doc_id", "_no", "len", "block", F.explode("t").alias("term")).groupBy("term", "block", "_no", "doc_id", "len").agg(F.count("*").alias("tf"))
-    rows = tf.groupBy("term", "block").agg(F.count("*").alias("df"), F.max(_weight(F.col("tf"), F.col("len"), avg, k1, b)).alias("bound"), F.collect_list(F.struct("doc_id", "tf", "len")).alias("postings"))  # at most BLOCK
+    # each document travels once, to its block's task; terms are counted and gathered there
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // BLOCK))))
+    own = dealt(tokens.withColumn("block", block), "block", rows=stats["all"] or 0).withColumn("_no", F.monotonically_increasing_id())
+    tf = own.select("doc_id", "_no", "len", "block", F.explode("t").alias("term")).groupBy("block", "_no", "doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    rows = tf.groupBy("block", "term").agg(F.count("*").alias("df"), F.max(_weight(F.col("tf"), F.col("len"), avg, k1, b)).alias("bound"), F.collect_list(F.struct("doc_id", "tf", "len")).alias("postings"))  # about BLOCK
     rows.withColumn("part", part(F.col("term"))).repartition("part").sortWithinPartitions("part", "term", "block").write.partitionBy("part").parquet(f"{path}/postings")
     spark.createDataFrame([(n, avg, k1, b)], "n long, avg_len double, k1 double, b double").write.parquet(f"{path}/stats")
     return load(spark, path)

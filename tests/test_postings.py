@@ -40,3 +40,13 @@ def test_an_investigation_in_one_call(spark, tmp_path):
     assert {r["subject_id"] for r in found.counter.collect()} == {"e2"}
     assert sorted((r["question_id"], r["subject"], r["gain"]) for r in found.subclaims.collect()) == [(1, "e1", 0.0), (1, "e2", 0.5), (2, "e1", 0.0), (3, "?subject", 1.0)]
     assert {r["terminated_by"] for r in investigation.run(asked, names, claims, index, budget=1).outcome.collect()} == {"budget"}
+
+
+def test_a_document_travels_once_to_its_block(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    d = spark.createDataFrame([(k, f"w{k % 7} all") for k in range(1000)], "doc_id long, text string")
+    monkeypatch.setattr(DataFrame, "repartitionByRange", None)  # no sort of all texts
+    rows = postings.build(d, f"{tmp_path}/i").rows.where("term = 'all'").collect()
+    assert sum(r["df"] for r in rows) == 1000 and len(rows) == 8
+    assert max(len(r["postings"]) for r in rows) < 2 * postings.BLOCK
