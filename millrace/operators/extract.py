@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from millrace.functions import ids, text
 from millrace.operators import dictionary
-from millrace.operators.components import cut
+from millrace.operators.components import TASK_ROWS, cut, dealt
 
 # The patterns of strong identifiers and of the claim rules, in order.
 TICKER = r"\b(?:NYSE|NASDAQ|OTC):\s*([A-Z]{1,5})\b"
@@ -64,6 +64,10 @@ def gazetteer_mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
     return dictionary.occurrences(docs, names).select("doc_id", "surface", "mention_type", "start", "end")
 
 
+#: Characters of text for which a task sorts mentions.
+TASK_CHARS = 1 << 24
+
+
 def mentions(docs: DataFrame, names: DataFrame, radius: int = 96) -> DataFrame:
     """All mentions of documents: tickers, hosts and exact names anywhere, without overlaps, each with its id.
 
@@ -79,7 +83,8 @@ def mentions(docs: DataFrame, names: DataFrame, radius: int = 96) -> DataFrame:
     surface = F.when(strong, F.col("text")).otherwise(F.col("surface")).alias("surface")
     rows = rows.select("doc_id", "start", "end", rank.alias("rank"), surface, F.coalesce("extra_kind", "mention_type").alias("mention_type"), "context", F.when(strong, F.col("extra_ids")).otherwise(F.col("known")).alias("identifiers"))
     mention_id = ids.typed_id("men", F.col("doc_id"), F.col("start"), F.col("end"), F.col("surface"), sep=":")
-    return dictionary.apart(rows).select("doc_id", mention_id.alias("mention_id"), "surface", "mention_type", "start", "end", "context", "identifiers")
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    return dictionary.apart(rows, -(-chars // TASK_CHARS) * TASK_ROWS).select("doc_id", mention_id.alias("mention_id"), "surface", "mention_type", "start", "end", "context", "identifiers")
 
 
 def pattern_mentions(docs: DataFrame, pattern: str, mention_type: str) -> DataFrame:
@@ -159,11 +164,11 @@ def with_subjects(rows: DataFrame, resolved: DataFrame) -> DataFrame:
     equi-join, so no segment is paired with all mentions of its document.
     """
     place = F.struct("start", "end", "entity_id")
-    own = resolved.groupBy("doc_id", "surface").agg(F.min(place).alias("first"))
-    segs = rows.select(F.struct("doc_id", "seg_order").alias("doc_id"), F.col("seg_text").alias("text")).distinct()
+    own = dealt(resolved.select("doc_id", "surface", "start", "end", "entity_id"), "doc_id", "surface").groupBy("doc_id", "surface").agg(F.min(place).alias("first"))
+    segs = dealt(rows.select(F.struct("doc_id", "seg_order").alias("doc_id"), F.col("seg_text").alias("text")), "doc_id").distinct()
     held = dictionary.occurrences(segs, own.select("surface").distinct(), words=None).select("doc_id.*", "surface").distinct()
     subject = held.join(own, ["doc_id", "surface"]).groupBy("doc_id", "seg_order").agg(F.min("first")["entity_id"].alias("subject_id"))
-    return rows.join(subject, ["doc_id", "seg_order"])
+    return dealt(rows, "doc_id", "seg_order").join(subject, ["doc_id", "seg_order"])
 
 
 def with_objects(rows: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -173,14 +178,15 @@ def with_objects(rows: DataFrame, resolved: DataFrame) -> DataFrame:
     for it the next mention of another entity.
     """
     down = Window.partitionBy("doc_id").orderBy(F.desc("start"), F.desc("end"), F.desc("entity_id"))
-    seen = resolved.select("doc_id", "start", "end", "entity_id").distinct()
+    many = resolved.count()
+    seen = dealt(resolved.select("doc_id", "start", "end", "entity_id"), "doc_id", rows=many).distinct()
     after = F.lag("entity_id").over(down)
     seen = seen.withColumn("turn", F.when(after != F.col("entity_id"), after))
     seen = seen.withColumn("other", F.last("turn", True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
     marks = seen.select("doc_id", F.col("start").alias("place"), F.lit(1).alias("side"), F.col("end").alias("rank"), F.struct("entity_id", "other").alias("m"), F.lit(None).cast(rows.select(F.struct("*")).schema[0].dataType).alias("row"))
     asked = rows.select("doc_id", F.col("char_end").alias("place"), F.lit(0).alias("side"), F.lit(0).alias("rank"), F.lit(None).cast(marks.schema["m"].dataType).alias("m"), F.struct("*").alias("row"))
     walk = Window.partitionBy("doc_id").orderBy(F.desc("place"), F.desc("side"), F.desc("rank"), F.desc("m")).rowsBetween(Window.unboundedPreceding, 0)
-    met = marks.union(asked).withColumn("next", F.last("m", True).over(walk)).where("side = 0")
+    met = dealt(marks.union(asked), "doc_id", rows=2 * many).withColumn("next", F.last("m", True).over(walk)).where("side = 0")
     object_id = F.when(F.col("next.entity_id") != F.col("row.subject_id"), F.col("next.entity_id")).otherwise(F.col("next.other"))
     return met.select("row.*", object_id.alias("object_id"))
 

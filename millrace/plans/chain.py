@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import ids
 from millrace.operators import claims as C
 from millrace.operators import evidence, extract, observed
-from millrace.operators.components import cut, spread
+from millrace.operators.components import cut, dealt, spread
 
 
 @dataclass
@@ -36,12 +36,13 @@ def run(docs: DataFrame, names: DataFrame, rules: list[tuple[str, str, str]] | N
     write = metrics.stage if metrics is not None else lambda name, df, rejected=None: cut(df)
     mentions = write("mentions", extract.mentions(docs, names))
     entities = extract.resolve(mentions)
-    keyed = mentions.withColumn("block", extract.block_of(F.array_sort(F.map_entries("identifiers")), F.col("surface")))
+    keyed = dealt(mentions.withColumn("block", extract.block_of(F.array_sort(F.map_entries("identifiers")), F.col("surface"))), "doc_id", "mention_type", "block")
     # written once: the steps below read it several times
     resolved = write("resolved", keyed.join(entities.select("doc_id", "mention_type", "block", "entity_id"), ["doc_id", "mention_type", "block"]))
     made = extract.claims(segs, rules or extract.CLAIM_RULES, resolved.select("doc_id", "surface", "start", "end", "entity_id"))
     made = made.withColumn("provenance_ref", F.array(ids.typed_id("ext", F.col("claim_id"))))
     gated = write("claims", C.claim_gate(made), F.col("status") != "promoted")
+    made = gated.drop("reasons", "status")  # as written, not made again
     good = gated.where("status = 'promoted'")
     return Chain(segs, resolved, entities, made, gated, C.canonical_claims(good), C.conflicts(made))
 
