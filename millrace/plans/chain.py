@@ -42,7 +42,6 @@ def run(docs: DataFrame, names: DataFrame, rules: list[tuple[str, str, str]] | N
     made = extract.claims(segs, rules or extract.CLAIM_RULES, resolved.select("doc_id", "surface", "start", "end", "entity_id"))
     made = made.withColumn("provenance_ref", F.array(ids.typed_id("ext", F.col("claim_id"))))
     gated = write("claims", C.claim_gate(made), F.col("status") != "promoted")
-    made = gated.drop("reasons", "status")  # as written, not made again
     good = gated.where("status = 'promoted'")
     return Chain(segs, resolved, entities, made, gated, C.canonical_claims(good), C.conflicts(made))
 
