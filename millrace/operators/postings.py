@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators.components import cut, dealt
+from millrace.operators.components import TASK_ROWS, cut, dealt
 from millrace.operators.retrieval import top_k
 
 BLOCK = 128
+#: The columns of a row's postings, as arrays of one length.
+POSTING = ("doc_id", "tf", "len")
 #: Folders of an index.
 PARTS = 64
 
@@ -45,19 +47,28 @@ def build(docs: DataFrame, path: str, k1: float = 1.2, b: float = 1.0) -> Index:
     tokens = cut(docs.select("doc_id", text.search_tokens(F.col("text")).alias("t")).select("doc_id", "t", F.size("t").cast("long").alias("len")))
     stats = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("a"), F.sum("len").alias("all")).first()
     n, avg = stats["n"], float(stats["a"] or 0) or 1.0
-    # each document travels once, to its block's task; terms are counted and gathered there
+    # each document travels once, its tokens as one text, to its block's task; terms are counted and gathered there
     block = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // BLOCK))))
-    own = dealt(tokens.withColumn("block", block), "block", rows=stats["all"] or 0).withColumn("_no", F.monotonically_increasing_id())
+    packed = tokens.withColumn("block", block).withColumn("t", F.when(F.col("len") > 0, F.array_join("t", " ")))
+    own = dealt(packed, "block", rows=stats["all"] or 0).withColumn("t", F.split("t", " ")).withColumn("_no", F.monotonically_increasing_id())
     tf = own.select("doc_id", "_no", "len", "block", F.explode("t").alias("term")).groupBy("block", "_no", "doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    rows = tf.groupBy("block", "term").agg(F.count("*").alias("df"), F.max(_weight(F.col("tf"), F.col("len"), avg, k1, b)).alias("bound"), F.collect_list(F.struct("doc_id", "tf", "len")).alias("postings"))  # about BLOCK
-    rows.withColumn("part", part(F.col("term"))).repartition("part").sortWithinPartitions("part", "term", "block").write.partitionBy("part").parquet(f"{path}/postings")
+    rows = tf.groupBy("block", "term").agg(F.collect_list(F.struct("doc_id", F.col("tf").cast("int").alias("tf"), F.col("len").cast("int").alias("len"))).alias("p"))  # about BLOCK
+    # arrays of numbers travel, not rows within rows; what follows from them is added where they are written.  The terms of
+    # a folder are dealt to so many tasks that none has more than some TASK_ROWS
+    rows = rows.select("block", "term", *[F.col(f"p.{c}").alias(c) for c in POSTING], part(F.col("term")).alias("part"))
+    share = F.pmod(F.xxhash64(F.lit(1), "term"), F.lit(-(-(stats["all"] or 1) // (PARTS * TASK_ROWS))))
+    rows = dealt(rows.withColumn("share", share), "part", "share", rows=stats["all"] or 0)
+    bound = F.array_max(F.zip_with("tf", "len", lambda tf, length: _weight(tf, length, avg, k1, b)))
+    rows = rows.select("block", "term", F.size("tf").cast("long").alias("df"), bound.alias("bound"), *POSTING, "part")
+    rows.sortWithinPartitions("part", "term", "block").write.partitionBy("part").parquet(f"{path}/postings")
     spark.createDataFrame([(n, avg, k1, b)], "n long, avg_len double, k1 double, b double").write.parquet(f"{path}/stats")
     return load(spark, path)
 
 
 def load(spark: SparkSession, path: str) -> Index:
     s = spark.read.parquet(f"{path}/stats").first()
-    return Index(spark.read.parquet(f"{path}/postings"), s["n"], s["avg_len"], s["k1"], s["b"])
+    rows = spark.read.parquet(f"{path}/postings")
+    return Index(rows.withColumn("postings", F.arrays_zip(*POSTING)), s["n"], s["avg_len"], s["k1"], s["b"])
 
 
 def search(index: Index, queries: DataFrame, top: int = 5) -> DataFrame:
@@ -66,7 +77,9 @@ def search(index: Index, queries: DataFrame, top: int = 5) -> DataFrame:
     terms = cut(terms.withColumn("part", part(F.col("term"))))
     touched = sorted(r[0] for r in terms.select("part").distinct().collect())  # at most PARTS
     own = index.rows.where(F.col("part").isin(touched))
-    bounds = cut(own.select("part", "term", "block", "df", "bound").join(terms.select("part", "term").distinct(), ["part", "term"], "left_semi"))
+    # rows of other terms never travel
+    own = own.join(terms.select("part", "term").distinct(), ["part", "term"], "left_semi")
+    bounds = cut(own.select("part", "term", "block", "df", "bound"))
     df = bounds.groupBy("term").agg(F.sum("df").alias("all"))
     idf = F.log(1 + (F.lit(index.n) - F.col("all") + 0.5) / (F.col("all") + 0.5))
     weights = terms.join(df, "term").withColumn("w", F.col("times") * idf)
@@ -74,7 +87,7 @@ def search(index: Index, queries: DataFrame, top: int = 5) -> DataFrame:
 
     def scored(blocks: DataFrame) -> DataFrame:
         asked = weights.select("query_id", "term", "part", "w").join(blocks.select("query_id", "block"), "query_id")
-        hits = own.select("part", "term", "block", "postings").join(asked, ["part", "term", "block"]).select("query_id", "w", F.explode("postings").alias("p"))
+        hits = own.select("part", "term", "block", *POSTING).join(asked, ["part", "term", "block"]).select("query_id", "w", F.explode(F.arrays_zip(*POSTING)).alias("p"))
         part_of = F.col("w") * _weight(F.col("p.tf"), F.col("p.len"), index.avg_len, index.k1, index.b)
         return hits.groupBy("query_id", F.col("p.doc_id").alias("doc_id")).agg(F.sum(part_of).alias("score"))
 

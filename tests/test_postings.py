@@ -50,3 +50,17 @@ def test_a_document_travels_once_to_its_block(spark, tmp_path, monkeypatch):
     rows = postings.build(d, f"{tmp_path}/i").rows.where("term = 'all'").collect()
     assert sum(r["df"] for r in rows) == 1000 and len(rows) == 8
     assert max(len(r["postings"]) for r in rows) < 2 * postings.BLOCK
+
+
+def test_postings_travel_as_arrays_and_a_folder_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "TASK_ROWS", 50)
+    d = spark.createDataFrame([(k, f"w{k} all") for k in range(20_000)], "doc_id long, text string")
+    index = postings.build(d, f"{tmp_path}/i")
+    held = spark.read.parquet(f"{tmp_path}/i/postings")
+    assert dict(held.dtypes)["doc_id"] == "array<bigint>" and dict(held.dtypes)["tf"] == dict(held.dtypes)["len"] == "array<int>"
+    assert index.rows.where("size(postings) != df or bound is null").count() == 0
+    assert min(len(list((tmp_path / "i" / "postings" / f"part={k}").glob("*.parquet"))) for k in range(postings.PARTS)) > 1
+    q = spark.createDataFrame([(1, "w7 all")], "query_id int, query string")
+    assert postings.search(index, q, 1).first()["doc_id"] == 7
+    plan = postings.search(index, q, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan  # rows of other terms stay where they are
