@@ -19,6 +19,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.components import cut
 from millrace.operators.graph import first_per_key
@@ -53,7 +54,12 @@ class View(NamedTuple):
 
 
 def empty(spark: SparkSession) -> View:
-    return View(*(spark.createDataFrame([], ddl) for ddl in (NODES, EDGES, REFUSED, KEYS)))
+    return View(*(_no_rows(spark, ddl) for ddl in (NODES, EDGES, REFUSED, KEYS)))
+
+
+def _no_rows(spark: SparkSession, ddl: str) -> DataFrame:
+    """An empty table that Spark knows to be empty, so that joins with it fall away."""
+    return spark.range(1).where("false").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(ddl)])
 
 
 def merge_intervals(view: View) -> DataFrame:
@@ -62,19 +68,31 @@ def merge_intervals(view: View) -> DataFrame:
 
 
 def _ended(edges: DataFrame, delta: DataFrame) -> DataFrame:
-    """Edges with `ended` set where it was not and the delta ends them."""
+    """Edges, a row each, with `ended` set where it was not and the delta ends them."""
     gone = delta.where("op = 'delete_node'").select(F.col("id").alias("node"), F.col("seq").alias("s"))
     undone = delta.where("op = 'unmerge'").select("src", "dst", F.coalesce("ref", F.lit("")).alias("ref"), F.col("seq").alias("s"))
-    rows = edges.where("ended is null").withColumn("t", F.col("seq"))
+    named = undone.where("ref <> ''")
+    # merges are ended by their own ref, other edges by any
+    kind = F.when(F.col("type") == "SAME_AS", F.concat(F.lit("="), "ref")).otherwise("*")
+    refs = named.withColumn("_kind", F.explode(F.array(F.concat(F.lit("="), "ref"), F.lit("*")))).drop("ref")
+    rows = edges.where("ended is null").withColumn("t", F.col("seq")).withColumn("_kind", kind)
     for end in ("src", "dst"):
         rows = next_after(rows, gone.withColumnRenamed("node", end), [end], "t", "s", f"_{end}")
     rows = next_after(rows, undone.where("ref = ''").drop("ref"), ["src", "dst"], "t", "s", "_any")
-    merges, others = rows.where("type = 'SAME_AS'"), rows.where("type <> 'SAME_AS' or type is null")
-    merges = next_after(merges, undone.where("ref <> ''"), ["src", "dst", "ref"], "t", "s", "_ref")
-    others = next_after(others, undone.where("ref <> ''").drop("ref"), ["src", "dst"], "t", "s", "_ref")
-    first = F.least("_src", "_dst", "_any", "_ref").alias("ended")
-    names = ("node", "seq", "type", "src", "dst", "ref")
-    return merges.unionByName(others).select(*names, first).unionByName(edges.where("ended is not null").select(*names, "ended"))
+    rows = next_after(rows, refs, ["src", "dst", "_kind"], "t", "s", "_ref")
+    rows = rows.withColumn("ended", F.least("_src", "_dst", "_any", "_ref"))
+    return rows.select(*edges.columns).unionByName(edges.where("ended is not null"))
+
+
+def _edges(view: View, new: DataFrame, delta: DataFrame) -> DataFrame:
+    """The edges of a view and new ones (seq, type, src, dst, ref) after a delta, in the parts of the ends that were read or are new."""
+    flag = lambda end: (F.col("node") == F.col(end)).alias(f"at_{end}")
+    names = ["seq", "type", "src", "dst", "ref"]
+    new = new.select(*names, F.lit(True).alias("at_src"), F.lit(True).alias("at_dst"), F.lit(None).cast("long").alias("ended"))
+    rows = view.edges.select(*names, flag("src"), flag("dst"), "ended").unionByName(new)
+    rows = rows.groupBy(*names).agg(F.max("at_src").alias("at_src"), F.max("at_dst").alias("at_dst"), F.max("ended").alias("ended"))
+    ends = F.array_distinct(F.array_compact(F.array(F.when(F.col("at_src"), F.col("src")), F.when(F.col("at_dst"), F.col("dst")))))
+    return _ended(rows, delta).select(F.explode(ends).alias("node"), *names, "ended")
 
 
 def _pointers(nodes: DataFrame, edges: DataFrame, delta: DataFrame) -> DataFrame:
@@ -113,8 +131,16 @@ def _merged_nodes(old: DataFrame, delta: DataFrame) -> DataFrame:
     return rows.select("id", label.alias("label"), first.alias("first_seq"), deleted.alias("deleted_seq"), both.alias("props"), "canonical_id", "merged", "merge_seq", "closed_at")
 
 
-def advance(view: View, delta: DataFrame) -> View:
-    """The view after a delta.  view: at least the rows of all nodes that the delta names, with all their edges."""
+class _Step(NamedTuple):
+    """A delta without repeats, the nodes as it makes them, the edges that it asks for and all edges after it."""
+
+    delta: DataFrame
+    nodes: DataFrame
+    asked: DataFrame
+    edges: DataFrame
+
+
+def _step(view: View, delta: DataFrame) -> _Step:
     delta = first_per_key(delta.where(F.col("op").isin(*OPS)))
     delta = cut(delta.join(view.keys.select("idempotency_key"), "idempotency_key", "left_anti"))
     nodes = cut(_merged_nodes(view.nodes, delta))
@@ -125,10 +151,19 @@ def advance(view: View, delta: DataFrame) -> View:
     ends = asked.join(known.toDF("src", "s_first"), "src", "left").join(known.toDF("dst", "d_first"), "dst", "left")
     stood = F.coalesce((F.col("s_first") < F.col("seq")) & (F.col("d_first") < F.col("seq")), F.lit(False))
     ends = cut(ends.withColumn("stood", stood))
+    return _Step(delta, nodes, ends, cut(_edges(view, ends.where("stood"), delta)))
+
+
+def merge_history(view: View, delta: DataFrame) -> DataFrame:
+    """`merge_intervals` after a delta, without the pointers of its nodes."""
+    return merge_intervals(view._replace(edges=_step(view, delta).edges))
+
+
+def advance(view: View, delta: DataFrame) -> View:
+    """The view after a delta.  view: at least the rows of all nodes that the delta names, with all their edges."""
+    delta, nodes, ends, edges = _step(view, delta)
     good = ends.where("stood")
-    new = good.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"), "seq", "type", "src", "dst", "ref", F.lit(None).cast("long").alias("ended"))
     bad = ends.where("not stood and op <> 'supersede'").select("seq", "type", "src", "dst", F.when(F.col("op") == "merge", "merge_missing_node").otherwise("dangling_ref").alias("reason"))
-    edges = cut(_ended(view.edges.unionByName(new).dropDuplicates(["node", "seq"]), delta))
     pointers = _pointers(nodes, edges, delta)
     closed = good.where("op = 'supersede'").groupBy(F.col("dst").alias("id")).agg(F.max_by("at", "seq").alias("n_closed"))
     # pointers come under other names; a member without a row keeps what it had
@@ -156,7 +191,7 @@ def stored(spark: SparkSession, root: str, parts: dict[str, list[int]] | None =
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            rows = spark.createDataFrame([], f"{ddl}, part int")
+            rows = _no_rows(spark, f"{ddl}, part int")
         out.append((rows.where(F.col("part").isin(parts[name])) if parts is not None else rows).drop("part"))
     return View(*out)
 

@@ -52,17 +52,34 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str
     return held(one, a, b_span).unionByName(held(two, b, a_span))
 
 
+#: Bins over the range of all events, by which a hot key of `next_after` is divided.
+BINS = 1 << 10
+
+
 def next_after(points: DataFrame, events: DataFrame, keys: list[str], t: str, s: str, name: str) -> DataFrame:
     """Points with the first event of their keys after t, null if there is none.
 
     points: rows with (keys, t), a row for each wanted answer; equal (keys, t) get equal answers.
-    events: (keys, s).  The stretches between the events of a key are the spans, [s before, s),
-    so that a point at an event gets the one behind it.
+    events: (keys, s).  Points and events of a key meet in bins and are passed from the last place to the first, so that
+    a point travels once.  A bin that holds points begins with the first event of later bins: that table has at most BINS
+    rows a key.
     """
     from pyspark.sql import Window
 
-    order = Window.partitionBy(*keys).orderBy(s)
-    spans = events.select(*keys, s).distinct().withColumn("_lo", F.coalesce(F.lag(s).over(order), F.lit(-OPEN))).withColumnRenamed(s, "_hi")
-    asked = points.select(*keys, t).distinct()
-    found = stab(asked, spans, keys, t, "_lo", "_hi").select(*keys, t, F.col("_hi").alias(name))
-    return points.join(found, [*keys, t], "left")
+    events = events.select(*keys, F.col(s).cast("long").alias("_at")).where(" and ".join(f"`{c}` is not null" for c in (*keys, "_at")))
+    lo, hi = events.agg(F.min("_at"), F.max("_at")).first()
+    shift = max(0, ((hi or 0) - (lo or 0)).bit_length() - BINS.bit_length() + 1)
+    binned = lambda x: x.withColumn("_bin", F.shiftright(F.col("_at"), shift))
+    events = binned(events)
+    asked = binned(points.select(*keys, F.col(t).cast("long").alias("_at"), F.struct("*").alias("_row")))
+    none = F.lit(None).cast("long")
+    firsts = events.groupBy(*keys, "_bin").agg(F.min("_at").alias("_first"))
+    cells = firsts.unionByName(asked.where("_bin is not null").select(*keys, "_bin", none.alias("_first")))
+    cells = cells.groupBy(*keys, "_bin").agg(F.min("_first").alias("_first"))
+    later = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(1, Window.unboundedFollowing)
+    carried = cells.select(*keys, "_bin", F.min("_first").over(later).alias("_at")).where("_at is not null")
+    marks = events.unionByName(carried.select(*keys, "_at", "_bin")).withColumn("_event", F.col("_at")).withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType))
+    # of equal places the points come first: an event at a point is not after it
+    down = Window.partitionBy(*keys, "_bin").orderBy(F.desc("_at"), F.col("_event").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = marks.unionByName(asked.withColumn("_event", none)).withColumn("_next", F.last("_event", True).over(down))
+    return met.where("_row is not null").select("_row.*", F.col("_next").alias(name))

@@ -42,7 +42,7 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_LOG_SQL} SELECT src AS member, dst AS canonical, ref, seq, ended FROM i WHERE type = 'SAME_AS'")
 def merge_validity(spark, sf):
     """From when to when each merge held, over the whole log."""
-    return graph_view.merge_intervals(graph_view.advance(graph_view.empty(spark), _log(spark, sf)))
+    return graph_view.merge_history(graph_view.empty(spark), _log(spark, sf))
 
 
 @query(f"""WITH {_LOG_SQL},

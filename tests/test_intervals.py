@@ -42,3 +42,16 @@ def test_next_event(spark):
     got = sorted((x["p"], x["after"]) for x in intervals.next_after(p, e, ["key"], "t", "s", "after").collect())
     assert got == sorted((k, min((s for j, s in events if j == key and s > t), default=None)) for k, key, t in points)
     assert intervals.next_after(p, e.where("false"), ["key"], "t", "s", "after").where("after is not null").count() == 0
+
+
+def test_next_event_takes_a_point_over_once(spark, monkeypatch):
+    """Whatever the levels of the stretches between events: a point is one row of the pass, and a hot key is divided."""
+    monkeypatch.setattr(intervals, "BINS", 8)
+    r = random.Random(4)
+    points = [(k, r.choice([1, 1, 1, 2, None]), r.choice([None, *range(0, 5000, 7)])) for k in range(300)]
+    events = [(r.choice([1, 2, None]), r.randint(-50, 1 << r.randint(1, 14))) for _ in range(60)]
+    p, e = spark.createDataFrame(points, "p long, key int, t long"), spark.createDataFrame(events, "key int, s long")
+    got = intervals.next_after(p, e, ["key"], "t", "s", "after")
+    assert "Generate" not in plans(got) and "Join" not in plans(got)
+    want = [(k, None if key is None or t is None else min((s for j, s in events if j == key and s > t), default=None)) for k, key, t in points]
+    assert sorted(((x["p"], x["after"]) for x in got.collect()), key=str) == sorted(want, key=str)
