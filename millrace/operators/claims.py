@@ -89,16 +89,19 @@ def canonical(claims: DataFrame, verdicts: DataFrame | None = None) -> DataFrame
     """
     block = ["subject_id", "predicate"]
     rows = claims.withColumn("frag", F.lower(F.trim("surface_fragment")))
-    least = rows.groupBy(*block, "frag").agg(F.min("claim_id").alias("b"))
-    same = rows.join(least, [*block, "frag"]).select(F.col("claim_id").alias("a"), "b")
+    least = rows.groupBy(*block, "frag").agg(F.min("claim_id").alias("b"), F.count("*").alias("n"))
+    # fragments of one claim link nothing and do not travel
+    least = least.where("n > 1").drop("n")
+    same = rows.join(least, [*block, "frag"]).select(F.col("claim_id").alias("a"), "b", *block)
     w = Window.partitionBy(*block, "seg_order").orderBy("char_start", "char_end", "claim_id")
-    last = rows.withColumn("p", F.lag(F.struct("claim_id", "char_end")).over(w)).where("p is not null and p.char_end > char_start").select(F.col("claim_id").alias("a"), F.col("p.claim_id").alias("b"))
+    last = rows.withColumn("p", F.lag(F.struct("claim_id", "char_end")).over(w)).where("p is not null and p.char_end > char_start").select(F.col("claim_id").alias("a"), F.col("p.claim_id").alias("b"), *block)
     links = same.union(last)
     if verdicts is not None:
         side = lambda x: claims.select(F.col("claim_id").alias(x), F.col("subject_id").alias(f"s{x}"), F.col("predicate").alias(f"p{x}"))
         said = valid_verdicts(verdicts).where("relation = 'equivalent'").join(side("a"), "a").join(side("b"), "b")
-        links = links.union(said.where("sa <=> sb and pa <=> pb").select("a", "b"))
-    found = components(links, claims.select(F.col("claim_id").alias("node")))
+        links = links.union(said.where("sa <=> sb and pa <=> pb").select("a", "b", F.col("sa").alias("subject_id"), F.col("pa").alias("predicate")))
+    # no link leaves its block: dealt by blocks, what is linked meets in one task
+    found = components(dealt(links.where("a != b"), *block, rows=claims.count()).select("a", "b"), claims.select(F.col("claim_id").alias("node")))
     return found.select(F.col("node").alias("claim_id"), F.col("component").alias("canonical_min"))
 
 

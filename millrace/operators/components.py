@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,21 +44,67 @@ def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)), *keys)
 
 
+def _stars(most: int):
+    """Links (a, b) to links of the same components, each node to the least one reached: about `most` at a time."""
+
+    def run(batches):
+        up = {}
+
+        def root(x):
+            top = x
+            while (y := up[top]) != top:
+                top = y
+            while up[x] != top:
+                up[x], x = top, up[x]
+            return top
+
+        def out():
+            ends = [(x, y) for x in up if (y := root(x)) != x]
+            for lo in range(0, len(ends), 65536):
+                part = ends[lo : lo + 65536]
+                yield pa.record_batch([pa.array([e[k] for e in part], kind) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            kind = batch.schema.field("a").type
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                up.setdefault(a, a)
+                up.setdefault(b, b)
+                x, y = root(a), root(b)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) >= most:
+                yield from out()
+                up.clear()
+        if up:
+            yield from out()
+
+    return run
+
+
+def contracted(links: DataFrame, most: int = 2 * TASK_ROWS) -> DataFrame:
+    """(a, b): links of the same components as these, where they stand: stars of what a task holds together."""
+    kind = links.schema["a"].dataType.simpleString()
+    return links.mapInArrow(_stars(most), f"a {kind}, b {kind}")
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether links (a, b) of lesser b are stars: each node either has one lesser neighbour or is one itself."""
+    ends = links.select(F.col("a").alias("x"), F.lit(1).alias("n"), F.lit(False).alias("low")).union(links.select(F.col("b").alias("x"), F.lit(0).alias("n"), F.lit(True).alias("low")))
+    rows = ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("low").alias("low"))
+    return rows.where("n > 1 or (low and n > 0)").limit(1).count() == 0
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component) of an undirected graph (a, b); component: the least node reachable.
 
-    Large star, then small star: each node's greater neighbours, then its lesser ones, are linked
-    to the least of them, until the links settle, as they must: they only move to lesser nodes.
-    Aggregations combine before the shuffle.
+    Tasks contract the links that they hold to stars. Then large star, then small star: each node's greater
+    neighbours, then its lesser ones, are linked to the least of them, until all links are stars, as they must
+    become: they only move to lesser nodes.  Links that come with their component together, as those of a block or of
+    a class do, are settled without such a round.  Aggregations combine before the shuffle.
     """
     link = lambda x, y: [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
-    links = cut(edges.select(*link(F.col("a"), F.col("b"))).where("a != b").distinct())
-    before = None
-    while True:
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            break
-        before = now
+    links = cut(contracted(edges.select(*link(F.col("a"), F.col("b"))).where("a != b")).distinct())
+    while not _settled(links):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))

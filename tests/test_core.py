@@ -311,3 +311,16 @@ def test_tasks_grow_in_number_with_the_rows(spark, monkeypatch):
     got = evidence.confidence(c)
     assert got.rdd.getNumPartitions() == 80 and got.agg(F.sum("evidence")).first()[0] == 400
     assert claims.conflict_summary(c).rdd.getNumPartitions() == 40
+
+
+def test_links_of_a_class_are_settled_where_they_stand(spark, monkeypatch):
+    links = spark.createDataFrame([(k * 100 + i, k * 100 + i + 1) for k in range(20) for i in range(30)], "a long, b long").repartition(3, F.floor(F.col("a") / 100))
+    want = sorted((k * 100 + i, k * 100) for k in range(20) for i in range(31))
+    cuts = []
+    real = components.cut
+    monkeypatch.setattr(components, "cut", lambda df: cuts.append(1) or real(df))
+    assert values(components.components(links)) == want and len(cuts) == 1
+    # what tasks do not hold together takes rounds, and gives the same
+    monkeypatch.setattr(components, "contracted", lambda df: df)
+    assert values(components.components(links.repartition(7))) == want and len(cuts) > 2
+    assert values(components.components(links.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")))) == sorted((str(x), min(str(k * 100 + i) for i in range(31))) for x, y in want for k in [y // 100])
