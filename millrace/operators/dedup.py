@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from millrace.functions import ids, text
+from millrace.functions.shingles import shingle_hashes
 from millrace.operators.components import components, cut
 
 PERMS, BANDS, MIN_CHARS, THRESHOLD = 64, 8, 200, 0.90
@@ -48,23 +47,38 @@ def seeds(perms: int = PERMS) -> list[int]:
 MIX = 0xD6E8FEB86659FD93
 
 
-def shingle_hash(shingle: Column) -> Column:
-    """60 bits of a shingle's MD5."""
-    return F.conv(F.substring(F.md5(shingle), 1, 15), 16, 10).cast("long")
+#: Bytes of text whose shingles a task hashes at once; a longer text stands alone.
+SIGNED_BYTES = 1 << 20
 
 
-def _minima(perms: int):
-    by = np.array(seeds(perms), np.uint64)
+def _signed(perms: int):
+    """(doc_id, text_sha256, sig) of texts with a shingle: for each permutation the least of 60 bits of their shingles' MD5, mixed with its seed."""
+    by = np.array(seeds(perms), np.uint64)[:, None]
 
-    @F.pandas_udf(ArrayType(LongType()))
-    def run(hashes: pd.Series) -> pd.Series:
-        def one(h):
-            x = np.asarray(h, np.int64).view(np.uint64)[None, :] * by[:, None]
-            x ^= x >> np.uint64(32)
-            x *= np.uint64(MIX)
-            return (x ^ (x >> np.uint64(29))).min(1).view(np.int64)
+    def least(h):
+        x = h * by
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(MIX)
+        x ^= x >> np.uint64(29)
+        return x.min(1)
 
-        return hashes.map(one)
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_string())
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            lo = 0
+            while lo < len(texts):
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SIGNED_BYTES, "right")) - 1)
+                hashes, many = shingle_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                ends = np.cumsum(many)
+                has = np.flatnonzero(many)
+                sig = [np.min([least(hashes[x : min(x + 4096, e)]) for x in range(e - n, e, 4096)], 0) for e, n in zip(ends[has].tolist(), many[has].tolist(), strict=True)]
+                flat = pa.array(np.concatenate(sig).view(np.int64) if sig else [], pa.int64())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, perms), pa.int32()), flat)
+                at = pa.array(has + lo)
+                yield pa.record_batch([batch.column("doc_id").take(at), batch.column("text_sha256").take(at), lists], names=["doc_id", "text_sha256", "sig"])
+                lo = hi
 
     return run
 
@@ -73,13 +87,17 @@ def signatures(docs: DataFrame, exact: bool = False, perms: int = PERMS) -> Data
     """(doc_id, text_sha256, sig) of the eligible documents.
 
     exact: the SHA-256 version d1, all in the JVM; else version x2: 60 bits of the shingles' MD5, mixed with a seed
-    for each permutation in Arrow batches (as nested higher-order functions this is some 30 times slower).
+    for each permutation, whole Arrow batches at a time (as Spark's own functions this takes several times the CPU).
     """
+    docs = docs.where(F.length("text") >= MIN_CHARS)
+    if not exact:
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        texts = docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.lower("text").alias("text"))
+        return texts.mapInArrow(_signed(perms), f"doc_id {kind}, text_sha256 string, sig array<bigint>")
     # tokens as a column of their own: within a lambda Spark would compute them again for each shingle
-    sets = docs.select("doc_id", "text", text.word_tokens(F.col("text")).alias("t")).where((F.length("text") >= MIN_CHARS) & (F.size("t") >= 5))
+    sets = docs.select("doc_id", "text", text.word_tokens(F.col("text")).alias("t")).where(F.size("t") >= 5)
     sets = sets.select("doc_id", F.sha2("text", 256).alias("text_sha256"), text.shingle_set(F.col("t")).alias("sh"))
-    value = sha_signature(F.col("sh"), perms) if exact else _minima(perms)(F.transform("sh", shingle_hash))
-    return sets.select("doc_id", "text_sha256", value.alias("sig"))
+    return sets.select("doc_id", "text_sha256", sha_signature(F.col("sh"), perms).alias("sig"))
 
 
 def bands(sigs: DataFrame, count: int = BANDS) -> DataFrame:
@@ -140,9 +158,11 @@ def band_links(sigs: DataFrame, threshold: float = THRESHOLD, count: int = BANDS
     largest class meet the rows of other classes.  So near copies cost a few comparisons each, and no pair of two
     classes is left out.
     """
-    x = cut(bands(cut(representatives(sigs)), count))
+    one = cut(representatives(sigs))
     bucket = ["band", "band_key"]
-    x = x.join(x.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1"), bucket)
+    keys = cut(bands(one, count).drop("sig"))  # signatures travel only for rows that share a bucket
+    shared = keys.join(keys.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1"), bucket)
+    x = cut(shared.join(one, "doc_id").select("doc_id", *bucket, "sig", "n"))
     alike = similarity(F.col("l.sig"), F.col("r.sig")) >= threshold
     ends = [F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")]
     few = x.where(F.col("n") <= most)
@@ -170,7 +190,7 @@ def clusters(docs: DataFrame, exact: bool = False, threshold: float = THRESHOLD)
     """(doc_id, cluster_min) of every document: near copies and exact copies share the least id."""
     sigs = signatures(docs, exact)
     pairs = band_links(sigs, threshold)
-    same = docs.select("doc_id", F.sha2("text", 256).alias("h"))
+    same = cut(docs.select("doc_id", F.sha2("text", 256).alias("h")))
     same = same.join(same.groupBy("h").agg(F.min("doc_id").alias("b")), "h").where("doc_id != b").select(F.col("doc_id").alias("a"), "b")
     found = components(pairs.union(same), docs.select(F.col("doc_id").alias("node")))
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster_min"))
