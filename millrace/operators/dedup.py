@@ -218,6 +218,16 @@ def roles(final: DataFrame) -> DataFrame:
     return final.select("doc_id", "cluster", "root_doc_id", role.alias("role"))
 
 
+def document_roles(docs: DataFrame) -> DataFrame:
+    """(doc_id, cluster, root_doc_id, role) of every document (doc_id, text); only texts that share a cluster are met with their root's."""
+    rows = cut(docs.select("doc_id").join(clusters(docs), "doc_id").withColumnRenamed("cluster_min", "cluster"))
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    alone = sizes.where("n = 1").select("doc_id", "cluster", F.col("doc_id").alias("root_doc_id"), F.lit("root").alias("role"))
+    shared = rows.join(sizes.where("n > 1").select("cluster"), "cluster", "left_semi").distinct()
+    members = cut(docs.select("doc_id", "text").join(shared, "doc_id"))
+    return alone.union(roles(finalise(members)))
+
+
 def incremental(stored: DataFrame, new: DataFrame, threshold: float = THRESHOLD, count: int = BANDS) -> DataFrame:
     """(doc_id, matches): for each new signature the stored ones, and earlier new ones, that it is near to."""
     seen = stored.select("doc_id", "sig").union(new.select("doc_id", "sig"))

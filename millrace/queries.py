@@ -112,9 +112,7 @@ s AS (SELECT doc_id, cluster_min AS cluster, list_filter(string_split(regexp_rep
 r AS (SELECT cluster AS c, min(doc_id) AS root_doc_id, arg_min(s, doc_id) AS root_s FROM s GROUP BY 1)
 SELECT doc_id, cluster, root_doc_id, CASE WHEN doc_id = root_doc_id THEN 'root' WHEN len(list_filter(s, lambda x: NOT list_contains(root_s, x))) > 0 THEN 'independent' ELSE 'derived' END AS role FROM s JOIN r ON s.cluster = r.c""")
 def cluster_roles(spark, sf):
-    docs = _t(spark, sf, "documents")
-    members = dedup.clusters(docs).join(docs.select("doc_id", "text"), "doc_id").withColumnRenamed("cluster_min", "cluster")
-    return dedup.roles(dedup.finalise(members))
+    return dedup.document_roles(_t(spark, sf, "documents"))
 
 
 @query("""WITH s AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents)

@@ -68,3 +68,25 @@ def test_signatures_travel_only_where_a_bucket_is_shared(spark, monkeypatch):
     links = dedup.band_links(spark.createDataFrame(rows, "doc_id long, text_sha256 string, sig array<long>"))
     assert [tuple(x) for x in links.select("a", "b").collect()] == [(7, 50)]
     assert max(held) == 2 * dedup.BANDS
+
+
+def test_roles_meet_only_texts_that_share_a_cluster(spark, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(120)) + "."
+    other = lambda n: " ".join(f"{n}x{i}" for i in range(120))
+    docs = [(1, base), (2, base), (3, base + " One more sentence."), (4, other(4)), (5, other(5)), (6, "short"), (7, None), (8, other(8)), (8, "of the same id")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    members = dedup.clusters(df).join(df, "doc_id").withColumnRenamed("cluster_min", "cluster")
+    want = sorted(map(tuple, dedup.roles(dedup.finalise(members)).collect()))
+    held = []
+
+    def cut(df, plain=dedup.cut):
+        out = plain(df)
+        if "text" in out.columns:
+            held.extend(x["doc_id"] for x in out.collect())
+        return out
+
+    monkeypatch.setattr(dedup, "cut", cut)
+    got = sorted(map(tuple, dedup.document_roles(df).collect()))
+    assert got == want
+    assert [x[3] for x in got[:3]] == ["root", "derived", "independent"]
+    assert sorted(held) == [1, 2, 3, 8, 8]
