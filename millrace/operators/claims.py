@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import ids
-from millrace.operators.components import components, dealt
+from millrace.operators.components import TASK_ROWS, components, cut, dealt
 from millrace.operators.order import numbered
 
 # Vocabularies of the gates.
@@ -78,6 +78,23 @@ def valid_verdicts(verdicts: DataFrame) -> DataFrame:
     return verdicts.where(F.col("relation").isin(*RELATIONS) & F.col("confidence").between(0, 1))
 
 
+#: Cells into which blocks are hashed to see which of them are large.
+CELLS = 4096
+
+
+def _by_block(links: DataFrame, claims: DataFrame, block: list[str], rows: int = TASK_ROWS) -> DataFrame:
+    """Links (a, b, *block, salt) dealt out so that those of a block meet in one task; those of a block of more than some `rows` claims by their salt too.
+
+    No link leaves its block, so most are settled where they meet.
+    """
+    cell = F.pmod(F.xxhash64(*block), F.lit(CELLS)).alias("cell")
+    sizes = cut(claims.groupBy(cell).agg(F.count("*").alias("n")))
+    parts = F.greatest(F.lit(1), F.ceil(F.coalesce("n", F.lit(0)) / rows))
+    many = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = links.withColumn("cell", cell).join(F.broadcast(sizes), "cell", "left").withColumn("part", F.pmod("salt", parts))
+    return dealt(met, *block, "part", rows=many)
+
+
 def canonical(claims: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """(claim_id, canonical_min): claims of a block (subject, predicate) that say the same.
 
@@ -92,16 +109,15 @@ def canonical(claims: DataFrame, verdicts: DataFrame | None = None) -> DataFrame
     least = rows.groupBy(*block, "frag").agg(F.min("claim_id").alias("b"), F.count("*").alias("n"))
     # fragments of one claim link nothing and do not travel
     least = least.where("n > 1").drop("n")
-    same = rows.join(least, [*block, "frag"]).select(F.col("claim_id").alias("a"), "b", *block)
+    same = rows.join(least, [*block, "frag"]).select(F.col("claim_id").alias("a"), "b", *block, F.xxhash64("claim_id").alias("salt"))
     w = Window.partitionBy(*block, "seg_order").orderBy("char_start", "char_end", "claim_id")
-    last = rows.withColumn("p", F.lag(F.struct("claim_id", "char_end")).over(w)).where("p is not null and p.char_end > char_start").select(F.col("claim_id").alias("a"), F.col("p.claim_id").alias("b"), *block)
+    last = rows.withColumn("p", F.lag(F.struct("claim_id", "char_end")).over(w)).where("p is not null and p.char_end > char_start").select(F.col("claim_id").alias("a"), F.col("p.claim_id").alias("b"), *block, F.xxhash64("seg_order").alias("salt"))
     links = same.union(last)
     if verdicts is not None:
         side = lambda x: claims.select(F.col("claim_id").alias(x), F.col("subject_id").alias(f"s{x}"), F.col("predicate").alias(f"p{x}"))
         said = valid_verdicts(verdicts).where("relation = 'equivalent'").join(side("a"), "a").join(side("b"), "b")
-        links = links.union(said.where("sa <=> sb and pa <=> pb").select("a", "b", F.col("sa").alias("subject_id"), F.col("pa").alias("predicate")))
-    # no link leaves its block: dealt by blocks, what is linked meets in one task
-    found = components(dealt(links.where("a != b"), *block, rows=claims.count()).select("a", "b"), claims.select(F.col("claim_id").alias("node")))
+        links = links.union(said.where("sa <=> sb and pa <=> pb").select("a", "b", F.col("sa").alias("subject_id"), F.col("pa").alias("predicate"), F.xxhash64("a").alias("salt")))
+    found = components(_by_block(links.where("a != b"), claims, block).select("a", "b"), claims.select(F.col("claim_id").alias("node")))
     return found.select(F.col("node").alias("claim_id"), F.col("component").alias("canonical_min"))
 
 

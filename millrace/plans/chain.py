@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,15 +16,21 @@ from millrace.operators.components import cut, dealt, spread
 
 @dataclass
 class Chain:
-    """The tables that a run makes; each is a lazy plan over those before it."""
+    """The tables that a run makes; each is a plan over those before it, and what is canonical is worked out only for those who ask."""
 
     segments: DataFrame
     mentions: DataFrame
     entities: DataFrame
     claims: DataFrame
     gated: DataFrame
-    canonical: DataFrame
-    conflicts: DataFrame
+
+    @cached_property
+    def canonical(self) -> DataFrame:
+        return C.canonical_claims(self.gated.where("status = 'promoted'"))
+
+    @cached_property
+    def conflicts(self) -> DataFrame:
+        return C.conflicts(self.claims)
 
 
 def run(docs: DataFrame, names: DataFrame, rules: list[tuple[str, str, str]] | None = None, metrics: observed.Run | None = None) -> Chain:
@@ -42,8 +49,7 @@ def run(docs: DataFrame, names: DataFrame, rules: list[tuple[str, str, str]] | N
     made = extract.claims(segs, rules or extract.CLAIM_RULES, resolved.select("doc_id", "surface", "start", "end", "entity_id"))
     made = made.withColumn("provenance_ref", F.array(ids.typed_id("ext", F.col("claim_id"))))
     gated = write("claims", C.claim_gate(made), F.col("status") != "promoted")
-    good = gated.where("status = 'promoted'")
-    return Chain(segs, resolved, entities, made, gated, C.canonical_claims(good), C.conflicts(made))
+    return Chain(segs, resolved, entities, made, gated)
 
 
 def investigate(claims: DataFrame, subject: str, contradictions: DataFrame | None = None) -> DataFrame:
