@@ -68,6 +68,25 @@ def gazetteer_mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
 TASK_CHARS = 1 << 24
 
 
+def mention_places(docs: DataFrame, names: DataFrame, radius: int = 0) -> DataFrame:
+    """(doc_id, start, end, surface, mention_type, identifiers), with radius context too: `mentions` without what their document and place say."""
+    none = F.create_map().cast("map<string,string>")
+    known = names.select("surface", "mention_type", F.coalesce("identifiers", none).alias("known") if "identifiers" in names.columns else none.alias("known"))
+    # of the types of one surface the least stays
+    first = F.min_by(F.struct("mention_type", "known"), F.struct("mention_type", F.array_sort(F.map_entries("known"))))
+    known = known.groupBy("surface").agg(first.alias("m")).select("surface", "m.*")
+    found = dictionary.filter_of(known)
+    rows = dictionary.occurrences(docs, known, words=None, context=radius, extra=dictionary.patterns(*STRONG), found=found)
+    strong = F.col("extra_kind").isNotNull()
+    rank = F.when(~strong, 2).otherwise(F.when(F.map_contains_key("extra_ids", "ticker"), 0).otherwise(1))
+    surface = F.when(strong, F.col("text")).otherwise(F.col("surface")).alias("surface")
+    rows = rows.select("doc_id", "start", "end", rank.alias("rank"), surface, F.coalesce("extra_kind", "mention_type").alias("mention_type"), *["context"] * (radius > 0), F.when(strong, F.col("extra_ids")).otherwise(F.col("known")).alias("identifiers"))
+    if found.many <= dictionary.FEW_NAMES:
+        return dictionary.apart(rows, in_order=True).drop("rank")
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    return dictionary.apart(rows, -(-chars // TASK_CHARS) * TASK_ROWS).drop("rank")
+
+
 def mentions(docs: DataFrame, names: DataFrame, radius: int = 96) -> DataFrame:
     """All mentions of documents: tickers, hosts and exact names anywhere, without overlaps, each with its id.
 
@@ -75,16 +94,10 @@ def mentions(docs: DataFrame, names: DataFrame, radius: int = 96) -> DataFrame:
     the first to start stays, the longer one of those that start together, then tickers before hosts before names.
     Tickers and hosts are their own identifiers.
     """
-    none = F.create_map().cast("map<string,string>")
-    known = names.select("surface", "mention_type", F.coalesce("identifiers", none).alias("known") if "identifiers" in names.columns else none.alias("known"))
-    rows = dictionary.occurrences(docs, known, words=None, context=radius, extra=dictionary.patterns(*STRONG))
-    strong = F.col("extra_kind").isNotNull()
-    rank = F.when(~strong, 2).otherwise(F.when(F.map_contains_key("extra_ids", "ticker"), 0).otherwise(1))
-    surface = F.when(strong, F.col("text")).otherwise(F.col("surface")).alias("surface")
-    rows = rows.select("doc_id", "start", "end", rank.alias("rank"), surface, F.coalesce("extra_kind", "mention_type").alias("mention_type"), "context", F.when(strong, F.col("extra_ids")).otherwise(F.col("known")).alias("identifiers"))
+    rows = mention_places(docs, names, radius)
+    context = F.col("context") if radius > 0 else F.lit(None).cast("string").alias("context")
     mention_id = ids.typed_id("men", F.col("doc_id"), F.col("start"), F.col("end"), F.col("surface"), sep=":")
-    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    return dictionary.apart(rows, -(-chars // TASK_CHARS) * TASK_ROWS).select("doc_id", mention_id.alias("mention_id"), "surface", "mention_type", "start", "end", "context", "identifiers")
+    return rows.select("doc_id", mention_id.alias("mention_id"), "surface", "mention_type", "start", "end", context, "identifiers")
 
 
 def pattern_mentions(docs: DataFrame, pattern: str, mention_type: str) -> DataFrame:
@@ -112,6 +125,24 @@ def resolve(mentions: DataFrame, fold: bool = False) -> DataFrame:
     return best.select("doc_id", "mention_type", "block", "name", "n", ids.entity_id(F.col("mention_type"), F.col("name"), F.col("keys")).alias("entity_id"), F.map_from_entries("keys").alias("identifiers"))
 
 
+def with_entities(mentions: DataFrame) -> DataFrame:
+    """Mentions with the entity_id that `resolve` gives them.
+
+    Where a mention has no identifiers its surface is the entity's name; only the others meet those of their document.
+    """
+    keys = F.array_sort(F.map_entries("identifiers"))
+    rows = mentions.where("doc_id is not null and mention_type is not null")
+    known = F.coalesce(F.size("identifiers") > 0, F.lit(False))
+    plain = rows.where(~known).withColumn("entity_id", ids.entity_id(F.col("mention_type"), F.col("surface")))
+    strong = rows.where(known)
+    many = strong.count()
+    if not many:
+        return plain
+    keyed = dealt(strong.withColumn("block", block_of(keys, F.col("surface"))), "doc_id", "mention_type", "block", rows=many)
+    entities = resolve(strong).select("doc_id", "mention_type", "block", "entity_id")
+    return plain.unionByName(keyed.join(entities, ["doc_id", "mention_type", "block"]).drop("block"))
+
+
 def block_of(keys: Column, surface: Column, fold: bool = False) -> Column:
     """What mentions of one entity share within a document and type."""
     return F.when(F.size(keys) > 0, F.to_json(keys)).otherwise(F.lower(surface) if fold else surface)
@@ -146,48 +177,84 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] | None = N
     return spark.createDataFrame(rows, "rule_no int, pattern string, predicate string, event_type string")
 
 
-def first_matches(segs: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """(doc_id, seg_order, seg_text, predicate, event_type, char_start, char_end, surface_fragment): the first rule of each predicate that matches a segment."""
-    match = lambda i, r, p, e: F.struct(F.lit(i).alias("rule_no"), F.lit(p).alias("predicate"), F.lit(e).alias("event_type"), F.regexp_instr("seg_text", F.lit(r)).alias("at"), F.regexp_substr("seg_text", F.lit(r)).alias("fragment"))
-    tried = F.filter(F.array(*[match(i, r, p, e) for i, (r, p, e) in enumerate(rules)]), lambda t: t["at"] > 0)
-    # few rules: the first of a predicate is the one before which none of its own stands
-    first = F.filter(tried, lambda t: ~F.exists(tried, lambda x: (x["predicate"] == t["predicate"]) & (x["rule_no"] < t["rule_no"])))
-    rows = segs.select("doc_id", "seg_order", "seg_text", F.explode(first).alias("t"))
+def matching(segs: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(doc_id, seg_order, seg_text, matches): the segments that a rule matches, with the first rule of each predicate that does."""
+    by_predicate: dict[str, list[Column]] = {}
+    for i, (r, p, e) in enumerate(rules):
+        at = F.regexp_instr("seg_text", F.lit(r))
+        found = F.struct(F.lit(i).alias("rule_no"), F.lit(p).alias("predicate"), F.lit(e).alias("event_type"), at.alias("at"), F.regexp_substr("seg_text", F.lit(r)).alias("fragment"))
+        by_predicate.setdefault(p, []).append(F.when(at > 0, found))
+    first = F.array_compact(F.array(*[F.coalesce(*x) for x in by_predicate.values()]))
+    # exploded, not filtered: a filter would search all rules once more
+    return segs.select("doc_id", "seg_order", "seg_text", F.explode(F.filter(F.array(first), lambda x: F.size(x) > 0)).alias("matches"))
+
+
+def first_matches(matched: DataFrame) -> DataFrame:
+    """(doc_id, seg_order, predicate, event_type, char_start, char_end, surface_fragment): a row for each rule of `matching`."""
+    rows = matched.select("doc_id", "seg_order", F.explode("matches").alias("t"))
     start = F.col("t.at") - 1
-    return rows.select("doc_id", "seg_order", "seg_text", "t.predicate", "t.event_type", start.alias("char_start"), (start + F.length("t.fragment")).alias("char_end"), F.col("t.fragment").alias("surface_fragment"))
+    return rows.select("doc_id", "seg_order", "t.predicate", "t.event_type", start.alias("char_start"), (start + F.length("t.fragment")).alias("char_end"), F.col("t.fragment").alias("surface_fragment"))
 
 
-def with_subjects(rows: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Rows (doc_id, seg_order, seg_text, ...) with subject_id: of the document's mentions whose surface the segment holds, the first one's entity.
+def with_subjects(rows: DataFrame, segs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Rows (doc_id, seg_order, ...) with subject_id: of the document's mentions whose surface the segment holds, the first one's entity.
 
-    Surfaces are sought in segments by the dictionary join and met with their own document's by an
-    equi-join, so no segment is paired with all mentions of its document.
+    segs: (doc_id, seg_order, seg_text) of the rows.  Surfaces are sought in segments by the dictionary join where
+    the segments stand and met with their own document's by an equi-join; no text is shuffled, and of a document's
+    mentions only the first of each surface is.
     """
+    firsts = resolved.select("doc_id", "surface", "start", "end", "entity_id")
+
+    def least(batches):
+        for x in batches:
+            yield x.sort_values(["start", "end", "entity_id"]).drop_duplicates(["doc_id", "surface"])
+
     place = F.struct("start", "end", "entity_id")
-    own = dealt(resolved.select("doc_id", "surface", "start", "end", "entity_id"), "doc_id", "surface").groupBy("doc_id", "surface").agg(F.min(place).alias("first"))
-    segs = dealt(rows.select(F.struct("doc_id", "seg_order").alias("doc_id"), F.col("seg_text").alias("text")), "doc_id").distinct()
-    held = dictionary.occurrences(segs, own.select("surface").distinct(), words=None).select("doc_id.*", "surface").distinct()
+    own = firsts.where("doc_id is not null").mapInPandas(least, firsts.schema).groupBy("doc_id", "surface").agg(F.min(place).alias("first"))
+    texts = segs.select(F.struct("doc_id", "seg_order").alias("doc_id"), F.col("seg_text").alias("text"))
+    held = dictionary.occurrences(texts, resolved.select("surface").distinct(), words=None).select("doc_id.*", "surface").distinct()
     subject = held.join(own, ["doc_id", "surface"]).groupBy("doc_id", "seg_order").agg(F.min("first")["entity_id"].alias("subject_id"))
     return dealt(rows, "doc_id", "seg_order").join(subject, ["doc_id", "seg_order"])
 
 
-def with_objects(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+#: Cells into which documents are hashed to bound where their claims end.
+CELLS = 1 << 16
+
+
+def objects_for(ends: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The mentions among which an object of a claim can be found; ends: (doc_id, char_end) of the claims.
+
+    Beyond the last end of a document only the first mention of each entity can be one; so most mentions need no shuffle.
+    """
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).alias("cell")
+    last = ends.groupBy(cell).agg(F.max("char_end").alias("last"))
+    seen = resolved.where("doc_id is not null and start is not null").select("doc_id", "start", "end", "entity_id")
+
+    def needed(batches):
+        for x in batches:
+            beyond = x["start"] >= x["last"]
+            far = x[beyond].sort_values(["start", "end", "entity_id"]).drop_duplicates(["doc_id", "entity_id"])
+            yield pd.concat([x[~beyond], far])[["doc_id", "start", "end", "entity_id"]]
+
+    return seen.withColumn("cell", cell).join(F.broadcast(last), "cell").drop("cell").mapInPandas(needed, seen.schema)
+
+
+def with_objects(rows: DataFrame, resolved: DataFrame, many: int | None = None) -> DataFrame:
     """Rows (doc_id, char_end, subject_id, ...) with object_id: the entity of the document's first mention from char_end on that is another than the subject.
 
     An as-of join by one descending pass over each document: the next mention at or after a place, and
-    for it the next mention of another entity.
+    for it the next mention of another entity.  many: about how many rows and mentions there are.
     """
-    down = Window.partitionBy("doc_id").orderBy(F.desc("start"), F.desc("end"), F.desc("entity_id"))
-    many = resolved.count()
-    seen = dealt(resolved.select("doc_id", "start", "end", "entity_id"), "doc_id", rows=many).distinct()
-    after = F.lag("entity_id").over(down)
-    seen = seen.withColumn("turn", F.when(after != F.col("entity_id"), after))
-    seen = seen.withColumn("other", F.last("turn", True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    marks = seen.select("doc_id", F.col("start").alias("place"), F.lit(1).alias("side"), F.col("end").alias("rank"), F.struct("entity_id", "other").alias("m"), F.lit(None).cast(rows.select(F.struct("*")).schema[0].dataType).alias("row"))
-    asked = rows.select("doc_id", F.col("char_end").alias("place"), F.lit(0).alias("side"), F.lit(0).alias("rank"), F.lit(None).cast(marks.schema["m"].dataType).alias("m"), F.struct("*").alias("row"))
-    walk = Window.partitionBy("doc_id").orderBy(F.desc("place"), F.desc("side"), F.desc("rank"), F.desc("m")).rowsBetween(Window.unboundedPreceding, 0)
-    met = dealt(marks.union(asked), "doc_id", rows=2 * many).withColumn("next", F.last("m", True).over(walk)).where("side = 0")
-    object_id = F.when(F.col("next.entity_id") != F.col("row.subject_id"), F.col("next.entity_id")).otherwise(F.col("next.other"))
+    many = resolved.count() if many is None else many
+    marks = resolved.select("doc_id", F.col("start").alias("place"), F.lit(1).alias("side"), F.col("end").alias("rank"), "entity_id", F.lit(None).cast(rows.select(F.struct("*")).schema[0].dataType).alias("row"))
+    asked = rows.select("doc_id", F.col("char_end").alias("place"), F.lit(0).alias("side"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("entity_id"), F.struct("*").alias("row"))
+    down = Window.partitionBy("doc_id").orderBy(F.desc("place"), F.desc("side"), F.desc("rank"), F.desc("entity_id"))
+    after = F.last("entity_id", True).over(down.rowsBetween(Window.unboundedPreceding, -1))
+    walk = down.rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt(marks.union(asked), "doc_id", rows=many).withColumn("after", after)
+    met = met.withColumn("turn", F.when(F.col("after") != F.col("entity_id"), F.col("after")))
+    met = met.withColumns({"next": F.last("entity_id", True).over(walk), "other": F.last("turn", True).over(walk)}).where("side = 0")
+    object_id = F.when(F.col("next") != F.col("row.subject_id"), F.col("next")).otherwise(F.col("other"))
     return met.select("row.*", object_id.alias("object_id"))
 
 
@@ -197,8 +264,9 @@ def claims(segs: DataFrame, rules: list[tuple[str, str, str]], resolved: DataFra
     resolved: (doc_id, surface, start, end, entity_id), places in the document.  As the evidence
     model has it, the object's place is held against the end of the match within the segment.
     """
-    matched = cut(first_matches(segs, rules))  # read for the surfaces in segments and for the claims
-    found = with_objects(with_subjects(matched, resolved).drop("seg_text"), resolved)
+    matched = cut(matching(segs, rules))  # read for the surfaces in segments and for the claims
+    rows = first_matches(matched)
+    found = with_objects(with_subjects(rows, matched, resolved), objects_for(rows, resolved), resolved.count())
     claim_id = ids.typed_id("clm", F.col("doc_id"), F.col("seg_order"), F.col("char_start"), F.col("char_end"), F.col("predicate"), sep=":")
     fixed = {"confidence": F.lit(0.8), "polarity": F.lit("positive"), "modality": F.lit("asserted")}
     return found.withColumn("claim_id", claim_id).withColumns(fixed)
